@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import quality, toxicity
+from tiersum.llm import bpe, quality, toxicity
 from tiersum.llm.common import table
 from tiersum.llm.simhash import near_duplicates
 
@@ -14,6 +14,10 @@ def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, quality.fit(docs, quality.usability(table(spark, sf_dir, "labels"))))
 
 
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,5 +27,5 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op5_toxicity_noisy_or, op9_simhash_golay)}
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op9_simhash_golay)}
 ORACLE_SQL: dict[str, str] = {}
