@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import bpe, quality, toxicity
+from tiersum.llm import bpe, packing, quality, toxicity
 from tiersum.llm.common import table
 from tiersum.llm.simhash import near_duplicates
 
@@ -27,5 +27,9 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op9_simhash_golay)}
+def op10_packing_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op9_simhash_golay, op10_packing_bin_slack)}
 ORACLE_SQL: dict[str, str] = {}
