@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import binary_output, bpe, packing, quality, toxicity
+from tiersum.llm import binary_output, bpe, language, packing, quality, toxicity
 from tiersum.llm.common import table
 from tiersum.llm.simhash import near_duplicates
 
@@ -27,6 +27,11 @@ def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.digest_rows(binary_output.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op8_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +40,5 @@ def op10_packing_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op7_token_id_output, op9_simhash_golay, op10_packing_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
 ORACLE_SQL: dict[str, str] = {}
