@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import binary_output, bpe, language, packing, quality, toxicity
+from tiersum.llm import binary_output, bpe, hmm, language, packing, quality, toxicity
 from tiersum.llm.common import table
 from tiersum.llm.simhash import near_duplicates
 
@@ -23,6 +23,10 @@ def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.digest_rows(binary_output.write_ids(table(spark, sf_dir, "documents")))
 
@@ -40,5 +44,5 @@ def op10_packing_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op6_hidden_markov, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
 ORACLE_SQL: dict[str, str] = {}
