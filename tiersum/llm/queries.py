@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import binary_output, bpe, hmm, language, packing, quality, toxicity
+from tiersum.llm import binary_output, bpe, embedding_dedup, hmm, language, packing, quality, toxicity
 from tiersum.llm.common import table
 from tiersum.llm.simhash import near_duplicates
 
@@ -14,6 +14,10 @@ def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade_documents(docs, quality.fit(docs, quality.usability(table(spark, sf_dir, "labels"))))
 
 
+def op2_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_packing_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op3_bpe_automaton, op5_toxicity_noisy_or, op6_hidden_markov, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_pivot_permutation, op3_bpe_automaton, op5_toxicity_noisy_or, op6_hidden_markov, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
 ORACLE_SQL: dict[str, str] = {}
