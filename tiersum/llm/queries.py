@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import binary_output, bpe, embedding_dedup, hmm, language, packing, quality, toxicity
+from tiersum.llm import binary_output, bpe, embedding_dedup, hmm, language, media, packing, quality, toxicity
 from tiersum.llm.common import table
 from tiersum.llm.simhash import near_duplicates
 
@@ -22,6 +22,10 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_texts(table(spark, sf_dir, "documents")), tensors=False)
+
+
 def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,5 +52,5 @@ def op10_packing_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_pivot_permutation, op3_bpe_automaton, op5_toxicity_noisy_or, op6_hidden_markov, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_quality_ordinal, op2_pivot_permutation, op3_bpe_automaton, op4_progressive_jpeg, op5_toxicity_noisy_or, op6_hidden_markov, op7_token_id_output, op8_language_filters, op9_simhash_golay, op10_packing_bin_slack)}
 ORACLE_SQL: dict[str, str] = {}
