@@ -54,6 +54,7 @@ def test_sentences_are_bounded_and_cover_all_words():
     text = "one two. three!\n" + "w " * 1000 + "\n\n ... end"
     spans = list(toxicity.sentences(text))
     assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.split())
+    assert [text[a:b].split() for a, b in spans] == toxicity.sentence_words(text)
     assert max(len(text[a:b].split()) for a, b in spans) <= toxicity.SENTENCE_WORDS
 
 

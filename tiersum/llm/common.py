@@ -58,6 +58,10 @@ class WordCache:
             self.young[word] = value
         return value
 
+    def many(self, words: list) -> list:
+        found = list(map(self.young.get, words))
+        return [self(w) if x is None else x for w, x in zip(words, found)] if None in found else found
+
 
 _PER_WORKER: dict = {}
 

@@ -8,6 +8,7 @@ in the document's score, so that the fit finds the offending sentences by itself
 from __future__ import annotations
 
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,29 +30,48 @@ SENTENCE_WORDS = 40
 THRESHOLD = 0.3
 HOLD_OUT = 4
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-_EDGE = re.compile(r"^\W+|\W+$")
+_WORD = re.compile(r"\S+")
+#: Stripped from both ends of a word.
+MARKS = string.punctuation + "¡¿«»“”„’‘…–—"
 
 
-def word_features(word: str) -> tuple[int, ...]:
+def word_features(word: str) -> list[int]:
     """Hashed lower-cased word and its beginnings of four to six letters; a word of bare punctuation has none."""
-    bare = _EDGE.sub("", word.lower())
+    bare = word.lower().strip(MARKS)
     if not bare:
-        return ()
-    marks = {f"w{bare}"} | {f"p{bare[:n]}" for n in (4, 5, 6) if len(bare) >= n}
-    return tuple(sorted(zlib.crc32(m.encode("utf-8", "surrogatepass")) % DIMENSIONS for m in marks))
+        return []
+    crc = zlib.crc32
+    if bare.isascii():
+        data = bare.encode()
+        heads = [data[:4], data[:5], data[:6]]
+    else:
+        data = bare.encode("utf-8", "surrogatepass")
+        heads = [bare[:n].encode("utf-8", "surrogatepass") for n in (4, 5, 6)]
+    out = [crc(data, 1) % DIMENSIONS]
+    if len(bare) >= 4:
+        out += [crc(h, len(h) + 2) % DIMENSIONS for h in heads[: len(bare) - 3]]
+    return out
 
 
 def sentences(text: str | None) -> Iterator[tuple[int, int]]:
     """(start, end) of each sentence with a word in it: runs without . ! ? or line end, with the marks that follow."""
     for m in _SENTENCE.finditer(text or ""):
-        words = [w.span() for w in re.finditer(r"\S+", m.group())] if m.end() - m.start() > SENTENCE_WORDS else None
-        if words is None:
-            if m.group().strip():
-                yield m.span()
-        else:
-            for k in range(0, len(words), SENTENCE_WORDS):
-                part = words[k : k + SENTENCE_WORDS]
+        words = m.group().split()
+        if len(words) > SENTENCE_WORDS:
+            spans = [w.span() for w in _WORD.finditer(m.group())]
+            for k in range(0, len(spans), SENTENCE_WORDS):
+                part = spans[k : k + SENTENCE_WORDS]
                 yield m.start() + part[0][0], m.start() + part[-1][1]
+        elif words:
+            yield m.span()
+
+
+def sentence_words(text: str | None) -> list[list[str]]:
+    """The words of each of `sentences`."""
+    found = [words for s in _SENTENCE.findall(text or "") if (words := s.split())]
+    if max(map(len, found), default=0) > SENTENCE_WORDS:
+        found = [words[k : k + SENTENCE_WORDS] for words in found for k in range(0, len(words), SENTENCE_WORDS)]
+    return found
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -63,12 +83,17 @@ class NoisyOrModel:
     weights: np.ndarray
     bias: float
 
-    def sentence_logits(self, text: str | None, word) -> np.ndarray:
-        text = text or ""
-        return np.array([self.bias + sum(map(word, text[a:b].split())) for a, b in sentences(text)])
+    def sentence_logits(self, text: str | None, cache: WordCache) -> np.ndarray:
+        found = sentence_words(text)
+        if not found:
+            return np.empty(0)
+        values = np.array(cache.many([w for words in found for w in words]))
+        ends = np.cumsum([len(words) for words in found])
+        return self.bias + np.add.reduceat(values, np.concatenate(([0], ends[:-1])))
 
     def word(self, word: str) -> float:
-        return float(self.weights[list(word_features(word))].sum()) if (word_features(word)) else 0.0
+        w = self.weights
+        return float(sum([w[i] for i in word_features(word)]))
 
 
 def fit_noisy_or(index: list[np.ndarray], sentence: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: int = 6, l1: float = 2e-4, seed: int = 7) -> NoisyOrModel:
@@ -110,9 +135,9 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         index, sentence = [], []
         for t in batch.column(0):
-            text, own, number = t.as_py() or "", [], []
-            for k, (a, b) in enumerate(sentences(text)):
-                got = [i for w in text[a:b].split() for i in cache(w)]
+            own, number = [], []
+            for k, words in enumerate(sentence_words(t.as_py())):
+                got = [i for w in words for i in cache(w)]
                 own += got
                 number += [k] * len(got)
             index.append(np.array(own, np.int32))
@@ -163,6 +188,12 @@ def score_documents(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id"
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def select_documents(docs: DataFrame, model: NoisyOrModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score below the threshold, with all their columns."""
+    name = f"toxic_{uuid.uuid4().hex}"
+    return docs.withColumn(name, scorer(docs.sparkSession, model, F.col(text_col))).filter(F.col(name) < threshold).drop(name)
+
+
 def locate(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs -> (doc_id, start, end, sentence, score): the sentences whose own probability is at least the threshold."""
     held, tag = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
