@@ -117,7 +117,7 @@ class MergeAutomaton:
 class Encoder:
     """Encodes and decodes whole texts with one vocabulary file of the kind with word ends."""
 
-    def __init__(self, path: str, cache_size: int = 200_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -141,7 +141,7 @@ class Encoder:
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.chunk = WordCache(self._chunk, cache_size)
-        self.part = WordCache(self._word, cache_size // 2)
+        self.part = WordCache(self._word, cache_size)
 
     def word(self, letters: str) -> list[int]:
         """Ids of one pre-split word given in byte letters: the accepted path, searched from the longest arcs.
@@ -221,9 +221,6 @@ class Encoder:
         found = self.pieces(text)
         return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
-    def ids(self, text: str | None) -> bytes:
-        return b"".join([x[0] for x in self.pieces(text)])
-
     def decode(self, ids) -> str:
         """The labels of the arcs that the ids read, as the vocabulary's missing decoder joins them: by single spaces."""
         return " ".join(self.labels[int(i)] for i in ids)

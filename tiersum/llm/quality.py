@@ -75,7 +75,7 @@ class OrdinalModel:
             words = (text or "").split()
             if words:
                 repeats = sum(map(str.__eq__, words, words[1:]))
-                out[k] = (sum(map(cache, words)) + repeats * float(w[REPEAT])) / len(words)
+                out[k] = (sum(cache.many(words)) + repeats * float(w[REPEAT])) / len(words)
         return out
 
     def tails(self, latent: np.ndarray) -> np.ndarray:
@@ -189,6 +189,15 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
     return rows.select("doc_id", F.col("s.expected").alias("expected_grade"), tail.alias("tail")).withColumn("selected", F.col("tail") >= min_tail)
 
 
+def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_grade: int = 1, min_tail: float = 0.5) -> DataFrame:
+    """The rows of docs that `grade_documents` selects, with all their columns."""
+    if len(model.thresholds) < min_grade:
+        return docs
+    name = f"tails_{uuid.uuid4().hex}"
+    scored = docs.withColumn(name, scorer(docs.sparkSession, model, F.col(text_col))["tails"])
+    return scored.filter(F.get(F.col(name), F.lit(min_grade - 1)) >= min_tail).drop(name)
+
+
 def usability(labels: DataFrame) -> DataFrame:
     """labels(doc_id, quality, toxic) -> (doc_id, rating): 0 junk, 1 sound but abusive prose, 2 sound prose; null quality: not rated."""
     return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2)).alias("rating"))
