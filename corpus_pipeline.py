@@ -1,27 +1,43 @@
-"""The corpus pipeline: stages over `documents`, each with one operator of tiersum.llm."""
+"""The corpus pipeline over `documents`: quality, toxicity, near duplicates, packing.
+
+Each stage calls one operator of tiersum.llm on all that its predecessor kept; its result is written as Parquet and
+read again. The first three return documents with all their columns, the last one row for each packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tiersum.llm import simhash
+from tiersum.llm import packing, quality, simhash, toxicity
 from tiersum.llm.common import materialize, table
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs.doc_id == keep.kept_id, "left_semi")
+def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the labelled ones among docs, doesn't take for junk."""
+    return quality.select_documents(docs, quality.fit(docs, quality.usability(table(spark, sf_dir, "labels"))))
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    return toxicity.select_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies."""
+    return simhash.select_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
 
 
-STAGES = [("simhash near-dedup", simhash_near_dedup)]
+STAGES = [("quality", keep_sound), ("toxicity", keep_civil), ("near-duplicates", keep_one_of_each_group), ("packing", pack)]
+#: Models, fuzzy hashing and tokenization are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
