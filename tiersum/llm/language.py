@@ -41,9 +41,12 @@ FIELD = 40
 def grams(chunk: str) -> list[str]:
     """N-grams of each run of letters in a chunk, lower-cased, with _ at both ends; the bare letter of one-letter runs."""
     out = []
-    for word in _LETTERS.findall(chunk.lower()):
+    low = chunk.lower()
+    for word in (low,) if low.isascii() and low.isalpha() else _LETTERS.findall(low):
         padded = f"_{word}_"
-        out += [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1)]
+        last = len(padded) + 1
+        for n in SIZES:
+            out += [padded[i : i + n] for i in range(last - n)]
     return out
 
 
@@ -71,21 +74,18 @@ class LanguageFilters:
             got &= int(self.table[c])
         return got
 
-    def counts(self, chunk: str, mask=None) -> int:
-        """Popcounts of a chunk's n-grams in fields of FIELD bits, one per language, and their number in the field after."""
-        mask, total, langs = mask or self.mask, 0, len(self.languages)
-        found = grams(chunk)
-        for g in found:
-            m = mask(g)
-            while m:
-                low = m & -m
-                total += 1 << FIELD * (low.bit_length() - 1)
-                m ^= low
-        return total + (len(found) << FIELD * langs)
-
-    def predict(self, text: str | None, counts) -> tuple[str, float]:
+    def fields(self, gram: str) -> int:
+        """One n-gram's popcounts in fields of FIELD bits: one per language, then 1."""
+        mask, langs = self.mask(gram), len(self.languages)
+        return sum(1 << FIELD * b for b in range(langs) if mask >> b & 1) + (1 << FIELD * langs)
+
+    def counts(self, chunk: str, fields: WordCache) -> int:
+        """The sum of the fields of a chunk's n-grams."""
+        return sum(fields.many(grams(chunk)))
+
+    def predict(self, text: str | None, counts: WordCache) -> tuple[str, float]:
         langs = len(self.languages)
-        total = sum(map(counts, (text or "").split()))
+        total = sum(counts.many((text or "").split()))
         n = total >> FIELD * langs
         if not n or not langs:
             return UNDETERMINED, 0.0
@@ -158,8 +158,8 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
         own = held.value
 
         def make():
-            masks = WordCache(own.mask, 60_000)
-            return WordCache(lambda chunk: own.counts(chunk, masks), 100_000)
+            fields = WordCache(own.fields, 200_000)
+            return WordCache(lambda chunk: own.counts(chunk, fields), 200_000)
 
         counts = per_worker(("language", tag), make)
         return pd.DataFrame([own.predict(t, counts) for t in texts], columns=["lang_pred", "score"])
