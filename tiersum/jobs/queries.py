@@ -426,12 +426,12 @@ def m4_summary(spark, d):
     return metrics.summary(Study.of(spark, d).levels())
 
 
-@query(f"{FORECASTS} SELECT {_L}, method, round(avg(mase / ref - 1), 6) AS mean, round(stddev_samp(mase / ref - 1), 6) AS sd, round(min(mase / ref - 1), 6) AS low, round(max(mase / ref - 1), 6) AS high, count(*) AS n, count(*) FILTER (mase / ref - 1 < 0) AS wins FROM paired GROUP BY level, method")
+@query(f"{FORECASTS} SELECT {_L}, method, round(avg(mase / ref - 1), 6) + 0.0 AS mean, round(stddev_samp(mase / ref - 1), 6) AS sd, round(min(mase / ref - 1), 6) + 0.0 AS low, round(max(mase / ref - 1), 6) + 0.0 AS high, count(*) AS n, count(*) FILTER (mase / ref - 1 < -1e-9) AS wins FROM paired GROUP BY level, method")
 def m5_relative_change(spark, d):
     return metrics.relative_change(Study.of(spark, d).levels(), "bu")
 
 
-@query(f"{FORECASTS} SELECT {_L}, method, round(1 - avg(mase) / avg(ref), 6) AS gain, round(avg(CASE WHEN mase < ref THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY level, method")
+@query(f"{FORECASTS} SELECT {_L}, method, round(1 - avg(mase) / avg(ref), 6) AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY level, method")
 def m6_aggregate_gain(spark, d):
     return metrics.aggregate_gain(Study.of(spark, d).levels(), "bu")
 

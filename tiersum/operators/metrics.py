@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A method is better than another only by more than rounding errors.
+TIE = 1e-9
+
 
 def mase_scale(series: DataFrame, origins: DataFrame, season: int) -> DataFrame:
     """(origin, unique_id, scale): mean absolute seasonal difference before each origin."""
@@ -43,13 +46,13 @@ def _against(levels: DataFrame, reference: str, *keys: str) -> DataFrame:
 def relative_change(levels: DataFrame, reference: str) -> DataFrame:
     """(level, method, mean, sd, low, high, n, wins) of mase / reference - 1 per origin."""
     change = _against(levels, reference, "origin", "level").withColumn("c", F.col("mase") / F.col("ref") - 1)
-    return change.groupBy("level", "method").agg(F.avg("c").alias("mean"), F.stddev_samp("c").alias("sd"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.count_if(F.col("c") < 0).alias("wins"))
+    return change.groupBy("level", "method").agg(F.avg("c").alias("mean"), F.stddev_samp("c").alias("sd"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.count_if(F.col("c") < -TIE).alias("wins"))
 
 
 def aggregate_gain(levels: DataFrame, reference: str, *more: str) -> DataFrame:
     """(*more, level, method, gain, win_share, n): 1 - mean / mean of the reference, on the origins that both have."""
     both = _against(levels, reference, *more, "origin", "level")
-    return both.groupBy(*more, "level", "method").agg((1 - F.avg("mase") / F.avg("ref")).alias("gain"), F.avg((F.col("mase") < F.col("ref")).cast("double")).alias("win_share"), F.count_distinct("origin").alias("n"))
+    return both.groupBy(*more, "level", "method").agg((1 - F.avg("mase") / F.avg("ref")).alias("gain"), F.avg((F.col("mase") < F.col("ref") - TIE).cast("double")).alias("win_share"), F.count_distinct("origin").alias("n"))
 
 
 def gain_table(levels: DataFrame, references: list[str]) -> DataFrame:
