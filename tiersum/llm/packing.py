@@ -22,13 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersum.llm import bpe
+from tiersum.llm.bpe import default_vocabulary
 from tiersum.llm.common import materialize
+from tiersum.llm.token_ids import id_encoder
 
 CAPACITY = 4096
 SEPARATOR = 2
 #: Documents of one length are ranked in groups of about so many.
 RANK_GROUP = 4096
+#: So many cut pieces are sent to the tokens at most.
+BROADCAST_PIECES = 100_000
 PLAN_COLUMNS = ("length", "start", "lo", "hi", "piece", "sequence", "first", "per", "offset")
 
 
@@ -39,19 +42,19 @@ def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     window_crcs of the whole windows from the document's start, rest_crc of what remains. first_sequence numbers the
     document's first whole window: the task's number above 40 bits, then a count.
     """
-    path = path or bpe.default_vocabulary()
+    path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.encoder(path)
-        kind, end = "<u2" if max(own.labels) < 1 << 16 else "<u4", end_id.to_bytes(4, "little")
+        own = id_encoder(path)
+        kind, end = "<u2" if max(own.largest, end_id) < 1 << 16 else "<u4", end_id.to_bytes(4, "little")
         window, task = 4 * capacity, TaskContext.get().partitionId()
         row, sequence = task << 33, (task + 1) << 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 n, ids, first, crcs, rest = [], [], [], [], []
-                for t in part.column(1):
-                    data = own.ids(t.as_py()) + end
+                for data in own.encode_many(part.column(1).to_pylist()):
+                    data += end
                     n.append(len(data) // 4)
                     ids.append(np.frombuffer(data, "<u4").astype(kind).tobytes())
                     full = len(data) // window
@@ -240,7 +243,9 @@ def pack_tokens(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             cols = [pa.array(crc, pa.int64()) if c == "ids_crc32" else batch.column(c) for c in PIECE_NAMES]
             yield pa.RecordBatch.from_arrays(cols, PIECE_NAMES)
 
-    cut = pieces.filter("ids_crc32 is null").join(tokens.select("row_id", "ids"), "row_id").mapInArrow(checksum, PIECES)
+    cut = pieces.filter("ids_crc32 is null")
+    few = cut.count() <= BROADCAST_PIECES  # windows are seldom closed by a cut; else both sides are shuffled
+    cut = tokens.select("row_id", "ids").join(F.broadcast(cut) if few else cut, "row_id").mapInArrow(checksum, PIECES)
     return pieces.filter("ids_crc32 is not null").union(cut)
 
 

@@ -27,7 +27,7 @@ class IdEncoder:
     lately are encoded by the library, many in one call. Texts with special tokens or odd control characters go to it whole.
     """
 
-    def __init__(self, path: str, cache_size: int = 350_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,17 +87,19 @@ class IdEncoder:
             if r != w:
                 young[r] = young[w] + ends[r[-1]] if len(r) > len(w) else young[w]
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; runs new to this worker go to the library together."""
+        split = [[] if not t or any(map(t.__contains__, self.odd)) else t.split() for t in texts]
+        found = [list(map(self.young.get, runs)) for runs in split]
+        missing = {r for runs, got in zip(split, found) if None in got for r, x in zip(runs, got) if x is None}
+        if missing:
+            self._learn(missing)
+            get = self.young.get
+            found = [[get(r) if x is None else x for r, x in zip(runs, got)] if None in got else got for runs, got in zip(split, found)]
+        return [b"".join(got) if got else self.whole(t).tobytes() if t else b"" for t, got in zip(texts, found)]
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(map(text.__contains__, self.odd)):
-            return self.whole(text).tobytes()
-        runs = text.split()
-        found = list(map(self.young.get, runs))
-        if None in found:
-            self._learn({r for r, x in zip(runs, found) if x is None})
-            found = [self.young.get(r) if x is None else x for r, x in zip(runs, found)]
-        return b"".join(found)
+        return self.encode_many([text])[0]
 
 
 def id_encoder(path: str) -> IdEncoder:
