@@ -16,8 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersum.llm import bpe
+from tiersum.llm.bpe import default_vocabulary
 from tiersum.llm.common import materialize
+from tiersum.llm.token_ids import id_encoder
 
 WIDTH = 2048
 END_ID = 2
@@ -94,20 +95,22 @@ def pack_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     the segment's document and its first token there. Null and empty texts are the end id alone; repeated rows are
     packed once each; a null id stays null; no documents, no rows. Other columns are ignored.
     """
-    path = path or bpe.default_vocabulary()
+    path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.encoder(path)
-        kind = np.dtype("<u2" if max([*own.labels, pad_id, end_id]) < 1 << 16 else "<u4")
+        own = id_encoder(path)
+        kind = np.dtype("<u2" if max(own.largest, pad_id, end_id) < 1 << 16 else "<u4")
         row_id, block, size = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.frombuffer(own.ids(t.as_py()), "<u4"), end_id).astype(kind)
-                if block and size + len(ids) > block_tokens:
-                    yield from pack(block, row_id, kind)
-                    row_id, block, size = row_id + (1 << 20), [], 0
-                block.append((i, ids))
-                size += len(ids)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for i, data in zip(part.column(0).to_pylist(), own.encode_many(part.column(1).to_pylist())):
+                    ids = np.append(np.frombuffer(data, "<u4"), end_id).astype(kind)
+                    if block and size + len(ids) > block_tokens:
+                        yield from pack(block, row_id, kind)
+                        row_id, block, size = row_id + (1 << 20), [], 0
+                    block.append((i, ids))
+                    size += len(ids)
         if block:
             yield from pack(block, row_id, kind)
 
