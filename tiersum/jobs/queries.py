@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersum.jobs.study import HORIZON, KEYS, SEASON, Study
-from tiersum.operators import backtest, clean, counts, hierarchy, inference, metrics, reconcile
+from tiersum.operators import backtest, clean, counts, hierarchy, inference, metrics, reconcile, resample
 from tiersum.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,17 +61,17 @@ past AS (SELECT origin, unique_id, origin + to_months(CAST(h - 1 AS INTEGER)) AS
 fc0 AS (SELECT origin, unique_id, ds, horizon, median(y) AS base, arg_min(y, back) AS naive FROM past GROUP BY 1, 2, 3, 4)"""
 
 
-def two_pass(tag: str, v: str) -> str:
+def two_pass(tag: str, v: str, source: str = "fc0") -> str:
     """The tree's least squares for three levels; v: a node's variance."""
     at = "f.origin, f.ds, f.horizon, f.unique_id, n.parent"
     same = "s.origin = f.origin AND s.ds = f.ds AND s.unique_id = f.unique_id"
     combine = f"1 / (1 / ({v}) + 1 / s.cvar) AS var, (f.base / ({v}) + s.cmu / s.cvar) / (1 / ({v}) + 1 / s.cvar) AS mu"
     return f"""
-{tag}2 AS (SELECT {at}, f.base AS mu, ({v}) AS var FROM fc0 f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 2),
+{tag}2 AS (SELECT {at}, f.base AS mu, ({v}) AS var FROM {source} f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 2),
 {tag}s1 AS (SELECT origin, ds, parent AS unique_id, sum(mu) AS cmu, sum(var) AS cvar FROM {tag}2 GROUP BY 1, 2, 3),
-{tag}1 AS (SELECT {at}, {combine} FROM fc0 f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 1 JOIN {tag}s1 s ON {same}),
+{tag}1 AS (SELECT {at}, {combine} FROM {source} f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 1 JOIN {tag}s1 s ON {same}),
 {tag}s0 AS (SELECT origin, ds, parent AS unique_id, sum(mu) AS cmu, sum(var) AS cvar FROM {tag}1 GROUP BY 1, 2, 3),
-{tag}d0 AS (SELECT {at}, {combine} FROM fc0 f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 0 JOIN {tag}s0 s ON {same}),
+{tag}d0 AS (SELECT {at}, {combine} FROM {source} f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 0 JOIN {tag}s0 s ON {same}),
 {tag}d1 AS (SELECT c.origin, c.ds, c.horizon, c.unique_id, c.mu + c.var / s.cvar * (p.mu - s.cmu) AS mu FROM {tag}1 c JOIN {tag}d0 p ON p.origin = c.origin AND p.ds = c.ds AND p.unique_id = c.parent JOIN {tag}s0 s ON s.origin = c.origin AND s.ds = c.ds AND s.unique_id = c.parent),
 {tag}d2 AS (SELECT c.origin, c.ds, c.horizon, c.unique_id, c.mu + c.var / s.cvar * (p.mu - s.cmu) AS mu FROM {tag}2 c JOIN {tag}d1 p ON p.origin = c.origin AND p.ds = c.ds AND p.unique_id = c.parent JOIN {tag}s1 s ON s.origin = c.origin AND s.ds = c.ds AND s.unique_id = c.parent),
 {tag} AS (SELECT origin, ds, horizon, unique_id, mu FROM {tag}d0 UNION ALL SELECT * FROM {tag}d1 UNION ALL SELECT * FROM {tag}d2)"""
@@ -431,12 +431,12 @@ def m5_relative_change(spark, d):
     return metrics.relative_change(Study.of(spark, d).levels(), "bu")
 
 
-@query(f"{FORECASTS} SELECT {_L}, method, round(1 - avg(mase) / avg(ref), 6) AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY level, method")
+@query(f"{FORECASTS} SELECT {_L}, method, round(1 - avg(mase) / avg(ref), 6) + 0.0 AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY level, method")
 def m6_aggregate_gain(spark, d):
     return metrics.aggregate_gain(Study.of(spark, d).levels(), "bu")
 
 
-@query(f"{FORECASTS} SELECT {_L.replace('level AS', 'l.level AS')}, l.method, r.method AS reference, round(1 - avg(l.mase) / avg(r.mase), 6) AS gain FROM levels l JOIN levels r ON r.origin = l.origin AND r.level = l.level AND r.method IN ('bu', 'naive') GROUP BY l.level, l.method, r.method")
+@query(f"{FORECASTS} SELECT {_L.replace('level AS', 'l.level AS')}, l.method, r.method AS reference, round(1 - avg(l.mase) / avg(r.mase), 6) + 0.0 AS gain FROM levels l JOIN levels r ON r.origin = l.origin AND r.level = l.level AND r.method IN ('bu', 'naive') GROUP BY l.level, l.method, r.method")
 def m7_gain_table(spark, d):
     return metrics.gain_table(Study.of(spark, d).levels(), ["bu", "naive"])
 
@@ -462,7 +462,7 @@ def m10_error_metrics(spark, d):
     return metrics.error_metrics(s.reconciled(), s.scales(), s.nodes)
 
 
-@query(f"{FORECASTS} SELECT {_L}, {stamp('origin')} AS origin, count(*) OVER w AS k, round(1 - sum(mase) OVER w / sum(ref) OVER w, 6) AS gain FROM paired WHERE method = 'wls_struct' WINDOW w AS (PARTITION BY level ORDER BY origin)")
+@query(f"{FORECASTS} SELECT {_L}, {stamp('origin')} AS origin, count(*) OVER w AS k, round(1 - sum(mase) OVER w / sum(ref) OVER w, 6) + 0.0 AS gain FROM paired WHERE method = 'wls_struct' WINDOW w AS (PARTITION BY level ORDER BY origin)")
 def m12_running_gain(spark, d):
     return metrics.running_gain(Study.of(spark, d).levels(), "wls_struct", "bu")
 
@@ -589,3 +589,91 @@ def c11_ranked_probability_score(spark, d):
 def c17_intermittency(spark, d):
     pmf, y = _counts(spark, d)
     return counts.intermittency(pmf, y, "item")
+
+
+# studies, past errors and resampling
+
+
+@query(
+    f"""{FORECASTS}, per AS (SELECT f.origin, f.level, f.unique_id, method, avg(abs(y - y_hat)) AS mae, sqrt(avg((y - y_hat) * (y - y_hat))) AS rmse, 100 * avg(CASE WHEN y <> 0 THEN abs(y - y_hat) / y END) AS mape, avg(abs(y - y_hat)) / any_value(scale) AS mase
+  FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4), long AS (UNPIVOT per ON mae, rmse, mape, mase INTO NAME metric VALUE value),
+lv AS (SELECT origin, level, method, metric, avg(value) AS value FROM long GROUP BY 1, 2, 3, 4)
+SELECT CAST(a.level AS BIGINT) AS level, a.metric, a.method, round(1 - avg(a.value) / avg(r.value), 6) + 0.0 AS gain, count(DISTINCT a.origin) AS n FROM lv a JOIN lv r ON r.origin = a.origin AND r.level = a.level AND r.metric = a.metric AND r.method = 'bu' GROUP BY 1, 2, 3"""
+)
+def m11_gain_by_metric(spark, d):
+    s = Study.of(spark, d)
+    return metrics.gain_by_metric(metrics.error_metrics(s.reconciled(), s.scales(), s.nodes), "bu")
+
+
+_STUDY = "CASE WHEN date_part('year', {}) < 2000 THEN 'early' ELSE 'late' END"
+
+
+@query(f"{FORECASTS} SELECT {_STUDY.format('origin')} AS study, {_L}, method, round(1 - avg(mase) / avg(ref), 6) + 0.0 AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY 1, level, method")
+def m14_study_summary(spark, d):
+    levels = Study.of(spark, d).levels().withColumn("study", F.when(F.year("origin") < 2000, "early").otherwise("late"))
+    return metrics.aggregate_gain(levels, "bu", "study")
+
+
+@query(
+    f"""{FORECASTS}, err AS (SELECT origin, unique_id, y - y_hat AS e FROM fc WHERE method = 'base'), fin AS (SELECT a.origin, b.origin AS past FROM origins a JOIN origins b ON b.origin + INTERVAL 6 MONTH <= a.origin),
+enough AS (SELECT origin FROM fin GROUP BY 1 HAVING count(*) >= 2), pv AS (SELECT fin.origin, unique_id, var_samp(e) AS v FROM fin JOIN enough USING (origin) JOIN err ON err.origin = fin.past GROUP BY 1, 2),
+src AS (SELECT fc0.*, pv.v FROM fc0 JOIN pv ON pv.origin = fc0.origin AND pv.unique_id = fc0.unique_id),{two_pass("pe", "f.v", "src")}
+SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, horizon, round(mu, 6) AS y_hat FROM pe"""
+)
+def r9_past_error_variances(spark, d):
+    s = Study.of(spark, d)
+    errors = backtest.with_actuals(s.own(), s.series).withColumn("e", F.col("y") - F.col("y_hat"))
+    variances = backtest.past_error_variances(errors, s.origins, HORIZON, 2)
+    return reconcile.tree_least_squares(s.own(), s.nodes, variances, len(KEYS)).select("origin", "unique_id", "ds", "horizon", "y_hat")
+
+
+def uniform(*parts: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+@query(
+    f"""{FORECASTS}, o AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS pick, count(*) OVER () AS n FROM (SELECT DISTINCT origin FROM levels)),
+dr AS (SELECT rep, CAST(floor({uniform("0", "rep", "slot")} * 5) AS BIGINT) AS pick FROM range(1, 201) a(rep), range(1, 6) b(slot)),
+mm AS (SELECT rep, level, method, round(avg(mase), 9) AS mase FROM dr JOIN o USING (pick) JOIN levels ON levels.origin = o.origin GROUP BY 1, 2, 3), rk AS (SELECT *, rank() OVER (PARTITION BY rep, level ORDER BY mase) AS r FROM mm)
+SELECT {_L}, method, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END), 6) AS p_best, round(avg(r), 6) AS mean_rank, round(quantile_cont(CAST(r AS DOUBLE), 0.05), 6) AS rank_05, round(quantile_cont(CAST(r AS DOUBLE), 0.95), 6) AS rank_95 FROM rk GROUP BY level, method"""
+)
+def m13_rank_probabilities(spark, d):
+    return resample.rank_probabilities(Study.of(spark, d).levels())
+
+
+_BOOT = f"""{RESIDUALS}, inst AS (SELECT origin, ds, row_number() OVER (PARTITION BY origin ORDER BY ds) - 1 AS pick, count(*) OVER (PARTITION BY origin) AS n FROM (SELECT DISTINCT origin, ds FROM resid)),
+dr AS (SELECT DISTINCT i.origin, rep, CAST(floor({uniform("0", "rep", "1")} * n) AS BIGINT) AS pick FROM (SELECT DISTINCT origin, n FROM inst) i, range(1, 102) a(rep)),
+sh AS (SELECT d.origin, d.rep, r.unique_id, r.e FROM dr d JOIN inst i ON i.origin = d.origin AND i.pick = d.pick JOIN resid r ON r.origin = d.origin AND r.ds = i.ds),
+sm AS (SELECT f.origin, f.ds, s.rep, e.unique_id, sum(f.base + s.e) AS v FROM fc0 f JOIN sh s ON s.origin = f.origin AND s.unique_id = f.unique_id JOIN edges e ON e.leaf_id = f.unique_id GROUP BY 1, 2, 3, 4),
+qs AS (SELECT origin, unique_id, ds, quantile_cont(v, 0.9) AS q_hat FROM sm GROUP BY 1, 2, 3)"""
+
+
+def _quantiles(s: Study) -> DataFrame:
+    return resample.joint_bootstrap_quantiles(s.own(), s.residuals(), s.edges, 0.9)
+
+
+@query(f"{_BOOT} SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, round(q_hat, 5) AS q_hat FROM qs", digits=5)
+def r12_joint_bootstrap(spark, d):
+    return _quantiles(Study.of(spark, d))
+
+
+@query(f"{_BOOT} SELECT CAST(h.level AS BIGINT) AS level, round(avg(CASE WHEN y <= q_hat THEN 1.0 ELSE 0 END), 6) AS coverage, count(*) AS n FROM qs JOIN hier h ON h.unique_id = qs.unique_id AND h.ds = qs.ds GROUP BY 1")
+def r13_coverage(spark, d):
+    s = Study.of(spark, d)
+    return resample.coverage(_quantiles(s), s.series, s.nodes)
+
+
+@query(
+    f"""{FORECASTS}, l AS (SELECT b.unique_id, b.ds, abs(b.y - b.y_hat) - abs(w.y - w.y_hat) AS e FROM fc b JOIN fc w ON w.origin = b.origin AND w.unique_id = b.unique_id AND w.ds = b.ds AND w.method = 'wls_struct' WHERE b.method = 'base'),
+x AS (SELECT unique_id, e - avg(e) OVER (PARTITION BY unique_id) AS d, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS t, count(*) OVER (PARTITION BY unique_id) AS n FROM l),
+g AS (SELECT a.unique_id, k AS lag, sum(a.d * b.d) / max(a.n) AS g, max(a.n) AS n FROM x a JOIN x b ON b.unique_id = a.unique_id JOIN range(0, 6) r(k) ON b.t = a.t + k GROUP BY 1, 2),
+v AS (SELECT unique_id, sum(CASE WHEN lag = 0 THEN g ELSE 2 * g END) AS v, max(n) AS n FROM g GROUP BY 1), m AS (SELECT unique_id, avg(e) AS mean FROM l GROUP BY 1)
+SELECT unique_id, n, round(CASE WHEN v > 0 THEN mean / sqrt(v / n) * sqrt((n + 1 - 12 + 30.0 / n) / n) END, 4) AS dm FROM v JOIN m USING (unique_id)""",
+    digits=4,
+)
+def t7_diebold_mariano(spark, d):
+    f = Study.of(spark, d).reconciled()
+    keys = ["origin", "unique_id", "ds"]
+    loss = {m: f.filter(F.col("method") == m).select(*keys, F.abs(F.col("y") - F.col("y_hat")).alias(m)) for m in ("base", "wls_struct")}
+    both = loss["base"].join(loss["wls_struct"], keys).select("unique_id", "ds", (F.col("base") - F.col("wls_struct")).alias("e"))
+    return inference.diebold_mariano(both, ["unique_id"], HORIZON)

@@ -105,3 +105,16 @@ def debiased(forecasts: DataFrame, residuals: DataFrame) -> DataFrame:
     """Forecasts plus the mean past residual of their series, before any reconciliation."""
     bias = residuals.groupBy("origin", "unique_id").agg(F.avg("e").alias("bias"))
     return forecasts.join(bias, ["origin", "unique_id"]).withColumn("y_hat", F.col("y_hat") + F.col("bias")).drop("bias")
+
+
+def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past: int, unit: str = "month") -> DataFrame:
+    """errors(origin, unique_id, ds, e) -> (origin, unique_id, v): sample variance of the errors of origins finished by then.
+
+    An origin is finished h units after it; origins with fewer than min_past finished ones are left out.
+    """
+    done = F.expr(f"timestampadd({unit}, {h}, past)") <= F.col("origin")
+    pairs = origins.join(F.broadcast(origins.select(F.col("origin").alias("past"))), done)
+    enough = pairs.groupBy("origin").agg(F.count("*").alias("n")).filter(F.col("n") >= min_past).select("origin")
+    kept = pairs.join(enough, "origin", "left_semi")
+    own = errors.select(F.col("origin").alias("past"), "unique_id", "e")
+    return own.join(F.broadcast(kept), "past").groupBy("origin", "unique_id").agg(F.var_samp("e").alias("v"))

@@ -122,3 +122,10 @@ def gate(forecasts: DataFrame, edges: DataFrame, levels: DataFrame, baseline: st
     base = means.filter(F.col("method") == baseline).select("level", F.col("mase").alias("b"))
     worst = means.join(base, "level").groupBy("method").agg(F.max(F.col("mase") / F.col("b") - 1).alias("value"))
     return checks.union(worst.select("method", F.lit("accuracy"), "value", F.col("value") <= worse_by))
+
+
+def gain_by_metric(long: DataFrame, reference: str) -> DataFrame:
+    """error_metrics rows -> (level, metric, method, gain, n) on the origins that the reference has."""
+    keys = ["origin", "level", "metric"]
+    ref = long.filter(F.col("method") == reference).select(*keys, F.col("value").alias("ref"))
+    return long.join(ref, keys).groupBy("level", "metric", "method").agg((1 - F.avg("value") / F.avg("ref")).alias("gain"), F.count_distinct("origin").alias("n"))
