@@ -677,3 +677,60 @@ def t7_diebold_mariano(spark, d):
     loss = {m: f.filter(F.col("method") == m).select(*keys, F.abs(F.col("y") - F.col("y_hat")).alias(m)) for m in ("base", "wls_struct")}
     both = loss["base"].join(loss["wls_struct"], keys).select("unique_id", "ds", (F.col("base") - F.col("wls_struct")).alias("e"))
     return inference.diebold_mariano(both, ["unique_id"], HORIZON)
+
+
+_EXT = """, one AS (SELECT ds, sum(y) AS y FROM filled GROUP BY 1), ext AS (SELECT a.ds, a.y, 0.97 * b.y AS ext FROM one a LEFT JOIN one b ON b.ds = a.ds - INTERVAL 24 HOUR),
+orig AS (SELECT date_trunc('day', (SELECT max(ds) FROM one)) - to_days(CAST(k AS INTEGER)) AS origin FROM range(1, 8) t(k)),
+bias AS (SELECT origin, avg(ext - y) AS bias FROM orig JOIN ext ON ds < origin AND ds >= origin - INTERVAL 168 HOUR GROUP BY 1),
+fx AS (SELECT o.origin, e.ds, e.ext AS raw, e.ext - bias AS debiased FROM orig o JOIN ext e ON e.ds >= o.origin AND e.ds < o.origin + INTERVAL 24 HOUR LEFT JOIN bias b ON b.origin = o.origin)"""
+
+
+def _external(spark, d):
+    total = _filled(spark, d).groupBy("ds").agg(F.sum("y").alias("y"))
+    before = total.select((F.col("ds") + F.expr("INTERVAL 24 HOURS")).alias("ds"), (0.97 * F.col("y")).alias("ext"))
+    official = total.join(before, "ds", "left")
+    last = total.agg(F.date_trunc("day", F.max("ds")).alias("last"))
+    origins = last.select(F.explode(F.expr("sequence(last - INTERVAL 7 DAYS, last - INTERVAL 1 DAY, INTERVAL 1 DAY)")).alias("origin"))
+    return official, backtest.external_forecast(official, origins, 24, 168)
+
+
+@query(f"{EVENTS}{_EXT} SELECT {stamp('origin')} AS origin, {stamp('ds')} AS ds, round(raw, 3) AS raw, round(debiased, 3) AS debiased FROM fx", digits=3)
+def b8_external_forecast(spark, d):
+    return _external(spark, d)[1]
+
+
+@query(f"{EVENTS}{_EXT} SELECT {stamp('origin')} AS origin, round(avg(abs(one.y - raw)), 6) AS raw, round(avg(abs(one.y - debiased)), 6) AS debiased FROM fx JOIN one ON one.ds = fx.ds GROUP BY origin")
+def m15_external_errors(spark, d):
+    official, forecast = _external(spark, d)
+    return forecast.join(official.select("ds", "y"), "ds").groupBy("origin").agg(F.avg(F.abs(F.col("y") - F.col("raw"))).alias("raw"), F.avg(F.abs(F.col("y") - F.col("debiased"))).alias("debiased"))
+
+
+@query(
+    f"""{RESIDUALS}, own AS (SELECT r.origin, r.ds, e.unique_id, e.leaf_id, r.e FROM resid r JOIN edges e ON e.leaf_id = r.unique_id), l AS (SELECT origin, unique_id, leaf_id, quantile_cont(e, 0.9) AS q FROM own GROUP BY 1, 2, 3),
+ls AS (SELECT origin, unique_id, sum(q) AS s FROM l GROUP BY 1, 2), w AS (SELECT origin, unique_id, ds, sum(e) AS e FROM own GROUP BY 1, 2, 3), ws AS (SELECT origin, unique_id, quantile_cont(e, 0.9) AS q FROM w GROUP BY 1, 2)
+SELECT {stamp('ls.origin')} AS origin, ls.unique_id, round(s, 3) AS sum_of_quantiles, round(q, 3) AS quantile_of_sum FROM ls JOIN ws ON ws.origin = ls.origin AND ws.unique_id = ls.unique_id""",
+    digits=3,
+)
+def r14_quantile_of_sum(spark, d):
+    s = Study.of(spark, d)
+    return resample.quantile_of_sum(s.residuals(), s.edges, 0.9)
+
+
+@query(
+    f"""{COUNTS}, md AS (SELECT item, min(k) AS q FROM cdf WHERE cdf >= 0.5 - 1e-12 GROUP BY 1), lo AS (SELECT item, min(k) AS lo FROM cdf WHERE cdf >= 0.05 - 1e-12 GROUP BY 1), hi AS (SELECT item, min(k) AS hi FROM cdf WHERE cdf >= 0.95 - 1e-12 GROUP BY 1),
+rp AS (SELECT item, sum(pow(cdf - CASE WHEN y <= k THEN 1 ELSE 0 END, 2)) + greatest(max(y) - max(k) - 1, 0) AS rps FROM cdf JOIN act USING (item) GROUP BY 1)
+SELECT item % 10 AS grp, round(avg(abs(q - y)), 6) AS median_error, round(avg(hi - lo + 20 * greatest(lo - y, 0) + 20 * greatest(y - hi, 0)), 6) AS mis, round(avg(rps), 6) AS rps FROM md JOIN lo USING (item) JOIN hi USING (item) JOIN rp USING (item) JOIN act USING (item) GROUP BY 1"""
+)
+def c12_level_scores(spark, d):
+    pmf, y = _counts(spark, d)
+    scores = counts.item_scores(pmf, y, "item")
+    return scores.groupBy((F.col("item") % 10).alias("grp")).agg(*(F.avg(c).alias(c) for c in ("median_error", "mis", "rps")))
+
+
+@query(
+    f"""{FORECASTS}, s AS (SELECT m.unique_id, m.method, m.mase / r.mase - 1 AS c FROM mase m JOIN mase r ON r.origin = m.origin AND r.unique_id = m.unique_id AND r.method = 'base' WHERE m.method IN ('ols', 'wls_struct'))
+SELECT unique_id, method, round(avg(c), 6) + 0.0 AS mean, round(avg(CASE WHEN c < -1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(*) AS n FROM s GROUP BY 1, 2"""
+)
+def t9_change_by_series(spark, d):
+    s = Study.of(spark, d)
+    return metrics.change_by_series(metrics.mase(s.reconciled(), s.scales(), s.nodes), "base", ["ols", "wls_struct"])

@@ -118,3 +118,13 @@ def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past
     kept = pairs.join(enough, "origin", "left_semi")
     own = errors.select(F.col("origin").alias("past"), "unique_id", "e")
     return own.join(F.broadcast(kept), "past").groupBy("origin", "unique_id").agg(F.var_samp("e").alias("v"))
+
+
+def external_forecast(official: DataFrame, origins: DataFrame, h: int, debias_hours: int) -> DataFrame:
+    """official(ds, y, ext), hourly -> (origin, ds, raw, debiased): the external forecast for [origin, origin + h), and the same less
+    its mean error over the debias_hours strictly before the origin. Targets without a forecast are null in both."""
+    seconds = F.unix_timestamp("ds") - F.unix_timestamp("origin")
+    near = official.join(F.broadcast(origins), (seconds >= -3600 * debias_hours) & (seconds < 3600 * h))
+    bias = near.filter(F.col("ds") < F.col("origin")).groupBy("origin").agg(F.avg(F.col("ext") - F.col("y")).alias("bias"))
+    ahead = near.filter(F.col("ds") >= F.col("origin")).join(F.broadcast(bias), "origin", "left")
+    return ahead.select("origin", "ds", F.col("ext").alias("raw"), (F.col("ext") - F.col("bias")).alias("debiased"))

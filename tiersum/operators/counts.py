@@ -67,3 +67,9 @@ def skill(scores: DataFrame, base: str, *keys: str) -> DataFrame:
     ref = scores.filter(F.col("method") == base).select(*keys, F.col("s").alias("b"))
     den = (F.col("b") + F.col("s")) / 2
     return scores.join(ref, list(keys)).groupBy("method").agg(F.avg(F.when(den == 0, 0.0).otherwise(100 * (F.col("b") - F.col("s")) / den)).alias("skill"))
+
+
+def item_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float = 0.1) -> DataFrame:
+    """(*keys, median_error, mis, rps): absolute error of the median, interval score and ranked probability score."""
+    median = quantile(dists, 0.5, *keys).join(actuals, list(keys)).select(*keys, F.abs(F.col("q") - F.col("y")).cast("double").alias("median_error"))
+    return median.join(interval_score(dists, actuals, *keys, alpha=alpha), list(keys)).join(ranked_probability_score(dists, actuals, *keys), list(keys))

@@ -129,3 +129,11 @@ def gain_by_metric(long: DataFrame, reference: str) -> DataFrame:
     keys = ["origin", "level", "metric"]
     ref = long.filter(F.col("method") == reference).select(*keys, F.col("value").alias("ref"))
     return long.join(ref, keys).groupBy("level", "metric", "method").agg((1 - F.avg("value") / F.avg("ref")).alias("gain"), F.count_distinct("origin").alias("n"))
+
+
+def change_by_series(mase_rows: DataFrame, reference: str, methods: list[str]) -> DataFrame:
+    """(unique_id, method, mean, win_share, n) of mase / reference - 1 over origins."""
+    keys = ["origin", "unique_id"]
+    ref = mase_rows.filter(F.col("method") == reference).select(*keys, F.col("mase").alias("ref"))
+    change = mase_rows.filter(F.col("method").isin(methods)).join(ref, keys).withColumn("c", F.col("mase") / F.col("ref") - 1)
+    return change.groupBy("unique_id", "method").agg(F.avg("c").alias("mean"), F.avg((F.col("c") < -TIE).cast("double")).alias("win_share"), F.count("*").alias("n"))

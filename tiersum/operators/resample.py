@@ -49,3 +49,12 @@ def coverage(quantiles: DataFrame, series: DataFrame, nodes: DataFrame) -> DataF
     """(level, coverage, n): share of actual values at or below their quantile."""
     joined = quantiles.join(series.select("unique_id", "ds", "y"), ["unique_id", "ds"]).join(F.broadcast(nodes.select("unique_id", "level")), "unique_id")
     return joined.groupBy("level").agg(F.avg((F.col("y") <= F.col("q_hat")).cast("double")).alias("coverage"), F.count("*").alias("n"))
+
+
+def quantile_of_sum(residuals: DataFrame, edges: DataFrame, q: float) -> DataFrame:
+    """(origin, unique_id, sum_of_quantiles, quantile_of_sum): the leaves' residual quantiles added up, and the quantile of the leaves' sum."""
+    below = edges.select("unique_id", "leaf_id")
+    own = residuals.select("origin", "ds", F.col("unique_id").alias("leaf_id"), "e").join(F.broadcast(below), "leaf_id")
+    leaf = own.groupBy("origin", "unique_id", "leaf_id").agg(F.percentile("e", F.lit(q)).alias("q")).groupBy("origin", "unique_id").agg(F.sum("q").alias("sum_of_quantiles"))
+    whole = own.groupBy("origin", "unique_id", "ds").agg(F.sum("e").alias("e")).groupBy("origin", "unique_id").agg(F.percentile("e", F.lit(q)).alias("quantile_of_sum"))
+    return leaf.join(whole, ["origin", "unique_id"])
