@@ -694,7 +694,7 @@ def _external(spark, d):
     return official, backtest.external_forecast(official, origins, 24, 168)
 
 
-@query(f"{EVENTS}{_EXT} SELECT {stamp('origin')} AS origin, {stamp('ds')} AS ds, round(raw, 3) AS raw, round(debiased, 3) AS debiased FROM fx", digits=3)
+@query(f"{EVENTS}{_EXT} SELECT {stamp('origin')} AS origin, {stamp('ds')} AS ds, round(raw, 8) AS raw, round(debiased, 8) AS debiased FROM fx", digits=8)
 def b8_external_forecast(spark, d):
     return _external(spark, d)[1]
 
