@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tiersum.operators.inference import hashed_uniform
 
 
-def draws(spark, replicates: int, slots: Column, seed: int, sizes: DataFrame) -> DataFrame:
+def draws(replicates: int, slots: Column, seed: int, sizes: DataFrame) -> DataFrame:
     """sizes(*, n) -> sizes with (rep, slot, pick): `slots` picks from 0..n-1 with replacement in each replicate."""
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("slot", F.explode(F.sequence(F.lit(1), slots)))
     return reps.withColumn("pick", F.floor(hashed_uniform(F.lit(seed), F.col("rep"), F.col("slot")) * F.col("n")).cast("long"))
@@ -21,7 +21,7 @@ def rank_probabilities(levels: DataFrame, replicates: int = 200, seed: int = 0)
     """
     origins = levels.select("origin").distinct().withColumn("pick", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)  # a study's origins: hundreds at most
     sizes = origins.agg(F.count("*").alias("n"))
-    drawn = draws(levels.sparkSession, replicates, F.col("n").cast("int"), seed, sizes).join(F.broadcast(origins), "pick").select("rep", "origin")
+    drawn = draws(replicates, F.col("n").cast("int"), seed, sizes).join(F.broadcast(origins), "pick").select("rep", "origin")
     means = drawn.join(levels, "origin").groupBy("rep", "level", "method").agg(F.round(F.avg("mase"), 9).alias("mase"))
     ranked = means.withColumn("rank", F.rank().over(Window.partitionBy("rep", "level").orderBy("mase")).cast("double"))
     return ranked.groupBy("level", "method").agg(F.avg((F.col("rank") == 1).cast("double")).alias("p_best"), F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.05)).alias("rank_05"), F.percentile("rank", F.lit(0.95)).alias("rank_95"))
@@ -35,7 +35,7 @@ def joint_bootstrap_quantiles(forecasts: DataFrame, residuals: DataFrame, edges:
     w = Window.partitionBy("origin").orderBy("ds")
     instants = residuals.select("origin", "ds").distinct().withColumn("pick", (F.row_number().over(w) - 1).cast("long"))
     sizes = instants.groupBy("origin").agg(F.count("*").alias("n"))
-    picks = draws(forecasts.sparkSession, replicates, F.lit(1), seed, sizes).join(instants, ["origin", "pick"]).select("origin", "rep", F.col("ds").alias("past"))
+    picks = draws(replicates, F.lit(1), seed, sizes).join(instants, ["origin", "pick"]).select("origin", "rep", F.col("ds").alias("past"))
     leaf = edges.select(F.col("leaf_id")).distinct()
     own = residuals.select("origin", F.col("ds").alias("past"), F.col("unique_id").alias("leaf_id"), "e").join(F.broadcast(leaf), "leaf_id", "left_semi")
     shocks = picks.join(own, ["origin", "past"])

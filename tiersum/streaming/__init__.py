@@ -1 +1 @@
-"""Structured Streaming variants."""
+"""Empty so far: the work that this library covers has no streams."""
