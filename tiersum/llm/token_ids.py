@@ -20,6 +20,15 @@ def one_word(run: str) -> bool:
     return run.isalpha() and (run.isascii() or (max(run) < "\u0250" and "\u0130" not in run))
 
 
+def _nones(values: list) -> list[int]:
+    """Positions of None."""
+    out, at = [], -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        out.append(at)
+    return out
+
+
 class IdEncoder:
     """encode(text): ids as little-endian unsigned 32-bit integers.
 
@@ -27,7 +36,7 @@ class IdEncoder:
     lately are encoded by the library, many in one call. Texts with special tokens or odd control characters go to it whole.
     """
 
-    def __init__(self, path: str, cache_size: int = 600_000):
+    def __init__(self, path: str, cache_size: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,11 +100,13 @@ class IdEncoder:
         """Ids of each text; runs new to this worker go to the library together."""
         split = [[] if not t or any(map(t.__contains__, self.odd)) else t.split() for t in texts]
         found = [list(map(self.young.get, runs)) for runs in split]
-        missing = {r for runs, got in zip(split, found) if None in got for r, x in zip(runs, got) if x is None}
-        if missing:
-            self._learn(missing)
-            get = self.young.get
-            found = [[get(r) if x is None else x for r, x in zip(runs, got)] if None in got else got for runs, got in zip(split, found)]
+        holes = [(runs, got, at) for runs, got in zip(split, found) if (at := _nones(got))]
+        if holes:
+            self._learn({runs[i] for runs, _, at in holes for i in at})
+            young = self.young
+            for runs, got, at in holes:
+                for i in at:
+                    got[i] = young[runs[i]]
         return [b"".join(got) if got else self.whole(t).tobytes() if t else b"" for t, got in zip(texts, found)]
 
     def encode(self, text: str | None) -> bytes:
