@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiersum.llm import packing, quality, simhash, toxicity
+from tiersum.llm import packing, quality, shingles, toxicity
 from tiersum.llm.common import materialize, table
 
 
@@ -23,8 +23,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    return simhash.select_documents(docs)
+    """The document with the smallest doc_id of each group of near copies: five-word shingles at a similarity of 0.8 or more."""
+    return shingles.select_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_sound), ("toxicity", keep_civil), ("near-duplicates", keep_one_of_each_group), ("packing", pack)]
-#: Models, fuzzy hashing and tokenization are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
+#: Models, similarity of shingles and tokenization are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 

@@ -213,12 +213,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(edges)
     named = nodes.join(comps, nodes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def select_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those of a group that aren't its smallest doc_id, with all their columns.
-
-    Rows of one doc_id are one document: they stay or go together. Rows with a null id stay.
-    """
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(f"gone_{id_col}_of_group")).distinct()
-    return docs.join(gone, docs[id_col] == gone[f"gone_{id_col}_of_group"], "left_anti")
