@@ -496,7 +496,7 @@ SELECT unique_id, b.n, round(any_value(mean), 6) AS mean, CAST(any_value(lags) A
   round(any_value(mean) / sqrt(sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (lags + 1)) * g END) / b.n), 6) AS t FROM g JOIN b USING (unique_id) WHERE lag <= lags GROUP BY unique_id, b.n"""
 )
 def t2_hac_mean(spark, d):
-    return inference.hac_mean(_last_errors(spark, d), ["unique_id"], 12)
+    return inference.hac_mean(_last_errors(spark, d), ["unique_id"])
 
 
 @query(f"{_ACF} SELECT unique_id, round(max(n * (n + 2)) * sum(pow(g / g0, 2) / (n - lag)), 6) AS q FROM g JOIN (SELECT unique_id, g AS g0 FROM g WHERE lag = 0) USING (unique_id) WHERE lag > 0 GROUP BY 1")

@@ -22,11 +22,12 @@ def bias_table(errors: DataFrame, *keys: str) -> DataFrame:
     return got.withColumn("t", F.col("mean") / (F.col("sd") / F.sqrt("n"))).withColumn("biased", F.abs("t") > 2)
 
 
-def autocovariances(errors: DataFrame, keys: list[str], lags: int) -> DataFrame:
-    """errors(*keys, ds, e) -> (*keys, lag, n, g): g = sum of products of deviations `lag` apart, over n, lags 0..lags."""
+def autocovariances(errors: DataFrame, keys: list[str], lags: int | Column) -> DataFrame:
+    """errors(*keys, ds, e) -> (*keys, lag, n, g): g = sum of products of deviations `lag` apart, over n, lags 0..lags, a number or an expression of n."""
     w = Window.partitionBy(*keys)
     x = errors.select(*keys, (F.col("e") - F.avg("e").over(w)).alias("d"), F.row_number().over(w.orderBy("ds")).alias("t"), F.count("*").over(w).alias("n"))
-    ahead = x.select(*keys, F.col("d").alias("d2"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "t").withColumn("t", F.col("t") - F.col("lag"))
+    last = lags.cast("int") if isinstance(lags, Column) else F.lit(lags)
+    ahead = x.select(*keys, F.col("d").alias("d2"), F.explode(F.sequence(F.lit(0), last)).alias("lag"), "t").withColumn("t", F.col("t") - F.col("lag"))
     return x.join(ahead, [*keys, "t"]).groupBy(*keys, "lag").agg((F.sum(F.col("d") * F.col("d2")) / F.max("n")).alias("g"), F.max("n").alias("n"))
 
 
@@ -43,10 +44,11 @@ def ljung_box(errors: DataFrame, keys: list[str], lags: int) -> DataFrame:
     return r.groupBy(*keys).agg((F.max(F.col("n") * (F.col("n") + 2)) * F.sum(F.col("rho") ** 2 / (F.col("n") - F.col("lag")))).alias("q"))
 
 
-def hac_mean(errors: DataFrame, keys: list[str], max_lags: int = 400) -> DataFrame:
+def hac_mean(errors: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, n, mean, lags, se, naive_se, t): mean test with Bartlett weights over ceil(1.3 sqrt(n)) lags."""
-    basic = errors.groupBy(*keys).agg(F.count("e").alias("n"), F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd")).withColumn("lags", F.ceil(1.3 * F.sqrt("n")))
-    g = autocovariances(errors, keys, max_lags).drop("n").join(basic, keys).filter(F.col("lag") <= F.col("lags"))
+    lags = F.ceil(1.3 * F.sqrt("n"))
+    basic = errors.groupBy(*keys).agg(F.count("e").alias("n"), F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd")).withColumn("lags", lags)
+    g = autocovariances(errors, keys, lags).drop("n").join(basic, keys).filter(F.col("lag") <= F.col("lags"))
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (F.col("lags") + 1)))
     got = g.groupBy(*keys, "n", "mean", "sd", "lags").agg(F.sqrt(F.sum(weight * F.col("g")) / F.col("n")).alias("se"))
     return got.select(*keys, "n", "mean", "lags", "se", (F.col("sd") / F.sqrt("n")).alias("naive_se"), (F.col("mean") / F.col("se")).alias("t"))
