@@ -1,7 +1,10 @@
 import random
 import zlib
 
+import numpy as np
+
 from tiersum.llm import language
+from tiersum.llm.common import WordCache
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, score string"
 WORDS = {"aa": "the and with from house water green river people".split(), "bb": "el los casa agua verde gente camino mañana señor".split()}
@@ -57,3 +60,33 @@ def test_nothing_learned(spark):
     filters = language.learn(docs)
     assert [(r.lang_pred, r.score) for r in language.identify(docs, filters).collect()] == [("und", 0.0)]
     assert language.identify(docs.limit(0), filters).count() == 0
+
+
+def test_letters_decide_what_is_undetermined(spark):
+    texts = ["½ ²", "٣٤ 12", "_", "Ⅷ ①", "〇", "ª", "ß", "中", "a½"]
+    docs = spark.createDataFrame(rows() + [(1000 + i, t, None, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.learn(docs)).collect()}
+    assert [got[1000 + i] != "und" for i in range(len(texts))] == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_prediction_equals_a_plain_count():
+    """The packed fields against one mask for each n-gram, and ties against the order of names."""
+    rng = np.random.default_rng(2)
+    table = rng.integers(0, 8, language.CELLS).astype(np.uint64)
+    filters = language.LanguageFilters(["aa", "bb", "cc"], table, 1)
+    cache = WordCache(lambda chunk: filters.counts(chunk, WordCache(filters.fields)))
+    for text in ["green river, people!", "casa VERDE x", "mañana 12 señor-a", "q", "the " * 500]:
+        grams = [g for w in text.split() for g in language.grams(w)]
+        hits = np.zeros(3)
+        for g in grams:
+            shared = 7
+            for c in language.cells(g):
+                shared &= int(table[c])
+            hits += [shared >> b & 1 for b in range(3)]
+        estimate = np.maximum(0, (hits - filters.false * len(grams)) / (1 - filters.false))
+        lang, score = filters.predict(text, cache)
+        want = int(estimate.argmax()) if estimate.max() > 0 else 1
+        assert lang == filters.languages[want] and abs(score - min(1, estimate[want] / len(grams))) < 1e-12
+    even = language.LanguageFilters(["aa", "bb"], np.full(language.CELLS, 3, np.uint64), 1)
+    even.false = np.zeros(2)
+    assert even.predict("tie", WordCache(lambda chunk: even.counts(chunk, WordCache(even.fields)))) == ("aa", 1.0)

@@ -5,14 +5,14 @@ of all symbol strings (one state) by one gadget for each merge (a, b) in order o
 they are led to a copy q' of q without its arc `b`, and every state with an arc `a` gets an arc `ab` to the state
 that q's arc `b` enters. All arcs with one label thus enter one state, so that a state is named by the label read last.
 Copies are kept as differences (parent, removed label, time), and an arc is resolved once and kept in a transition
-table. A word is encoded by the only accepted path that spells it; it is decoded by emitting the labels of the arcs.
+table. For encoding, the automaton is made deterministic over letters: one transition for each letter of a word, then one
+for its end, give the only accepted path that spells it. Ids are decoded by emitting the labels of their arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tiersum.llm.common import WordCache, per_worker
 
+#: Transitions kept, of letters and of arcs.
+TABLE_SIZE = 400_000
 #: The split pattern of the vocabulary file's pre-tokenizer, and Unicode white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-TABLE_SIZE = 400_000
-EMPTY = (b"", b"")
 
 
 def default_vocabulary() -> str:
@@ -114,12 +114,110 @@ class MergeAutomaton:
         return all(self.arc(a, b) for a, b in zip(tokens, tokens[1:]))
 
 
+class LetterTable:
+    """The automaton as a deterministic transducer over letters (bytes): one table lookup for each letter.
+
+    A state is the set of (last token, position in the trie of labels) that reading a prefix leaves open. A prefix has
+    at most one accepted path, so that a transition emits at most one token: the one with which that path ends. States and
+    transitions are compiled where a word first needs them, then read from the table.
+    """
+
+    def __init__(self, automaton: MergeAutomaton, inner: dict[bytes, int], final: dict[bytes, int], size: int = TABLE_SIZE):
+        self.automaton, self.size = automaton, size
+        self.trie: dict[int, int] = {}
+        self.inner, self.final, self.branches = [-1], [-1], [False]
+        for labels, ends in ((inner, self.inner), (final, self.final)):
+            for label, token in labels.items():
+                ends[self._node(label)] = token
+        self.length = {t: len(label) for labels in (inner, final) for label, t in labels.items()}
+        self.clear()
+
+    def _node(self, label: bytes) -> int:
+        node = 0
+        for letter in label:
+            child = self.trie.get(node << 8 | letter)
+            if child is None:
+                child = self.trie[node << 8 | letter] = len(self.inner)
+                self.branches[node] = True
+                self.inner.append(-1)
+                self.final.append(-1)
+                self.branches.append(False)
+            node = child
+        return node
+
+    def clear(self) -> None:
+        self.states, self.numbers = [((-1, 0),)], {((-1, 0),): 0}
+        self.steps: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+
+    def _step(self, state: int, letter: int) -> int:
+        """The next state above 20 bits, then the emitted token plus one."""
+        open_ends, emitted = [], -1
+        for last, node in self.states[state]:
+            child = self.trie.get(node << 8 | letter)
+            if child is None:
+                continue
+            if self.branches[child] or self.final[child] >= 0:
+                open_ends.append((last, child))
+            token = self.inner[child]
+            if token >= 0 and (last < 0 or self.automaton.arc(last, token)):
+                emitted = token
+        if emitted >= 0:
+            open_ends.append((emitted, 0))
+        key = tuple(open_ends)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+        got = self.steps[state << 8 | letter] = number << 20 | emitted + 1
+        return got
+
+    def _end(self, state: int) -> int:
+        """The token that ends the word."""
+        for last, node in self.states[state]:
+            token = self.final[node]
+            if token >= 0 and (last < 0 or self.automaton.arc(last, token)):
+                self.ends[state] = token
+                return token
+        raise ValueError("the vocabulary lacks a symbol")
+
+    def read(self, word: bytes) -> list[int]:
+        """Ids of one pre-split word."""
+        if len(self.steps) > self.size:
+            self.clear()
+        steps, state, emitted = self.steps.get, 0, []
+        for letter in word:
+            got = steps(state << 8 | letter)
+            if got is None:
+                got = self._step(state, letter)
+            state = got >> 20
+            emitted.append((got & 0xFFFFF) - 1)
+        token = self.ends.get(state)
+        if token is None:
+            token = self._end(state)
+        path, at = [token], len(word) - self.length[token]
+        while at > 0:
+            token = emitted[at - 1]
+            path.append(token)
+            at -= self.length[token]
+        path.reverse()
+        return path
+
+
 class Encoder:
-    """Encodes and decodes whole texts with one vocabulary file of the kind with word ends."""
+    """Encodes and decodes whole texts with one vocabulary file of the kind with word ends.
+
+    Normalization and split follow the file. Texts of Latin letters are handled here; for all others the library's own normalizer and
+    pre-tokenizer give the words, since their Unicode version isn't Python's. The merges are the automaton's alone.
+    """
 
     def __init__(self, path: str, cache_size: int = 300_000):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
@@ -128,102 +226,52 @@ class Encoder:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.automaton = MergeAutomaton.compile(len(vocab), merges)
-        n = len(self.suffix)
-        self.inner = {s: i for s, i in vocab.items() if not s.endswith(self.suffix)}
-        self.final = {s[:-n]: i for s, i in vocab.items() if s.endswith(self.suffix) and len(s) > n}
-        self.reach: dict[str, int] = {}  # the longest arc that begins with two letters
-        for s in self.inner:
-            self.reach[s[:2]] = max(self.reach.get(s[:2], 1), len(s))
+        n, self.bytes = len(self.suffix), {ord(c): b for b, c in enumerate(byte_letters())}
+        inner = {self.raw(s): i for s, i in vocab.items() if not s.endswith(self.suffix)}
+        final = {self.raw(s[:-n]): i for s, i in vocab.items() if s.endswith(self.suffix) and len(s) > n}
+        self.table = LetterTable(self.automaton, inner, final)
         self.packed = {i: i.to_bytes(4, "little") for i in self.labels}
-        self.emitted = {i: s.encode("utf-8") for i, s in self.labels.items()}
-        self.letters = dict(enumerate(byte_letters()))
+        self.emitted = [self.labels.get(i, "").encode("utf-8") for i in range(max(self.labels) + 1)]
         self.split = regex.compile(SPLIT)
         self.spaces = regex.compile(f"[{SPACES}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.chunk = WordCache(self._chunk, cache_size)
         self.part = WordCache(self._word, cache_size)
 
-    def word(self, letters: str) -> list[int]:
-        """Ids of one pre-split word given in byte letters: the accepted path, searched from the longest arcs.
+    def raw(self, letters: str) -> bytes:
+        """The bytes that byte letters stand for."""
+        return letters.translate(self.bytes).encode("latin-1")
 
-        A prefix has at most one accepted path, so a position from which the search came back is never tried again.
-        """
-        inner, final, arc, reach = self.inner.get, self.final.get, self.automaton.arc, self.reach.get
-        token = final(letters)
-        if token is not None:
-            return [token]
-        n, at, last, size = len(letters), 0, -1, 0
-        path: list[int] = []
-        ends, tries, dead = [], [], set()
-        while True:
-            if size == 0:  # a new position: the word's end first, then the longest arc
-                token = final(letters[at:]) if at else None
-                if token is not None and arc(last, token):
-                    path.append(token)
-                    return path
-                size = min(reach(letters[at : at + 2], 1), n - 1 - at)
-            while size > 0:
-                token = inner(letters[at : at + size])
-                if token is not None and at + size not in dead and (last < 0 or arc(last, token)):
-                    break
-                size -= 1
-            if size > 0:
-                path.append(token)
-                ends.append(at)
-                tries.append(size)
-                at, last, size = at + size, token, 0
-            else:
-                while path and size == 0:
-                    dead.add(at)
-                    path.pop()
-                    at, size, last = ends.pop(), tries.pop() - 1, path[-1] if path else -1
-                if size == 0:
-                    raise ValueError("the vocabulary lacks a symbol")
-
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.word(word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters))
-        return b"".join([self.packed[i] for i in ids]), b" ".join([self.emitted[i] for i in ids])
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids (little-endian, 32 bits) and decoded text of a run without white space."""
-        if chunk.isascii():
+    def _word(self, word: bytes) -> bytes:
+        return b"".join([self.packed[i] for i in self.table.read(word)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids (little-endian, 32 bits) of a run without white space."""
+        if chunk.isascii() or max(chunk) < "\u0250":
             text = chunk.lower()
-            if text.isalpha():
-                return self._word(text)
-        else:
-            text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        found = [self.part(w) for w in self.split.findall(text)]
-        return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), b" ".join([x[1] for x in found]))
-
-    def _pieces(self, text: str) -> list[tuple[bytes, bytes]]:
-        """The pieces of the text's runs without white space, none of them empty."""
+            if text.isascii() and text.isalpha():
+                return self.part(text.encode())
+            if "\u0307" not in text:  # which a capital dotted I leaves
+                return b"".join([self.part(w.encode("utf-8")) for w in self.split.findall(text)])
+        words = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk))
+        return b"".join([self.part(self.raw(w)) for w, _ in words])
+
+    def _pieces(self, text: str) -> list[bytes]:
+        """The ids of each of the text's runs without white space."""
         chunks = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [c for c in self.spaces.split(text) if c]
-        found = list(map(self.chunk.young.get, chunks))
-        if None in found:
-            found = [self.chunk(c) if x is None else x for c, x in zip(chunks, found)]
-        return [x for x in found if x[0]] if EMPTY in found else found
+        return self.chunk.many(chunks)
 
-    def pieces(self, text: str | None) -> list[tuple[bytes, bytes]]:
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers; null is empty."""
         if not text:
-            return []
+            return b""
         if self.specials is None or self.specials.search(text) is None:
-            return self._pieces(text)
-        found = []
-        for part in self.specials.split(text):
-            if part in self.special:
-                found.append((self.packed[self.special[part]], part.encode()))
-            else:
-                found += self._pieces(part)
-        return found
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, decoded text in UTF-8) of a whole text; null is empty."""
-        found = self.pieces(text)
-        return b"".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+            return b"".join(self._pieces(text))
+        return b"".join([self.packed[self.special[p]] if p in self.special else b"".join(self._pieces(p)) for p in self.specials.split(text)])
 
-    def decode(self, ids) -> str:
-        """The labels of the arcs that the ids read, as the vocabulary's missing decoder joins them: by single spaces."""
-        return " ".join(self.labels[int(i)] for i in ids)
+    def decode(self, ids: bytes) -> bytes:
+        """The labels of the arcs that the ids read, in UTF-8, as the vocabulary's missing decoder joins them: by single spaces."""
+        return b" ".join(map(self.emitted.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encoder(path: str) -> Encoder:
@@ -238,13 +286,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        own = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = [encode(t.as_py()) for t in part.column(1)]
+                ids = [own.encode(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([d.decode() for _, d in got], pa.string())],
+                    [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(i).decode() for i in ids], pa.string())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
@@ -256,14 +304,14 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sha = encoder(path).encode, hashlib.sha256
+        own, sha = encoder(path), hashlib.sha256
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1):
-                ids, text = encode(t.as_py())
+                ids = own.encode(t.as_py())
                 n.append(len(ids) // 4)
                 a.append(sha(ids).hexdigest())
-                b.append(sha(text).hexdigest())
+                b.append(sha(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,13 +26,19 @@ def is_held_out(id_col: Column, modulus: int, held: int = 2) -> Column:
     return F.coalesce(remainder(id_col, modulus) == held, F.lit(True))
 
 
+#: Longer words are never kept by a worker, so that a cache is bounded in bytes as well.
+LONG_WORD = 64
+
+
 class WordCache:
-    """A map from word to value of at most two generations of `size` entries, so that frequent words stay."""
+    """A map from word to value of at most two generations of `size` entries, so that frequent words stay; long words don't."""
 
     def __init__(self, make: Callable, size: int = 150_000):
         self.make, self.size, self.young, self.old = make, size, {}, {}
 
     def __call__(self, word):
+        if len(word) > LONG_WORD:
+            return self.make(word)
         value = self.young.get(word)
         if value is None:
             value = self.old.get(word)

@@ -8,7 +8,6 @@ raised to the number of hashes, f_l, the estimate is (N_l - f_l n) / (1 - f_l).
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections import Counter
@@ -18,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ MAX_LANGUAGES = 64
 MIN_COUNT, MIN_RATIO = 3, 0.2
 HOLD_OUT = 4
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 #: A Counter goes to the shuffle at so many entries.
 FLUSH = 400_000
 FIELD = 40

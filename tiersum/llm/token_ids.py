@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from tiersum.llm.common import per_worker
+from tiersum.llm.common import LONG_WORD, per_worker
 
 #: Stands between words that are encoded together; it's a word of its own in the vocabulary's split pattern.
 MARK = "\x01"
@@ -107,6 +107,9 @@ class IdEncoder:
             for runs, got, at in holes:
                 for i in at:
                     got[i] = young[runs[i]]
+            for r in [r for runs, _, at in holes for i in at if len(r := runs[i]) > LONG_WORD]:
+                for kept in (r, r.lower(), r[:-1], r[:-1].lower()):
+                    young.pop(kept, None)
         return [b"".join(got) if got else self.whole(t).tobytes() if t else b"" for t, got in zip(texts, found)]
 
     def encode(self, text: str | None) -> bytes:
