@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tiersum.llm import media
+from tiersum.llm.common import materialize
 
 
 def plain_decode(data):
@@ -201,3 +202,17 @@ def test_columns(spark):
     same = {(r.media_sha256, r.feature) for r in got if r.doc_id in (3, 4, None)}
     assert len(same) == 1
     assert media.read_media(media.store_texts(docs.limit(0)), tensors=False).count() == 0
+    stored = stored.union(stored.limit(1).selectExpr("99L", "cast(null as binary)"))
+    (lost,) = media.read_media(stored).filter("doc_id = 99").collect()
+    assert all(v is None for c, v in lost.asDict().items() if c != "doc_id")
+    assert media.read_media(stored).count() == 10
+
+
+def test_tensors_survive_the_table(spark):
+    """The stored column and the tensors, written and read again, are those of the payload."""
+    texts = ["", "some text " * 40, "ünï" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in materialize(media.read_media(materialize(media.store_texts(docs), "media")), "tensors").collect():
+        payload, size = media.payload_of(texts[r.doc_id])
+        want = media.decode(media.encode([payload], [size])).rgb()
+        assert (np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) == want).all()

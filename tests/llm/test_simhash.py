@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from tiersum.llm import simhash
+from tiersum.llm import common, simhash
 from tiersum.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, fp string, key long"
@@ -100,3 +100,21 @@ def test_components_of_chains_stars_and_repeats(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 6), (7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(rows, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+def test_hot_keys_and_hot_fingerprints_are_split_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_KEY", 20)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common.join_hot, "__defaults__", ("copies", 5))
+    rng = np.random.default_rng(8)
+    center = int(rng.integers(0, 1 << 62))
+    fps = {center ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (300, 2))} | set(rng.integers(0, 1 << 62, 200).tolist())
+    fps = sorted(fps)
+    nodes = common.materialize(spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long"), "nodes")
+    links = [(r.a, r.b) for r in simhash.links(nodes).collect()]
+    want = brute_components(list(range(len(fps))), fps)
+    assert brute_links(list(range(len(fps))), *zip(*links)) == want
+    rows = [(i, ["same words here now", "", None, f"own text number {i} of many"][min(3, i % 7)], "", 0) for i in range(90)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    assert {i: r.component_id for i, r in got.items()} == brute_components([r[0] for r in rows], prints)

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import materialize
 
-__all__ = ["WordCache", "is_held_out", "materialize", "per_worker", "remainder", "table"]
+__all__ = ["WordCache", "few", "is_held_out", "join_hot", "materialize", "per_worker", "remainder", "table"]
+
+#: Tables of at most so many narrow rows may be broadcast, after a count of the rows.
+BROADCAST_ROWS = 1_000_000
+#: A key with more rows than this is hot: its rows aren't brought together.
+HOT_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +31,27 @@ def is_held_out(id_col: Column, modulus: int, held: int = 2) -> Column:
     return F.coalesce(remainder(id_col, modulus) == held, F.lit(True))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count finds it small; else Spark shuffles it. df should be a stored table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_hot(rows: DataFrame, named: DataFrame, keys: list[str], copies: str = "copies", hot: int = HOT_ROWS) -> DataFrame:
+    """rows joined to named, a stored table with one row per key and the number of rows that have it.
+
+    Rows of hot keys, of which there are fewer than rows / hot, stay where they are and meet a broadcast; the others are
+    shuffled. rows is read twice and should be a stored table. `copies` is dropped.
+    """
+    often = named.filter(F.col(copies) > hot)
+    n = often.count()
+    if not n:
+        return rows.join(named.drop(copies), keys)
+    if n > BROADCAST_ROWS:  # more than BROADCAST_ROWS * hot rows: no key holds much of them
+        return rows.join(named.drop(copies), keys)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(named.filter(F.col(copies) <= hot).drop(copies), keys)
+    return rows.join(F.broadcast(often.drop(copies)), keys).unionByName(rest)
+
+
 #: Longer words are never kept by a worker, so that a cache is bounded in bytes as well.
 LONG_WORD = 64
 

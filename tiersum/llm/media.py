@@ -560,15 +560,25 @@ def rows_of(image_rows: np.ndarray, decoded: Decoded, files: int) -> list[np.nda
 def read_media(media: DataFrame, tensors: bool = True) -> DataFrame:
     """(doc_id, media) -> payload figures read back from the stored form, a feature and, if asked for, the RGB tensor.
 
+    One row per row of media; a null media has nulls in all other columns, an empty table gives none. Other columns are ignored.
+
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 32 payload bytes), media_bytes,
     media_sha256, feature, and height, width, rgb (rows of 8-bit RGB). feature has the tensor's height and width, then
     mean and standard deviation of red, green and blue.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", height int, width int, rgb binary" * tensors
     names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, files in _chunks(batches, 1, STEP):
+        for part, values in _chunks(batches, 1, STEP):
+            files = [v for v in values if v is not None]
+            if len(files) < len(values):
+                none = part.filter(pa.array([v is None for v in values]))
+                yield pa.RecordBatch.from_arrays([none.column(0), *(pa.nulls(none.num_rows, t) for t in kinds[1:])], names)
+                part = part.filter(pa.array([v is not None for v in values]))
+            if not files:
+                continue
             got = decode(files)
             payloads, used = got.payloads(len(files))
             tall = got.rgb()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tiersum.llm import binary_output, bpe, embedding_dedup, hmm, language, media, packing, quality, toxicity
-from tiersum.llm.common import table
+from tiersum.llm.common import materialize, table
 from tiersum.llm.simhash import near_duplicates
 
 
@@ -23,7 +23,8 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.store_texts(table(spark, sf_dir, "documents")), tensors=False)
+    """The media column is written as a table and read back from there; the tensors are columns of the result."""
+    return media.read_media(materialize(media.store_texts(table(spark, sf_dir, "documents")), "media"))
 
 
 def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:

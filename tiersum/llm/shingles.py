@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersum.llm.common import materialize
+from tiersum.llm.common import few, join_hot, materialize
 from tiersum.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -215,7 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialize(source.mapInArrow(_sketches, "doc_id long, content long, size int, sketch binary, bands binary"), "sketches")
-    nodes = materialize(base.filter("doc_id is not null").groupBy("content", "size", "sketch", "bands").agg(F.min("doc_id").alias("rep")), "texts")
+    every = base.groupBy("content", "size", "sketch", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    every = materialize(every, "texts")
+    nodes = every.filter("rep is not null")
     keys = nodes.filter("size > 0").select("content", "bands").mapInArrow(_keys, "key long, content long")
     shared = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, content long"), "shared")
     members = nodes.join(shared.select("content").distinct(), "content", "left_semi").select("content", "size", "sketch", "rep")
@@ -246,8 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if done:
             break
         lo, hi = (0, WINDOW) if lo is None else (hi, hi * WINDOW)
-    named = nodes.join(comps, nodes.rep == comps.node, "left").select("content", F.coalesce("component", "rep").alias("component_id"))
-    return base.select("doc_id", "content").join(named, "content", "left").select("doc_id", "component_id")
+    named = every.join(comps, every.rep == comps.node, "left").select("content", F.coalesce("component", "rep").alias("component_id"), "copies")
+    return join_hot(base.select("doc_id", "content"), materialize(named, "named"), ["content"]).select("doc_id", "component_id")
 
 
 def select_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,4 +258,5 @@ def select_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows of one doc_id are one document: they stay or go together. Rows with a null id stay.
     """
     gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(f"gone_{id_col}_of_group")).distinct()
+    gone = few(materialize(gone, "gone"))  # texts are shuffled only if the ids are too many to broadcast
     return docs.join(gone, docs[id_col] == gone[f"gone_{id_col}_of_group"], "left_anti")

@@ -6,6 +6,9 @@ perfect binary Golay code (23 bits, 12 of them data, radius 3) turns a segment i
 which it or a neighbour at one bit decodes: one index if the nearest codeword is within two bits, else six. Segments
 at two or fewer bits have a common neighbour, hence a common index. A key is an exact segment and one Golay index of
 the following segment; pairs that share a key are verified.
+
+Rows of a key that many fingerprints have aren't brought together: each of these fingerprints goes to its 65 midpoints, the words
+at one or no bit from it. Fingerprints at two or fewer bits share a midpoint, and no midpoint has more than 65.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersum.llm.common import materialize
+from tiersum.llm.common import BROADCAST_ROWS, join_hot, materialize
 from tiersum.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -30,6 +33,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GOLAY_POLYNOMIAL = 0b101011100011
 #: Larger key groups are compared through midpoints instead of shifts.
 SHIFT_GROUP = 48
+#: Keys of more fingerprints than this are split by midpoints, in groups of their own.
+HOT_KEY = 4_096
 
 
 def fingerprint(text: str | None) -> int:
@@ -199,6 +204,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mid, rep) for each fingerprint and word at one or no bit from it."""
+    flips = np.concatenate(([0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)))).astype(np.uint64)
+    for batch in batches:
+        bits, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array((bits[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(rep, len(flips)))], ["mid", "rep"])
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """nodes(fp, rep), stored, distinct fingerprints -> (a, b): links that span the components of all pairs at two or fewer bits."""
+    keys = materialize(nodes.select("fp", "rep").mapInArrow(_keys, "key long, fp long, rep long"), "keys")
+    hot = materialize(keys.groupBy("key").count().filter(F.col("count") > HOT_KEY).select("key"), "hot")
+    many = hot.count()
+    if not many:
+        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    hot = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
+    usual = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    mids = keys.join(hot, "key", "left_semi").select("fp", "rep").distinct().mapInArrow(_midpoints, "mid long, rep long")
+    near = mids.groupBy("mid").agg(F.collect_list("rep").alias("reps"))  # 65 at most
+    split = near.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).filter("a <> b").distinct()
+    return usual.union(split)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable by links of two or fewer bits.
 
@@ -207,9 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same values; rows with a null id take part as id null and get the component of their fingerprint. Other columns are ignored.
     """
     fps = materialize(simhash(docs, id_col, text_col), "fingerprints")
-    nodes = fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keys = nodes.mapInArrow(_keys, "key long, fp long, rep long")
-    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    comps = connected_components(edges)
-    named = nodes.join(comps, nodes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    nodes = materialize(nodes, "nodes")
+    comps = connected_components(links(nodes.filter("rep is not null")))
+    named = nodes.join(comps, nodes.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "copies")
+    placed = join_hot(fps, materialize(named, "named"), ["fp"])
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
