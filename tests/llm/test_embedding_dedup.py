@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
-from tiersum.llm import embedding_dedup
+from tiersum.llm import common, embedding_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, component_id string, rep int"
 
@@ -78,3 +79,48 @@ def test_defined_cases(spark):
     assert linked == [(1, 4, 1), (2, 4, 1), (2, 4, 1), (15, 4, 1), (16, 4, 1)]
     assert all(r.kept and r.component_id == r.vec_id for r in got if not r.n_links)
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def exact_links(x, label, threshold=0.98):
+    """Link counts by brute force, one label at a time."""
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    count = np.zeros(len(x), np.int64)
+    for c in np.unique(label):
+        at = np.nonzero(label == c)[0]
+        for lo in range(0, len(at), 2000):
+            part = at[lo : lo + 2000]
+            count[part] = (unit[part] @ unit[at].T >= threshold).sum(axis=1) - 1
+    return count
+
+
+def crowded(n, dim=64, seed=3):
+    """A third of the vectors in one crowd, a third in small groups, the rest alone; all else equal to the supplied table's form."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    third = n // 3
+    x[:third] = rng.normal(size=dim) + 0.09 * rng.normal(size=(third, dim))
+    group = rng.integers(0, third // 3, third)
+    x[third : 2 * third] = rng.normal(size=(third // 3, dim))[group] + rng.choice([0.02, 0.08, 0.1], (third, 1)) * rng.normal(size=(third, dim))
+    return x.astype(np.float32), rng.integers(0, 3, n)
+
+
+def test_recall_on_crowded_vectors(spark):
+    x, label = crowded(6000)
+    want = exact_links(x, label)
+    docs = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": label.astype(str)}))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(docs).collect()}
+    mine = np.array([got[i] for i in range(len(x))])
+    assert (mine <= want).all() and want.sum() > 500_000
+    for part in (slice(0, 2000), slice(2000, 6000)):
+        assert mine[part].sum() >= 0.98 * want[part].sum()
+
+
+def test_hot_sets_and_long_lists_give_the_same_links(spark, monkeypatch):
+    x, label = crowded(900, 24)
+    docs = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x), "label": label}))
+    want = sorted(embedding_dedup.near_duplicates(docs).collect())
+    monkeypatch.setattr(embedding_dedup, "LONG_LIST", 3)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(common.join_hot, "__defaults__", ("copies", 4))
+    assert sorted(embedding_dedup.near_duplicates(docs).collect()) == want

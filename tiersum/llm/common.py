@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import materialize
 
-__all__ = ["WordCache", "few", "is_held_out", "join_hot", "materialize", "per_worker", "remainder", "table"]
+__all__ = ["WordCache", "few", "fit_texts", "is_held_out", "join_hot", "materialize", "per_worker", "remainder", "table"]
 
 #: Tables of at most so many narrow rows may be broadcast, after a count of the rows.
 BROADCAST_ROWS = 1_000_000
@@ -36,6 +36,18 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def fit_texts(docs: DataFrame, sample: DataFrame, kind: str, id_col: str, text_col: str, max_bytes: int) -> DataFrame:
+    """sample(id, kind), a bounded number of distinct ids -> (text, kind): one text for each id that has a document.
+
+    Of several documents of one id the smallest text counts; null is empty. The texts of each kind, in order of a hash of the id,
+    are taken while they have max_bytes together; texts above a 16th of max_bytes are left out.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.octet_length("text") <= max_bytes // 16)
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", kind).agg(F.min("text").alias("text"))
+    total = F.sum(F.octet_length("text")).over(Window.partitionBy(kind).orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    return one.withColumn("total", total).filter(F.col("total") <= max_bytes).select("text", kind)
+
+
 def join_hot(rows: DataFrame, named: DataFrame, keys: list[str], copies: str = "copies", hot: int = HOT_ROWS) -> DataFrame:
     """rows joined to named, a stored table with one row per key and the number of rows that have it.
 

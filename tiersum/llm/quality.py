@@ -8,6 +8,7 @@ scoring covers every row and whole texts.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,22 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersum.llm.common import WordCache, per_worker
+from tiersum.llm.common import WordCache, fit_texts, is_held_out, per_worker
 
 DIMENSIONS = 1 << 16
 #: At most so many rated rows are fitted, an equal number from each grade.
 MAX_FIT_ROWS = 6_000
+#: Bytes of text of each grade that are fitted at most.
+MAX_FIT_BYTES = 16 << 20
 MAX_GRADES = 16
+HOLD_OUT = 4
 
 
 def shape(word: str) -> str:
     """Character kinds with runs collapsed: 'Hello!!' is 'Aa!'."""
-    out = []
-    for c in word[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return "".join([k for k, _ in itertools.groupby(kinds)])
 
 
 def _index(kind: str, value: str) -> int:
@@ -133,13 +133,14 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.list_(pa.float32())), batch.column(1)], ["index", "share", "grade"])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "rating", max_rows: int = MAX_FIT_ROWS) -> OrdinalModel:
-    """Fit on at most max_rows rated rows, an equal number of each grade by order of a hash of the id.
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "rating", max_rows: int = MAX_FIT_ROWS, max_bytes: int = MAX_FIT_BYTES) -> OrdinalModel:
+    """Fit on at most max_rows rated rows, an equal number of each grade by order of a hash of the id, none of them held out.
 
-    Rows are weighted back to the grades' shares of all ratings. Ratings that are null, or whose id is null or has no
-    document, are left out; of several ratings of one id the largest counts. Raises if there are more than 16 grades.
+    All grades weigh the same, so that a rare one between two frequent ones keeps its place on the scale. Ratings that are
+    null, or whose id is null or has no document, are left out; of several ratings of one id the largest counts. At most
+    max_bytes of text of each grade are read. Raises if there are more than 16 grades.
     """
-    rated = ratings.filter(F.col(rating_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("rated_id")).agg(F.max(F.col(rating_col).cast("double")).alias("grade"))
+    rated = ratings.filter(F.col(rating_col).isNotNull() & ~is_held_out(F.col(id_col), HOLD_OUT)).groupBy(F.col(id_col).alias("rated_id")).agg(F.max(F.col(rating_col).cast("double")).alias("grade"))
     shares = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().orderBy("grade").limit(MAX_GRADES + 1).collect()}
     if len(shares) > MAX_GRADES:
         raise ValueError(f"more than {MAX_GRADES} grades")
@@ -151,13 +152,12 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     for g in grades:
         part = rated.filter(F.col("grade") == g).orderBy(F.xxhash64("rated_id"), "rated_id").limit(each)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "rated_id").select("text", "grade")
+    texts = fit_texts(docs, sample.withColumnRenamed("rated_id", "id"), "grade", id_col, text_col, max_bytes)
     got = texts.mapInArrow(_featurize, "index array<int>, share array<float>, grade double").toArrow()
     if not got.num_rows:
         return OrdinalModel([0.0], np.zeros(DIMENSIONS), np.empty(0))
     grade = np.searchsorted(grades, got.column("grade").to_numpy())
-    have = np.bincount(grade, minlength=len(grades))
-    per = np.array([shares[g] for g in grades]) / np.maximum(have, 1)
+    per = 1 / np.maximum(np.bincount(grade, minlength=len(grades)), 1)
     lists = lambda name: [x.values.to_numpy()[a:b] for x in got.column(name).chunks for a, b in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:])]
     return fit_ordinal(lists("index"), lists("share"), grade, per[grade], grades)
 
@@ -177,16 +177,16 @@ def scorer(spark: SparkSession, model: OrdinalModel, text: Column) -> Column:
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", min_grade: int = 1, min_tail: float = 0.5) -> DataFrame:
-    """docs -> (doc_id, expected_grade, tail, selected), one row per row of docs.
+    """docs -> (doc_id, held_out, expected_grade, tail, selected), one row per row of docs.
 
     tail is P(grade >= min_grade), min_grade being a position among the grades; selected is tail >= min_tail. Texts
     without tokens (null, empty, blank) have the latent score 0. With a single grade there is nothing to choose: tail is 1. Other columns
     are ignored; repeated rows get the same values.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), scorer(spark, model, F.col(text_col)).alias("s"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(F.col(id_col), HOLD_OUT).alias("held_out"), scorer(spark, model, F.col(text_col)).alias("s"))
     tail = F.get("s.tails", F.lit(min_grade - 1)) if len(model.thresholds) >= min_grade else F.lit(1.0)
-    return rows.select("doc_id", F.col("s.expected").alias("expected_grade"), tail.alias("tail")).withColumn("selected", F.col("tail") >= min_tail)
+    return rows.select("doc_id", "held_out", F.col("s.expected").alias("expected_grade"), tail.alias("tail")).withColumn("selected", F.col("tail") >= min_tail)
 
 
 def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_grade: int = 1, min_tail: float = 0.5) -> DataFrame:

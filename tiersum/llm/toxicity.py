@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiersum.llm.common import WordCache, is_held_out, per_worker
+from tiersum.llm.common import WordCache, fit_texts, is_held_out, per_worker
 
 DIMENSIONS = 1 << 18
 #: At most so many labelled rows of each class are fitted.
 MAX_FIT_ROWS = 2_500
+#: Bytes of text of each class that are fitted at most.
+MAX_FIT_BYTES = 16 << 20
 #: Longer sentences are cut into runs of so many words, so that a sentence's score doesn't grow with missing punctuation.
 SENTENCE_WORDS = 40
 THRESHOLD = 0.3
@@ -136,17 +138,18 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sentence = [], []
         for t in batch.column(0):
             own, number = [], []
-            for k, words in enumerate(sentence_words(t.as_py())):
+            for words in sentence_words(t.as_py()):
                 got = [i for w in words for i in cache(w)]
                 own += got
-                number += [k] * len(got)
+                number.append(len(got))
             index.append(np.array(own, np.int32))
             sentence.append(np.array(number, np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.list_(pa.int32())), pa.array(sentence, pa.list_(pa.int32())), batch.column(1)], ["index", "sentence", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> NoisyOrModel:
-    """Fit on at most max_rows labelled documents of each class, by order of a hash of the id, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_FIT_ROWS, max_bytes: int = MAX_FIT_BYTES) -> NoisyOrModel:
+    """Fit on at most max_rows labelled documents of each class, by order of a hash of the id, none of them held out, and on at most
+    max_bytes of text of each class.
 
     Null labels and ids, and labels without a document, are left out; of several labels of one id the largest counts.
     Rows are weighted back to the classes' shares. Without any labels the model scores all texts near zero.
@@ -157,13 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         part = known.filter(F.col("label") == y).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_rows)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("labelled_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "labelled_id").select("text", "label")
+    texts = fit_texts(docs, sample.withColumnRenamed("labelled_id", "id"), "label", id_col, text_col, max_bytes)
     got = texts.mapInArrow(_featurize, "index array<int>, sentence array<int>, label int").toArrow()
     label = got.column("label").to_numpy() if got.num_rows else np.empty(0, int)
     have = np.maximum(np.bincount(label, minlength=2), 1)
     weight = np.array([shares.get(0, 0), shares.get(1, 0)])[label] / have[label]
     lists = lambda name: [x.values.to_numpy()[a:b] for x in got.column(name).chunks for a, b in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:])]
-    return fit_noisy_or(lists("index"), lists("sentence"), label, weight)
+    return fit_noisy_or(lists("index"), [np.repeat(np.arange(len(n)), n) for n in lists("sentence")], label, weight)
 
 
 def scorer(spark: SparkSession, model: NoisyOrModel, text: Column) -> Column:
