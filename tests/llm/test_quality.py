@@ -1,8 +1,13 @@
+import os
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 
-from tiersum.llm import quality
+from tiersum.llm import common, quality
+
+SUPPLIED = Path(os.environ.get("TIERSUM_TESTDATA_LARGE", "/root/testdata/sf0.1"))
 
 DOCS = "doc_id long, text string, tail string, rating string"
 
@@ -62,3 +67,25 @@ def test_defined_cases(spark):
     none = quality.fit(table, spark.createDataFrame([], "doc_id long, rating int"))
     assert {(r.tail, r.expected_grade, r.selected) for r in quality.grade_documents(table, none).collect()} == {(1.0, 0.0, True)}
     assert quality.grade_documents(table.limit(0), model).count() == 0
+
+
+@pytest.mark.skipif(not SUPPLIED.exists(), reason="no test tables")
+def test_recall_of_each_grade_on_held_out_rows(spark):
+    """The supplied labels at the largest scale: junk, abusive and sound documents that the fit hasn't seen."""
+    docs, labels = (spark.read.parquet(str(SUPPLIED / f"{t}.parquet")) for t in ("documents", "labels"))
+    ratings = quality.usability(labels)
+    got = quality.grade_documents(docs, quality.fit(docs, ratings)).filter("held_out").join(ratings, "doc_id").filter("rating is not null")
+    rows = got.selectExpr("rating", "cast(round(expected_grade) as int) as grade", "selected").collect()
+    recall = [np.mean([r.grade == g for r in rows if r.rating == g]) for g in range(3)]
+    assert len(rows) > 500 and recall[0] > 0.9 and recall[1] > 0.4 and recall[2] > 0.9, recall
+    assert np.mean([r.selected for r in rows if r.rating == 2]) > 0.99 and np.mean([r.selected for r in rows if r.rating == 0]) < 0.1
+
+
+def test_repeated_ids_and_long_texts_leave_the_fit_bounded(spark):
+    docs, ratings = corpus(60)
+    again = [(0, docs[0][1] + " z", "", "")] * 300 + [(3, "long " * 100_000, "", "")]
+    table = spark.createDataFrame(docs + again, DOCS)
+    sample = spark.createDataFrame(ratings, "id long, grade int")
+    got = common.fit_texts(table, sample, "grade", "doc_id", "text", 100_000).collect()
+    assert len(got) == 60 and max(len(r.text) for r in got) < 1000
+    assert len(common.fit_texts(table, sample, "grade", "doc_id", "text", 6_000).collect()) < 60
