@@ -65,11 +65,27 @@ def test_expected_counts_against_enumeration():
                 emissions[s[t], path[t]] += p
                 if t:
                     moves[path[t - 1], path[t]] += p
-        got = m.expected_counts([(s, first), (s[:1], first)])
-        alone = m.expected_counts([(s[:1], first)])
-        np.testing.assert_allclose(got[0] - alone[0], emissions / total)
-        np.testing.assert_allclose(got[1], moves / total)
-        assert abs(got[2].sum() - 2 * first) < 1e-9 and abs(got[3].sum() - 2 * (not first)) < 1e-9
+        got = m.expected_counts([(s, 0, 4, first), (s[:1], 0, 1, first)])
+        alone = m.expected_counts([(s[:1], 0, 1, first)])
+        np.testing.assert_allclose(got[0] - alone[0], emissions / total, rtol=1e-4, atol=1e-5)
+        np.testing.assert_allclose(got[1], moves / total, rtol=1e-4)
+        assert abs(got[2].sum() - 2 * first) < 1e-5
+        assert abs(got[3] - alone[3] - math.log10(total)) < 1e-5
+
+
+def test_cuts_lose_no_token_and_no_move(monkeypatch):
+    """Chunks with as much context as there is give the counts of the whole document; a little context nearly does."""
+    m, rng = tiny(), np.random.default_rng(9)
+    s = rng.integers(0, 5, 1000).astype(np.int32)
+    whole = m.expected_counts([(s, 0, len(s), True)])
+    for context, tolerance in ((1000, 1e-4), (hmm.CONTEXT, 1e-3), (0, None)):
+        monkeypatch.setattr(hmm, "CONTEXT", context)
+        got = m.expected_counts(hmm.segments_of(s))
+        assert abs(got[0].sum() - 1000) < 0.1
+        assert tolerance is None or abs(got[1].sum() - 999) < 0.1
+        for a, b in zip(got[:3], whole[:3]):
+            assert tolerance is None or np.abs(a - b).max() < tolerance * 1000
+    assert abs(m.log10_likelihood([s])[0] - whole[3]) < 0.01
 
 
 def check_contract(rows, got):
@@ -116,6 +132,15 @@ def test_probabilities_add_up(spark):
         assert (sum(own), len(own)) == (c.class_tokens[k], c.class_types[k])
 
 
+def test_likelihood_grows_until_it_settles(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    c, log = hmm.count_corpus(docs, core=20), []
+    hmm.train(docs, c, states=4, full_rounds=12, log=log)
+    full = log[len(hmm.FIRST_ROUNDS) :]
+    assert all(b > a - 1e-4 for a, b in zip(full, full[1:])) and full[-1] > log[0]
+    assert len(full) < 12 and full[-1] - full[-2] < hmm.SETTLED
+
+
 def test_nothing_to_learn(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     docs = spark.createDataFrame([(held, "some words", "", "")], SCHEMA)

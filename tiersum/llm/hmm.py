@@ -5,8 +5,10 @@ bytes. States emit symbols; a word outside the core has the probability of its c
 which no state changes, with one share for an unknown word. So the forward recursion needs a bounded table only, while
 the counts of all other words stay in Spark and are joined.
 
-Training is stepwise Baum-Welch: each round takes another part of the training documents, its expected counts are
-added up by symbol in Spark and blended into the model; all rounds together read every training document once. Scoring is
+Training is Baum-Welch: in each round every task runs forward and backward over its documents, and the expected counts are added up by
+symbol in Spark. Rounds over parts of the training documents, whose counts are blended, start the model; then come rounds over all of
+them, until the likelihood settles or their number is reached. Documents are cut into chunks, each read with some words of
+the text around it, so that states at a cut know both sides and moves across it count. Scoring is
 exact: a document's likelihood is the product of the transfer matrices of its chunks, whose scales are kept as logarithms.
 """
 
@@ -17,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +27,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersum.llm.common import is_held_out, materialize, per_worker
+from tiersum.llm.common import LONG_WORD, is_held_out, materialize, per_worker
 
 HOLD_OUT = 7
 STATES = 8
 #: Words with emission probabilities of their own, at most.
 CORE = 1 << 16
 CLASSES = 256
-#: Training documents are dealt into so many parts; a round takes the next parts, later rounds more of them.
+#: Training documents are dealt into so many parts; the first rounds take the next parts, later ones more of them.
 PARTS = 16
-ROUNDS = ((0, 1), (1, 2), (2, 4), (4, 6), (6, 10), (10, 16))
+FIRST_ROUNDS = ((0, 1), (1, 2), (2, 4))
+#: Rounds over all training documents at most, and the gain in log10 likelihood a token below which another one isn't worth it.
+FULL_ROUNDS, SETTLED = 2, 1e-3
 #: Documents are cut into chunks of so many tokens: segments in training, factors of an exact product in scoring.
 CHUNK = 256
+#: Tokens read on both sides of a chunk in training.
+CONTEXT = 24
+#: Words outside the core whose symbols a worker keeps.
+KNOWN_WORDS = 400_000
 BATCH_TOKENS = 400_000
 #: Pseudo-tokens of the corpus distribution in each state's emissions.
 SMOOTHING = 500.0
@@ -49,9 +58,25 @@ def word_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
 
+class Symbols(dict):
+    """Word to symbol: the core words', and as they come the classes of others."""
+
+    def __init__(self, core: dict[bytes, int]):
+        super().__init__(core)
+        self.first, self.limit = len(core) + 1, len(core) + KNOWN_WORDS
+
+    def __missing__(self, word: bytes) -> int:
+        symbol = self.first + word_class(word)
+        if len(word) <= LONG_WORD and len(self) < self.limit:
+            self[word] = symbol
+        return symbol
+
+
 @dataclass
 class HiddenMarkov:
-    """core: word to symbol; after those come the end and the classes. counts: of the core words and the end."""
+    """core: word to symbol; after those come the end and the classes. counts: of the core words and the end.
+
+    onward: the law of the state somewhere in a document."""
 
     core: dict[bytes, int]
     counts: np.ndarray
@@ -64,12 +89,13 @@ class HiddenMarkov:
     def end(self) -> int:
         return len(self.core)
 
+    @cached_property
+    def known(self) -> Symbols:
+        return Symbols(self.core)
+
     def symbols(self, words: list[bytes]) -> np.ndarray:
-        got = list(map(self.core.get, words))
-        end = self.end
-        got = [end + 1 + word_class(w) if s is None else s for s, w in zip(got, words)]
-        got.append(end)
-        return np.array(got, np.int32)
+        got = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        return np.append(got, np.int32(self.end))
 
     def log10_likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of symbol sequences: chunks' transfer matrices in lock-step, then their products."""
@@ -102,44 +128,59 @@ class HiddenMarkov:
             belief = belief / mass
         return total
 
-    def expected_counts(self, segments: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over segments (symbols, whether a document starts there): expected counts of emissions,
-        moves, first states of documents and first states of later segments."""
+    def expected_counts(self, segments: list[tuple[np.ndarray, int, int, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Forward-backward over segments (symbols, lo, hi, whether a document starts there): expected counts of emissions, moves
+        and first states, and the log10 likelihood. Only tokens lo to hi and the moves that reach them count, the others are context."""
+        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
         states = len(self.start)
         segments = sorted(segments, key=lambda s: -len(s[0]))
-        sizes = np.array([len(s) for s, _ in segments])
-        first = np.array([f for _, f in segments])
+        sizes = np.array([len(s[0]) for s in segments])
+        lo, hi, first = (np.array([s[k] for s in segments]) for k in (1, 2, 3))
         longest, lanes = int(sizes[0]), len(segments)
         live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
         offset = np.concatenate(([0], np.cumsum(live)))
-        flat = np.empty(offset[-1], np.int32)
+        flat, own = np.empty(offset[-1], np.int32), np.empty(offset[-1], np.float32)
         padded = np.zeros((lanes, longest), np.int32)
-        for row, (s, _) in enumerate(segments):
+        for row, (s, *_) in enumerate(segments):
             padded[row, : len(s)] = s
-        alpha, emitted = np.empty((offset[-1], states)), np.empty((offset[-1], states))
-        belief = np.where(first[:, None], self.start[None, :], self.onward[None, :])
-        scale = np.empty(offset[-1])
+        padded = np.ascontiguousarray(padded.T)
+        alpha, emitted = np.empty((offset[-1], states), np.float32), np.empty((offset[-1], states), np.float32)
+        belief = np.where(first[:, None], self.start[None, :], self.onward[None, :]).astype(np.float32)
+        scale = np.empty(offset[-1], np.float32)
         for t, n in enumerate(live):
             a, b = offset[t], offset[t + 1]
-            flat[a:b] = padded[:n, t]
-            emitted[a:b] = self.emit[flat[a:b]]
+            flat[a:b] = padded[t, :n]
+            own[a:b] = (lo[:n] <= t) & (t < hi[:n])
+            np.take(emit, flat[a:b], axis=0, out=emitted[a:b])
             w = belief[:n] * emitted[a:b]
             scale[a:b] = w.sum(axis=1)
-            alpha[a:b] = w / scale[a:b, None]
-            belief = alpha[a:b] @ self.move
-        back = np.ones((lanes, states))
-        gamma = np.empty_like(alpha)
-        moves = np.zeros((states, states))
+            np.divide(w, scale[a:b, None], out=alpha[a:b])
+            belief = alpha[a:b] @ move
+        emitted /= scale[:, None]
+        back = np.ones((lanes, states), np.float32)
+        moves, back_move = np.zeros((states, states)), np.ascontiguousarray(move.T)
         for t in range(longest - 1, -1, -1):
             a, b, n = offset[t], offset[t + 1], live[t]
             if t + 1 < longest and live[t + 1]:
                 m, c = live[t + 1], offset[t + 1]
-                ahead = emitted[c : c + m] * back[:m] / scale[c : c + m, None]
-                moves += alpha[a : a + m].T @ ahead
-                back[:m] = ahead @ self.move.T
-            gamma[a:b] = alpha[a:b] * back[:n]
-        emissions = np.stack([np.bincount(flat, weights=gamma[:, s], minlength=len(self.emit)) for s in range(states)], axis=1)
-        return emissions, moves * self.move, gamma[: live[0]][first].sum(axis=0), gamma[: live[0]][~first].sum(axis=0)
+                ahead = emitted[c : c + m] * back[:m]
+                moves += alpha[a : a + m].T @ (ahead * own[c : c + m, None])
+                back[:m] = ahead @ back_move
+            alpha[a:b] *= back[:n]  # from here on the states' probabilities given the whole segment
+        started = alpha[: live[0]][first].sum(axis=0, dtype=np.float64)
+        alpha *= own[:, None]
+        columns = np.ascontiguousarray(alpha.T)
+        emissions = np.stack([np.bincount(flat, weights=columns[s], minlength=len(self.emit)) for s in range(states)], axis=1)
+        return emissions, moves * self.move, started, float(np.log10(scale) @ own)
+
+
+def segments_of(s: np.ndarray) -> list[tuple[np.ndarray, int, int, bool]]:
+    """The chunks of a document with their context."""
+    out = []
+    for k in range(0, len(s), CHUNK):
+        begin, end = max(0, k - CONTEXT), min(len(s), k + CHUNK)
+        out.append((s[begin : end + CONTEXT], k - begin, end - begin, k == 0))
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,59 +247,89 @@ def corpus_shares(corpus: Corpus) -> np.ndarray:
     return n / n.sum()
 
 
-def train(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds=ROUNDS) -> HiddenMarkov:
-    """Stepwise Baum-Welch. The driver gets one row of expected counts per symbol and round: at most core + classes + states."""
-    spark, model = docs.sparkSession, initial_model(corpus, states)
+def train(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, first_rounds=FIRST_ROUNDS, full_rounds: int = FULL_ROUNDS, log: list | None = None) -> HiddenMarkov:
+    """Baum-Welch in rounds over parts, then over all training documents.
+
+    The driver gets one row of expected counts per symbol and round: at most core + classes + states + 3. log, if given, receives
+    the log10 likelihood a token that each round's model had.
+    """
+    model = initial_model(corpus, states)
     part = F.pmod(F.xxhash64(id_col), F.lit(PARTS))
-    known = docs.filter(~is_held_out(F.col(id_col), HOLD_OUT))
-    share, size, blend = corpus_shares(corpus), len(model.emit), None
-    sums = [F.sum(F.col("n")[s]).alias(f"n{s}") for s in range(states)]
-    for number, (lo, hi) in enumerate(rounds):
-        held, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-
-        def expect(batches: Iterator[pa.RecordBatch], held=held, tag=tag) -> Iterator[pa.RecordBatch]:
-            own = per_worker(("hmm", tag), lambda: held.value)
-            total, segments, tokens = np.zeros((size + states + 2, states)), [], 0
-
-            def add():
-                e, m, f, c = own.expected_counts(segments)
-                total[:size] += e
-                total[size : size + states] += m
-                total[-2] += f
-                total[-1] += c
-
-            for batch in batches:
-                for t in batch.column(0):
-                    s = own.symbols(words_of(t.as_py()))
-                    segments += [(s[k : k + CHUNK], k == 0) for k in range(0, len(s), CHUNK)]
-                    tokens += len(s)
-                    if tokens > BATCH_TOKENS:
-                        add()
-                        segments, tokens = [], 0
-            if segments:
-                add()
-            at = np.nonzero(total.any(axis=1))[0]
-            for lo in range(0, len(at), 8192):
-                rows = at[lo : lo + 8192]
-                values = pa.array(total[rows].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * states), values)], ["symbol", "n"])
-
-        texts = known.filter((part >= lo) & (part < hi)).select(F.col(text_col).alias("text"))
-        got = texts.mapInArrow(expect, "symbol long, n array<double>").groupBy("symbol").agg(*sums).toArrow()
-        if not got.num_rows:
+    known = docs.filter(~is_held_out(F.col(id_col), HOLD_OUT)).select(F.col(text_col).alias("text"), part.alias("part"))
+    blend, before = None, None
+    for number, (lo, hi) in enumerate(first_rounds):
+        new, rate = _expected(known.filter((F.col("part") >= lo) & (F.col("part") < hi)), model)
+        if new is None:
             continue
-        new = np.zeros((size + states + 2, states))
-        new[got.column("symbol").to_numpy()] = np.stack([got.column(f"n{s}").to_numpy() for s in range(states)], axis=1)
-        new /= new[:size].sum()
         step = (number + 2) ** -0.6 if blend is not None else 1.0
         blend = new if blend is None else (1 - step) * blend + step * new
-        counts = blend * corpus.tokens
-        emissions = counts[:size] + SMOOTHING * share[:, None]
-        moves, first, later = counts[size : size + states] + 1, counts[-2] + 0.1, counts[-1] + 0.1
-        model = HiddenMarkov(model.core, model.counts, first / first.sum(), later / later.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
+        model = _improved(model, corpus, blend)
+        if log is not None:
+            log.append(rate)
+    for _ in range(full_rounds):
+        new, rate = _expected(known, model)
+        if new is None:
+            break
+        model = _improved(model, corpus, new)
+        if log is not None:
+            log.append(rate)
+        if before is not None and rate - before < SETTLED:
+            break
+        before = rate
     return model
 
 
+def _expected(texts: DataFrame, model: HiddenMarkov) -> tuple[np.ndarray | None, float]:
+    """Expected counts over all texts as shares of their tokens, rows by symbol, then by state, then the first states; and the log10 likelihood a token."""
+    spark, states, size = texts.sparkSession, len(model.start), len(model.emit)
+    held, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = per_worker(("hmm", tag), lambda: held.value)
+        total, segments, tokens = np.zeros((size + states + 2, states)), [], 0
+
+        def add():
+            e, m, f, rate = own.expected_counts(segments)
+            total[:size] += e
+            total[size : size + states] += m
+            total[-2] += f
+            total[-1, 0] += rate
+
+        for batch in batches:
+            for t in batch.column(0):
+                s = own.symbols(words_of(t.as_py()))
+                segments += segments_of(s)
+                tokens += len(s)
+                if tokens > BATCH_TOKENS:
+                    add()
+                    segments, tokens = [], 0
+        if segments:
+            add()
+        at = np.nonzero(total.any(axis=1))[0]
+        for lo in range(0, len(at), 8192):
+            rows = at[lo : lo + 8192]
+            values = pa.array(total[rows].ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * states), values)], ["symbol", "n"])
+
+    sums = [F.sum(F.col("n")[s]).alias(f"n{s}") for s in range(states)]
+    got = texts.select("text").mapInArrow(expect, "symbol long, n array<double>").groupBy("symbol").agg(*sums).toArrow()
+    held.destroy()
+    if not got.num_rows:
+        return None, 0.0
+    new = np.zeros((size + states + 2, states))
+    new[got.column("symbol").to_numpy()] = np.stack([got.column(f"n{s}").to_numpy() for s in range(states)], axis=1)
+    tokens = new[:size].sum()
+    return new[:-1] / tokens, float(new[-1, 0] / tokens)
+
+
+def _improved(model: HiddenMarkov, corpus: Corpus, shares: np.ndarray) -> HiddenMarkov:
+    """The model that expected counts, given as shares of the tokens, give, smoothed by the corpus distribution."""
+    size, counts = len(model.emit), shares * corpus.tokens
+    emissions = counts[:size] + SMOOTHING * corpus_shares(corpus)[:, None]
+    moves, first, onward = counts[size:-1] + 1, counts[-1] + 0.1, counts[:size].sum(axis=0) + 0.1
+    return HiddenMarkov(model.core, model.counts, first / first.sum(), onward / onward.sum(), moves / moves.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
+
+
 SCORED = "row_id long, doc_id long, n_tokens long, known long, base double, likelihood double, rare array<string>, rare_class array<int>, rare_n array<int>"
 SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
