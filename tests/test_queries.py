@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tiersum.jobs import queries
+from tiersum.jobs import catalog
 
 DATA = Path(os.environ.get("TIERSUM_TESTDATA", "/root/testdata/sf0.001"))
-CHECKED = [n for n in queries.ORACLE_SQL if n not in ("m3_by_level", "m4_summary", "m9_monthly", "m12_running_gain", "r7_ols")]  # parts of others
+CHECKED = list(catalog.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +30,8 @@ def comparable(df: pd.DataFrame) -> list[tuple]:
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_its_sql(spark, duck, name):
-    own = queries.QUERIES[name](spark, str(DATA)).toPandas()
-    want = duck.execute(queries.ORACLE_SQL[name]).df()
+    own = catalog.QUERIES[name](spark, str(DATA)).toPandas()
+    want = duck.execute(catalog.ORACLE_SQL[name]).df()
     assert sorted(own.columns) == sorted(want.columns)
     a, b = comparable(own), comparable(want)
     assert len(a) == len(b)

@@ -4,21 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder below spark.checkpoint.dir, or below a temporary one where that is unset (tests)."""
+    """This application's folder below spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster executors wouldn't share it, so that it raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tiersum-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tiersum"
+    return f"{root.rstrip('/')}/tiersum/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, so a lost executor costs one stage."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop(stored: DataFrame | None) -> None:
+    """Delete a table that `materialize` returned and that nothing reads any more."""
+    if stored is not None and (path := _PATHS.pop(stored, None)):
+        _delete(stored.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all of this application's tables, when their results have been used."""
+    _delete(spark, scratch_dir(spark))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiersum.functions.scratch import materialize
 from tiersum.jobs.study import HORIZON, KEYS, SEASON, Study
 from tiersum.operators import backtest, clean, counts, hierarchy, inference, metrics, reconcile, resample
+from tiersum.operators.tails import ERFC
 from tiersum.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,16 +66,16 @@ fc0 AS (SELECT origin, unique_id, ds, horizon, median(y) AS base, arg_min(y, bac
 def two_pass(tag: str, v: str, source: str = "fc0") -> str:
     """The tree's least squares for three levels; v: a node's variance."""
     at = "f.origin, f.ds, f.horizon, f.unique_id, n.parent"
-    same = "s.origin = f.origin AND s.ds = f.ds AND s.unique_id = f.unique_id"
+    same = "s.origin = f.origin AND s.ds = f.ds AND s.horizon = f.horizon AND s.unique_id = f.unique_id"
     combine = f"1 / (1 / ({v}) + 1 / s.cvar) AS var, (f.base / ({v}) + s.cmu / s.cvar) / (1 / ({v}) + 1 / s.cvar) AS mu"
     return f"""
 {tag}2 AS (SELECT {at}, f.base AS mu, ({v}) AS var FROM {source} f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 2),
-{tag}s1 AS (SELECT origin, ds, parent AS unique_id, sum(mu) AS cmu, sum(var) AS cvar FROM {tag}2 GROUP BY 1, 2, 3),
+{tag}s1 AS (SELECT origin, ds, horizon, parent AS unique_id, sum(mu) AS cmu, sum(var) AS cvar FROM {tag}2 GROUP BY 1, 2, 3, 4),
 {tag}1 AS (SELECT {at}, {combine} FROM {source} f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 1 JOIN {tag}s1 s ON {same}),
-{tag}s0 AS (SELECT origin, ds, parent AS unique_id, sum(mu) AS cmu, sum(var) AS cvar FROM {tag}1 GROUP BY 1, 2, 3),
+{tag}s0 AS (SELECT origin, ds, horizon, parent AS unique_id, sum(mu) AS cmu, sum(var) AS cvar FROM {tag}1 GROUP BY 1, 2, 3, 4),
 {tag}d0 AS (SELECT {at}, {combine} FROM {source} f JOIN nodes n ON n.unique_id = f.unique_id AND n.level = 0 JOIN {tag}s0 s ON {same}),
-{tag}d1 AS (SELECT c.origin, c.ds, c.horizon, c.unique_id, c.mu + c.var / s.cvar * (p.mu - s.cmu) AS mu FROM {tag}1 c JOIN {tag}d0 p ON p.origin = c.origin AND p.ds = c.ds AND p.unique_id = c.parent JOIN {tag}s0 s ON s.origin = c.origin AND s.ds = c.ds AND s.unique_id = c.parent),
-{tag}d2 AS (SELECT c.origin, c.ds, c.horizon, c.unique_id, c.mu + c.var / s.cvar * (p.mu - s.cmu) AS mu FROM {tag}2 c JOIN {tag}d1 p ON p.origin = c.origin AND p.ds = c.ds AND p.unique_id = c.parent JOIN {tag}s1 s ON s.origin = c.origin AND s.ds = c.ds AND s.unique_id = c.parent),
+{tag}d1 AS (SELECT c.origin, c.ds, c.horizon, c.unique_id, c.mu + c.var / s.cvar * (p.mu - s.cmu) AS mu FROM {tag}1 c JOIN {tag}d0 p ON p.origin = c.origin AND p.ds = c.ds AND p.horizon = c.horizon AND p.unique_id = c.parent JOIN {tag}s0 s ON s.origin = c.origin AND s.ds = c.ds AND s.horizon = c.horizon AND s.unique_id = c.parent),
+{tag}d2 AS (SELECT c.origin, c.ds, c.horizon, c.unique_id, c.mu + c.var / s.cvar * (p.mu - s.cmu) AS mu FROM {tag}2 c JOIN {tag}d1 p ON p.origin = c.origin AND p.ds = c.ds AND p.horizon = c.horizon AND p.unique_id = c.parent JOIN {tag}s1 s ON s.origin = c.origin AND s.ds = c.ds AND s.horizon = c.horizon AND s.unique_id = c.parent),
 {tag} AS (SELECT origin, ds, horizon, unique_id, mu FROM {tag}d0 UNION ALL SELECT * FROM {tag}d1 UNION ALL SELECT * FROM {tag}d2)"""
 
 
@@ -84,8 +86,8 @@ fc1 AS (SELECT origin, unique_id, ds, horizon, 'base' AS method, base AS y_hat F
 fc AS (SELECT fc1.*, hier.y, hier.level FROM fc1 JOIN hier ON hier.unique_id = fc1.unique_id AND hier.ds = fc1.ds),
 diffs AS (SELECT unique_id, ds, abs(y - lag(y, 12) OVER (PARTITION BY unique_id ORDER BY ds)) AS d FROM hier),
 scales AS (SELECT origin, unique_id, avg(d) AS scale FROM diffs JOIN origins ON ds < origin WHERE d IS NOT NULL GROUP BY 1, 2),
-mase AS (SELECT f.origin, f.level, f.unique_id, f.method, avg(abs(f.y - f.y_hat)) / any_value(s.scale) AS mase FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4),
-levels AS (SELECT origin, level, method, avg(mase) AS mase FROM mase GROUP BY 1, 2, 3),
+mase AS (SELECT f.origin, f.level, f.unique_id, f.method, avg(abs(f.y - f.y_hat)) / nullif(any_value(s.scale), 0) AS mase FROM fc f LEFT JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4),
+levels AS (SELECT origin, level, method, avg(mase) AS mase FROM mase WHERE mase IS NOT NULL GROUP BY 1, 2, 3),
 paired AS (SELECT l.*, r.mase AS ref FROM levels l JOIN levels r ON r.origin = l.origin AND r.level = l.level AND r.method = 'bu')"""
 
 RESIDUALS = f"""{LEAVES},
@@ -295,10 +297,9 @@ def b11_trailing_window(spark, d):
     return backtest.trailing_window(Study.of(spark, d).residuals(), 20)
 
 
-@query(f"{FORECASTS} SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, round(y - y_hat, 6) AS e FROM fc WHERE method = 'base'")
+@query(f"{LEAVES} SELECT {stamp('origin')} AS origin, fc0.unique_id, {stamp('fc0.ds')} AS ds, round(y - base, 6) AS e FROM fc0 JOIN hier ON hier.unique_id = fc0.unique_id AND hier.ds = fc0.ds")
 def b12_out_of_sample_errors(spark, d):
-    s = Study.of(spark, d)
-    return backtest.with_actuals(s.own(), s.series).select("origin", "unique_id", "ds", (F.col("y") - F.col("y_hat")).alias("e"))
+    return Study.of(spark, d).own_errors()
 
 
 @query(f"{RESIDUALS}, bias AS (SELECT origin, unique_id, avg(e) AS b FROM resid GROUP BY 1, 2) SELECT {stamp('f.origin')} AS origin, f.unique_id, {stamp('f.ds')} AS ds, horizon, round(base + b, 3) AS y_hat FROM fc0 f JOIN bias ON bias.origin = f.origin AND bias.unique_id = f.unique_id", digits=3)
@@ -351,13 +352,13 @@ def r2_shrinkage(spark, d):
 
 @query(f"{_X}{_PAIRS}, w AS (SELECT origin, i, j, avg(ei * ej) / 1000000 AS w FROM pairs WHERE i <= j GROUP BY 1, 2, 3) SELECT {stamp('w.origin')} AS origin, i, j, round(CASE WHEN i = j THEN w ELSE (1 - intensity) * w END, 6) AS w FROM w JOIN lam ON lam.origin = w.origin")
 def r3_shrunk(spark, d):
-    residuals = Study.of(spark, d).residuals()
-    return _relative(reconcile.shrunk(reconcile.covariance(residuals), reconcile.shrinkage(residuals)), 1e6)
+    moments = materialize(reconcile.pair_moments(Study.of(spark, d).residuals()), "moments")
+    return _relative(reconcile.shrunk(moments.select("origin", "i", "j", F.col("plan").alias("w")), reconcile.intensity_of(moments)), 1e6)
 
 
 @query(f"{_X} SELECT {stamp('origin')} AS origin, i, j, round(r * r, 6) AS r2, round(q, 6) AS q, t FROM pt")
 def r17_pair_table(spark, d):
-    return reconcile.pair_table(Study.of(spark, d).residuals()).drop("r")
+    return reconcile.pair_table(reconcile.pair_moments(Study.of(spark, d).residuals())).drop("r", "var_r")
 
 
 @query(
@@ -372,7 +373,8 @@ def _method(name: str):
     def run(spark, d):
         return Study.of(spark, d).reconciled().filter(F.col("method") == name).select("origin", "unique_id", "ds", "horizon", "y_hat")
 
-    return query(f"{FORECASTS} SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, horizon, round(y_hat, 6) AS y_hat FROM fc WHERE method = '{name}'", {"bu": "r6_bottom_up", "ols": "r7_ols", "wls_struct": "r7_wls_struct"}[name])(run)
+    source = {"bu": f"{LEAVES} , r AS (SELECT f.origin, e.unique_id, f.ds, f.horizon, sum(f.base) AS mu FROM fc0 f JOIN edges e ON e.leaf_id = f.unique_id GROUP BY 1, 2, 3, 4)", "ols": f"{LEAVES},{two_pass('r', '1.0')}", "wls_struct": f"{LEAVES},{two_pass('r', 'CAST(n.n_leaves AS DOUBLE)')}"}[name]
+    return query(f"{source} SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, horizon, round(mu, 6) AS y_hat FROM r", {"bu": "r6_bottom_up", "ols": "r7_ols", "wls_struct": "r7_wls_struct"}[name])(run)
 
 
 for _name in ("bu", "ols", "wls_struct"):
@@ -393,16 +395,31 @@ def g1_incoherence(spark, d):
     return metrics.incoherence(s.reconciled(), s.edges)
 
 
-@query(
-    f"""{FORECASTS}, sums AS (SELECT f.origin, f.method, f.ds, e.unique_id, sum(y_hat) AS s FROM fc f JOIN edges e ON e.leaf_id = f.unique_id GROUP BY 1, 2, 3, 4),
-g AS (SELECT f.method, max(abs(y_hat - s)) AS gap FROM fc f JOIN sums s ON s.origin = f.origin AND s.method = f.method AND s.ds = f.ds AND s.unique_id = f.unique_id GROUP BY 1),
-p AS (SELECT method, max(abs(y_hat)) AS top, avg(CASE WHEN y_hat < 0 THEN 1.0 ELSE 0 END) AS neg FROM fc GROUP BY 1), m AS (SELECT level, method, avg(mase) AS mase FROM levels GROUP BY 1, 2), b AS (SELECT level, mase AS b FROM m WHERE method = 'bu'), w AS (SELECT method, max(mase / b - 1) AS v FROM m JOIN b USING (level) GROUP BY 1)
-SELECT method, 'coherence' AS "check", round(gap, 6) AS value, gap <= 1e-6 OR gap / top <= 1e-9 AS passed FROM g JOIN p USING (method) UNION ALL SELECT method, 'finite', 0.0, true FROM p UNION ALL SELECT method, 'negative', round(neg, 6), neg <= 0 FROM p UNION ALL SELECT method, 'accuracy', round(v, 6), v <= 0.02 FROM w"""
-)
+def gate_sql(fc: str = "fc", levels: str = "levels") -> str:
+    """The gate's rows for forecasts and level means given as tables of a WITH list."""
+    bad = "(y_hat IS NULL OR isnan(y_hat) OR isinf(y_hat))"
+    return f""",
+gs AS (SELECT f.origin, f.method, f.ds, e.unique_id, sum(y_hat) AS s FROM {fc} f JOIN edges e ON e.leaf_id = f.unique_id GROUP BY 1, 2, 3, 4),
+gg AS (SELECT f.method, max(abs(y_hat - s)) AS gap FROM {fc} f JOIN gs ON gs.origin = f.origin AND gs.method = f.method AND gs.ds = f.ds AND gs.unique_id = f.unique_id GROUP BY 1),
+gm AS (SELECT method, sum((SELECT count(DISTINCT unique_id) FROM edges) - own) AS missing FROM (SELECT method, origin, ds, count(DISTINCT unique_id) AS own FROM {fc} GROUP BY 1, 2, 3) GROUP BY 1),
+gp AS (SELECT method, max(CASE WHEN NOT {bad} THEN abs(y_hat) END) AS top, count(*) FILTER ({bad}) AS bad, avg(CASE WHEN y_hat < 0 THEN 1.0 ELSE 0 END) AS neg FROM {fc} GROUP BY 1),
+gl AS (SELECT level, method, avg(mase) AS mase FROM {levels} GROUP BY 1, 2), gb AS (SELECT level, mase AS b FROM gl WHERE method = 'bu'),
+gw AS (SELECT method, max(mase / nullif(b, 0) - 1) AS worst, count(*) FILTER (mase <= b * 1.02) AS sound, CASE WHEN count(mase / nullif(b, 0)) = 3 THEN sum((mase / nullif(b, 0) - 1) * (level + 1)) / sum(level + 1) END AS weighted FROM gl LEFT JOIN gb USING (level) GROUP BY 1),
+ga AS (SELECT * FROM gp JOIN gm USING (method) LEFT JOIN gg USING (method) LEFT JOIN gw USING (method)),
+gate AS (SELECT method, 'complete' AS "check", CAST(missing AS DOUBLE) AS value, missing = 0 AS passed, true AS blocking FROM ga
+  UNION ALL SELECT method, 'coherence', CASE WHEN NOT isnan(gap) THEN round(gap, 6) END, coalesce(NOT isnan(gap) AND (gap <= 1e-6 OR gap / greatest(top, 1e-12) <= 1e-9), false), true FROM ga
+  UNION ALL SELECT method, 'finite', bad, bad = 0, true FROM ga UNION ALL SELECT method, 'negative', round(neg, 6), neg <= 0, true FROM ga
+  UNION ALL SELECT method, 'accuracy', CASE WHEN NOT isnan(worst) THEN round(worst, 6) + 0.0 END, coalesce(sound = 3, false), true FROM ga
+  UNION ALL SELECT method, 'weighted_change', CASE WHEN NOT isnan(weighted) THEN round(weighted, 6) + 0.0 END, true, false FROM ga)"""
+
+
+LEVEL_WEIGHTS = {0: 1, 1: 2, 2: 3}
+
+
+@query(f'{FORECASTS}{gate_sql()} SELECT method, "check", value, passed, blocking FROM gate')
 def g4_gate(spark, d):
     s = Study.of(spark, d)
-    forecasts = s.reconciled()
-    return metrics.gate(forecasts, s.edges, metrics.by_level(metrics.mase(forecasts, s.scales(), s.nodes)), "bu")
+    return metrics.gate(s.reconciled(), s.edges, s.levels(), "bu", weights=LEVEL_WEIGHTS)
 
 
 @query(f"{FORECASTS} SELECT {stamp('origin')} AS origin, unique_id, round(scale, 3) AS scale FROM scales", digits=3)
@@ -426,22 +443,22 @@ def m4_summary(spark, d):
     return metrics.summary(Study.of(spark, d).levels())
 
 
-@query(f"{FORECASTS} SELECT {_L}, method, round(avg(mase / ref - 1), 6) + 0.0 AS mean, round(stddev_samp(mase / ref - 1), 6) AS sd, round(min(mase / ref - 1), 6) + 0.0 AS low, round(max(mase / ref - 1), 6) + 0.0 AS high, count(*) AS n, count(*) FILTER (mase / ref - 1 < -1e-9) AS wins FROM paired GROUP BY level, method")
+@query(f"{FORECASTS} SELECT {_L}, method, round(avg(mase / nullif(ref, 0) - 1), 6) + 0.0 AS mean, round(stddev_samp(mase / nullif(ref, 0) - 1), 6) AS sd, round(min(mase / nullif(ref, 0) - 1), 6) + 0.0 AS low, round(max(mase / nullif(ref, 0) - 1), 6) + 0.0 AS high, count(mase / nullif(ref, 0)) AS n, count(*) FILTER (mase / nullif(ref, 0) - 1 < -1e-9) AS wins FROM paired GROUP BY level, method")
 def m5_relative_change(spark, d):
     return metrics.relative_change(Study.of(spark, d).levels(), "bu")
 
 
-@query(f"{FORECASTS} SELECT {_L}, method, round(1 - avg(mase) / avg(ref), 6) + 0.0 AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY level, method")
+@query(f"{FORECASTS} SELECT {_L}, method, round(1 - avg(mase) / nullif(avg(ref), 0), 6) + 0.0 AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY level, method")
 def m6_aggregate_gain(spark, d):
     return metrics.aggregate_gain(Study.of(spark, d).levels(), "bu")
 
 
-@query(f"{FORECASTS} SELECT {_L.replace('level AS', 'l.level AS')}, l.method, r.method AS reference, round(1 - avg(l.mase) / avg(r.mase), 6) + 0.0 AS gain FROM levels l JOIN levels r ON r.origin = l.origin AND r.level = l.level AND r.method IN ('bu', 'naive') GROUP BY l.level, l.method, r.method")
+@query(f"{FORECASTS} SELECT {_L.replace('level AS', 'l.level AS')}, l.method, r.method AS reference, round(1 - avg(l.mase) / nullif(avg(r.mase), 0), 6) + 0.0 AS gain FROM levels l JOIN levels r ON r.origin = l.origin AND r.level = l.level AND r.method IN ('bu', 'naive') GROUP BY l.level, l.method, r.method")
 def m7_gain_table(spark, d):
     return metrics.gain_table(Study.of(spark, d).levels(), ["bu", "naive"])
 
 
-@query(f"{FORECASTS}, f1 AS (SELECT f.origin, level, method, horizon, avg(abs(y - y_hat) / scale) AS m FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4) SELECT {_L}, method, horizon, round(avg(m), 6) AS mase FROM f1 GROUP BY level, method, horizon")
+@query(f"{FORECASTS}, f1 AS (SELECT f.origin, level, method, horizon, avg(abs(y - y_hat) / nullif(scale, 0)) AS m FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4) SELECT {_L}, method, horizon, round(avg(m), 6) AS mase FROM f1 GROUP BY level, method, horizon")
 def m8_mase_by_horizon(spark, d):
     s = Study.of(spark, d)
     return metrics.mase_by_horizon(s.reconciled(), s.scales(), s.nodes)
@@ -453,8 +470,8 @@ def m9_monthly(spark, d):
 
 
 @query(
-    f"""{FORECASTS}, per AS (SELECT f.origin, f.level, f.unique_id, method, avg(abs(y - y_hat)) AS mae, sqrt(avg((y - y_hat) * (y - y_hat))) AS rmse, 100 * avg(CASE WHEN y <> 0 THEN abs(y - y_hat) / y END) AS mape, avg(abs(y - y_hat)) / any_value(scale) AS mase
-  FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4), long AS (UNPIVOT per ON mae, rmse, mape, mase INTO NAME metric VALUE value)
+    f"""{FORECASTS}, per AS (SELECT f.origin, f.level, f.unique_id, method, avg(abs(y - y_hat)) AS mae, sqrt(avg((y - y_hat) * (y - y_hat))) AS rmse, 100 * avg(CASE WHEN y <> 0 THEN abs(y - y_hat) / y END) AS mape, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0 END) AS zero_share, avg(abs(y - y_hat)) / nullif(any_value(scale), 0) AS mase
+  FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4), long AS (UNPIVOT per ON mae, rmse, mape, zero_share, mase INTO NAME metric VALUE value)
 SELECT {stamp('origin')} AS origin, {_L}, method, metric, round(avg(value), 6) AS value FROM long GROUP BY origin, level, method, metric"""
 )
 def m10_error_metrics(spark, d):
@@ -462,7 +479,7 @@ def m10_error_metrics(spark, d):
     return metrics.error_metrics(s.reconciled(), s.scales(), s.nodes)
 
 
-@query(f"{FORECASTS} SELECT {_L}, {stamp('origin')} AS origin, count(*) OVER w AS k, round(1 - sum(mase) OVER w / sum(ref) OVER w, 6) + 0.0 AS gain FROM paired WHERE method = 'wls_struct' WINDOW w AS (PARTITION BY level ORDER BY origin)")
+@query(f"{FORECASTS} SELECT {_L}, {stamp('origin')} AS origin, count(*) OVER w AS k, round(1 - sum(mase) OVER w / nullif(sum(ref) OVER w, 0), 6) + 0.0 AS gain FROM paired WHERE method = 'wls_struct' WINDOW w AS (PARTITION BY level ORDER BY origin)")
 def m12_running_gain(spark, d):
     return metrics.running_gain(Study.of(spark, d).levels(), "wls_struct", "bu")
 
@@ -474,6 +491,15 @@ def m16_mean_adjustment(spark, d):
 
 # tests
 
+def sql_erfc(x: str) -> str:
+    """The complementary error function of a number that isn't negative, as tails.erfc has it."""
+    t = f"(1 / (1 + ({x}) / 2))"
+    poly = str(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        poly = f"({c} + {t} * {poly})"
+    return f"({t} * exp({poly} - ({x}) * ({x})))"
+
+
 _LAST = f"{RESIDUALS}, err AS (SELECT unique_id, ds, e FROM resid WHERE origin = (SELECT max(origin) FROM origins))"
 _ACF = f"""{_LAST}, x AS (SELECT unique_id, e - avg(e) OVER (PARTITION BY unique_id) AS d, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS t, count(*) OVER (PARTITION BY unique_id) AS n FROM err),
 g AS (SELECT a.unique_id, k AS lag, sum(a.d * b.d) / max(a.n) AS g, max(a.n) AS n FROM x a JOIN x b ON b.unique_id = a.unique_id JOIN range(0, 13) r(k) ON b.t = a.t + k GROUP BY 1, 2)"""
@@ -485,26 +511,34 @@ def _last_errors(spark, d):
     return s.residuals().join(F.broadcast(last), F.col("origin") == F.col("last")).select("unique_id", "ds", "e")
 
 
-@query(f"{_LAST} SELECT unique_id, count(e) AS n, round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS sd, round(avg(e) / (stddev_samp(e) / sqrt(count(e))), 6) AS t, abs(avg(e) / (stddev_samp(e) / sqrt(count(e)))) > 2 AS biased FROM err GROUP BY 1")
+@query(f"{_LAST} SELECT unique_id, count(e) AS n, round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS sd, round(avg(e) / nullif(stddev_samp(e) / sqrt(count(e)), 0), 6) AS t, abs(avg(e) / nullif(stddev_samp(e) / sqrt(count(e)), 0)) > 2 AS biased FROM err GROUP BY 1")
 def t1_bias_table(spark, d):
     return inference.bias_table(_last_errors(spark, d), "unique_id")
 
 
+_HAC = f"""{_ACF.replace("range(0, 13)", "range(0, (SELECT CAST(ceil(1.3 * sqrt(max(n))) AS BIGINT) + 1 FROM x))")}, b AS (SELECT unique_id, count(e) AS n, avg(e) AS mean, stddev_samp(e) AS sd, ceil(1.3 * sqrt(count(e))) AS lags FROM err GROUP BY 1),
+h AS (SELECT unique_id, b.n, any_value(mean) AS mean, any_value(lags) AS lags, any_value(sd) AS sd, sqrt(greatest(0, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (lags + 1)) * g END)) / b.n) AS se FROM g JOIN b USING (unique_id) WHERE lag <= lags GROUP BY unique_id, b.n),
+hac AS (SELECT *, mean / nullif(se, 0) AS t FROM h)"""
+
+
 @query(
-    f"""{_ACF}, b AS (SELECT unique_id, count(e) AS n, avg(e) AS mean, stddev_samp(e) AS sd, ceil(1.3 * sqrt(count(e))) AS lags FROM err GROUP BY 1)
-SELECT unique_id, b.n, round(any_value(mean), 6) AS mean, CAST(any_value(lags) AS BIGINT) AS lags, round(sqrt(sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (lags + 1)) * g END) / b.n), 6) AS se, round(any_value(sd) / sqrt(b.n), 6) AS naive_se,
-  round(any_value(mean) / sqrt(sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / (lags + 1)) * g END) / b.n), 6) AS t FROM g JOIN b USING (unique_id) WHERE lag <= lags GROUP BY unique_id, b.n"""
+    f"""{_HAC} SELECT unique_id, n, round(mean, 6) AS mean, CAST(lags AS BIGINT) AS lags, round(se, 6) AS se, round(sd / sqrt(n), 6) AS naive_se, round(t, 6) AS t, round({sql_erfc('abs(t) / sqrt(2.0)')}, 6) AS p FROM hac"""
 )
 def t2_hac_mean(spark, d):
     return inference.hac_mean(_last_errors(spark, d), ["unique_id"])
 
 
-@query(f"{_ACF} SELECT unique_id, round(max(n * (n + 2)) * sum(pow(g / g0, 2) / (n - lag)), 6) AS q FROM g JOIN (SELECT unique_id, g AS g0 FROM g WHERE lag = 0) USING (unique_id) WHERE lag > 0 GROUP BY 1")
+@query(f"{_ACF} SELECT unique_id, k AS lags, round(max(n * (n + 2)) * sum(pow(g / g0, 2) / (n - lag)), 6) AS q FROM g JOIN (SELECT unique_id, g AS g0 FROM g WHERE lag = 0 AND g > 0) USING (unique_id) JOIN (VALUES (6), (12)) v(k) ON lag > 0 AND lag <= k GROUP BY 1, 2")
 def t3_ljung_box(spark, d):
-    return inference.ljung_box(_last_errors(spark, d), ["unique_id"], 12)
+    return inference.ljung_box(_last_errors(spark, d), ["unique_id"], [6, 12])
+
+
+@query()
+def t3_ljung_box_p(spark, d):
+    return inference.ljung_box_test(_last_errors(spark, d), ["unique_id"], [6, 12])
 
 
-@query(f"{_ACF} SELECT unique_id, lag, round(g / g0, 6) AS rho FROM g JOIN (SELECT unique_id, g AS g0 FROM g WHERE lag = 0) USING (unique_id)")
+@query(f"{_ACF} SELECT unique_id, lag, round(g / g0, 6) AS rho FROM g JOIN (SELECT unique_id, g AS g0 FROM g WHERE lag = 0 AND g > 0) USING (unique_id)")
 def t4_acf(spark, d):
     return inference.acf(_last_errors(spark, d), ["unique_id"], 12).drop("n")
 
@@ -514,23 +548,22 @@ def t4_acf(spark, d):
 r AS (SELECT *, rank() OVER (PARTITION BY level, method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY level, method, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0),
 s AS (SELECT level, method, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS rank_sum FROM r GROUP BY 1, 2)
 SELECT CAST(b.level AS BIGINT) AS level, b.method, n, round(mean, 6) AS mean, round(t, 6) AS t, round(better, 6) AS better, round(CAST(rank_sum AS DOUBLE), 6) AS rank_sum
-FROM (SELECT level, method, count(d) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, avg(CASE WHEN d < 0 THEN 1.0 ELSE 0 END) AS better FROM d GROUP BY 1, 2) b LEFT JOIN s ON s.level = b.level AND s.method = b.method"""
+FROM (SELECT level, method, count(d) AS n, avg(d) AS mean, avg(d) / nullif(stddev_samp(d) / sqrt(count(d)), 0) AS t, avg(CASE WHEN d < 0 THEN 1.0 ELSE 0 END) AS better FROM d GROUP BY 1, 2) b LEFT JOIN s ON s.level = b.level AND s.method = b.method"""
 )
 def t6_paired(spark, d):
     levels = Study.of(spark, d).levels()
     both = metrics._against(levels, "bu", "origin", "level").filter(F.col("method").isin("ols", "wls_struct"))
-    return inference.paired(both.select("level", "method", (F.col("mase") - F.col("ref")).alias("d")), ["level", "method"])
+    return inference.paired(both.select("level", "method", (F.col("mase") - F.col("ref")).alias("d")), ["level", "method"]).drop("sd", "nonzero", "ties")
 
 
 @query(
-    f"""{_LAST}, b AS (SELECT unique_id, abs(avg(e)) / (stddev_samp(e) / sqrt(count(e))) AS t FROM err GROUP BY 1), p AS (SELECT unique_id, round(1 / (1 + t * t), 9) AS p FROM b),
+    f"""{_HAC}, p AS (SELECT unique_id, round({sql_erfc('abs(t) / sqrt(2.0)')}, 9) AS p FROM hac WHERE t IS NOT NULL),
 o AS (SELECT *, row_number() OVER (ORDER BY p, unique_id) AS k, count(*) OVER () AS m FROM p), a AS (SELECT unique_id, p, least(1, max((m - k + 1) * p) OVER (ORDER BY k)) AS adjusted FROM o)
 SELECT 'all' AS family, unique_id, round(p, 6) AS p, round(adjusted, 6) AS adjusted, adjusted <= 0.05 AS reject FROM a"""
 )
 def t5_holm(spark, d):
-    """p here is Chebyshev's bound 1 / (1 + t^2), which SQL has as well."""
-    t = inference.bias_table(_last_errors(spark, d), "unique_id")
-    p = t.select(F.lit("all").alias("family"), "unique_id", F.round(1 / (1 + F.col("t") * F.col("t")), 9).alias("p"))
+    """Over the mean tests of all series."""
+    p = inference.hac_mean(_last_errors(spark, d), ["unique_id"]).filter("p is not null").select(F.lit("all").alias("family"), "unique_id", F.round("p", 9).alias("p"))
     return inference.holm(p, ["family"], ["unique_id"])
 
 
@@ -548,11 +581,15 @@ pk AS (SELECT t.item, r.k, coalesce(h.c, 0) / t.n AS p FROM tot t JOIN range(0,
 cdf AS (SELECT *, sum(p) OVER (PARTITION BY item ORDER BY k) AS cdf FROM pk), act AS (SELECT item, k AS y FROM g WHERE day = (SELECT max(day) FROM days))"""
 
 
+def _items(spark, d):
+    """(item, grp, pmf, y)."""
+    days = views.table(spark, d, "events").agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    return counts.daily_pmf(views.user_day_counts(spark, d), days)
+
+
 def _counts(spark, d):
-    k = views.user_day_counts(spark, d)
-    last = k.agg(F.max("day").alias("last"))
-    marked = k.join(F.broadcast(last))
-    return counts.histogram_pmf(marked.filter("day < last"), "item"), marked.filter("day = last").select("item", F.col("k").alias("y"))
+    items = _items(spark, d)
+    return items.select("item", "pmf"), items.select("item", "y")
 
 
 @query(f"{COUNTS} SELECT item, k, round(p, 6) AS p, round(cdf, 6) AS cdf FROM cdf")
@@ -595,10 +632,10 @@ def c17_intermittency(spark, d):
 
 
 @query(
-    f"""{FORECASTS}, per AS (SELECT f.origin, f.level, f.unique_id, method, avg(abs(y - y_hat)) AS mae, sqrt(avg((y - y_hat) * (y - y_hat))) AS rmse, 100 * avg(CASE WHEN y <> 0 THEN abs(y - y_hat) / y END) AS mape, avg(abs(y - y_hat)) / any_value(scale) AS mase
-  FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4), long AS (UNPIVOT per ON mae, rmse, mape, mase INTO NAME metric VALUE value),
+    f"""{FORECASTS}, per AS (SELECT f.origin, f.level, f.unique_id, method, avg(abs(y - y_hat)) AS mae, sqrt(avg((y - y_hat) * (y - y_hat))) AS rmse, 100 * avg(CASE WHEN y <> 0 THEN abs(y - y_hat) / y END) AS mape, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0 END) AS zero_share, avg(abs(y - y_hat)) / nullif(any_value(scale), 0) AS mase
+  FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4), long AS (UNPIVOT per ON mae, rmse, mape, zero_share, mase INTO NAME metric VALUE value),
 lv AS (SELECT origin, level, method, metric, avg(value) AS value FROM long GROUP BY 1, 2, 3, 4)
-SELECT CAST(a.level AS BIGINT) AS level, a.metric, a.method, round(1 - avg(a.value) / avg(r.value), 6) + 0.0 AS gain, count(DISTINCT a.origin) AS n FROM lv a JOIN lv r ON r.origin = a.origin AND r.level = a.level AND r.metric = a.metric AND r.method = 'bu' GROUP BY 1, 2, 3"""
+SELECT CAST(a.level AS BIGINT) AS level, a.metric, a.method, round(1 - avg(a.value) / nullif(avg(r.value), 0), 6) + 0.0 AS gain, count(DISTINCT a.origin) AS n FROM lv a JOIN lv r ON r.origin = a.origin AND r.level = a.level AND r.metric = a.metric AND r.method = 'bu' GROUP BY 1, 2, 3"""
 )
 def m11_gain_by_metric(spark, d):
     s = Study.of(spark, d)
@@ -608,7 +645,7 @@ def m11_gain_by_metric(spark, d):
 _STUDY = "CASE WHEN date_part('year', {}) < 2000 THEN 'early' ELSE 'late' END"
 
 
-@query(f"{FORECASTS} SELECT {_STUDY.format('origin')} AS study, {_L}, method, round(1 - avg(mase) / avg(ref), 6) + 0.0 AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY 1, level, method")
+@query(f"{FORECASTS} SELECT {_STUDY.format('origin')} AS study, {_L}, method, round(1 - avg(mase) / nullif(avg(ref), 0), 6) + 0.0 AS gain, round(avg(CASE WHEN mase < ref - 1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(DISTINCT origin) AS n FROM paired GROUP BY 1, level, method")
 def m14_study_summary(spark, d):
     levels = Study.of(spark, d).levels().withColumn("study", F.when(F.year("origin") < 2000, "early").otherwise("late"))
     return metrics.aggregate_gain(levels, "bu", "study")
@@ -728,8 +765,8 @@ def c12_level_scores(spark, d):
 
 
 @query(
-    f"""{FORECASTS}, s AS (SELECT m.unique_id, m.method, m.mase / r.mase - 1 AS c FROM mase m JOIN mase r ON r.origin = m.origin AND r.unique_id = m.unique_id AND r.method = 'base' WHERE m.method IN ('ols', 'wls_struct'))
-SELECT unique_id, method, round(avg(c), 6) + 0.0 AS mean, round(avg(CASE WHEN c < -1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(*) AS n FROM s GROUP BY 1, 2"""
+    f"""{FORECASTS}, s AS (SELECT m.unique_id, m.method, m.mase / nullif(r.mase, 0) - 1 AS c FROM mase m JOIN mase r ON r.origin = m.origin AND r.unique_id = m.unique_id AND r.method = 'base' WHERE m.method IN ('ols', 'wls_struct'))
+SELECT unique_id, method, round(avg(c), 6) + 0.0 AS mean, round(avg(CASE WHEN c < -1e-9 THEN 1.0 ELSE 0 END), 6) AS win_share, count(c) AS n FROM s GROUP BY 1, 2"""
 )
 def t9_change_by_series(spark, d):
     s = Study.of(spark, d)

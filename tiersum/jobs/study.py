@@ -13,6 +13,8 @@ from tiersum.sources import views
 
 KEYS, SEASON, HORIZON = ["region", "nation"], 12, 6
 FIRST_BACK, EVERY, ORIGINS = 29, 6, 5
+#: Named studies of origins. All but the first grow with the table.
+STUDIES = {"start": {"origins": ["1999-01-01", "2000-01-01"]}, "robustness": {"every": 1, "history": 36, "ahead": HORIZON - 1}, "seasonal": {"every": 3, "history": 36, "ahead": HORIZON - 1}}
 
 
 @dataclass
@@ -23,27 +25,43 @@ class Study:
     edges: DataFrame
     origins: DataFrame
     base: DataFrame
+    made: DataFrame | None = None
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> Study:
-        leaves = materialize(views.monthly_revenue(spark, sf_dir), "leaves")  # every later step reads the aggregated leaves, not the orders
-        series = materialize(hierarchy.build_hierarchy(leaves, KEYS), "series")
-        origins = backtest.origins_between(leaves, FIRST_BACK, EVERY, ORIGINS)
-        return cls(leaves, series, hierarchy.nodes(leaves, KEYS), hierarchy.edges(leaves, KEYS), origins, backtest.seasonal_forecasts(series, origins, HORIZON, SEASON))
+    def of(cls, spark: SparkSession, sf_dir: str, name: str | None = None) -> Study:
+        """The study of five half-yearly origins, or a named one. Its tables are made once for each folder in an application."""
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _STUDIES:
+            if name is None:
+                leaves = materialize(views.monthly_revenue(spark, sf_dir), "leaves")  # every later step reads the aggregated leaves, not the orders
+                series = materialize(hierarchy.build_hierarchy(leaves, KEYS), "series")
+                origins = backtest.origins_between(leaves, FIRST_BACK, EVERY, ORIGINS)
+                nodes, edges = hierarchy.nodes(leaves, KEYS), hierarchy.edges(leaves, KEYS)
+            else:
+                main = cls.of(spark, sf_dir)
+                leaves, series, nodes, edges = main.leaves, main.series, main.nodes, main.edges
+                origins = backtest.study_origins(series, STUDIES, name).select("origin")
+            origins = materialize(origins, "origins")
+            base = materialize(backtest.seasonal_forecasts(series, origins, HORIZON, SEASON), "base")
+            _STUDIES[key] = cls(leaves, series, materialize(nodes, "nodes"), materialize(edges, "edges"), origins, base)
+        return _STUDIES[key]
 
     def own(self) -> DataFrame:
         return self.base.filter("method = 'base'").drop("method")
 
     def reconciled(self) -> DataFrame:
         """(origin, unique_id, ds, horizon, method, y_hat, y) for base, naive, bottom-up, OLS and structural weights."""
-        base = materialize(self.base, "base")  # each reconciliation and level joins it
+        if self.made is not None:
+            return self.made
+        base = self.base
         own, weights = base.filter("method = 'base'").drop("method"), self.nodes.select("unique_id", F.col("n_leaves").cast("double").alias("v"))
         columns = ["origin", "unique_id", "ds", "horizon", "method", "y_hat"]
         parts = {"bu": reconcile.bottom_up(own, self.edges), "ols": reconcile.tree_least_squares(own, self.nodes, None, len(KEYS)), "wls_struct": reconcile.tree_least_squares(own, self.nodes, weights, len(KEYS))}
         out = base.select(columns)
         for name, part in parts.items():
             out = out.union(part.withColumn("method", F.lit(name)).select(columns))
-        return materialize(backtest.with_actuals(out, self.series), "reconciled")
+        self.made = materialize(backtest.with_actuals(out, self.series), "reconciled")
+        return self.made
 
     def scales(self) -> DataFrame:
         return metrics.mase_scale(self.series, self.origins, SEASON)
@@ -55,6 +73,29 @@ class Study:
         return backtest.fitted_residuals(self.series, self.origins, SEASON)
 
     def minimum_trace(self) -> DataFrame:
-        residuals = self.residuals()
-        weights = reconcile.shrunk(reconcile.covariance(residuals), reconcile.shrinkage(residuals))
+        moments = materialize(reconcile.pair_moments(self.residuals()), "moments")
+        weights = reconcile.shrunk(moments.select("origin", "i", "j", F.col("plan").alias("w")), reconcile.intensity_of(moments))
         return reconcile.minimum_trace(self.own(), self.edges, weights)
+
+    def own_errors(self) -> DataFrame:
+        """(origin, unique_id, ds, e) of the base forecasts."""
+        return backtest.with_actuals(self.own(), self.series).select("origin", "unique_id", "ds", (F.col("y") - F.col("y_hat")).alias("e"))
+
+    def all_methods(self, min_past: int, window: int | None = None) -> DataFrame:
+        """`reconciled` and three more methods: the shrunk covariance of fitted residuals, and past out-of-sample errors with a full and a diagonal one.
+
+        Origins with fewer than min_past finished ones lack the last two.
+        """
+        errors, own = self.own_errors(), self.own()
+        past = materialize(reconcile.pair_moments(backtest.past_errors(errors, self.origins, HORIZON, min_past, window)), "moments")
+        full = reconcile.shrunk(past.select("origin", "i", "j", F.col("sample").alias("w")), reconcile.intensity_of(past))
+        kept = own.join(past.select("origin").distinct(), "origin", "left_semi")
+        parts = {"mint_shrink": self.minimum_trace(), "mint_oos": reconcile.minimum_trace(kept, self.edges, full), "wls_oos": reconcile.tree_least_squares(kept, self.nodes, backtest.past_error_variances(errors, self.origins, HORIZON, min_past, window), len(KEYS))}
+        columns = ["origin", "unique_id", "ds", "horizon", "method", "y_hat"]
+        out = self.reconciled().select(columns)
+        for name, part in parts.items():
+            out = out.union(part.withColumn("method", F.lit(name)).select(columns))
+        return materialize(backtest.with_actuals(out, self.series), "methods")
+
+
+_STUDIES: dict[tuple, Study] = {}

@@ -19,6 +19,38 @@ def origins_between(series: DataFrame, first_back: int, every: int, count: int,
     return last.select("last", steps).select(F.expr(f"timestampadd({unit}, k * {every} - {first_back}, last)").alias("origin"))
 
 
+def study_origins(series: DataFrame, studies: dict[str, dict], name: str, unit: str = "month") -> DataFrame:
+    """(study, origin) of a named study; an unknown name is refused.
+
+    A study is {"origins": [...]}, an explicit list, or {"every": k, "history": a, "ahead": b}: every k units from a units after the
+    table's first date to b units before its last, so that origins grow with the table.
+    """
+    if name not in studies:
+        raise ValueError(f"unknown study {name!r}; known are {', '.join(sorted(studies))}")
+    study = studies[name]
+    if "origins" in study:
+        own = series.sparkSession.createDataFrame([(o,) for o in study["origins"]], "origin string").select(F.col("origin").cast("timestamp").alias("origin"))
+    else:
+        span = series.agg(F.min("ds").alias("a"), F.max("ds").alias("b"))
+        first, last = F.expr(f"timestampadd({unit}, {study['history']}, a)"), F.expr(f"timestampadd({unit}, -{study['ahead']}, b)")
+        own = span.select(first.alias("a"), last.alias("b")).filter("a <= b").select(F.explode(F.sequence("a", "b", F.expr(f"interval {study['every']} {unit}"))).alias("origin"))
+    return own.select(F.lit(name).alias("study"), "origin")
+
+
+def with_baselines(forecasts: DataFrame, baselines: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """Adds baselines(origin, unique_id, ds, method, y_hat) of all series and external(origin, unique_id, ds, method, y_hat), of the total only,
+    to forecasts(origin, unique_id, ds, horizon, method, y_hat); targets that forecasts doesn't have are left out."""
+    targets = forecasts.select("origin", "unique_id", "ds", "horizon").distinct()
+    more = baselines if external is None else baselines.unionByName(external)
+    own = targets.join(more, ["origin", "unique_id", "ds"]).select("origin", "unique_id", "ds", "horizon", "method", "y_hat")
+    return forecasts.select(*own.columns).union(own)
+
+
+def wide(rows: DataFrame, keys: list[str], ids: list[str], value: str = "y") -> DataFrame:
+    """(*keys, one column per id, in the order of ids): for reports; all computing stays long."""
+    return rows.groupBy(*keys).pivot("unique_id", ids).agg(F.first(value))
+
+
 def horizon(unit: str, hours: int = 1) -> str:
     return f"timestampdiff({unit}, origin, ds) + 1" if unit != "hour" else f"cast((unix_timestamp(ds) - unix_timestamp(origin)) / {3600 * hours} as int) + 1"
 
@@ -107,17 +139,48 @@ def debiased(forecasts: DataFrame, residuals: DataFrame) -> DataFrame:
     return forecasts.join(bias, ["origin", "unique_id"]).withColumn("y_hat", F.col("y_hat") + F.col("bias")).drop("bias")
 
 
-def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past: int, unit: str = "month") -> DataFrame:
-    """errors(origin, unique_id, ds, e) -> (origin, unique_id, v): sample variance of the errors of origins finished by then.
+def finished(origins: DataFrame, h: int, min_past: int, window: int | None = None, unit: str = "month") -> DataFrame:
+    """(origin, past): the origins finished by then, h units after themselves; origins with fewer than min_past are left out, before only the last `window` count.
 
-    An origin is finished h units after it; origins with fewer than min_past finished ones are left out.
+    Pairs of a study's origins, which are hundreds at most.
     """
     done = F.expr(f"timestampadd({unit}, {h}, past)") <= F.col("origin")
-    pairs = origins.join(F.broadcast(origins.select(F.col("origin").alias("past"))), done)
-    enough = pairs.groupBy("origin").agg(F.count("*").alias("n")).filter(F.col("n") >= min_past).select("origin")
-    kept = pairs.join(enough, "origin", "left_semi")
-    own = errors.select(F.col("origin").alias("past"), "unique_id", "e")
-    return own.join(F.broadcast(kept), "past").groupBy("origin", "unique_id").agg(F.var_samp("e").alias("v"))
+    pairs = origins.select("origin").join(F.broadcast(origins.select(F.col("origin").alias("past"))), done)
+    own = Window.partitionBy("origin")
+    kept = pairs.withColumn("n", F.count("*").over(own)).withColumn("k", F.row_number().over(own.orderBy(F.desc("past")))).filter(F.col("n") >= min_past)
+    return (kept if window is None else kept.filter(F.col("k") <= window)).select("origin", "past")
+
+
+def past_errors(errors: DataFrame, origins: DataFrame, h: int, min_past: int, window: int | None = None, unit: str = "month") -> DataFrame:
+    """errors(origin, unique_id, ds, e) -> residuals(origin, unique_id, ds, e) of the finished origins, ds being a number for past origin and target.
+
+    For full covariances, which need the errors themselves; for variances `past_error_variances` needs sums only.
+    """
+    kept = finished(origins, h, min_past, window, unit)
+    own = errors.select(F.col("origin").alias("past"), "unique_id", F.xxhash64("origin", "ds").alias("ds"), "e")
+    return own.join(F.broadcast(kept), "past").select("origin", "unique_id", "ds", "e")
+
+
+def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past: int, window: int | None = None, unit: str = "month") -> DataFrame:
+    """errors(origin, unique_id, ds, e) -> (origin, unique_id, v): sample variance of the errors of the finished origins.
+
+    Errors are summed once per origin, and these sums added up over origins in order; a window is the difference of two such
+    sums. So the work grows with the errors, not with pairs of origins and errors.
+    """
+    per = errors.groupBy("unique_id", F.col("origin").alias("past")).agg(F.count("e").alias("n"), F.sum("e").alias("s"), F.avg("e").alias("m"), F.coalesce(F.var_pop("e"), F.lit(0.0)).alias("v"))
+    shift = per.groupBy("unique_id").agg(F.avg("m").alias("c"))  # sums of squares around a common level keep their digits
+    per = per.join(shift, "unique_id").select("unique_id", "past", "n", (F.col("n") * (F.col("m") - F.col("c"))).alias("s"), (F.col("n") * (F.col("v") + (F.col("m") - F.col("c")) ** 2)).alias("q"))
+    upto = Window.partitionBy("unique_id").orderBy("past").rowsBetween(Window.unboundedPreceding, 0)
+    sums = per.select("unique_id", "past", *(F.sum(c).over(upto).alias(c) for c in ("n", "s", "q")))
+    ends = finished(origins, h, min_past, window, unit).groupBy("origin").agg(F.max("past").alias("last"), F.min("past").alias("first"))
+    order = Window.orderBy("origin")  # the study's origins
+    before = origins.select(F.col("origin").alias("first"), F.lag("origin").over(order).alias("before"))
+    ends = ends.join(before, "first", "left").select("origin", "last", "before")
+    late = sums.withColumnRenamed("past", "last").join(F.broadcast(ends), "last")
+    early = sums.select("unique_id", F.col("past").alias("before"), *(F.col(c).alias(f"{c}0") for c in ("n", "s", "q")))
+    both = late.join(early, ["unique_id", "before"], "left")
+    n, s, q = (F.col(c) - F.coalesce(F.col(f"{c}0"), F.lit(0)) for c in ("n", "s", "q"))
+    return both.select("origin", "unique_id", F.try_divide(q - F.try_divide(s * s, n), n - 1).alias("v"))
 
 
 def external_forecast(official: DataFrame, origins: DataFrame, h: int, debias_hours: int) -> DataFrame:

@@ -82,7 +82,7 @@ def prepare(raw: DataFrame, start: str, end: str) -> DataFrame:
 
 def completeness(series: DataFrame) -> DataFrame:
     """(check, violations): null or non-finite values, and differing first dates, last dates and lengths of the series."""
-    per = series.groupBy("unique_id").agg(F.min("ds").alias("a"), F.max("ds").alias("b"), F.count("*").alias("n"), F.count_if(F.col("y").isNull() | F.isnan("y")).alias("bad"))
+    per = series.groupBy("unique_id").agg(F.min("ds").alias("a"), F.max("ds").alias("b"), F.count("*").alias("n"), F.count_if(F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))).alias("bad"))
     sums = per.agg(F.sum("bad").alias("values"), (F.count_distinct("a") - 1).alias("first_dates"), (F.count_distinct("b") - 1).alias("last_dates"), (F.count_distinct("n") - 1).alias("lengths"))
     return sums.unpivot([], ["values", "first_dates", "last_dates", "lengths"], "check", "violations")
 

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiersum.operators import reconcile
+from tiersum.operators.inference import hashed_uniform
+from tiersum.operators.tails import normal_cdf
+
 
 def pmf_of(p: Column) -> Column:
     """The array clipped at 0 and made to add up to 1; raises for values below -1e-12 or not finite."""
@@ -22,6 +32,20 @@ def histogram_pmf(counts: DataFrame, *keys: str) -> DataFrame:
     return maps.select(*keys, pmf_of(values).alias("pmf"))
 
 
+def daily_pmf(counts: DataFrame, days: DataFrame) -> DataFrame:
+    """counts(item, grp, day, k), days without counts absent; days(first, last), one row -> (item, grp, pmf, y).
+
+    pmf: relative frequencies of the counts of all days before the last, whose number less the days seen are the zeros; y: the
+    last day's count.
+    """
+    n = F.date_diff("last", "first")
+    marked = counts.join(F.broadcast(days))
+    per = marked.groupBy("item", "grp").agg(F.collect_list(F.when(F.col("day") < F.col("last"), F.col("k"))).alias("seen"), F.coalesce(F.sum(F.when(F.col("day") == F.col("last"), F.col("k"))), F.lit(0)).alias("y"), F.max(n).alias("n"))
+    top = F.coalesce(F.array_max("seen"), F.lit(0).cast("long"))
+    values = F.transform(F.sequence(F.lit(0).cast("long"), top), lambda k: F.when(k == 0, F.col("n") - F.size("seen")).otherwise(F.size(F.filter("seen", lambda x: x == k))).cast("double"))
+    return per.filter("n > 0").select("item", "grp", pmf_of(values).alias("pmf"), "y")
+
+
 def exploded(dists: DataFrame, *keys: str) -> DataFrame:
     """(*keys, k, p, cdf)."""
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,14 +86,230 @@ def intermittency(dists: DataFrame, actuals: DataFrame, *keys: str) -> DataFrame
     return dists.join(actuals, list(keys)).agg(F.count("*").alias("items"), F.avg(F.element_at("pmf", 1)).alias("mean_p0"), F.avg((F.col("y") == 0).cast("double")).alias("share_actual_zero"))
 
 
-def skill(scores: DataFrame, base: str, *keys: str) -> DataFrame:
-    """scores(method, *keys, s) -> (method, skill): mean of 100 (base - s) / ((base + s) / 2), 0 where both are 0."""
-    ref = scores.filter(F.col("method") == base).select(*keys, F.col("s").alias("b"))
+def skill_table(scores: DataFrame, base: str, keys: list[str], by: list[str], columns: list[str]) -> DataFrame:
+    """scores(method, *keys, *by, *columns) -> (method, *by, score, skill): mean of 100 (base - s) / ((base + s) / 2), 0 where both are 0, for each of the columns."""
+    long = scores.unpivot(["method", *keys, *by], columns, "score", "s")
+    ref = long.filter(F.col("method") == base).select(*keys, "score", F.col("s").alias("b"))
     den = (F.col("b") + F.col("s")) / 2
-    return scores.join(ref, list(keys)).groupBy("method").agg(F.avg(F.when(den == 0, 0.0).otherwise(100 * (F.col("b") - F.col("s")) / den)).alias("skill"))
+    both = long.filter(F.col("method") != base).join(ref, [*keys, "score"])
+    return both.groupBy("method", *by, "score").agg(F.avg(F.when(den == 0, 0.0).otherwise(100 * F.try_divide(F.col("b") - F.col("s"), den))).alias("skill"))
 
 
 def item_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float = 0.1) -> DataFrame:
     """(*keys, median_error, mis, rps): absolute error of the median, interval score and ranked probability score."""
     median = quantile(dists, 0.5, *keys).join(actuals, list(keys)).select(*keys, F.abs(F.col("q") - F.col("y")).cast("double").alias("median_error"))
     return median.join(interval_score(dists, actuals, *keys, alpha=alpha), list(keys)).join(ranked_probability_score(dists, actuals, *keys), list(keys))
+
+
+def normal_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float = 0.1) -> DataFrame:
+    """dists(*keys, mu, sd), normal -> (*keys, median_error, mis, rps), the cdf at integer k being taken at k + 0.5.
+
+    rps runs over the integers within 8 sd of mu, -1 and y included; an sd of 0 is a step at mu.
+    """
+    z, y = NormalDist().inv_cdf(1 - alpha / 2), F.col("y")
+    lo, hi = F.col("mu") - z * F.col("sd"), F.col("mu") + z * F.col("sd")
+    mis = hi - lo + 2 / alpha * F.greatest(lo - y, F.lit(0.0)) + 2 / alpha * F.greatest(y - hi, F.lit(0.0))
+    first = F.least(F.floor(F.col("mu") - 8 * F.col("sd")), F.lit(-1).cast("long"), y.cast("long") - 1)
+    last = F.greatest(F.ceil(F.col("mu") + 8 * F.col("sd")), y.cast("long"))
+    cdf = lambda k: F.coalesce(normal_cdf(F.try_divide(k + 0.5 - F.col("mu"), F.col("sd"))), (k + 0.5 >= F.col("mu")).cast("double"))
+    rps = F.aggregate(F.sequence(first, last), F.lit(0.0), lambda a, k: a + (cdf(k) - (y <= k).cast("double")) ** 2)
+    return dists.join(actuals, list(keys)).select(*keys, F.abs(F.col("mu") - y).alias("median_error"), mis.alias("mis"), rps.alias("rps"))
+
+
+def normal_below_zero(mu: Column, sd: Column) -> Column:
+    """Mass of a normal distribution on counts below zero."""
+    return F.coalesce(normal_cdf(F.try_divide(-0.5 - mu, sd)), (mu < -0.5).cast("double"))
+
+
+def as_table(pmfs: DataFrame, method: str, *keys: str) -> DataFrame:
+    """pmfs(*keys, pmf) -> distributions (method, *keys, kind, mu, sd, pmf)."""
+    m = moments(pmfs, *keys).select(*keys, F.col("mean").alias("mu"), F.sqrt(F.greatest("var", F.lit(0.0))).alias("sd"))
+    return pmfs.join(m, list(keys)).select(F.lit(method).alias("method"), *keys, F.lit("pmf").alias("kind"), "mu", "sd", "pmf")
+
+
+def negatives(dists: DataFrame, *by: str, alpha: float = 0.1) -> DataFrame:
+    """distributions (method, ..., kind, mu, sd) -> (method, *by, n, means, mean_share, bounds, bound_share, below_zero): counts and shares of means and of lower bounds below 0, mean mass below 0.
+
+    Distributions on counts have none of these.
+    """
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    normal = F.col("kind") == "normal"
+    low = F.when(normal, F.col("mu") - z * F.col("sd")).otherwise(0.0)
+    mass = F.when(normal, normal_below_zero(F.col("mu"), F.col("sd"))).otherwise(0.0)
+    got = dists.groupBy("method", *by).agg(F.count("*").alias("n"), F.count_if(F.col("mu") < 0).alias("means"), F.count_if(low < 0).alias("bounds"), F.avg(mass).alias("below_zero"))
+    return got.select("method", *by, "n", "means", (F.col("means") / F.col("n")).alias("mean_share"), "bounds", (F.col("bounds") / F.col("n")).alias("bound_share"), "below_zero")
+
+
+def negative_gate(report: DataFrame, limit: float) -> DataFrame:
+    """negatives -> (method, share, passed): share of negative means against the limit."""
+    return report.groupBy("method").agg(F.try_divide(F.sum("means"), F.sum("n")).alias("share")).withColumn("passed", F.coalesce(F.col("share") <= limit, F.lit(False)))
+
+
+def mean_incoherence(dists: DataFrame, edges: DataFrame) -> DataFrame:
+    """distributions (method, id, mu), edges(upper_id, item) -> (method, gap): largest difference of an aggregate's mean and the sum of its items'."""
+    own = dists.select("method", "id", "mu")
+    sums = own.withColumnRenamed("id", "item").join(edges, "item").groupBy("method", "upper_id").agg(F.sum("mu").alias("s"))
+    return own.withColumnRenamed("id", "upper_id").join(sums, ["method", "upper_id"]).groupBy("method").agg(F.max(F.abs(F.col("mu") - F.col("s"))).alias("gap"))
+
+
+def upper_covariance(residuals: DataFrame) -> tuple[list[str], np.ndarray]:
+    """residuals(id, t, e) of the aggregates -> (ids, shrunk covariance). The aggregates are few (checked): items don't appear in it."""
+    named = residuals.select(F.lit(0).alias("origin"), F.col("id").alias("unique_id"), F.col("t").alias("ds"), "e")
+    if named.select("unique_id").distinct().count() > 1000:
+        raise ValueError("more than 1000 aggregates: reconcile with diagonal weights")
+    got = reconcile.pair_moments(named)
+    rows = reconcile.shrunk(got.select("origin", "i", "j", F.col("plan").alias("w")), reconcile.intensity_of(got)).collect()
+    ids = sorted({r["i"] for r in rows})
+    at = {u: k for k, u in enumerate(ids)}
+    w = np.zeros((len(ids), len(ids)))
+    for r in rows:
+        w[at[r["i"]], at[r["j"]]] = w[at[r["j"]], at[r["i"]]] = r["w"]
+    return ids, w
+
+
+def gaussian(upper: DataFrame, residuals: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
+    """upper(id, mu), residuals(id, t, e), items(item, mu, var), edges(upper_id, item) -> distributions (method, id, kind, mu, sd) of aggregates and items.
+
+    Weights are the shrunk covariance of the aggregates' residuals and the items' variances plus 1e-9. In constraint form: the matrix
+    is as large as the aggregates are many; items are updated by joins with one number, and one for each two of their aggregates.
+    """
+    ids, w = upper_covariance(residuals)
+    at = {u: k for k, u in enumerate(ids)}
+    v = items.select("item", (F.col("var") + 1e-9).alias("v"), "mu")
+    links = edges.join(v, "item")
+    both = links.select("item", F.col("upper_id").alias("a"), "v").join(edges.withColumnRenamed("upper_id", "b"), "item")
+    inner, gap = w.copy(), np.zeros(len(ids))
+    for r in both.groupBy("a", "b").agg(F.sum("v").alias("v")).collect():  # a row for each two aggregates with common items
+        inner[at[r["a"]], at[r["b"]]] += r["v"]
+    for r in upper.select("id", "mu").collect():
+        gap[at[r["id"]]] += r["mu"]
+    for r in links.groupBy("upper_id").agg(F.sum("mu").alias("s")).collect():
+        gap[at[r["upper_id"]]] -= r["s"]
+    inverse = np.linalg.pinv(inner, hermitian=True)
+    move, spark = inverse @ gap, upper.sparkSession
+    push = spark.createDataFrame([(u, float(x)) for u, x in zip(ids, move)], "upper_id string, z double")
+    pair = spark.createDataFrame([(a, b, float(inverse[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids)], "a string, b string, s double")
+    shift = links.join(F.broadcast(push), "upper_id").groupBy("item").agg(F.sum("z").alias("z"))
+    cut = both.join(F.broadcast(pair), ["a", "b"]).groupBy("item").agg(F.sum("s").alias("s"))
+    new = v.join(shift, "item").join(cut, "item").select(F.col("item").alias("id"), (F.col("mu") + F.col("v") * F.col("z")).alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("v") - F.col("v") ** 2 * F.col("s"))).alias("sd"))
+    own = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
+    after, spread = -(w @ move), np.sqrt(np.maximum(0, np.diag(w - w @ inverse @ w)))
+    top = spark.createDataFrame([(u, float(own[u] + after[k]), float(spread[k])) for u, k in at.items()], "id string, mu double, sd double")
+    return top.unionByName(new).select(F.lit("gaussian").alias("method"), "id", F.lit("normal").alias("kind"), "mu", "sd")
+
+
+def item_draws(pmfs: DataFrame, samples: int, seed: int = 0) -> DataFrame:
+    """pmfs(item, pmf) -> (item, sample, k): the value at which the item's cdf reaches a hashed uniform number, the same in any engine and partitioning."""
+    cdf = F.transform(F.sequence(F.lit(1), F.size("pmf")), lambda n: F.round(F.aggregate(F.slice("pmf", F.lit(1), n), F.lit(0.0), lambda a, x: a + x), 12))
+    each = pmfs.select("item", cdf.alias("cdf"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    u = each.withColumn("u", hashed_uniform(F.lit(seed), F.col("item"), F.col("sample")))
+    return u.select("item", "sample", F.least(F.size(F.filter("cdf", lambda c: c <= F.col("u"))), F.size("cdf") - 1).alias("k"))
+
+
+def histogram(draws: DataFrame, weight: Column | None = None) -> DataFrame:
+    """draws(id, k[, weight]) -> (id, pmf)."""
+    per = draws.groupBy("id", "k").agg(F.sum(F.lit(1.0) if weight is None else weight).alias("c"))
+    maps = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"), F.max("k").alias("top"))
+    return maps.select("id", pmf_of(F.transform(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long")), lambda k: F.coalesce(F.col("m")[k.cast("int")], F.lit(0.0)))).alias("pmf"))
+
+
+def sums_of_draws(draws: DataFrame, edges: DataFrame) -> DataFrame:
+    """draws(item, sample, k) -> (upper_id, sample, k): combined by task before the shuffle."""
+    return draws.join(edges, "item").groupBy("upper_id", "sample").agg(F.sum("k").cast("int").alias("k"))
+
+
+def bottom_up(pmfs: DataFrame, edges: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
+    """pmfs(item, pmf) -> (id, pmf) of the aggregates: histograms of sums of independent draws of their items."""
+    return histogram(sums_of_draws(item_draws(pmfs, samples, seed), edges).withColumnRenamed("upper_id", "id"))
+
+
+def mix_cond(pmfs: DataFrame, edges: DataFrame, upper: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Importance sampling -> ((id, pmf) of aggregates and items, (samples, ess)).
+
+    A draw of all items has as weight the normal density of its aggregates' sums at upper(id, mu) with the shrunk covariance of
+    residuals(id, t, e). Draws are resampled systematically, so that items and aggregates of a draw stay together and add up. `samples`
+    is the caller's number: its weights are one window.
+    """
+    ids, w = upper_covariance(residuals)
+    center = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
+    mean, inverse = np.array([center[u] for u in ids]), np.linalg.pinv(w, hermitian=True)
+
+    def density(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            d = np.stack(part["sums"].to_numpy()) - mean
+            yield pd.DataFrame({"sample": part["sample"], "log": -0.5 * np.einsum("ij,jk,ik->i", d, inverse, d)})
+
+    draws = item_draws(pmfs, samples, seed)
+    sums = sums_of_draws(draws, edges)
+    vectors = sums.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("upper_id", "k"))), lambda s: s["k"].cast("double")).alias("sums"))
+    logs = vectors.mapInPandas(density, "sample int, log double")
+    everything, upto = Window.partitionBy(), Window.partitionBy().orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)
+    rated = logs.withColumn("w", F.exp(F.col("log") - F.max("log").over(everything))).withColumn("w", F.col("w") / F.sum("w").over(everything))
+    reach = F.floor(F.sum("w").over(upto) * samples + 0.5)
+    taken = rated.withColumn("reach", reach).withColumn("times", F.col("reach") - F.coalesce(F.lag("reach").over(Window.partitionBy().orderBy("sample")), F.lit(0)))
+    copies = F.broadcast(taken.filter("times > 0").select("sample", F.col("times").cast("double").alias("times")))
+    every = sums.withColumnRenamed("upper_id", "id").unionByName(draws.select(F.col("item").alias("id"), "sample", "k")).join(copies, "sample")
+    ess = rated.agg(F.count("*").alias("samples"), (1 / F.sum(F.col("w") ** 2)).alias("ess"))
+    return histogram(every, F.col("times")), ess
+
+
+def split_totals(pmfs: list[np.ndarray], totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One value for each item and total, drawn given that they add up to the total. Totals beyond the items' reach give -1 everywhere."""
+    sums = [np.ones(1)]
+    for p in pmfs:
+        sums.append(np.convolve(sums[-1], p))
+    out = np.full((len(pmfs), len(totals)), -1)
+    ok = (totals >= 0) & (totals < len(sums[-1])) & (sums[-1][np.clip(totals, 0, len(sums[-1]) - 1)] > 0)
+    left, at = totals[ok].copy(), np.nonzero(ok)[0]
+    for i in range(len(pmfs) - 1, -1, -1):
+        p, below = pmfs[i], sums[i]
+        for t in np.unique(left):
+            k = np.arange(min(len(p) - 1, t) + 1)
+            share = p[k] * np.where(t - k < len(below), below[np.minimum(t - k, len(below) - 1)], 0)
+            here = np.nonzero(left == t)[0]
+            out[i, at[here]] = rng.choice(k, size=len(here), p=share / share.sum())
+        left = left - out[i, at]
+    return out
+
+
+def td_cond(pmfs: DataFrame, groups: DataFrame, upper: DataFrame, residuals: DataFrame, edges: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Top-down conditioning -> ((id, pmf) of aggregates and items, (group, lost): draws outside a group's reach).
+
+    groups(item, group), each item in exactly one lowest group (refused otherwise); edges(upper_id, item) as ever. The aggregates are
+    reconciled first and drawn from their normal law; each group's total, rounded, is split to its items given that they add up to it.
+    One task a group, whose items and draws it holds; the convolutions grow with the group's largest total.
+    """
+    bad = pmfs.select("item").join(groups, "item", "left").groupBy("item").agg(F.count("group").alias("n")).filter("n <> 1").limit(1).collect()
+    if bad:
+        raise ValueError(f"item {bad[0]['item']} is in {bad[0]['n']} lowest groups")
+    ids, w = upper_covariance(residuals)
+    names = sorted(r["group"] for r in groups.select("group").distinct().collect())  # aggregates, checked to be few above
+    center = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
+    inside = {(r["upper_id"], r["group"]) for r in edges.join(groups, "item").select("upper_id", "group").distinct().collect()}
+    a = np.array([[float((u, g) in inside) for g in names] for u in ids])
+    weight = np.linalg.pinv(w, hermitian=True)
+    spread = np.linalg.pinv(a.T @ weight @ a, hermitian=True)
+    mean = spread @ a.T @ weight @ np.array([center[u] for u in ids])
+    drawn = np.rint(np.random.default_rng(seed).multivariate_normal(mean, spread, size=samples, method="eigh")).astype(int)
+    column = {g: k for k, g in enumerate(names)}
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("item")
+        name = group["group"].iloc[0]
+        rng = np.random.default_rng([seed, column[name]])
+        got = split_totals([np.asarray(p, float) for p in group["pmf"]], drawn[:, column[name]], rng)
+        return pd.DataFrame({"group": name, "item": np.repeat(group["item"].to_numpy(), samples), "sample": np.tile(np.arange(samples), len(group)), "k": got.ravel()})
+
+    draws = pmfs.join(groups, "item").groupBy("group").applyInPandas(split, "group string, item string, sample int, k int")
+    lost = draws.filter("k < 0").groupBy("group").agg(F.count_distinct("sample").alias("lost"))
+    partial = draws.groupBy("sample").agg(F.min("k").alias("least")).filter("least >= 0").select("sample")
+    whole = draws.join(partial, "sample", "left_semi")
+    sums = sums_of_draws(whole.select("item", "sample", "k"), edges)
+    return histogram(sums.select(F.col("upper_id").alias("id"), "k").unionByName(whole.select(F.col("item").alias("id"), "k"))), lost
+
+
+def compare_items(scores: DataFrame, a: str, b: str, keys: list[str], value: str = "rps") -> DataFrame:
+    """scores(method, *keys, value) -> (better, worse, median_difference, n) of method a against b, item by item."""
+    left, right = (scores.filter(F.col("method") == m).select(*keys, F.col(value).alias(n)) for m, n in ((a, "a"), (b, "b")))
+    d = left.join(right, keys).select((F.col("a") - F.col("b")).alias("d"))
+    return d.agg(F.avg((F.col("d") < -1e-12).cast("double")).alias("better"), F.avg((F.col("d") > 1e-12).cast("double")).alias("worse"), F.median("d").alias("median_difference"), F.count("*").alias("n"))

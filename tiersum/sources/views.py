@@ -12,9 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def complete_grid(leaves: DataFrame, keys: list[str], step: str) -> DataFrame:
     """Every key at every instant from the first to the last of the table, a missing y being 0."""
-    span = leaves.agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
-    instants = span.select(F.explode(F.expr(f"sequence(first, last, interval {step})")).alias("ds"))
-    grid = leaves.select(*keys).distinct().join(F.broadcast(instants))
+    span = leaves.agg(F.min("ds").alias("first"), F.max("ds").alias("last"))  # one row
+    grid = leaves.select(*keys).distinct().join(F.broadcast(span)).select(*keys, F.explode(F.expr(f"sequence(first, last, interval {step})")).alias("ds"))
     return grid.join(leaves, [*keys, "ds"], "left").select(*keys, "ds", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
@@ -36,9 +35,6 @@ def half_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item, grp, day, k): events of each user on each day from the first to the last, zeros included."""
+    """(item, grp, day, k): events of each user on each day with any of theirs. Days without events are left to the histogram."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.to_date("ts").alias("day"))
-    counts = events.groupBy("item", "day").agg(F.count("*").alias("k"))
-    days = events.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    grid = counts.select("item").distinct().join(F.broadcast(days))
-    return grid.join(counts, ["item", "day"], "left").select("item", (F.col("item") % 10).alias("grp"), "day", F.coalesce("k", F.lit(0)).alias("k"))
+    return events.groupBy("item", "day").agg(F.count("*").alias("k")).select("item", (F.col("item") % 10).alias("grp"), "day", "k")
