@@ -168,7 +168,7 @@ def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past
     sums. So the work grows with the errors, not with pairs of origins and errors.
     """
     per = errors.groupBy("unique_id", F.col("origin").alias("past")).agg(F.count("e").alias("n"), F.sum("e").alias("s"), F.avg("e").alias("m"), F.coalesce(F.var_pop("e"), F.lit(0.0)).alias("v"))
-    shift = per.groupBy("unique_id").agg(F.avg("m").alias("c"))  # sums of squares around a common level keep their digits
+    shift = per.groupBy("unique_id").agg(F.min_by("m", "past").alias("c"))  # sums of squares around the first origin's mean keep their digits
     per = per.join(shift, "unique_id").select("unique_id", "past", "n", (F.col("n") * (F.col("m") - F.col("c"))).alias("s"), (F.col("n") * (F.col("v") + (F.col("m") - F.col("c")) ** 2)).alias("q"))
     upto = Window.partitionBy("unique_id").orderBy("past").rowsBetween(Window.unboundedPreceding, 0)
     sums = per.select("unique_id", "past", *(F.sum(c).over(upto).alias(c) for c in ("n", "s", "q")))
