@@ -164,23 +164,13 @@ def past_errors(errors: DataFrame, origins: DataFrame, h: int, min_past: int, wi
 def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past: int, window: int | None = None, unit: str = "month") -> DataFrame:
     """errors(origin, unique_id, ds, e) -> (origin, unique_id, v): sample variance of the errors of the finished origins.
 
-    Errors are summed once per origin, and these sums added up over origins in order; a window is the difference of two such
-    sums. So the work grows with the errors, not with pairs of origins and errors.
+    Errors are summed once per origin and series; only these sums meet the pairs of origins.
     """
-    per = errors.groupBy("unique_id", F.col("origin").alias("past")).agg(F.count("e").alias("n"), F.sum("e").alias("s"), F.avg("e").alias("m"), F.coalesce(F.var_pop("e"), F.lit(0.0)).alias("v"))
-    shift = per.groupBy("unique_id").agg(F.min_by("m", "past").alias("c"))  # sums of squares around the first origin's mean keep their digits
-    per = per.join(shift, "unique_id").select("unique_id", "past", "n", (F.col("n") * (F.col("m") - F.col("c"))).alias("s"), (F.col("n") * (F.col("v") + (F.col("m") - F.col("c")) ** 2)).alias("q"))
-    upto = Window.partitionBy("unique_id").orderBy("past").rowsBetween(Window.unboundedPreceding, 0)
-    sums = per.select("unique_id", "past", *(F.sum(c).over(upto).alias(c) for c in ("n", "s", "q")))
-    ends = finished(origins, h, min_past, window, unit).groupBy("origin").agg(F.max("past").alias("last"), F.min("past").alias("first"))
-    order = Window.orderBy("origin")  # the study's origins
-    before = origins.select(F.col("origin").alias("first"), F.lag("origin").over(order).alias("before"))
-    ends = ends.join(before, "first", "left").select("origin", "last", "before")
-    late = sums.withColumnRenamed("past", "last").join(F.broadcast(ends), "last")
-    early = sums.select("unique_id", F.col("past").alias("before"), *(F.col(c).alias(f"{c}0") for c in ("n", "s", "q")))
-    both = late.join(early, ["unique_id", "before"], "left")
-    n, s, q = (F.col(c) - F.coalesce(F.col(f"{c}0"), F.lit(0)) for c in ("n", "s", "q"))
-    return both.select("origin", "unique_id", F.try_divide(q - F.try_divide(s * s, n), n - 1).alias("v"))
+    per = errors.groupBy("unique_id", F.col("origin").alias("past")).agg(F.count("e").alias("n"), F.avg("e").alias("m"), F.coalesce(F.var_pop("e"), F.lit(0.0)).alias("v"))
+    both = per.join(F.broadcast(finished(origins, h, min_past, window, unit)), "past")
+    n, m = F.col("n"), F.col("m")
+    sums = both.groupBy("origin", "unique_id").agg(F.sum(n).alias("n"), F.sum(n * m).alias("s"), F.sum(n * (F.col("v") + m * m)).alias("q"))
+    return sums.select("origin", "unique_id", F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), n), n - 1).alias("v"))
 
 
 def external_forecast(official: DataFrame, origins: DataFrame, h: int, debias_hours: int) -> DataFrame:
