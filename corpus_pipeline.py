@@ -23,11 +23,15 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies: five-word shingles at a similarity of 0.8 or more."""
+    """The document with the smallest doc_id of each group of near copies: five-word shingles at a similarity of 0.8 or more.
+
+    SimHash fingerprints and their Golay keys propose pairs first, minima those that Golay keys can't reach.
+    """
     return shingles.select_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the windows of 4,096 tokens; null and empty texts are the end id alone."""
     return packing.pack_documents(docs)
 
 

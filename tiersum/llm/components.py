@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiersum.functions.scratch import drop
 from tiersum.llm.common import materialize
 
 
@@ -26,7 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("p")).select("p.u", F.col("p.m").alias("v")).filter("u <> v").distinct()
-        links = materialize(small, "links")
+        links, before = materialize(small, "links"), links
+        drop(before)
         got = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v"), F.col("v"))).distinct()

@@ -24,7 +24,7 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The media column is written as a table and read back from there; the tensors are columns of the result."""
-    return media.read_media(materialize(media.store_texts(table(spark, sf_dir, "documents")), "media"))
+    return media.read_media(materialize(media.store_texts(table(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 def op5_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:

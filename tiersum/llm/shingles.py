@@ -1,7 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact similarity decides.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles: Golay keys propose pairs, minima the rest, exact similarity decides.
 
-Texts are near copies if their sets of five-word shingles have a similarity of 0.8 or more. Such pairs differ in up to a
-dozen SimHash bits, beyond what Golay keys can index, so that candidates come from 32 bands of four minima: a pair
+Texts are near copies if their sets of five-word shingles have a similarity of 0.8 or more. Fingerprints of these shingles go through
+the Golay keys of `simhash`, which find pairs at two or fewer bits. But pairs at 0.8 differ in ten bits on average, beyond what
+the keys of two segments can index, so that the other candidates come from 32 bands of four minima: a pair
 at 0.8 shares no band with probability 5e-8. Of a pair's 128 minima at least 80 must agree (at 0.8, 102 are expected, with
 a deviation of 4.5), then the sets themselves are compared. Within a band's bucket only pairs of different components are
 proposed: first the strongest spanning forest, then, in growing windows, the partners of texts that it left aside.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tiersum.llm.common import few, join_hot, materialize
 from tiersum.llm.components import connected_components
+from tiersum.llm.simhash import links
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
@@ -53,6 +55,14 @@ def shingle_set(text: str | None) -> tuple[int, np.ndarray]:
     return content, np.unique(out)
 
 
+def majority(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingles: the bits that over half of them have, as a signed number."""
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(shingles), 65_536):
+        total += np.unpackbits(shingles[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(shingles)).tobytes(), "little", signed=True)
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of the set under each of the hash functions."""
     if len(shingles) < 1000:
@@ -70,16 +80,17 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        content, size, sketch, bands = [], [], [], []
+        content, size, prints, sketch, bands = [], [], [], [], []
         for text in batch.column(1):
             c, s = shingle_set(text.as_py())
             content.append(c)
             size.append(len(s))
+            prints.append(majority(s))
             least = minima(s) if len(s) else None
             sketch.append(least.astype(np.uint8).tobytes() if len(s) else b"")
             bands.append(band_keys(least).tobytes() if len(s) else b"")
-        columns = [batch.column(0), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(sketch, pa.binary()), pa.array(bands, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "size", "sketch", "bands"])
+        columns = [batch.column(0), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prints, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "size", "fp", "sketch", "bands"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +216,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def golay_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes(content, size, fp, rep) -> (a, b): pairs of contents that join all fingerprints at two or fewer bits."""
+    own = materialize(nodes.filter("size > 0").groupBy("fp").agg(F.min("rep").alias("rep")), "fingerprints")
+    same = nodes.filter("size > 0").join(own.toDF("fp", "a"), "fp").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    names = nodes.select("rep", "content")
+    pairs = links(own).union(same).join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, component_id): component_id is the smallest doc_id reachable by links of similarity 0.8 or more.
 
@@ -214,8 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is compared with all that have 80 equal minima.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = materialize(source.mapInArrow(_sketches, "doc_id long, content long, size int, sketch binary, bands binary"), "sketches")
-    every = base.groupBy("content", "size", "sketch", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    base = materialize(source.mapInArrow(_sketches, "doc_id long, content long, size int, fp long, sketch binary, bands binary"), "sketches")
+    every = base.groupBy("content", "size", "fp", "sketch", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     every = materialize(every, "texts")
     nodes = every.filter("rep is not null")
     keys = nodes.filter("size > 0").select("content", "bands").mapInArrow(_keys, "key long, content long")
@@ -226,8 +246,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "content long, shingles binary")
     sets = materialize(sets.groupBy("content").agg(F.first("shingles").alias("shingles")), "shingles")
     buckets = shared.join(members, "content")
-    links = tried = comps = None
-    lo = hi = None
+    names = nodes.select("content", "rep")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_sets = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        return materialize(with_sets.mapInArrow(_similar, "a long, b long"), "similar")
+
+    tried = materialize(golay_pairs(nodes), "proposed")
+    found, comps, lo, hi = verified(tried), None, None, None
     while True:
         rows = buckets.withColumn("component", F.col("rep"))
         if comps is not None:
@@ -235,15 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.select("key", "content", "size", "sketch", "component").repartition("key").sortWithinPartitions("key", "content")
         got = materialize(rows.mapInArrow(_proposer(lo, hi), "a long, b long").distinct(), "proposed")
         pairs = got.filter("a is not null")
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        with_sets = fresh.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        new = materialize(with_sets.mapInArrow(_similar, "a long, b long"), "similar")
+        new = verified(pairs.join(tried, ["a", "b"], "left_anti"))
         done = lo is not None and got.filter("a is null").isEmpty()
-        tried = pairs if tried is None else tried.union(pairs)
+        tried = tried.union(pairs)
         if comps is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            names = nodes.select("content", "rep")
-            edges = links.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+            found = found.union(new)
+            edges = found.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
             comps = materialize(connected_components(edges), "components")
         if done:
             break
