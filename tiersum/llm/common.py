@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +97,16 @@ _PER_WORKER: dict = {}
 
 
 def per_worker(key, make: Callable):
-    """A value kept by a Python worker across tasks; one per kind, so that a newer model replaces an older."""
-    kind = key[0]
+    """A value kept by a Python worker across tasks; one per kind, so that a newer model replaces an older.
+
+    A task that needs a new value drops what it hasn't used itself, so that the caches of several stages don't add up.
+    """
+    kind, context = key[0], TaskContext.get()
+    task = context.taskAttemptId() if context else None
     held = _PER_WORKER.get(kind)
     if held is None or held[0] != key:
-        _PER_WORKER[kind] = held = (key, make())
+        for other in [k for k, v in _PER_WORKER.items() if v[2] != task or k == kind]:
+            del _PER_WORKER[other]
+        held = _PER_WORKER[kind] = [key, make(), task]
+    held[2] = task
     return held[1]

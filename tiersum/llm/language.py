@@ -8,6 +8,7 @@ raised to the number of hashes, f_l, the estimate is (N_l - f_l n) / (1 - f_l).
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections import Counter
@@ -32,7 +33,7 @@ MAX_LANGUAGES = 64
 MIN_COUNT, MIN_RATIO = 3, 0.2
 HOLD_OUT = 4
 UNDETERMINED = "und"
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS, _ASCII = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 #: A Counter goes to the shuffle at so many entries.
 FLUSH = 400_000
 FIELD = 40
@@ -42,7 +43,8 @@ def grams(chunk: str) -> list[str]:
     """N-grams of each run of letters in a chunk, lower-cased, with _ at both ends; the bare letter of one-letter runs."""
     out = []
     low = chunk.lower()
-    for word in (low,) if low.isascii() and low.isalpha() else _LETTERS.findall(low):
+    plain = low.isascii()
+    for word in (low,) if plain and low.isalpha() else (_ASCII if plain else _LETTERS).findall(low):
         padded = f"_{word}_"
         last = len(padded) + 1
         for n in SIZES:
