@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiersum.functions.scratch import drop
 from tiersum.llm.common import few, join_hot, materialize
 from tiersum.llm.components import connected_components
 from tiersum.llm.simhash import links
@@ -236,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialize(source.mapInArrow(_sketches, "doc_id long, content long, size int, fp long, sketch binary, bands binary"), "sketches")
     every = base.groupBy("content", "size", "fp", "sketch", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    every = materialize(every, "texts")
+    every, named_texts = materialize(every, "texts"), materialize(base.select("doc_id", "content"), "contents")
+    drop(base)
     nodes = every.filter("rep is not null")
     keys = nodes.filter("size > 0").select("content", "bands").mapInArrow(_keys, "key long, content long")
     shared = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, content long"), "shared")
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "content long, shingles binary")
     sets = materialize(sets.groupBy("content").agg(F.first("shingles").alias("shingles")), "shingles")
-    buckets = shared.join(members, "content")
+    buckets = materialize(shared.join(members.select("content", "rep"), "content"), "buckets")
     names = nodes.select("content", "rep")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -258,7 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = buckets.withColumn("component", F.col("rep"))
         if comps is not None:
             rows = buckets.join(comps, buckets.rep == comps.node, "left").withColumn("component", F.coalesce("component", "rep"))
-        rows = rows.select("key", "content", "size", "sketch", "component").repartition("key").sortWithinPartitions("key", "content")
+            split = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+            rows = rows.join(few(materialize(split, "split")), "key", "left_semi")  # sketches go to buckets of several components only
+        rows = rows.select("key", "content", "component").join(members.drop("rep"), "content").select("key", "content", "size", "sketch", "component")
+        rows = rows.repartition("key").sortWithinPartitions("key", "content")
         got = materialize(rows.mapInArrow(_proposer(lo, hi), "a long, b long").distinct(), "proposed")
         pairs = got.filter("a is not null")
         new = verified(pairs.join(tried, ["a", "b"], "left_anti"))
@@ -272,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         lo, hi = (0, WINDOW) if lo is None else (hi, hi * WINDOW)
     named = every.join(comps, every.rep == comps.node, "left").select("content", F.coalesce("component", "rep").alias("component_id"), "copies")
-    return join_hot(base.select("doc_id", "content"), materialize(named, "named"), ["content"]).select("doc_id", "component_id")
+    return join_hot(named_texts, materialize(named, "named"), ["content"]).select("doc_id", "component_id")
 
 
 def select_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

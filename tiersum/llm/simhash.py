@@ -33,8 +33,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GOLAY_POLYNOMIAL = 0b101011100011
 #: Larger key groups are compared through midpoints instead of shifts.
 SHIFT_GROUP = 48
-#: Keys of more fingerprints than this are split by midpoints, in groups of their own.
-HOT_KEY = 4_096
+#: Keys of more fingerprints than one task links in half a minute are split by midpoints, in groups of their own.
+HOT_KEY = 100_000
 
 
 def fingerprint(text: str | None) -> int:
