@@ -44,14 +44,43 @@ def test_stage_matches_brute_force_jaccard(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in ids if want[i] == i)
 
 
-def test_partners_of_texts_left_aside():
+def test_texts_apart_from_the_main_component():
     sketch = np.zeros((40, shingles.MINIMA), np.uint8)
-    sketch[-1, :30] = 1
-    size, component = np.full(40, 100), np.array([0] * 39 + [1])
-    pairs, more = shingles.left_aside(sketch, size, component, 0, 16)
-    assert len(pairs) == 15 and more and all(i == 39 for i, _ in pairs)
-    rest, more = shingles.left_aside(sketch, size, component, 16, 256)
-    assert not more and {j for _, j in pairs + rest} == set(range(39))
+    sketch[38, :100] = 1  # alone
+    sketch[39, :30] = 1
+    size, component = np.full(40, 100), np.array([0] * 38 + [1, 2])
+    assert np.nonzero(shingles.apart(sketch, size, component))[0].tolist() == [*range(38), 39]
+
+
+def test_buckets_alone_find_all_links():
+    rng = np.random.default_rng(11)
+    bases = [rng.integers(0, 10_000, n) for n in (60, 200)]
+    texts = [" ".join(map(str, changed(rng, bases[i % 2], int(k)))) for i, k in enumerate(rng.integers(0, 8, 120))]
+    want, pairs = brute_groups(list(range(120)), texts)
+    sets = [shingles.shingle_set(t)[1] for t in texts]
+    least = [shingles.minima(s) for s in sets]
+    sketch, bands = np.array([x.astype(np.uint8) for x in least]), np.array([shingles.band_keys(x) for x in least]).view(np.int64)
+    a, b = [], []
+    for band in range(shingles.BANDS):
+        for key in np.unique(bands[:, band]):
+            members = np.nonzero(bands[:, band] == key)[0]
+            outside = members[1:]  # each text is a component, the first one is the main one
+            at, m = np.concatenate((members, outside)), len(members)
+            aside = at != members[0]
+            for i, j in shingles.links_apart(np.full(len(at), key), at, at, aside, m, sketch[at], bands[at], [sets[k] for k in at]):
+                a.append(int(at[i]))
+                b.append(int(at[j]))
+    assert len(pairs) > 300 and brute_links(list(range(120)), a, b) == want
+
+
+def test_small_blocks_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 10_000, 120)
+    texts = [" ".join(map(str, changed(rng, base, int(k)))) for k in rng.integers(0, 9, 160)]
+    want, _ = brute_groups(list(range(160)), texts)
+    monkeypatch.setattr(shingles, "BLOCK_BYTES", 4096)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()} == want
 
 
 def test_empty_table_and_null_ids(spark):

@@ -4,8 +4,10 @@ Texts are near copies if their sets of five-word shingles have a similarity of 0
 the Golay keys of `simhash`, which find pairs at two or fewer bits. But pairs at 0.8 differ in ten bits on average, beyond what
 the keys of two segments can index, so that the other candidates come from 32 bands of four minima: a pair
 at 0.8 shares no band with probability 5e-8. Of a pair's 128 minima at least 80 must agree (at 0.8, 102 are expected, with
-a deviation of 4.5), then the sets themselves are compared. Within a band's bucket only pairs of different components are
-proposed: first the strongest spanning forest, then, in growing windows, the partners of texts that it left aside.
+a deviation of 4.5), then the sets themselves are compared. Within a band's bucket a strongest spanning forest is proposed first.
+What it leaves in several components is searched once more, by sketches without sets: texts that have a candidate of another
+component stay in the bucket. The sets of these come to the bucket and are compared there, in blocks of bounded bytes, each pair in the
+first bucket that it shares; a task returns links that span components, never the pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ MINIMA = BANDS * BAND_ROWS
 LEAST_EQUAL = 80
 #: The first so many texts of a bucket make its forest; the others hang on the most similar of these.
 HEADS = 256
-#: Partners tried for a text left aside: so many at first, each time so many times as many.
-WINDOW = 16
+#: Sets of a bucket are compared in blocks of about so many bytes.
+BLOCK_BYTES = 8 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _RNG = np.random.default_rng(42)
 _FACTORS = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,44 +160,90 @@ def forest(sketch: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def left_aside(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, lo: int, hi: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of different components: the partners lo to hi, by equal minima, of texts outside the largest one; whether any are left."""
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each bucket's forest."""
+    for got in _whole_groups(batches):
+        content, size, sketch = got.column(1).to_numpy(), got.column(2).to_numpy().astype(np.int64), _rows_of(got.column(3), np.uint8, MINIMA)
+        found = set()
+        for s, n in zip(*(x.tolist() for x in _ranges(got.column(0).to_numpy()))):
+            names = content[s : s + n].tolist()
+            found.update((min(names[i], names[j]), max(names[i], names[j])) for i, j in forest(sketch[s : s + n], size[s : s + n]))
+        a, b = (list(x) for x in zip(*found)) if found else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def apart(sketch: np.ndarray, size: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which texts of one bucket have a candidate of another component."""
     names, count = np.unique(component, return_counts=True)
-    out, more = [], False
-    if len(names) > 1:
-        for i in np.nonzero(component != names[count.argmax()])[0].tolist():
-            got = _equal(sketch, size, i, len(size))
-            order = np.argsort(-got, kind="stable")
-            order = order[: int((got >= LEAST_EQUAL).sum())]
-            other = component[order] != component[i]
-            out += [(i, j) for j in order[lo:hi][other[lo:hi]].tolist()]
-            more = more or bool(other[hi:].any())
-    return out, more
-
-
-def _proposer(lo: int | None, hi: int | None):
-    """The first round without bounds, else a later one. A row with null ends says that partners are left."""
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in _whole_groups(batches):
-            content, size, component = (got.column(k).to_numpy() for k in (1, 2, 4))
-            size = size.astype(np.int64)
-            sketch = np.frombuffer(b"".join(got.column(3).to_pylist()), np.uint8).reshape(-1, MINIMA)
-            found, left = set(), False
-            for s, n in zip(*(x.tolist() for x in _ranges(got.column(0).to_numpy()))):
-                part = slice(s, s + n)
-                if lo is None:
-                    pairs = forest(sketch[part], size[part])
-                else:
-                    pairs, more = left_aside(sketch[part], size[part], component[part], lo, hi)
-                    left = left or more
-                names = content[part].tolist()
-                found.update((min(names[i], names[j]), max(names[i], names[j])) for i, j in pairs)
-            a, b = (list(x) for x in zip(*found)) if found else ([], [])
-            extra = [None] if left else []
-            yield pa.RecordBatch.from_arrays([pa.array(a + extra, pa.int64()), pa.array(b + extra, pa.int64())], ["a", "b"])
-
-    return propose
+    keep = np.zeros(len(size), bool)
+    for i in np.nonzero(component != names[count.argmax()])[0].tolist():
+        near = (_equal(sketch, size, i, len(size)) >= LEAST_EQUAL) & (component != component[i])
+        keep |= near
+        keep[i] |= near.any()
+    return keep
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got in _whole_groups(batches):
+        size, component, sketch = got.column(2).to_numpy().astype(np.int64), got.column(4).to_numpy(), _rows_of(got.column(3), np.uint8, MINIMA)
+        parts = [slice(s, s + n) for s, n in zip(*(x.tolist() for x in _ranges(got.column(0).to_numpy())))]
+        keep = np.concatenate([apart(sketch[x], size[x], component[x]) for x in parts])
+        yield from got.select(["key", "content", "size", "component"]).filter(pa.array(keep)).to_batches()
+
+
+def _rows_of(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def links_apart(key: np.ndarray, content: np.ndarray, component: np.ndarray, aside: np.ndarray, members: int, sketch: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that span the components of all links between a block's texts outside the main component and its members.
+
+    The first `members` rows are the members, the others the texts outside. A pair is compared in the first bucket that it
+    shares; of two texts outside (`aside`) the one with the smaller content counts as outside.
+    """
+    p, q = SIMILARITY
+    size = np.array([len(x) for x in sets], np.int64)
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for i in range(members, len(sets)):
+        band = int((bands[i] == key[i]).argmax())
+        first = (bands[:members] == bands[i]).argmax(axis=1)
+        ok = (_equal(sketch, size, i, members) >= LEAST_EQUAL) & (first == band) & (bands[:members, band] == key[i])
+        ok &= ~(aside[:members] & (content[:members] <= content[i]))
+        own = top(int(component[i]))
+        at = [j for j in np.nonzero(ok)[0].tolist() if top(int(component[j])) != own]
+        if not at:
+            continue
+        every, ends = np.concatenate([sets[j] for j in at]), np.cumsum(size[at])
+        place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+        common = np.add.reduceat(sets[i][place] == every, np.concatenate(([0], ends[:-1])), dtype=np.int64)
+        for j in np.array(at)[common * (p + q) >= p * (size[i] + size[at])].tolist():
+            x, y = top(int(component[i])), top(int(component[j]))
+            if x != y:
+                root[x] = y
+                out.append((i, j))
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, sorted by block and role -> (a, b): links between contents of different components."""
+    for got in _whole_groups(batches):
+        outside, key, content, component, aside = (got.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
+        sketch, bands = _rows_of(got.column(6), np.uint8, MINIMA), _rows_of(got.column(7), np.int64, BANDS)
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in got.column(8)]
+        a, b = [], []
+        for s, n in zip(*(x.tolist() for x in _ranges(got.column(0).to_numpy()))):
+            x = slice(s, s + n)
+            for i, j in links_apart(key[x], content[x], component[x], aside[x], int((~outside[x]).sum()), sketch[x], bands[x], sets[x]):
+                a.append(content[s + i])
+                b.append(content[s + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +274,36 @@ def golay_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _blocks(rest: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """rest(key, content, size, component), stored -> rows of blocks, in tasks by block, sorted by block and role.
+
+    Every text is a member of its bucket; those of other components than the bucket's main one meet all members. Both are cut into
+    blocks by bytes. Counts by bucket and component are added up before they are shuffled.
+    """
+    cost = F.sum(F.col("size").cast("long") * 8 + 512)
+    kinds = rest.groupBy("key", "component").agg(F.count("*").alias("n"), cost.alias("bytes"))
+    sums = kinds.groupBy("key").agg(F.max_by(F.struct("component", "bytes"), F.struct("n", "component")).alias("main"), F.sum("bytes").alias("bytes"))
+    count = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
+    sums = sums.select("key", F.col("main.component").alias("main"), count(F.col("bytes")).alias("mine"), count(F.col("bytes") - F.col("main.bytes")).alias("theirs"))
+    rows = rest.join(sums, "key").withColumn("aside", F.col("component") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("content"), F.col(n)).cast("int")
+    role = lambda m, o, outside: F.struct(m.alias("m"), o.alias("o"), F.lit(outside).alias("outside"))
+    member = F.transform(F.sequence(F.lit(0), F.col("theirs") - 1), lambda o: role(place("mine"), o, False))
+    outside = F.transform(F.sequence(F.lit(0), F.col("mine") - 1), lambda m: role(m, place("theirs"), True))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("aside"), F.concat(member, outside)).otherwise(member)))
+    rows = rows.select(F.xxhash64("key", "at.m", "at.o").alias("block"), "at.outside", "key", "content", "component", "aside")
+    rows = rows.join(members.select("content", "sketch", "bands"), "content").join(sets, "content")
+    rows = rows.select("block", "outside", "key", "content", "component", "aside", "sketch", "bands", "shingles")
+    return rows.repartition("block").sortWithinPartitions("block", "outside")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (doc_id, component_id): component_id is the smallest doc_id reachable by links of similarity 0.8 or more.
 
     One row per row of docs. Texts of equal words are one node, so that copies, however many, are never compared with one
     another; null, empty and wordless texts are one such node. Rows with a null id get the component of their text, and
-    null if no row with an id has it. Rows grow with the number of texts, except that a text outside its bucket's largest
-    component is compared with all that have 80 equal minima.
+    null if no row with an id has it. Rows grow with the number of texts; a text outside its bucket's largest
+    component is compared with all that have 80 equal minima, inside the tasks.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialize(source.mapInArrow(_sketches, "doc_id long, content long, size int, fp long, sketch binary, bands binary"), "sketches")
@@ -242,40 +313,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = every.filter("rep is not null")
     keys = nodes.filter("size > 0").select("content", "bands").mapInArrow(_keys, "key long, content long")
     shared = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, content long"), "shared")
-    members = nodes.join(shared.select("content").distinct(), "content", "left_semi").select("content", "size", "sketch", "rep")
+    members = nodes.join(shared.select("content").distinct(), "content", "left_semi").select("content", "size", "sketch", "bands", "rep")
     members = materialize(members, "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = source.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "content long, shingles binary")
     sets = materialize(sets.groupBy("content").agg(F.first("shingles").alias("shingles")), "shingles")
     buckets = materialize(shared.join(members.select("content", "rep"), "content"), "buckets")
+    drop(shared)
     names = nodes.select("content", "rep")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_sets = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         return materialize(with_sets.mapInArrow(_similar, "a long, b long"), "similar")
 
+    def components(found: DataFrame) -> DataFrame:
+        edges = found.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        return materialize(connected_components(edges), "components")
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        rows = rows.join(members.select("content", "size", "sketch"), "content").select("key", "content", "size", "sketch", *rows.columns[2:])
+        return rows.repartition("key").sortWithinPartitions("key", "content")
+
     tried = materialize(golay_pairs(nodes), "proposed")
-    found, comps, lo, hi = verified(tried), None, None, None
-    while True:
-        rows = buckets.withColumn("component", F.col("rep"))
-        if comps is not None:
-            rows = buckets.join(comps, buckets.rep == comps.node, "left").withColumn("component", F.coalesce("component", "rep"))
-            split = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-            rows = rows.join(few(materialize(split, "split")), "key", "left_semi")  # sketches go to buckets of several components only
-        rows = rows.select("key", "content", "component").join(members.drop("rep"), "content").select("key", "content", "size", "sketch", "component")
-        rows = rows.repartition("key").sortWithinPartitions("key", "content")
-        got = materialize(rows.mapInArrow(_proposer(lo, hi), "a long, b long").distinct(), "proposed")
-        pairs = got.filter("a is not null")
-        new = verified(pairs.join(tried, ["a", "b"], "left_anti"))
-        done = lo is not None and got.filter("a is null").isEmpty()
-        tried = tried.union(pairs)
-        if comps is None or not new.isEmpty():
-            found = found.union(new)
-            edges = found.join(names.toDF("a", "rep_a"), "a").join(names.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-            comps = materialize(connected_components(edges), "components")
-        if done:
-            break
-        lo, hi = (0, WINDOW) if lo is None else (hi, hi * WINDOW)
+    proposed = materialize(by_key(buckets.select("key", "content")).mapInArrow(_proposed, "a long, b long").distinct(), "proposed")
+    found = verified(tried).union(verified(proposed.join(tried, ["a", "b"], "left_anti")))
+    comps = components(found)
+    rows = buckets.join(comps, buckets.rep == comps.node, "left").select("key", "content", F.coalesce("component", "rep").alias("component"))
+    split = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    rows = rows.join(few(materialize(split, "split")), "key", "left_semi")  # sketches go to buckets of several components only
+    rest = materialize(by_key(rows).mapInArrow(_apart, "key long, content long, size int, component long"), "apart")
+    found = found.union(materialize(_blocks(rest, members, sets).mapInArrow(_linked, "a long, b long"), "similar"))
+    comps = components(found)
     named = every.join(comps, every.rep == comps.node, "left").select("content", F.coalesce("component", "rep").alias("component_id"), "copies")
     return join_hot(named_texts, materialize(named, "named"), ["content"]).select("doc_id", "component_id")
 
