@@ -12,6 +12,10 @@ from tiersum.llm import packing, quality, shingles, toxicity
 from tiersum.llm.common import materialize, table
 
 
+#: Runs that a worker keeps while it packs: fewer than by default, since its executor has run three stages before.
+PACKING_CACHE = 200_000
+
+
 def keep_sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labelled ones among docs, doesn't take for junk."""
     return quality.select_documents(docs, quality.fit(docs, quality.usability(table(spark, sf_dir, "labels"))))
@@ -32,7 +36,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the windows of 4,096 tokens; null and empty texts are the end id alone."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache_size=PACKING_CACHE)
 
 
 STAGES = [("quality", keep_sound), ("toxicity", keep_civil), ("near-duplicates", keep_one_of_each_group), ("packing", pack)]

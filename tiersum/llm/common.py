@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import materialize
 
-__all__ = ["WordCache", "few", "fit_texts", "is_held_out", "join_hot", "materialize", "per_worker", "remainder", "table"]
+__all__ = ["WordCache", "few", "fit_texts", "forget", "is_held_out", "join_hot", "materialize", "per_worker", "remainder", "table"]
 
 #: Tables of at most so many narrow rows may be broadcast, after a count of the rows.
 BROADCAST_ROWS = 1_000_000
@@ -96,17 +97,29 @@ class WordCache:
 _PER_WORKER: dict = {}
 
 
+def _task() -> int | None:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
+def forget() -> None:
+    """Drop what earlier tasks have left in this worker. Stages that keep nothing call it, so that the memory is free for them."""
+    task = _task()
+    for other in [k for k, v in _PER_WORKER.items() if v[2] != task]:
+        del _PER_WORKER[other]
+    pa.default_memory_pool().release_unused()
+
+
 def per_worker(key, make: Callable):
     """A value kept by a Python worker across tasks; one per kind, so that a newer model replaces an older.
 
     A task that needs a new value drops what it hasn't used itself, so that the caches of several stages don't add up.
     """
-    kind, context = key[0], TaskContext.get()
-    task = context.taskAttemptId() if context else None
+    kind, task = key[0], _task()
     held = _PER_WORKER.get(kind)
     if held is None or held[0] != key:
-        for other in [k for k, v in _PER_WORKER.items() if v[2] != task or k == kind]:
-            del _PER_WORKER[other]
+        _PER_WORKER.pop(kind, None)
+        forget()
         held = _PER_WORKER[kind] = [key, make(), task]
     held[2] = task
     return held[1]

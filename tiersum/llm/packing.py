@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersum.llm.bpe import default_vocabulary
-from tiersum.llm.common import materialize
+from tiersum.llm.common import forget, materialize
 from tiersum.llm.token_ids import id_encoder
 
 CAPACITY = 4096
 SEPARATOR = 2
+#: A worker keeps the ids of at most twice so many runs without white space.
+CACHED_RUNS = 600_000
 #: Documents of one length are ranked in groups of about so many.
 RANK_GROUP = 4096
 #: So many cut pieces are sent to the tokens at most.
@@ -35,7 +37,7 @@ BROADCAST_PIECES = 100_000
 PLAN_COLUMNS = ("length", "start", "lo", "hi", "piece", "sequence", "first", "per", "offset")
 
 
-def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = SEPARATOR) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = SEPARATOR, cache_size: int = CACHED_RUNS) -> DataFrame:
     """docs -> (row_id, doc_id, n, ids, first_sequence, window_crcs, rest_crc), with end_id after each document's ids.
 
     ids are little-endian, of 16 bits where the vocabulary allows it, else 32; the checksums are of 32-bit ids:
@@ -45,7 +47,7 @@ def tokenize(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = id_encoder(path)
+        own = id_encoder(path, cache_size)
         kind, end = "<u2" if max(own.largest, end_id) < 1 << 16 else "<u4", end_id.to_bytes(4, "little")
         window, task = 4 * capacity, TaskContext.get().partitionId()
         row, sequence = task << 33, (task + 1) << 40
@@ -212,6 +214,7 @@ def pack_tokens(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     whole = rows.filter("rest = 0").withColumn("rank", F.lit(-1).cast("long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             row, doc, n, first, rest_crc, rest, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "doc_id", "n", "first_sequence", "rest_crc", "rest", "rank"))
             full = n // capacity
@@ -252,11 +255,11 @@ def pack_tokens(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, cache_size: int = CACHED_RUNS) -> DataFrame:
     """docs -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
 
     Null and empty texts are the end id alone. Repeated rows are packed once each; a null id stays null. An empty
-    table gives none. Other columns are ignored.
+    table gives none. Other columns are ignored. cache_size bounds a worker's memory and changes no result.
     """
-    tokens = materialize(tokenize(docs, path, id_col, text_col, capacity), "tokens")
+    tokens = materialize(tokenize(docs, path, id_col, text_col, capacity, cache_size=cache_size), "tokens")
     return pack_tokens(tokens, capacity).drop("row_id")

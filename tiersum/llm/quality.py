@@ -127,7 +127,7 @@ def fit_ordinal(indices: list, shares: list, grade: np.ndarray, weight: np.ndarr
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordCache(word_features)
+    cache = per_worker(("quality features",), lambda: WordCache(word_features))
     for batch in batches:
         got = [features(t.as_py(), cache) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.list_(pa.float32())), batch.column(1)], ["index", "share", "grade"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import drop
-from tiersum.llm.common import few, join_hot, materialize
+from tiersum.llm.common import few, forget, join_hot, materialize
 from tiersum.llm.components import connected_components
 from tiersum.llm.simhash import links
 
@@ -82,6 +82,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         content, size, prints, sketch, bands = [], [], [], [], []
         for text in batch.column(1):

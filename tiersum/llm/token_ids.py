@@ -116,5 +116,5 @@ class IdEncoder:
         return self.encode_many([text])[0]
 
 
-def id_encoder(path: str) -> IdEncoder:
-    return per_worker(("token ids", path), lambda: IdEncoder(path))
+def id_encoder(path: str, cache_size: int = 600_000) -> IdEncoder:
+    return per_worker(("token ids", path, cache_size), lambda: IdEncoder(path, cache_size))

@@ -133,7 +133,7 @@ def fit_noisy_or(index: list[np.ndarray], sentence: list[np.ndarray], label: np.
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordCache(word_features)
+    cache = per_worker(("toxicity features",), lambda: WordCache(word_features))
     for batch in batches:
         index, sentence = [], []
         for t in batch.column(0):
