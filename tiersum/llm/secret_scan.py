@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,7 @@ def vocabulary_ranks(path: str) -> dict[str, int]:
 class GuessCost:
     def __init__(self, ranks: dict[str, int]):
         self.ranks = ranks
+        self.starts = {w[:k] for w in ranks for k in range(1, len(w) + 1)}
 
     def word(self, own: str) -> float | None:
         """Cost of a word in this spelling, None if it isn't one."""
@@ -105,7 +107,9 @@ class GuessCost:
 
     def ahead(self, value: str) -> Iterator[list[tuple[int, str, float]]]:
         """For each position, the (end, kind, cost) of words, dates, repeats and walks that start there."""
-        n, low = len(value), value.lower()
+        n, low = len(value), "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        plain = low.translate(LEET)
+        force = [0.0, *accumulate(map(character_cost, value))]
         same = []  # for each root length, how many characters from a position on equal the one a root further
         for p in range(1, LONGEST_ROOT + 1):
             run = [0] * (n + 1)
@@ -121,6 +125,8 @@ class GuessCost:
         for i in range(n):
             found = []
             for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+                if low[i:j] not in self.starts and plain[i:j] not in self.starts:
+                    break
                 cost = self.word(value[i:j])
                 if cost is not None:
                     found.append((j, "word", cost))
@@ -133,8 +139,8 @@ class GuessCost:
             for p, run in enumerate(same, 1):
                 times = 1 + run[i] // p
                 if times >= (3 if p == 1 else 2):
-                    root = value[i : i + p]
-                    cost = min(sum(map(character_cost, root)), self.word(root) if p >= 3 and self.word(root) is not None else math.inf)
+                    word = self.word(value[i : i + p]) if p >= 3 and plain[i : i + p] in self.ranks else None
+                    cost = force[i + p] - force[i] if word is None else min(word, force[i + p] - force[i])
                     found.append((i + p * times, "repeat", cost + math.log10(times)))
             if reach[i] >= LEAST_WALK:
                 found.append((i + reach[i], "walk", WALK_COST + math.log10(reach[i]) + turns[i] * math.log10(6)))
