@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tiersum.functions import scratch
 from tiersum.jobs import publication
-from tiersum.operators import backtest, clean, hierarchy, inference, metrics, reconcile
+from tiersum.operators import backtest, clean, factors, hierarchy, inference, metrics, reconcile
 from tiersum.sources import raw
 
 NOW = datetime(2024, 1, 1)
@@ -103,7 +103,7 @@ def test_every_ratio_is_defined(spark, edges):
     assert inference.ljung_box(flat, ["unique_id"], [3]).count() == 0
     single = flat.filter("unique_id = 'one'").withColumn("origin", F.lit(1)).select("origin", "unique_id", "ds", "e")
     two = single.union(single.withColumn("unique_id", F.lit("two")))
-    assert [r.intensity for r in reconcile.shrinkage(two).collect()] == [1.0]
+    assert [r.intensity for r in factors.shrinkage(two).collect()] == [1.0]
 
 
 def test_infinite_values_are_violations(spark):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tiersum.operators import backtest, clean, counts, hierarchy, inference, metrics, reconcile
+from tiersum.operators import backtest, clean, counts, factors, hierarchy, inference, metrics, reconcile
 
 NOW = datetime(2024, 1, 1)
 
@@ -109,7 +109,7 @@ def test_shrinkage_equals_the_dense_formula(spark, t, m, rho):
     rng = np.random.default_rng(t)
     e = rng.normal(size=(t, m)) + rho * rng.normal(size=(t, 1))
     rows = [(NOW, f"s{i}", NOW + timedelta(days=k), float(e[k, i])) for k in range(t) for i in range(m)]
-    (got,) = reconcile.shrinkage(spark.createDataFrame(rows, "origin timestamp, unique_id string, ds timestamp, e double")).collect()
+    (got,) = factors.shrinkage(spark.createDataFrame(rows, "origin timestamp, unique_id string, ds timestamp, e double")).collect()
     assert got.intensity == pytest.approx(dense_intensity(e), rel=1e-9) and got.t == t
 
 

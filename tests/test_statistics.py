@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tiersum.operators import backtest, counts, hierarchy, inference, reconcile, resample, tails
+from tiersum.operators import backtest, counts, factors, hierarchy, inference, reconcile, resample, tails
 
 NOW = datetime(2024, 1, 1)
 RESIDUALS = "origin timestamp, unique_id string, ds timestamp, e double"
@@ -62,9 +62,9 @@ def test_blocks_of_series_give_the_whole_covariance(spark, monkeypatch):
     for (i, j), r in got.items():
         a, b = int(i[1:]), int(j[1:])
         assert a <= b and r.plan == pytest.approx(plan[a, b]) and r["sample"] == pytest.approx(sample[a, b])
-    whole = reconcile.shrinkage(table(spark, e)).first().intensity
-    steps = {r.t: r.intensity for r in reconcile.expanding_shrinkage(table(spark, e)).collect()}
-    assert steps[30] == pytest.approx(whole) and steps[12] == pytest.approx(reconcile.shrinkage(table(spark, e[:12])).first().intensity)
+    whole = factors.shrinkage(table(spark, e)).first().intensity
+    steps = {r.t: r.intensity for r in factors.expanding_shrinkage(table(spark, e)).collect()}
+    assert steps[30] == pytest.approx(whole) and steps[12] == pytest.approx(factors.shrinkage(table(spark, e[:12])).first().intensity)
     corr = {(r.i, r.j): r.r for r in inference.correlations(table(spark, e).drop("origin")).collect()}
     assert corr["s000", "s001"] == pytest.approx(np.corrcoef(e[:, 0], e[:, 1])[0, 1]) and len(corr) == 55
 
@@ -208,7 +208,7 @@ def test_gaussian_counts_equal_the_matrix_formula(spark):
     e = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 3))
     residuals = spark.createDataFrame([(u, t, float(e[t, k])) for t in range(300) for k, (u, _) in enumerate(upper)], "id string, t int, e double")
     got = {r.id: r for r in counts.gaussian(spark.createDataFrame(upper, "id string, mu double"), residuals, spark.createDataFrame(items, "item string, mu double, var double"), spark.createDataFrame(edges, "upper_id string, item string")).collect()}
-    lam = reconcile.shrinkage(residuals.select(F.lit(0).alias("origin"), F.col("id").alias("unique_id"), F.col("t").alias("ds"), "e")).first().intensity
+    lam = factors.shrinkage(residuals.select(F.lit(0).alias("origin"), F.col("id").alias("unique_id"), F.col("t").alias("ds"), "e")).first().intensity
     w1 = e.T @ e / 300
     sigma = (1 - lam) * w1 + lam * np.diag(np.diag(w1))
     a = np.array([[float((u, i) in edges) for i in "abcd"] for u, _ in upper])

@@ -8,6 +8,10 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tiersum.functions import files
+
+#: How often the scratch folder has been cleared: what is kept of its tables holds within one era.
+_ERA = 0
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -34,17 +38,18 @@ def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def era() -> int:
+    return _ERA
 
 
 def drop(stored: DataFrame | None) -> None:
     """Delete a table that `materialize` returned and that nothing reads any more."""
     if stored is not None and (path := _PATHS.pop(stored, None)):
-        _delete(stored.sparkSession, path)
+        files.delete(stored.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all of this application's tables, when their results have been used."""
-    _delete(spark, scratch_dir(spark))
+    """Delete all of this application's tables, when their results have been used. Whoever keeps tables makes them anew in the next era."""
+    global _ERA
+    _ERA += 1
+    files.delete(spark, scratch_dir(spark))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tiersum.functions.scratch import materialize
 from tiersum.jobs.queries import _BOOT, _LAST, _PAIRS, FORECASTS, LEAVES, LEVEL_WEIGHTS, RESIDUALS, _L, _last_errors, gate_sql, query, sql_erfc, stamp, two_pass, uniform
 from tiersum.jobs.study import HORIZON, KEYS, SEASON, STUDIES, Study
-from tiersum.operators import backtest, inference, metrics, reconcile, resample
+from tiersum.operators import backtest, factors, inference, metrics, reconcile, resample
 from tiersum.operators.tails import student_tail
 
 # studies
@@ -50,8 +50,18 @@ def b14_wide(spark, d):
 
 @query()
 def r4_weight_diagnostics(spark, d):
-    s = Study.of(spark, d)
-    return reconcile.weight_diagnostics(reconcile.pair_moments(s.residuals()), s.edges)
+    return factors.weight_diagnostics(Study.of(spark, d).residuals())
+
+
+@query()
+def r4_study_medians(spark, d):
+    """Median intensity and condition over the origins of two studies."""
+    out = None
+    for name in ("robustness", "seasonal"):
+        own = factors.weight_diagnostics(Study.of(spark, d, name).residuals())
+        part = own.agg(F.lit(name).alias("study"), F.count("*").alias("origins"), F.median("intensity").alias("intensity"), F.median("cond_w").alias("cond_w"), F.median("rank_w1").alias("rank_w1"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 @query(
@@ -67,7 +77,7 @@ def r5_choose_by_size(spark, d):
 def r5_choose_by_condition(spark, d):
     s = Study.of(spark, d)
     residuals = s.residuals()
-    condition = reconcile.weight_diagnostics(reconcile.pair_moments(residuals), s.edges)
+    condition = factors.weight_diagnostics(residuals)
     return reconcile.choose_method(residuals, 20, condition=condition)
 
 
@@ -113,10 +123,7 @@ def r9_past_errors_window(spark, d):
 @query()
 def r9_past_errors_full(spark, d):
     s = Study.of(spark, d, "robustness")
-    moments = materialize(reconcile.pair_moments(backtest.past_errors(s.own_errors(), s.origins, HORIZON, MIN_PAST)), "moments")
-    weights = reconcile.shrunk(moments.select("origin", "i", "j", F.col("sample").alias("w")), reconcile.intensity_of(moments))
-    own = s.own().join(moments.select("origin").distinct(), "origin", "left_semi")
-    return reconcile.minimum_trace(own, s.edges, weights)
+    return s.past_error_trace(MIN_PAST)
 
 
 @query()
@@ -160,7 +167,22 @@ SELECT CAST(t AS BIGINT) AS t, round(greatest(0, least(1, t * over / (pow(t - 1,
 )
 def r16_expanding_shrinkage(spark, d):
     errors = _last_errors(spark, d).withColumn("origin", F.lit(0))
-    return reconcile.expanding_shrinkage(errors).select("t", "intensity")
+    return factors.expanding_shrinkage(errors).select("t", "intensity")
+
+
+@query()
+def r16_expanding_conditions(spark, d):
+    """Condition and rank from the first t residuals of the last origin, for every t."""
+    return factors.weight_diagnostics(_last_errors(spark, d).withColumn("origin", F.lit(0)), least=2).drop("origin")
+
+
+@query()
+def r8_factor_form(spark, d):
+    """r8_minimum_trace without a matrix of series."""
+    s = Study.of(spark, d)
+    residuals = materialize(s.residuals(), "residuals")
+    own = s.own().join(residuals.select("origin").distinct(), "origin", "left_semi")
+    return factors.minimum_trace(own, s.nodes, residuals, factors.shrinkage(residuals), len(KEYS))
 
 
 @query(

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyspark
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiersum.functions import files
 from tiersum.functions.scratch import materialize
-from tiersum.operators import backtest, clean, hierarchy, metrics, reconcile
+from tiersum.operators import backtest, clean, factors, hierarchy, metrics, reconcile
 
 REGISTRY = "source string, s_hash string"
+#: What a run leaves. Below _attempts, which readers skip, until it is committed; then each below run_id=...
+PARTS = ["forecast_reconciled", "gate_report", "lineage"]
 
 
 @dataclass
@@ -43,32 +49,76 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_hash(spark: SparkSession, edges: DataFrame, source: str, path: str) -> str:
-    """The hierarchy's fingerprint; a source version known with another one is refused, an unknown one is registered."""
-    current = hierarchy.fingerprint(edges)
-    own, known = current.first()["s_hash"], registry(spark, path)
-    bad = hierarchy.hash_violations(current, known, source).limit(1).collect()
-    if bad:
-        raise ValueError(f"the hierarchy of {source} has changed: {bad[0]['registered'][:12]} is registered, this is {own[:12]}; a changed hierarchy needs a new version")
-    if known.filter(F.col("source") == source).isEmpty():
-        current.select(F.lit(source).alias("source"), "s_hash").coalesce(1).write.mode("append").json(path)
+    """The hierarchy's fingerprint; a source version known with another one is refused, an unknown one is registered.
+
+    A version's record is a file of its own that only one job can write; one that comes second is held against it.
+    """
+    own = hierarchy.fingerprint(edges).first()["s_hash"]
+    record = f"{path}/{hashlib.sha256(source.encode()).hexdigest()[:32]}.json"
+    files.put_once(spark, record, json.dumps({"source": source, "s_hash": own}) + "\n")
+    known = json.loads(files.get(spark, record))["s_hash"]
+    if known != own:
+        raise ValueError(f"the hierarchy of {source} has changed: {known[:12]} is registered, this is {own[:12]}; a changed hierarchy needs a new version")
     return own
 
 
+def _commit(path: str, run: str) -> str:
+    return f"{path}/_commits/{quote(run, safe='')}.json"
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Move the parts of committed runs to where readers look, after which their attempts are gone; uncommitted attempts stay unseen.
+
+    Every job does so before and after its own commit, so that a run whose job died after its commit is finished by the next.
+    """
+    for attempt in files.names(spark, f"{path}/_attempts"):
+        run = unquote(attempt.rsplit("@", 1)[0])
+        record = files.get(spark, _commit(path, run))
+        if record is None or json.loads(record)["attempt"] != attempt:
+            continue
+        for part in PARTS:
+            source, target = f"{path}/_attempts/{attempt}/{part}", f"{path}/{part}/run_id={quote(run, safe='')}"
+            if files.exists(spark, source) and not files.exists(spark, target):
+                files.move(spark, source, target)
+        files.delete(spark, f"{path}/_attempts/{attempt}")
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, attempt, published) of the committed runs."""
+    schema = "run_id string, attempt string, published boolean"
+    return spark.read.schema(schema).json(f"{path}/_commits/*.json") if files.names(spark, f"{path}/_commits") else spark.createDataFrame([], schema)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The forecasts of all committed and published runs, None before the first. Runs whose job died after its commit are finished first."""
+    settle(spark, path)
+    return spark.read.parquet(f"{path}/forecast_reconciled") if files.names(spark, f"{path}/forecast_reconciled") else None
+
+
 def publish(forecasts: DataFrame, checks: DataFrame, lineage: dict, path: str) -> bool:
-    """Writes lineage and gate report of a run, and its forecasts if all blocking checks passed. A run is written once: one that exists is refused.
+    """Writes lineage and gate report of a run, and its forecasts if all blocking checks passed. A run is committed once: one that is already is refused.
 
-    forecasts(origin, unique_id, ds, y_hat) go to forecast_reconciled/run_id=.../forecast_date=.... Returns whether they were published.
+    forecasts(origin, unique_id, ds, y_hat) go to forecast_reconciled/run_id=.../forecast_date=.... All parts are written to an attempt's own folder; then one
+    record, which only one attempt can write, tells which attempt is the run and whether it is published. A run that died before may be run again.
+    Returns whether the forecasts were published.
     """
     spark, run = forecasts.sparkSession, lineage["run_id"]
+    settle(spark, path)
+    if files.exists(spark, _commit(path, run)):
+        raise ValueError(f"run {run} exists already")
+    attempt = f"{quote(run, safe='')}@{uuid.uuid4().hex}"
+    stage = f"{path}/_attempts/{attempt}"
     report = checks.select("check", "value", "passed", "blocking")
     passed = not checks.isEmpty() and checks.filter("blocking and not passed").isEmpty()
     told = {k: v if isinstance(v, str) else json.dumps(v, sort_keys=True) for k, v in (lineage | {"published": passed, "spark": pyspark.__version__}).items()}
-    one = spark.createDataFrame([(told,)], "lineage map<string,string>")
-    one.coalesce(1).write.mode("errorifexists").json(f"{path}/lineage/run_id={run}")
-    report.coalesce(1).write.mode("errorifexists").json(f"{path}/gate_report/run_id={run}")
     if passed:
         out = forecasts.withColumn("forecast_date", F.date_format("origin", "yyyy-MM-dd"))
-        out.write.mode("errorifexists").partitionBy("forecast_date").parquet(f"{path}/forecast_reconciled/run_id={run}")
+        out.write.partitionBy("forecast_date").parquet(f"{stage}/{PARTS[0]}")
+    report.coalesce(1).write.json(f"{stage}/{PARTS[1]}")
+    spark.createDataFrame([(told,)], "lineage map<string,string>").coalesce(1).write.json(f"{stage}/{PARTS[2]}")
+    if not files.put_once(spark, _commit(path, run), json.dumps({"run_id": run, "attempt": attempt, "published": passed}) + "\n"):
+        raise ValueError(f"run {run} exists already: another attempt was faster")
+    settle(spark, path)
     return passed
 
 
@@ -93,13 +143,11 @@ def run_job(leaves: DataFrame, contract: Contract, path: str, source: str, run_i
     residuals = materialize(residuals, "residuals")
     if not backtest.leakage(residuals).isEmpty():
         raise ValueError("residuals from the forecast's own time")
-    moments = materialize(reconcile.pair_moments(residuals), "moments")
-    condition = reconcile.weight_diagnostics(moments, edges)
+    condition = factors.weight_diagnostics(residuals)
     chosen = reconcile.choose_method(residuals, contract.min_residuals, condition=condition, max_condition=contract.max_condition).first()
     if chosen is not None and chosen["method"] == "mint_shrink":
         method, reason = "mint_shrink", chosen["reason"]
-        weights = reconcile.shrunk(moments.select("origin", "i", "j", F.col("plan").alias("w")), reconcile.intensity_of(moments))
-        own = reconcile.minimum_trace(base, edges, weights)
+        own = factors.minimum_trace_of(base, nodes, edges, residuals, depth)
     else:
         method, reason = "wls_struct", chosen["reason"] if chosen is not None else "no residuals"
         own = reconcile.tree_least_squares(base, nodes, nodes.select("unique_id", F.col("n_leaves").cast("double").alias("v")), depth)

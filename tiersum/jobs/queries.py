@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import materialize
 from tiersum.jobs.study import HORIZON, KEYS, SEASON, Study
-from tiersum.operators import backtest, clean, counts, hierarchy, inference, metrics, reconcile, resample
+from tiersum.operators import backtest, clean, counts, factors, hierarchy, inference, metrics, reconcile, resample
 from tiersum.operators.tails import ERFC
 from tiersum.sources import views
 
@@ -347,7 +347,7 @@ lam AS (SELECT origin, greatest(0, least(1, max(t) / pow(max(t) - 1, 3) * sum(t
 
 @query(f"{_X} SELECT {stamp('origin')} AS origin, round(intensity, 6) AS intensity, t FROM lam")
 def r2_shrinkage(spark, d):
-    return reconcile.shrinkage(Study.of(spark, d).residuals())
+    return factors.shrinkage(Study.of(spark, d).residuals())
 
 
 @query(f"{_X}{_PAIRS}, w AS (SELECT origin, i, j, avg(ei * ej) / 1000000 AS w FROM pairs WHERE i <= j GROUP BY 1, 2, 3) SELECT {stamp('w.origin')} AS origin, i, j, round(CASE WHEN i = j THEN w ELSE (1 - intensity) * w END, 6) AS w FROM w JOIN lam ON lam.origin = w.origin")

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiersum.functions import files, scratch
 from tiersum.functions.scratch import materialize
-from tiersum.operators import backtest, hierarchy, metrics, reconcile
+from tiersum.operators import backtest, factors, hierarchy, metrics, reconcile
 from tiersum.sources import views
 
 KEYS, SEASON, HORIZON = ["region", "nation"], 12, 6
@@ -26,12 +27,17 @@ class Study:
     origins: DataFrame
     base: DataFrame
     made: DataFrame | None = None
+    state: tuple = ()
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, name: str | None = None) -> Study:
-        """The study of five half-yearly origins, or a named one. Its tables are made once for each folder in an application."""
+        """The study of five half-yearly origins, or a named one.
+
+        Its tables are made once for each folder in an application, and again when the scratch folder was cleared or a file of the folder's tables has changed.
+        """
         key = (spark.sparkContext.applicationId, sf_dir, name)
-        if key not in _STUDIES:
+        state = (scratch.era(), files.signature(spark, [f"{sf_dir}/{t}.parquet" for t in views.REVENUE_TABLES]))
+        if key not in _STUDIES or _STUDIES[key].state != state:
             if name is None:
                 leaves = materialize(views.monthly_revenue(spark, sf_dir), "leaves")  # every later step reads the aggregated leaves, not the orders
                 series = materialize(hierarchy.build_hierarchy(leaves, KEYS), "series")
@@ -43,7 +49,7 @@ class Study:
                 origins = backtest.study_origins(series, STUDIES, name).select("origin")
             origins = materialize(origins, "origins")
             base = materialize(backtest.seasonal_forecasts(series, origins, HORIZON, SEASON), "base")
-            _STUDIES[key] = cls(leaves, series, materialize(nodes, "nodes"), materialize(edges, "edges"), origins, base)
+            _STUDIES[key] = cls(leaves, series, materialize(nodes, "nodes"), materialize(edges, "edges"), origins, base, state=state)
         return _STUDIES[key]
 
     def own(self) -> DataFrame:
@@ -73,9 +79,14 @@ class Study:
         return backtest.fitted_residuals(self.series, self.origins, SEASON)
 
     def minimum_trace(self) -> DataFrame:
-        moments = materialize(reconcile.pair_moments(self.residuals()), "moments")
-        weights = reconcile.shrunk(moments.select("origin", "i", "j", F.col("plan").alias("w")), reconcile.intensity_of(moments))
-        return reconcile.minimum_trace(self.own(), self.edges, weights)
+        return factors.minimum_trace_of(self.own(), self.nodes, self.edges, self.residuals(), len(KEYS))
+
+    def past_errors(self, min_past: int, window: int | None = None) -> DataFrame:
+        return backtest.past_errors(self.own_errors(), self.origins, HORIZON, min_past, window)
+
+    def past_error_trace(self, min_past: int, window: int | None = None) -> DataFrame:
+        """Reconciliation with the shrunk sample covariance of past out-of-sample errors."""
+        return factors.minimum_trace_of(self.own(), self.nodes, self.edges, self.past_errors(min_past, window), len(KEYS), base="library")
 
     def own_errors(self) -> DataFrame:
         """(origin, unique_id, ds, e) of the base forecasts."""
@@ -86,11 +97,8 @@ class Study:
 
         Origins with fewer than min_past finished ones lack the last two.
         """
-        errors, own = self.own_errors(), self.own()
-        past = materialize(reconcile.pair_moments(backtest.past_errors(errors, self.origins, HORIZON, min_past, window)), "moments")
-        full = reconcile.shrunk(past.select("origin", "i", "j", F.col("sample").alias("w")), reconcile.intensity_of(past))
-        kept = own.join(past.select("origin").distinct(), "origin", "left_semi")
-        parts = {"mint_shrink": self.minimum_trace(), "mint_oos": reconcile.minimum_trace(kept, self.edges, full), "wls_oos": reconcile.tree_least_squares(kept, self.nodes, backtest.past_error_variances(errors, self.origins, HORIZON, min_past, window), len(KEYS))}
+        variances = backtest.past_error_variances(self.own_errors(), self.origins, HORIZON, min_past, window)
+        parts = {"mint_shrink": self.minimum_trace(), "mint_oos": self.past_error_trace(min_past, window), "wls_oos": reconcile.tree_least_squares(self.own(), self.nodes, variances, len(KEYS))}
         columns = ["origin", "unique_id", "ds", "horizon", "method", "y_hat"]
         out = self.reconciled().select(columns)
         for name, part in parts.items():

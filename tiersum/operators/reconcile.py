@@ -131,50 +131,13 @@ def intensity_of(moments: DataFrame) -> DataFrame:
     return pair_table(moments).groupBy("origin").agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.sum("var_r"), F.sum("r2")))), F.lit(1.0)).alias("intensity"), F.max("t").alias("t"))
 
 
-def shrinkage(residuals: DataFrame) -> DataFrame:
-    return intensity_of(pair_moments(residuals))
-
-
-def expanding_shrinkage(residuals: DataFrame, least: int = 2) -> DataFrame:
-    """(origin, t, intensity): the intensity from the first t instants, for every t from `least` on.
-
-    Running sums by pair inside the block pairs; a block pair gives one row of two sums for each t.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = _sides(group)
-        if sides is None:
-            return pd.DataFrame(columns=["origin", "t", "over", "under"])
-        a, x, b, y, same = sides
-        n = np.arange(1, len(x) + 1)
-        fx, fy = (np.cumsum(v * v, axis=0) / n[:, None] for v in (x, y))
-        r, q = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-        rows = []
-        for k in range(len(x)):
-            r += np.outer(x[k], y[k])
-            q += np.outer(x[k] ** 2, y[k] ** 2)
-            scale = np.outer(fx[k], fy[k])
-            ok = scale > 0
-            if same:
-                ok = np.triu(ok, 1)
-            r2, qs = (r[ok] / n[k]) ** 2 / scale[ok], q[ok] / n[k] / scale[ok]
-            rows.append((group["origin"].iloc[0], int(n[k]), float((n[k] * (qs - r2)).sum()), float(r2.sum())))
-        return pd.DataFrame(rows, columns=["origin", "t", "over", "under"])
-
-    kind = residuals.schema["origin"].dataType.simpleString()
-    parts = _block_pairs(residuals).groupBy("origin", "lo", "hi").applyInPandas(run, f"origin {kind}, t long, over double, under double").filter(F.col("t") >= least)
-    t = F.col("t")
-    raw = F.try_divide(t * F.col("over"), F.pow(t - 1, F.lit(3)) * F.col("under"))
-    return parts.groupBy("origin", "t").agg(F.sum("over").alias("over"), F.sum("under").alias("under")).select("origin", "t", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(1.0)).alias("intensity"))
-
-
 def shrunk(cov: DataFrame, intensity: DataFrame) -> DataFrame:
     """(origin, i, j, w): variances kept, covariances times 1 - intensity; an origin without one has 1."""
     joined = cov.join(intensity.select("origin", "intensity"), "origin", "left")
     return joined.select("origin", "i", "j", F.when(F.col("i") == F.col("j"), F.col("w")).otherwise((1 - F.coalesce("intensity", F.lit(1.0))) * F.col("w")).alias("w"))
 
 
-#: Series of a full covariance at most: it is one task's matrix.
+#: Series of a covariance held as a matrix at most; `factors` has no such bound.
 MAX_SERIES = 4_000
 
 
@@ -185,7 +148,7 @@ def structure(edges: DataFrame) -> tuple[list[str], np.ndarray]:
     leaves = sorted({b for _, b in rows})
     tops = sorted({a for a, _ in rows} - set(leaves))
     if len(rows) > most or len(tops) + len(leaves) > MAX_SERIES:
-        raise ValueError(f"more than {MAX_SERIES} series: use diagonal weights, which need no matrix")
+        raise ValueError(f"more than {MAX_SERIES} series: use the factor form, which needs no matrix")
     at = {u: k for k, u in enumerate(tops + leaves)}
     c = np.hstack((np.eye(len(tops)), np.zeros((len(tops), len(leaves)))))
     for a, b in rows:
@@ -240,21 +203,6 @@ def minimum_trace(forecasts: DataFrame, edges: DataFrame, weights: DataFrame, ke
     return own.join(changes, ["origin", *keys, "unique_id"]).select("origin", *keys, "unique_id", (F.col("y_hat") - F.col("change")).alias("y_hat"))
 
 
-def weight_diagnostics(moments: DataFrame, edges: DataFrame) -> DataFrame:
-    """pair_moments -> (origin, t, m, intensity, cond_w1, rank_w1, cond_w): condition of the plain and the shrunk covariance, rank of the plain one."""
-    order, _ = structure(edges)
-    w1 = moments.select("origin", "i", "j", F.col("plan").alias("w"), "t").join(intensity_of(moments).select("origin", "intensity"), "origin", "left")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        w, lam = _dense(group, order), group["intensity"].iloc[0]
-        lam = 1.0 if pd.isna(lam) else float(lam)
-        shrunk_w = (1 - lam) * w + lam * np.diag(np.diag(w))
-        return pd.DataFrame({"origin": [group["origin"].iloc[0]], "t": [int(group["t"].iloc[0])], "m": [len(order)], "intensity": [lam], "cond_w1": [np.linalg.cond(w)], "rank_w1": [int(np.linalg.matrix_rank(w))], "cond_w": [np.linalg.cond(shrunk_w)]})
-
-    kind = moments.schema["origin"].dataType.simpleString()
-    return w1.groupBy("origin").applyInPandas(run, f"origin {kind}, t long, m long, intensity double, cond_w1 double, rank_w1 long, cond_w double")
-
-
 def choose_method(residuals: DataFrame, min_rows: int, more_series: bool = False, condition: DataFrame | None = None, max_condition: float = 1e8) -> DataFrame:
     """(origin, method, reason): shrunk covariance, or structural weights with the first reason that applies.
 

@@ -17,6 +17,10 @@ def complete_grid(leaves: DataFrame, keys: list[str], step: str) -> DataFrame:
     return grid.join(leaves, [*keys, "ds"], "left").select(*keys, "ds", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
+#: The tables that monthly_revenue reads.
+REVENUE_TABLES = ["orders", "customer", "nation", "region"]
+
+
 def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(region, nation, ds, y): revenue in thousands by month of order, on a complete grid."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.date_trunc("month", "o_orderdate").alias("ds"), "o_totalprice")
