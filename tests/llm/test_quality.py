@@ -64,6 +64,7 @@ def test_defined_cases(spark):
     assert len(got) == 65 and all(0 <= r.tail <= 1 for r in got)
     blank = {(r.tail, r.expected_grade) for r in got if r.doc_id in (100, 101)}
     assert len(blank) == 1
+    assert all(not r.selected and r.tail < 1e-9 and r.expected_grade == pytest.approx(0) for r in got if r.doc_id in (100, 101))
     none = quality.fit(table, spark.createDataFrame([], "doc_id long, rating int"))
     assert {(r.tail, r.expected_grade, r.selected) for r in quality.grade_documents(table, none).collect()} == {(1.0, 0.0, True)}
     assert quality.grade_documents(table.limit(0), model).count() == 0
@@ -89,3 +90,19 @@ def test_repeated_ids_and_long_texts_leave_the_fit_bounded(spark):
     got = common.fit_texts(table, sample, "grade", "doc_id", "text", 100_000).collect()
     assert len(got) == 60 and max(len(r.text) for r in got) < 1000
     assert len(common.fit_texts(table, sample, "grade", "doc_id", "text", 6_000).collect()) < 60
+
+
+def test_grades_equal_brute_force(spark):
+    """All rows by the model's formula, one word at a time."""
+    docs, ratings = corpus(120)
+    odd = [(500, None, "", ""), (501, " \t", "", ""), (502, "the the River! " * 9_000, "", ""), (-1, docs[1][1], "", "")]
+    table = spark.createDataFrame(docs + odd, DOCS)
+    model = quality.fit(table, spark.createDataFrame(ratings, "doc_id long, rating int"))
+    got = {r.doc_id: r for r in quality.grade_documents(table, model).collect()}
+    for i, text, *_ in docs + odd:
+        words = (text or "").split()
+        score = sum(float(model.weights[f]) for w in words for f in quality.word_features(w)) + sum(float(model.weights[quality.REPEAT]) for a, b in zip(words, words[1:]) if a == b)
+        tails = [1 / (1 + np.exp(t - score / len(words))) if words else 0.0 for t in model.thresholds]
+        expected = model.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, model.grades, model.grades[1:]))
+        assert got[i].tail == pytest.approx(tails[0], abs=1e-5) and got[i].expected_grade == pytest.approx(expected, abs=1e-5)
+        assert got[i].selected == (got[i].tail >= 0.5)

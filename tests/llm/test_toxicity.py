@@ -69,3 +69,28 @@ def test_defined_cases(spark):
     blank = toxicity.fit(table, spark.createDataFrame([], "doc_id long, toxic int"))
     assert max(r.score for r in toxicity.score_documents(table.filter("doc_id < 50"), blank).collect()) < 0.3
     assert toxicity.score_documents(table.limit(0), model).count() == toxicity.locate(table.limit(0), model).count() == 0
+
+
+def test_scores_and_worst_sentences_equal_brute_force(spark):
+    """All rows by the model's formula, one word at a time."""
+    docs, labels = corpus(150)
+    odd = [(500, None, "", ""), (501, " . ", "", ""), (502, "calm words. " * 4_000 + "you skazzle. " + "calm words. " * 4_000, "", "")]
+    table = spark.createDataFrame(docs + odd, DOCS)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_documents(table, model).collect()}
+    found = 0
+    for i, text, *_ in docs + odd:
+        spans = list(toxicity.sentences(text))
+        p = []
+        for a, b in spans:
+            z = float(model.bias) + sum(float(model.weights[f]) for w in text[a:b].split() for f in toxicity.word_features(w))
+            p.append(1 / (1 + np.exp(-z)))
+        row, score = got[i], 1 - np.prod([1 - q for q in p])
+        assert abs(row.score - score) < 1e-4 and row.predicted == int(row.score >= 0.3)
+        if row.predicted:
+            k = spans.index((row.worst_start, row.worst_end))
+            found += 1
+            assert abs(row.worst_score - max(p)) < 1e-4 and abs(p[k] - max(p)) < 1e-6
+        else:
+            assert (row.worst_start, row.worst_end, row.worst_score) == (None, None, None)
+    assert found > 40

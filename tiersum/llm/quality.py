@@ -68,8 +68,8 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def latent(self, texts, cache=None) -> np.ndarray:
-        """Latent score of each text; 0 where there are no tokens."""
-        w, out = self.weights, np.zeros(len(texts))
+        """Latent score of each text; minus infinity, below any threshold, where there are no tokens."""
+        w, out = self.weights, np.full(len(texts), -np.inf)
         cache = cache or WordCache(lambda word: float(w[list(word_features(word))].sum()))
         for k, text in enumerate(texts):
             words = (text or "").split()
@@ -180,7 +180,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
     """docs -> (doc_id, held_out, expected_grade, tail, selected), one row per row of docs.
 
     tail is P(grade >= min_grade), min_grade being a position among the grades; selected is tail >= min_tail. Texts
-    without tokens (null, empty, blank) have the latent score 0. With a single grade there is nothing to choose: tail is 1. Other columns
+    without tokens (null, empty, blank) have the lowest grade and a tail of 0 or next to it. With a single grade there is nothing to choose: tail is 1. Other columns
     are ignored; repeated rows get the same values.
     """
     spark = docs.sparkSession

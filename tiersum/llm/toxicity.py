@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -169,32 +170,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit_noisy_or(lists("index"), [np.repeat(np.arange(len(n)), n) for n in lists("sentence")], label, weight)
 
 
-def scorer(spark: SparkSession, model: NoisyOrModel, text: Column) -> Column:
-    """Column of the noisy-or probability of a text, 0 where it has no sentence."""
+RATED = "score double, worst_start long, worst_end long, worst_score double"
+
+
+def scorer(spark: SparkSession, model: NoisyOrModel, text: Column, threshold: float = THRESHOLD) -> Column:
+    """Column of struct<score, worst_start, worst_end, worst_score>: the noisy-or probability of a text, 0 where it has no sentence; from the threshold on, the
+    place of the sentence that is likeliest to offend (the first of equal ones) and its own probability."""
     held, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(RATED)
+    def score(texts: pd.Series) -> pd.DataFrame:
         own = held.value
         word = per_worker(("noisy-or", tag), lambda: WordCache(own.word))
-        return pd.Series([float(-np.expm1(-softplus(own.sentence_logits(t, word)).sum())) if t else 0.0 for t in texts])
+        rows = []
+        for t in texts:
+            logits = own.sentence_logits(t, word) if t else []
+            total = float(-np.expm1(-softplus(logits).sum())) if len(logits) else 0.0
+            start = end = worst = None
+            if len(logits) and total >= threshold:
+                k = int(np.argmax(logits))
+                start, end = next(islice(sentences(t), k, None))
+                worst = float(1 / (1 + np.exp(-np.clip(logits[k], -500, 500))))
+            rows.append((total, start, end, worst))
+        out = pd.DataFrame(rows, columns=["score", "worst_start", "worst_end", "worst_score"])
+        return out.astype({"worst_start": "Int64", "worst_end": "Int64", "worst_score": "Float64"})
 
     return score(text)
 
 
 def score_documents(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs -> (doc_id, held_out, score, predicted), one row per row of docs.
+    """docs -> (doc_id, held_out, score, predicted, worst_start, worst_end, worst_score), one row per row of docs.
 
-    Null, empty and wordless texts score 0. A null id counts as held out. Other columns are ignored.
+    The last three locate the worst sentence of a predicted document, in code points, end exclusive, and are null for others. Null, empty and wordless texts score 0.
+    A null id counts as held out. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(F.col(id_col), HOLD_OUT).alias("held_out"), scorer(docs.sparkSession, model, F.col(text_col)).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(F.col(id_col), HOLD_OUT).alias("held_out"), scorer(docs.sparkSession, model, F.col(text_col), threshold).alias("s"))
+    return rows.select("doc_id", "held_out", "s.score", (F.col("s.score") >= threshold).cast("int").alias("predicted"), "s.worst_start", "s.worst_end", "s.worst_score")
 
 
 def select_documents(docs: DataFrame, model: NoisyOrModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with a score below the threshold, with all their columns."""
     name = f"toxic_{uuid.uuid4().hex}"
-    return docs.withColumn(name, scorer(docs.sparkSession, model, F.col(text_col))).filter(F.col(name) < threshold).drop(name)
+    return docs.withColumn(name, scorer(docs.sparkSession, model, F.col(text_col), threshold)["score"]).filter(F.col(name) < threshold).drop(name)
 
 
 def locate(docs: DataFrame, model: NoisyOrModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
