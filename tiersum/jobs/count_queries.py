@@ -80,9 +80,26 @@ def _means(pmfs: DataFrame) -> DataFrame:
 
 @query()
 def c6_mix_cond(spark, d):
+    """Moments of the reconciled distributions, and for each aggregate the effective number of the draws that it weighs."""
     items, upper, residuals, edges = _hierarchy(spark, d, True)
-    pmfs, ess = counts.mix_cond(items.select("item", "pmf"), edges, upper, residuals, 200)
-    return _means(pmfs).join(F.broadcast(ess))
+    pmfs, ess = counts.mix_cond_by_level(items.select("item", "pmf"), items.select("item", F.col("grp").alias("group")), edges, upper, residuals, 1000)
+    return _means(pmfs).join(ess, "id", "left")
+
+
+_SUMS = "sm AS (SELECT item, sum(k * p) AS mu, sum(k * k * p) - sum(k * p) * sum(k * p) AS var FROM pk GROUP BY 1)"
+
+
+@query(
+    f"""{COUNTS}, {_SUMS}, tops AS (SELECT item, max(k) AS top FROM pk WHERE p > 0 GROUP BY 1), own AS (SELECT 'T' AS id, item FROM sm UNION ALL SELECT 'G' || CAST(item % 10 AS VARCHAR), item FROM sm)
+SELECT id, CAST(sum(top) + 1 AS BIGINT) AS size, round(sum(mu), 4) AS mean, round(sum(var), 3) AS var, 1.0 AS mass FROM own JOIN sm USING (item) JOIN tops USING (item) GROUP BY 1""",
+    digits=4,
+)
+def c5_exact_sums(spark, d):
+    """The exact distributions of the aggregates: reach, mean, variance and mass."""
+    items, _, _, edges = _hierarchy(spark, d, True)
+    exact = materialize(counts.exact_sums(items.select("item", "pmf"), edges), "exact")
+    mass = exact.select("id", F.size("pmf").alias("size"), F.round(F.aggregate("pmf", F.lit(0.0), lambda a, x: a + x), 4).alias("mass"))
+    return mass.join(_means(exact), "id").select("id", "size", "mean", F.round("var", 3).alias("var"), "mass")
 
 
 @query()
@@ -98,7 +115,7 @@ def c8_all_methods(spark, d):
     items, upper, residuals, edges = _hierarchy(spark, d, True)
     own = items.select(F.col("item").alias("id"), "pmf")
     pmfs = {"base": own, "bottom_up": own.unionByName(counts.bottom_up(items.select("item", "pmf"), edges, SAMPLES))}
-    pmfs["mix_cond"] = counts.mix_cond(items.select("item", "pmf"), edges, upper, residuals, 200)[0]
+    pmfs["mix_cond"] = counts.mix_cond_by_level(items.select("item", "pmf"), items.select("item", F.col("grp").alias("group")), edges, upper, residuals, 200)[0]
     pmfs["td_cond"] = counts.td_cond(items.select("item", "pmf"), items.select("item", F.col("grp").alias("group")), upper, residuals, edges, 200)[0]
     out = counts.gaussian(upper, residuals, _item_moments(items), edges).withColumn("size", F.lit(None).cast("int"))
     for method, table in pmfs.items():

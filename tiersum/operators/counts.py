@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiersum.operators import reconcile
+from tiersum.operators import convolution, reconcile
+from tiersum.operators.convolution import split_totals  # noqa: F401
 from tiersum.operators.inference import hashed_uniform
 from tiersum.operators.tails import normal_cdf
 
@@ -152,11 +153,15 @@ def mean_incoherence(dists: DataFrame, edges: DataFrame) -> DataFrame:
     return own.withColumnRenamed("id", "upper_id").join(sums, ["method", "upper_id"]).groupBy("method").agg(F.max(F.abs(F.col("mu") - F.col("s"))).alias("gap"))
 
 
+#: Aggregates of a count hierarchy at most: their covariance is one matrix, on the driver.
+MAX_AGGREGATES = 1000
+
+
 def upper_covariance(residuals: DataFrame) -> tuple[list[str], np.ndarray]:
     """residuals(id, t, e) of the aggregates -> (ids, shrunk covariance). The aggregates are few (checked): items don't appear in it."""
     named = residuals.select(F.lit(0).alias("origin"), F.col("id").alias("unique_id"), F.col("t").alias("ds"), "e")
-    if named.select("unique_id").distinct().count() > 1000:
-        raise ValueError("more than 1000 aggregates: reconcile with diagonal weights")
+    if named.select("unique_id").distinct().count() > MAX_AGGREGATES:
+        raise ValueError(f"more than {MAX_AGGREGATES} aggregates: reconcile with diagonal weights")
     got = reconcile.pair_moments(named)
     rows = reconcile.shrunk(got.select("origin", "i", "j", F.col("plan").alias("w")), reconcile.intensity_of(got)).collect()
     ids = sorted({r["i"] for r in rows})
@@ -200,10 +205,11 @@ def gaussian(upper: DataFrame, residuals: DataFrame, items: DataFrame, edges: Da
 
 def item_draws(pmfs: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     """pmfs(item, pmf) -> (item, sample, k): the value at which the item's cdf reaches a hashed uniform number, the same in any engine and partitioning."""
-    cdf = F.transform(F.sequence(F.lit(1), F.size("pmf")), lambda n: F.round(F.aggregate(F.slice("pmf", F.lit(1), n), F.lit(0.0), lambda a, x: a + x), 12))
-    each = pmfs.select("item", cdf.alias("cdf"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    each = pmfs.select("item", "pmf", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
     u = each.withColumn("u", hashed_uniform(F.lit(seed), F.col("item"), F.col("sample")))
-    return u.select("item", "sample", F.least(F.size(F.filter("cdf", lambda c: c <= F.col("u"))), F.size("cdf") - 1).alias("k"))
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + (F.round(a["sum"] + x, 12) <= F.col("u")).cast("int")).alias("n"))
+    return u.select("item", "sample", F.aggregate("pmf", state, step, lambda a: F.least(a["n"], F.size("pmf") - 1)).alias("k"))
 
 
 def histogram(draws: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -223,6 +229,51 @@ def bottom_up(pmfs: DataFrame, edges: DataFrame, samples: int = 200, seed: int =
     return histogram(sums_of_draws(item_draws(pmfs, samples, seed), edges).withColumnRenamed("upper_id", "id"))
 
 
+def _lowest_groups(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, ids: list[str]) -> tuple[list[str], np.ndarray]:
+    """(names, inside): the lowest groups and which aggregates contain them; raises unless each item is in exactly one."""
+    bad = pmfs.select("item").join(groups, "item", "left").groupBy("item").agg(F.count("group").alias("n")).filter("n <> 1").limit(1).collect()
+    if bad:
+        raise ValueError(f"item {bad[0]['item']} is in {bad[0]['n']} lowest groups")
+    names = sorted(r["group"] for r in groups.select("group").distinct().limit(MAX_AGGREGATES + 1).collect())
+    if len(names) > MAX_AGGREGATES:
+        raise ValueError(f"more than {MAX_AGGREGATES} lowest groups")
+    pairs = {(r["upper_id"], r["group"]) for r in edges.join(groups, "item").select("upper_id", "group").distinct().collect()}
+    return names, np.array([[float((u, g) in pairs) for g in names] for u in ids])
+
+
+def mix_cond_by_level(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, upper: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """`mix_cond` for groups(item, group) that each item is in exactly one of -> ((id, pmf) of aggregates and items, (id, samples, ess) by aggregate).
+
+    The exact distributions of the groups' sums come from a tree of convolutions; the groups' totals are drawn one after another with the density of every aggregate
+    as soon as it is complete, resampled each time; then they are split to the items down the tree. The law is that of `mix_cond`, the weights don't collapse with many aggregates.
+    """
+    spark = pmfs.sparkSession
+    ids, w = upper_covariance(residuals)
+    names, inside = _lowest_groups(pmfs, groups, edges, ids)
+    center = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
+    mean = np.array([center[u] for u in ids])
+    layers = convolution._tree(pmfs, groups, None)
+    own = moments(layers[-1].select("group", "pmf"), "group").select("group", "mean", F.sqrt(F.greatest("var", F.lit(0.0))).alias("sd"))
+    size = layers[-1].select("group", F.size("pmf").alias("size")).join(own, "group").collect()
+    stretch = {}
+    for r in size:
+        alone = [k for k in range(len(ids)) if inside[k].sum() == 1 and inside[k, names.index(r["group"])]]
+        near, far = (mean[alone[0]], math.sqrt(w[alone[0], alone[0]])) if alone else (r["mean"], max(r["mean"], float(r["size"])))
+        stretch[r["group"]] = convolution.window(near, far, r["mean"], r["sd"], r["size"])
+    cuts = spark.createDataFrame([(g, a, b) for g, (a, b) in stretch.items()], "group string, a int, b int")
+    got = {r["group"]: np.array(r["pmf"]) for r in layers[-1].join(F.broadcast(cuts), "group").select("group", F.slice("pmf", F.col("a") + 1, F.col("b") - F.col("a")).alias("pmf")).collect()}
+    draws, ess = convolution.draw_group_totals([stretch[g][0] for g in names], [got[g] for g in names], inside, mean, w, samples, np.random.default_rng(seed))
+    items = convolution.split_groups(pmfs, groups, {g: draws[:, k] for k, g in enumerate(names)}, seed, layers)
+    sums = sums_of_draws(items.select("item", "sample", "k"), edges).select(F.col("upper_id").alias("id"), "k")
+    told = spark.createDataFrame([(u, samples, float(e)) for u, e in zip(ids, ess)], "id string, samples int, ess double")
+    return histogram(sums.unionByName(items.select(F.col("item").alias("id"), "k"))), told
+
+
+def exact_sums(pmfs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pmfs(item, pmf), edges(upper_id, item) -> (id, pmf): the exact distribution of each aggregate's sum of independent items."""
+    return convolution.sum_pmfs(pmfs, edges.select("item", F.col("upper_id").alias("group"))).withColumnRenamed("group", "id")
+
+
 def mix_cond(pmfs: DataFrame, edges: DataFrame, upper: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Importance sampling -> ((id, pmf) of aggregates and items, (samples, ess)).
 
@@ -253,54 +304,21 @@ def mix_cond(pmfs: DataFrame, edges: DataFrame, upper: DataFrame, residuals: Dat
     return histogram(every, F.col("times")), ess
 
 
-def split_totals(pmfs: list[np.ndarray], totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """One value for each item and total, drawn given that they add up to the total. Totals beyond the items' reach give -1 everywhere."""
-    sums = [np.ones(1)]
-    for p in pmfs:
-        sums.append(np.convolve(sums[-1], p))
-    out = np.full((len(pmfs), len(totals)), -1)
-    ok = (totals >= 0) & (totals < len(sums[-1])) & (sums[-1][np.clip(totals, 0, len(sums[-1]) - 1)] > 0)
-    left, at = totals[ok].copy(), np.nonzero(ok)[0]
-    for i in range(len(pmfs) - 1, -1, -1):
-        p, below = pmfs[i], sums[i]
-        for t in np.unique(left):
-            k = np.arange(min(len(p) - 1, t) + 1)
-            share = p[k] * np.where(t - k < len(below), below[np.minimum(t - k, len(below) - 1)], 0)
-            here = np.nonzero(left == t)[0]
-            out[i, at[here]] = rng.choice(k, size=len(here), p=share / share.sum())
-        left = left - out[i, at]
-    return out
-
-
 def td_cond(pmfs: DataFrame, groups: DataFrame, upper: DataFrame, residuals: DataFrame, edges: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Top-down conditioning -> ((id, pmf) of aggregates and items, (group, lost): draws outside a group's reach).
 
     groups(item, group), each item in exactly one lowest group (refused otherwise); edges(upper_id, item) as ever. The aggregates are
     reconciled first and drawn from their normal law; each group's total, rounded, is split to its items given that they add up to it.
-    One task a group, whose items and draws it holds; the convolutions grow with the group's largest total.
+    Totals go down a tree of convolutions, so that a large group is many tasks' work; arrays are as long as the group's largest total.
     """
-    bad = pmfs.select("item").join(groups, "item", "left").groupBy("item").agg(F.count("group").alias("n")).filter("n <> 1").limit(1).collect()
-    if bad:
-        raise ValueError(f"item {bad[0]['item']} is in {bad[0]['n']} lowest groups")
     ids, w = upper_covariance(residuals)
-    names = sorted(r["group"] for r in groups.select("group").distinct().collect())  # aggregates, checked to be few above
+    names, a = _lowest_groups(pmfs, groups, edges, ids)
     center = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
-    inside = {(r["upper_id"], r["group"]) for r in edges.join(groups, "item").select("upper_id", "group").distinct().collect()}
-    a = np.array([[float((u, g) in inside) for g in names] for u in ids])
     weight = np.linalg.pinv(w, hermitian=True)
     spread = np.linalg.pinv(a.T @ weight @ a, hermitian=True)
     mean = spread @ a.T @ weight @ np.array([center[u] for u in ids])
     drawn = np.rint(np.random.default_rng(seed).multivariate_normal(mean, spread, size=samples, method="eigh")).astype(int)
-    column = {g: k for k, g in enumerate(names)}
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("item")
-        name = group["group"].iloc[0]
-        rng = np.random.default_rng([seed, column[name]])
-        got = split_totals([np.asarray(p, float) for p in group["pmf"]], drawn[:, column[name]], rng)
-        return pd.DataFrame({"group": name, "item": np.repeat(group["item"].to_numpy(), samples), "sample": np.tile(np.arange(samples), len(group)), "k": got.ravel()})
-
-    draws = pmfs.join(groups, "item").groupBy("group").applyInPandas(split, "group string, item string, sample int, k int")
+    draws = convolution.split_groups(pmfs, groups, {g: drawn[:, k] for k, g in enumerate(names)}, seed)
     lost = draws.filter("k < 0").groupBy("group").agg(F.count_distinct("sample").alias("lost"))
     partial = draws.groupBy("sample").agg(F.min("k").alias("least")).filter("least >= 0").select("sample")
     whole = draws.join(partial, "sample", "left_semi")
