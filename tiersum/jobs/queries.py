@@ -287,6 +287,23 @@ def b7_fitted_series(spark, d):
     return reconcile.fit_series(train, HORIZON, SEASON)
 
 
+_SMOOTH = f"""{LEAVES.replace("WITH raw", "WITH RECURSIVE raw", 1)}, num AS (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t FROM hier),
+st AS (SELECT unique_id, CAST(0 AS BIGINT) AS t, avg(y) AS level, list(y ORDER BY t) AS seas, avg(y) AS m FROM num WHERE t < 12 GROUP BY 1),
+run AS (SELECT unique_id, t, level, list_transform(seas, lambda x: x - m) AS seas FROM st
+  UNION ALL SELECT r.unique_id, r.t + 1, 0.3 * (n.y - r.seas[r.t % 12 + 1]) + 0.7 * r.level, list_transform(r.seas, lambda x, i: CASE WHEN i = r.t % 12 + 1 THEN 0.2 * (n.y - r.level) + 0.8 * x ELSE x END) FROM run r JOIN num n ON n.unique_id = r.unique_id AND n.t = r.t)"""
+
+
+@query(
+    f"""{_SMOOTH} SELECT NULL AS origin, unique_id, {stamp('ds')} AS ds, NULL::BIGINT AS horizon, round(level + seas[t % 12 + 1], 4) AS y_hat FROM run JOIN num USING (unique_id, t) WHERE t >= 12
+UNION ALL SELECT {stamp('origin')}, unique_id, {stamp('origin + to_months(CAST(h - 1 AS INTEGER))')}, h, round(level + seas[(t + h - 1) % 12 + 1], 4) FROM origins, range(1, 7) s(h), run WHERE t = datediff('month', (SELECT min(ds) FROM hier), origin)""",
+    digits=4,
+)
+def b7_smoothed_at_origins(spark, d):
+    """Fitted values once, and forecasts at every origin, of one run over each series."""
+    s = Study.of(spark, d)
+    return reconcile.smooth_at_origins(s.series, s.origins, HORIZON, SEASON)
+
+
 @query(f"{RESIDUALS} SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, round(e, 6) AS e FROM resid")
 def b10_residuals(spark, d):
     return Study.of(spark, d).residuals()

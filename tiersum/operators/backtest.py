@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,14 +55,54 @@ def horizon(unit: str, hours: int = 1) -> str:
     return f"timestampdiff({unit}, origin, ds) + 1" if unit != "hour" else f"cast((unix_timestamp(ds) - unix_timestamp(origin)) / {3600 * hours} as int) + 1"
 
 
-def rolling_split(series: DataFrame, origins: DataFrame, train: int | None, h: int, unit: str = "month") -> DataFrame:
-    """(origin, part, unique_id, ds, y) for all origins: train [origin - train, origin) (all before if None), test [origin, origin + h).
+def within(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows(ds, ...), windows(origin, lo, hi) -> rows with each origin that has lo <= ds < hi.
 
-    A range join with the broadcast origins, of which a study has a few hundred at most.
+    An equal join on stretches of time, each as long as a window on average, so that a row meets a few windows beside its own and not all of them.
     """
-    low = F.lit(True) if train is None else F.col("ds") >= F.expr(f"timestampadd({unit}, -{train}, origin)")
-    inside = low & (F.col("ds") < F.expr(f"timestampadd({unit}, {h}, origin)"))
-    return series.join(F.broadcast(origins), inside).withColumn("part", F.when(F.col("ds") < F.col("origin"), "train").otherwise("test"))
+    seconds = windows.agg(F.avg(F.unix_timestamp("hi") - F.unix_timestamp("lo"))).first()[0]
+    width = max(1, int(seconds or 1))
+    at = lambda c: F.floor(F.unix_timestamp(c) / width)
+    spread = windows.filter("lo < hi").select("origin", "lo", "hi", F.explode(F.sequence(at("lo"), at("hi"))).alias("stretch"))
+    return rows.withColumn("stretch", at("ds")).join(spread, "stretch").filter("ds >= lo and ds < hi").drop("stretch", "lo", "hi")
+
+
+def histories(rows: DataFrame, origins: DataFrame) -> DataFrame:
+    """(origin, lo, hi) of everything before each origin, for `within`."""
+    first = rows.agg(F.min("ds")).first()[0]
+    return origins.select("origin", F.lit(first).cast("timestamp").alias("lo"), F.col("origin").alias("hi"))
+
+
+def running_before(rows: DataFrame, origins: DataFrame, sums: dict[str, Column], last: str | None = None) -> DataFrame:
+    """rows(unique_id, ds, ...) -> (origin, unique_id, *sums[, last]): sums over each series' rows before each origin, and the value of `last` in the latest of them.
+
+    Rows are added up between one origin and the next; running sums over these, at most one row for each origin and series, give all origins. No row is copied by
+    origin. Series without a row before an origin don't have it.
+    """
+    numbered = origins.select("origin").distinct().withColumn("k", F.row_number().over(Window.orderBy("origin")))  # a study's origins only
+    before = F.lag("origin").over(Window.orderBy("origin"))
+    first = rows.agg(F.min("ds")).first()[0]
+    spans = numbered.select("origin", F.coalesce(before, F.lit(first).cast("timestamp")).alias("lo"), F.col("origin").alias("hi"))
+    aggregates = [F.sum(c).alias(n) for n, c in sums.items()]
+    if last:
+        aggregates.append(F.max_by(F.struct(F.col(last).alias("value")), "ds").alias("latest"))
+    parts = within(rows, spans).groupBy("unique_id", "origin").agg(*aggregates).join(numbered, "origin")
+    series = Window.partitionBy("unique_id").orderBy("k")
+    upto = series.rowsBetween(Window.unboundedPreceding, 0)
+    run = parts.select("unique_id", "k", F.lead("k").over(series).alias("until"), *(F.sum(n).over(upto).alias(n) for n in sums), *([F.last("latest", True).over(upto)["value"].alias(last)] if last else []))
+    count = F.lit(numbered.count())
+    every = run.withColumn("k", F.explode(F.sequence(F.col("k").cast("long"), F.coalesce(F.col("until") - 1, count).cast("long"))))
+    return every.join(numbered, "k").select("origin", "unique_id", *sums, *([last] if last else []))
+
+
+def rolling_split(series: DataFrame, origins: DataFrame, train: int | None, h: int, unit: str = "month") -> DataFrame:
+    """(origin, part, unique_id, ds, y) for all origins: train [origin - train, origin) (all before if None), test [origin, origin + h)."""
+    ahead = F.expr(f"timestampadd({unit}, {h}, origin)").alias("hi")
+    if train is None:
+        windows = histories(series, origins).select("origin", "lo", ahead)
+    else:
+        windows = origins.select("origin", F.expr(f"timestampadd({unit}, -{train}, origin)").alias("lo"), ahead)
+    return within(series, windows).withColumn("part", F.when(F.col("ds") < F.col("origin"), "train").otherwise("test"))
 
 
 def split_violations(split: DataFrame, n_series: int, h: int) -> DataFrame:
@@ -105,7 +145,7 @@ def mean_of_seasons(series: DataFrame, origins: DataFrame, h: int, season: int,
 
 def last_value(series: DataFrame, origins: DataFrame) -> DataFrame:
     """(origin, unique_id, y_hat): each series' last value before the origin."""
-    return series.join(F.broadcast(origins), F.col("ds") < F.col("origin")).groupBy("origin", "unique_id").agg(F.max_by("y", "ds").alias("y_hat"))
+    return running_before(series.select("unique_id", "ds", "y"), origins, {}, "y").withColumnRenamed("y", "y_hat")
 
 
 def with_actuals(forecasts: DataFrame, series: DataFrame) -> DataFrame:
@@ -123,7 +163,8 @@ def fitted_residuals(series: DataFrame, origins: DataFrame, season: int) -> Data
     e = series.select("unique_id", "ds", (F.col("y") - middle).alias("e"), *(x.alias(f"l{k}") for k, x in enumerate(lags))).filter("l2 is not null").select("unique_id", "ds", "e")
     every = series.select("unique_id").distinct().agg(F.count("*").alias("m"))
     whole = e.groupBy("ds").agg(F.count("e").alias("n")).join(F.broadcast(every)).filter("n = m").select("ds")
-    return e.join(F.broadcast(whole), "ds", "left_semi").join(F.broadcast(origins), F.col("ds") < F.col("origin")).select("origin", "unique_id", "ds", "e")
+    kept = e.join(whole, "ds", "left_semi")
+    return within(kept, histories(series, origins)).select("origin", "unique_id", "ds", "e")
 
 
 def trailing_window(residuals: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiersum.operators.backtest import running_before
+
 #: A method is better than another only by more than rounding errors.
 TIE = 1e-9
 
@@ -15,10 +17,11 @@ def ratio(a, b):
 
 
 def mase_scale(series: DataFrame, origins: DataFrame, season: int) -> DataFrame:
-    """(origin, unique_id, scale): mean absolute seasonal difference before each origin."""
+    """(origin, unique_id, scale): mean absolute seasonal difference before each origin, from running sums of each series."""
     w = Window.partitionBy("unique_id").orderBy("ds")
     diffs = series.select("unique_id", "ds", F.abs(F.col("y") - F.lag("y", season).over(w)).alias("d")).filter("d is not null")
-    return diffs.join(F.broadcast(origins), F.col("ds") < F.col("origin")).groupBy("origin", "unique_id").agg(F.avg("d").alias("scale"))
+    sums = running_before(diffs, origins, {"s": F.col("d"), "n": F.lit(1)})
+    return sums.select("origin", "unique_id", (F.col("s") / F.col("n")).alias("scale"))
 
 
 def mase(forecasts: DataFrame, scales: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -312,6 +312,54 @@ def fit_series(train: DataFrame, h: int, season: int, unit: str = "month", fitte
     return got.withColumn("ds", F.coalesce("ds", F.expr(f"timestampadd({unit}, horizon - 1, origin)")))
 
 
+def smooth_at_origins(series: DataFrame, origins: DataFrame, h: int, season: int, unit: str = "month", alpha: float = 0.3, gamma: float = 0.2) -> DataFrame:
+    """series(unique_id, ds, y) -> (origin, unique_id, ds, horizon, y_hat): `additive_smoother` on everything before each origin, in one run over each series.
+
+    The state is the same whatever the origin, so that a run passes all origins: it leaves the fitted values once (origin and horizon null, each one step ahead of
+    its past) and at every origin with a season before it the forecasts of h steps. Series of the same instants run together, a vector a step. The origins, a few
+    for each instant of a study, go to all tasks (refused above 100,000).
+    """
+    dates = [r["origin"] for r in origins.select("origin").distinct().orderBy("origin").limit(100_001).collect()]
+    if len(dates) > 100_000:
+        raise ValueError("more than 100000 origins")
+    cuts = pd.to_datetime(pd.Series(dates, dtype="object")).to_numpy("datetime64[ns]")
+    own = series.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("p"))
+    arrays = own.select("unique_id", F.transform("p", lambda p: F.unix_micros(p["ds"])).alias("at"), F.transform("p", lambda p: p["y"].cast("double")).alias("y"))
+
+    def frame(names, values, at=None, origin=None, horizon=None) -> pd.DataFrame:
+        n = values.shape[1]
+        ds = np.tile(at, len(names)) if at is not None else pd.NaT
+        return pd.DataFrame({"origin": origin if origin is not None else pd.NaT, "unique_id": np.repeat(names, n), "ds": ds, "horizon": np.tile(horizon, len(names)) if horizon is not None else None, "y_hat": values.ravel()}).astype({"origin": "datetime64[ns]", "ds": "datetime64[ns]", "horizon": "Int32"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(batch["at"].map(lambda a: np.asarray(a, np.int64).tobytes()), sort=False):
+                at = np.frombuffer(key, np.int64).astype("datetime64[us]").astype("datetime64[ns]")
+                y, names, t = np.stack(part["y"].to_numpy()).astype(float), part["unique_id"].to_numpy(), len(at)
+                if t < season:
+                    continue
+                level = y[:, :season].mean(axis=1)
+                seasonal, fitted = y[:, :season] - level[:, None], np.empty((len(y), t - season))
+                stops = np.searchsorted(at, cuts, "left")  # values before each origin
+                for k in range(t + 1):
+                    if k >= season:
+                        for o in np.flatnonzero(stops == k):
+                            ahead = level[:, None] + seasonal[:, (k + np.arange(h)) % season]
+                            yield frame(names, ahead, origin=cuts[o], horizon=np.arange(1, h + 1))
+                    if k == t:
+                        break
+                    j = k % season
+                    if k >= season:
+                        fitted[:, k - season] = level + seasonal[:, j]
+                    before, level = level, alpha * (y[:, k] - seasonal[:, j]) + (1 - alpha) * level
+                    seasonal[:, j] = gamma * (y[:, k] - before) + (1 - gamma) * seasonal[:, j]
+                if t > season:
+                    yield frame(names, fitted, at=at[season:])
+
+    got = arrays.mapInPandas(run, "origin timestamp, unique_id string, ds timestamp, horizon int, y_hat double")
+    return got.withColumn("ds", F.coalesce("ds", F.expr(f"timestampadd({unit}, horizon - 1, origin)")))
+
+
 def fitted_values(fits: DataFrame, series: DataFrame) -> DataFrame:
     """fit_series -> residuals(origin, unique_id, ds, e) of the fitted values."""
     return fits.filter("horizon is null").join(series.select("unique_id", "ds", "y"), ["unique_id", "ds"]).select("origin", "unique_id", "ds", (F.col("y") - F.col("y_hat")).alias("e"))
