@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiersum.functions.scratch import materialize
 from tiersum.operators.tails import chi_square_tail, normal_tail, student_tail, student_width, wilcoxon_tail
 
 
@@ -63,14 +64,42 @@ def hac_mean(errors: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(*keys, "n", "mean", "lags", "se", (F.col("sd") / F.sqrt("n")).alias("naive_se"), t.alias("t"), normal_tail(t).alias("p"))
 
 
+def _joined(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to one row of more for each key, nulls being a key like others."""
+    named = more.select(*(F.col(k).alias(f"{k}_of") for k in keys), *(c for c in more.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys]
+    return rows.join(named, same).drop(*(f"{k}_of" for k in keys))
+
+
+#: p values that are put in order by one task.
+RANGE_ROWS = 200_000
+
+
 def holm(pvalues: DataFrame, family: list[str], order: list[str], alpha: float = 0.05) -> DataFrame:
-    """pvalues(*family, *order, p) -> with adjusted p and rejection, step-down within each family."""
-    w = Window.partitionBy(*family).orderBy("p", *order)
-    m = F.count("*").over(Window.partitionBy(*family))
-    raw = (m - F.row_number().over(w) + 1) * F.col("p")
-    stepped = pvalues.withColumn("raw", raw)
-    adjusted = F.least(F.lit(1.0), F.max("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return stepped.withColumn("adjusted", adjusted).withColumn("reject", F.col("adjusted") <= alpha).drop("raw")
+    """pvalues(*family, *order, p) -> with adjusted p and rejection, step-down within each family.
+
+    A family may be of any size: rows are dealt by ranges of (family, p), ranked within their range, and moved up by the rows of the ranges before;
+    the running maximum starts from that of the ranges before. Only a row for each range and family is put in order by itself.
+    """
+    ranges = -(-pvalues.count() // RANGE_ROWS)
+    ordered = [*family, "p", *order]
+    if ranges > 1:
+        dealt = materialize(pvalues.repartitionByRange(ranges, *ordered).withColumn("range", F.spark_partition_id()), "ranges")
+    else:
+        dealt = pvalues.withColumn("range", F.lit(0))
+    own = Window.partitionBy("range", *family).orderBy("p", *order)
+    before = Window.partitionBy(*family).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*family, "range").agg(F.count("*").alias("rows"))
+    sizes = sizes.select(*family, "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("ahead"), F.sum("rows").over(Window.partitionBy(*family)).alias("m"))
+    keys = [*family, "range"]
+    raw = (F.col("m") - F.col("ahead") - F.row_number().over(own) + 1) * F.col("p")
+    stepped = _joined(dealt, sizes, keys).withColumn("raw", raw).drop("ahead", "m")
+    if ranges > 1:
+        stepped = materialize(stepped, "ranges")
+    tops = stepped.groupBy(*keys).agg(F.max("raw").alias("top")).select(*keys, F.max("top").over(before).alias("top"))
+    highest = F.greatest("top", F.max("raw").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    out = _joined(stepped, tops, keys).withColumn("adjusted", F.least(F.lit(1.0), highest)).drop("raw", "top", "range")
+    return out.withColumn("reject", F.col("adjusted") <= alpha).select(*pvalues.columns, "adjusted", "reject")
 
 
 def paired(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,42 +62,54 @@ def correlation_interval(errors: DataFrame, replicates: int = 200, seed: int = 0
     return means.agg(F.max(F.when(F.col("rep") == 0, F.col("m"))).alias("mean"), F.percentile(again, F.lit(0.05)).alias("low"), F.percentile(again, F.lit(0.95)).alias("high"))
 
 
+def pick_counts(residuals: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(origin, past, times): how often each origin's replicates, one pick each, take each past instant."""
+    w = Window.partitionBy("origin").orderBy("ds")
+    instants = residuals.select("origin", "ds").distinct().withColumn("pick", (F.row_number().over(w) - 1).cast("long"))
+    sizes = instants.groupBy("origin").agg(F.count("*").alias("n"))
+    picks = draws(replicates, F.lit(1), seed, sizes).groupBy("origin", "pick").agg(F.count("*").alias("times"))
+    return picks.join(instants, ["origin", "pick"]).select("origin", F.col("ds").alias("past"), "times")
+
+
 def joint_bootstrap_quantiles(forecasts: DataFrame, residuals: DataFrame, edges: DataFrame, q: float, replicates: int = 101, seed: int = 0, independent: bool = False) -> DataFrame:
     """(origin, unique_id, ds, q_hat): quantile of bottom-up samples, each made of base forecasts and the residuals of one past instant.
 
-    All series of a draw take their residuals from the same instant, which keeps their correlation; independent: each from one of
-    its own, the contrast that loses it.
+    All series of a draw take their residuals from the same instant, which keeps their correlation: a node's sum at an instant is made once, how often the instant
+    is drawn is its frequency in the quantile, and the quantile moves with the forecast, so that nothing grows with the replicates. independent: each series
+    takes an instant of its own, the contrast that loses the correlation; there a row for each draw and leaf is added up.
     """
-    w = Window.partitionBy("origin").orderBy("ds")
-    instants = residuals.select("origin", "ds").distinct().withColumn("pick", (F.row_number().over(w) - 1).cast("long"))
-    sizes = instants.groupBy("origin").agg(F.count("*").alias("n"))
-    picks = draws(replicates, F.lit(1), seed, sizes).join(instants, ["origin", "pick"]).select("origin", "rep", F.col("ds").alias("past"))
-    leaf = edges.select(F.col("leaf_id")).distinct()
+    below = edges.select("unique_id", "leaf_id")
+    leaf = below.select("leaf_id").distinct()
     own = residuals.select("origin", F.col("ds").alias("past"), F.col("unique_id").alias("leaf_id"), "e").join(leaf, "leaf_id", "left_semi")
-    shocks = picks.join(own, ["origin", "past"])
     if independent:
+        w = Window.partitionBy("origin").orderBy("ds")
+        instants = residuals.select("origin", "ds").distinct().withColumn("pick", (F.row_number().over(w) - 1).cast("long"))
+        sizes = instants.groupBy("origin").agg(F.count("*").alias("n"))
         each = draws(replicates, F.lit(1), seed, sizes).select("origin", "rep", "n").join(own.select("origin", "leaf_id").distinct(), "origin")
         each = each.withColumn("pick", F.floor(hashed_uniform(F.lit(seed), F.col("rep"), F.col("leaf_id")) * F.col("n")).cast("long"))
         shocks = each.join(instants.withColumnRenamed("ds", "past"), ["origin", "pick"]).join(own, ["origin", "past", "leaf_id"]).select("origin", "rep", "leaf_id", "e")
-    base = forecasts.select("origin", "ds", F.col("unique_id").alias("leaf_id"), "y_hat")
-    samples = base.join(shocks, ["origin", "leaf_id"]).join(edges.select("unique_id", "leaf_id"), "leaf_id")
-    sums = samples.groupBy("origin", "ds", "rep", "unique_id").agg(F.sum(F.col("y_hat") + F.col("e")).alias("v"))
-    return sums.groupBy("origin", "unique_id", "ds").agg(F.percentile("v", F.lit(q)).alias("q_hat"))
+        sums = shocks.join(below, "leaf_id").groupBy("origin", "rep", "unique_id").agg(F.sum("e").alias("e"), F.lit(1).cast("long").alias("times"))
+    else:
+        sums = own.join(below, "leaf_id").groupBy("origin", "past", "unique_id").agg(F.sum("e").alias("e")).join(pick_counts(residuals, replicates, seed), ["origin", "past"])
+    base = forecasts.select("origin", "ds", F.col("unique_id").alias("leaf_id"), "y_hat").join(below, "leaf_id").groupBy("origin", "unique_id", "ds").agg(F.sum("y_hat").alias("y_hat"))
+    return _moved(base, sums, q)
+
+
+def _moved(base: DataFrame, shocks: DataFrame, q: float) -> DataFrame:
+    """base(origin, unique_id, ds, y_hat), shocks(origin, unique_id, e, times) -> (origin, unique_id, ds, q_hat): the shocks' quantile by frequency, added to each forecast."""
+    spread = shocks.groupBy("origin", "unique_id").agg(F.percentile("e", F.lit(q), F.col("times")).alias("q"))
+    return base.join(spread, ["origin", "unique_id"]).select("origin", "unique_id", "ds", (F.col("y_hat") + F.col("q")).alias("q_hat"))
 
 
 def projected_bootstrap_quantiles(forecasts: DataFrame, residuals: DataFrame, nodes: DataFrame, variance: DataFrame | None, depth: int, q: float, replicates: int = 101, seed: int = 0) -> DataFrame:
     """joint_bootstrap_quantiles by a full projection: each sample of all nodes is reconciled with diagonal weights.
 
-    Samples are a key of the tree's two passes like the steps of a forecast.
+    The projection is linear: forecasts and the residuals of each past instant are reconciled once, whatever the number of replicates.
     """
-    w = Window.partitionBy("origin").orderBy("ds")
-    instants = residuals.select("origin", "ds").distinct().withColumn("pick", (F.row_number().over(w) - 1).cast("long"))
-    sizes = instants.groupBy("origin").agg(F.count("*").alias("n"))
-    picks = draws(replicates, F.lit(1), seed, sizes).join(instants, ["origin", "pick"]).select("origin", "rep", F.col("ds").alias("past"))
-    shocks = picks.join(residuals.withColumnRenamed("ds", "past"), ["origin", "past"]).select("origin", "rep", "unique_id", "e")
-    samples = forecasts.join(shocks, ["origin", "unique_id"]).select("origin", "ds", "rep", "unique_id", (F.col("y_hat") + F.col("e")).alias("y_hat"))
-    whole = tree_least_squares(samples, nodes, variance, depth, ("origin", "ds", "rep"))
-    return whole.groupBy("origin", "unique_id", "ds").agg(F.percentile("y_hat", F.lit(q)).alias("q_hat"))
+    base = tree_least_squares(forecasts.select("origin", "ds", "unique_id", "y_hat"), nodes, variance, depth, ("origin", "ds"))
+    past = residuals.select("origin", F.col("ds").alias("past"), "unique_id", F.col("e").alias("y_hat"))
+    moved = tree_least_squares(past, nodes, variance, depth, ("origin", "past")).withColumnRenamed("y_hat", "e")
+    return _moved(base, moved.join(pick_counts(residuals, replicates, seed), ["origin", "past"]), q)
 
 
 def coverage(quantiles: DataFrame, series: DataFrame, nodes: DataFrame) -> DataFrame:
