@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -108,6 +109,9 @@ def forget() -> None:
     for other in [k for k, v in _PER_WORKER.items() if v[2] != task]:
         del _PER_WORKER[other]
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+    if trim:
+        trim(0)
 
 
 def per_worker(key, make: Callable):
