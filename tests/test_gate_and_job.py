@@ -1,5 +1,6 @@
 """Division by zero, the gate, the registry and the gated job."""
 
+import hashlib
 import json
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -156,6 +157,9 @@ def test_unknown_studies_and_incomplete_splits(spark):
     assert backtest.split_violations(split.filter("unique_id <> 'Total' or ds <> '2021-12-01'"), 7, 6).count() == 1
 
 
+ZEROS = bytes(4 << 20)
+
+
 def test_raw_files_and_manifest(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "r1.csv").write_text("﻿code;instant;value\n11;2024-03-31T02:30:00+01:00;5.5\n11;2024-03-31T03:00:00+02:00;\n24;2024-01-01T00:00:00+00:00;1\n")
@@ -175,3 +179,29 @@ def test_scratch_tables_can_be_deleted(spark):
     assert Path(path).exists() and table.count() == 3
     scratch.drop(table)
     assert not Path(path).exists()
+
+
+def test_files_are_hashed_in_chunks(spark, tmp_path, monkeypatch):
+    class Zeros:
+        """A stream of three gigabytes that never gives more than is asked for."""
+
+        left, most = 3 << 30, 0
+
+        def read(self, n):
+            n = min(n, self.left)
+            self.left -= n
+            self.most = max(self.most, n)
+            return memoryview(ZEROS)[:n]
+
+    zeros = Zeros()
+    digest = raw.stream_digest(zeros)
+    want = hashlib.sha256()
+    for _ in range(768):
+        want.update(ZEROS)
+    assert digest == want.hexdigest() and zeros.most == raw.CHUNK
+    (tmp_path / "in" / "sub folder").mkdir(parents=True)
+    data = bytes(range(256)) * 50_000
+    (tmp_path / "in" / "sub folder" / "a b%20.bin").write_bytes(data)
+    (tmp_path / "in" / "empty").write_bytes(b"")
+    got = {r.file: r.sha256 for r in raw.manifest_of(spark, f"{tmp_path}/in").collect()}
+    assert got == {"sub folder/a b%20.bin": hashlib.sha256(data).hexdigest(), "empty": hashlib.sha256(b"").hexdigest()}

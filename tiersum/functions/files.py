@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -74,14 +75,21 @@ def get(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def listed(spark: SparkSession, path: str) -> Iterator:
+    """The status of each file below a path."""
+    found = _system(spark, path).listFiles(_path(spark, path), True)
+    while found.hasNext():
+        yield found.next()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    return _system(spark, path).makeQualified(_path(spark, path)).toString().rstrip("/")
+
+
 def signature(spark: SparkSession, paths: list[str]) -> str:
     """A digest of the names, sizes and times of all files below the paths: another one when any of them is written anew."""
     h = hashlib.sha256()
     for path in paths:
-        found = _system(spark, path).listFiles(_path(spark, path), True)
-        rows = []
-        while found.hasNext():
-            s = found.next()
-            rows.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+        rows = [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in listed(spark, path)]
         h.update("\n".join(sorted(rows)).encode() + b"\n\n")
     return h.hexdigest()

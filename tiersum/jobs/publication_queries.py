@@ -66,6 +66,25 @@ def io4_manifest(spark, d):
     return raw.manifest_violations(spark, path, wrong).groupBy("problem").agg(F.count("*").alias("files"))
 
 
+_LINES = "l AS (SELECT event_type AS region, strftime(ts, '%Y-%m-%d') || ';' || count(*) AS line FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d')), s AS (SELECT region, sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS sha256 FROM l GROUP BY 1)"
+
+
+@query(f"WITH {_LINES} SELECT region, sha256, CASE WHEN region = (SELECT min(region) FROM s) THEN 'changed' END AS problem FROM s UNION ALL SELECT 'lost', NULL, 'missing'")
+def io4_streamed_digests(spark, d):
+    """A file of daily counts for each event type: what each hashes to, against a manifest with one wrong digest and one file too many."""
+    path = _folder(spark, "daily")
+    days = views.table(spark, d, "events").groupBy(F.col("event_type").alias("region"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    lines = days.select("region", F.concat_ws(";", "day", F.col("n").cast("string")).alias("value"))
+    lines.repartition("region").sortWithinPartitions("region", "value").write.partitionBy("region").text(path)
+    own = materialize(raw.manifest_of(spark, path).filter("file like 'region=%/part-%'"), "manifest")
+    named = own.select("file", F.regexp_extract("file", "region=([^/]+)/", 1).alias("region"), "sha256")
+    first = named.agg(F.min("region").alias("first"))
+    wrong = named.join(F.broadcast(first)).select("file", F.when(F.col("region") == F.col("first"), F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    problems = raw.manifest_violations(spark, path, wrong.union(spark.sql("select 'region=lost/part-0' as file, 'x' as sha256")))
+    both = named.select("file", "sha256").join(problems, "file", "full")
+    return both.select(F.regexp_extract("file", "region=([^/]+)/", 1).alias("region"), "sha256", "problem")
+
+
 @query(f"{LEAVES}{_DIGESTS}, h AS (SELECT sha256(string_agg('0:' || d2, '')) AS s_hash FROM (SELECT sha256(string_agg(d, '' ORDER BY d)) AS d2 FROM digests)) SELECT sha256('other') AS registered, s_hash FROM h")
 def h4_hash_violations(spark, d):
     """The hierarchy against a registry that knows its version with another hash, and another version with any."""
