@@ -134,7 +134,7 @@ gaps AS (SELECT region, min(ds) AS start, count(*) AS hours FROM marked WHERE y
 ends AS (SELECT region, ds, y, epoch(ds) AS t, last_value(y IGNORE NULLS) OVER b AS y0, last_value(CASE WHEN y IS NOT NULL THEN epoch(ds) END IGNORE NULLS) OVER b AS t0,
   first_value(y IGNORE NULLS) OVER a AS y1, first_value(CASE WHEN y IS NOT NULL THEN epoch(ds) END IGNORE NULLS) OVER a AS t1 FROM hours
   WINDOW b AS (PARTITION BY region ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY region ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-filled AS (SELECT region, ds, CASE WHEN y IS NOT NULL THEN y ELSE y0 + (y1 - y0) * (t - t0) / (t1 - t0) END AS y, y IS NULL AND y0 IS NOT NULL AND y1 IS NOT NULL AS imputed FROM ends),
+filled AS (SELECT region, ds, CASE WHEN y IS NOT NULL THEN y ELSE y0 + (y1 - y0) * (t - t0) / (t1 - t0) END AS y, y IS NULL AND y0 IS NOT NULL AND y1 IS NOT NULL AS imputed, y IS NULL AS missing FROM ends),
 daily AS (SELECT ds, sum(y) * (1 + 0.001 * (day(ds) % 3)) AS y FROM filled GROUP BY ds)"""
 
 
@@ -182,13 +182,32 @@ def cl6_interpolated(spark, d):
 
 @query(
     f"""{EVENTS} SELECT i.region, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n > 1 AND spread = 0) AS duplicates_identical, count(*) FILTER (n > 1 AND spread > 0) AS duplicates_conflicting, count(*) FILTER (y IS NULL) AS missing_values,
-  (SELECT count(*) FROM slots s WHERE s.region = i.region AND NOT present) AS missing_halfhours, (SELECT count(*) FROM filled f WHERE f.region = i.region AND imputed) AS imputed_hours,
+  (SELECT count(*) FROM slots s WHERE s.region = i.region AND NOT present) AS missing_halfhours, (SELECT count(*) FROM filled f WHERE f.region = i.region AND f.missing) AS imputed_hours,
   coalesce((SELECT max(hours) FROM gaps g WHERE g.region = i.region), 0) AS longest_gap_hours FROM inst i GROUP BY i.region"""
 )
 def cl7_quality_table(spark, d):
     return clean.quality_table(views.half_hourly_events(spark, d))
 
 
+#: A range inside the events' month, with a gap across its first hour where the data have one there.
+FROM, TO = "2024-01-05 00:30", "2024-01-20 12:00"
+_RANGE = EVENTS.replace("FROM slots GROUP BY 1, 2),", f"FROM slots WHERE ds >= TIMESTAMP '{FROM}' AND ds < TIMESTAMP '{TO}' GROUP BY 1, 2),", 1)
+
+
+@query(f"{_RANGE} SELECT region, {stamp('ds')} AS ds, round(y, 6) AS y, missing AS imputed FROM filled")
+def cl7_prepared_range(spark, d):
+    return clean.prepare_all(views.half_hourly_events(spark, d), FROM, TO, 10_000).hourly
+
+
+@query(
+    f"""{_RANGE} SELECT i.region, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n > 1 AND spread = 0) AS duplicates_identical, count(*) FILTER (n > 1 AND spread > 0) AS duplicates_conflicting, count(*) FILTER (y IS NULL) AS missing_values,
+  (SELECT count(*) FROM slots s WHERE s.region = i.region AND NOT present) AS missing_halfhours, (SELECT count(*) FROM hours h WHERE h.region = i.region AND h.y IS NULL) AS imputed_hours,
+  coalesce((SELECT max(hours) FROM gaps g WHERE g.region = i.region), 0) AS longest_gap_hours FROM inst i GROUP BY i.region"""
+)
+def cl7_quality_of_range(spark, d):
+    return clean.prepare_all(views.half_hourly_events(spark, d), FROM, TO, 10_000).quality
+
+
 @query(f"{EVENTS}, tot AS (SELECT date_trunc('hour', ds) AS ds, avg(y) AS y FROM (SELECT ds, avg(y) AS y FROM ev GROUP BY 1) GROUP BY 1) SELECT {stamp('ds')} AS ds, round(y, 6) AS y FROM tot")
 def cl8_hourly_total(spark, d):
     one = views.half_hourly_events(spark, d).groupBy("ds").agg(F.avg("y").alias("y"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiersum.functions.scratch import materialize
+
 
 def distinct_instants(raw: DataFrame) -> DataFrame:
     """(region, ds, y, n, spread): the mean of each instant's values, their number and their range."""
@@ -62,22 +66,47 @@ def interpolated(hourly: DataFrame) -> DataFrame:
     return ends.select("region", "ds", filled.alias("y"), (F.col("y").isNull() & filled.isNotNull()).alias("imputed"))
 
 
-def quality_table(raw: DataFrame) -> DataFrame:
-    """One row per region: rows, duplicates, missing slots and values, imputed hours and the longest gap."""
+def _within(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    out = df if start is None else df.filter(F.col("ds") >= F.lit(start).cast("timestamp"))
+    return out if end is None else out.filter(F.col("ds") < F.lit(end).cast("timestamp"))
+
+
+def quality_table(raw: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One row per region: rows, duplicates, missing slots and values of all its raw rows; null hours and the longest run of them in [start, end).
+
+    Every null hour in range counts as imputed, those at the ends too, which no line can fill. Regions without any hour in range have 0.
+    """
     instants = distinct_instants(raw)
     slots = complete_slots(instants)
-    hours = hourly_mean(slots)
+    hours = hourly_mean(_within(slots, start, end))
     missing = slots.groupBy("region").agg(F.count_if(~F.col("present")).alias("missing_halfhours"))
-    filled = interpolated(hours).groupBy("region").agg(F.count_if("imputed").alias("imputed_hours"))
+    nulls = hours.groupBy("region").agg(F.count_if(F.col("y").isNull()).alias("imputed_hours"))
     longest = gaps(hours).groupBy("region").agg(F.max("hours").alias("longest_gap_hours"))
-    out = duplicate_counts(instants).join(missing, "region").join(filled, "region").join(longest, "region", "left")
-    return out.withColumn("longest_gap_hours", F.coalesce("longest_gap_hours", F.lit(0)))
+    out = duplicate_counts(instants).join(missing, "region").join(nulls, "region", "left").join(longest, "region", "left")
+    return out.fillna(0, ["imputed_hours", "longest_gap_hours"])
+
+
+class Prepared(NamedTuple):
+    """hourly: (region, ds, y, imputed), imputed telling that the hour had no value; quality: `quality_table` of the same range."""
+
+    hourly: DataFrame
+    quality: DataFrame
+
+
+def prepare_all(raw: DataFrame, start: str, end: str, max_gap_hours: int = 1) -> Prepared:
+    """All steps for all regions at once: instants, grid, the range [start, end), hourly means, refusal of long gaps, straight lines.
+
+    Raises, naming region, start and length, if a run of null hours in range, at the ends too, is longer than max_gap_hours. Hours outside the range are never
+    used to fill one inside.
+    """
+    hours = materialize(hourly_mean(_within(complete_slots(distinct_instants(raw)), start, end)), "hours")
+    filled = interpolated(refuse_long_gaps(hours, max_gap_hours)).drop("imputed").join(hours.select("region", "ds", F.col("y").isNull().alias("imputed")), ["region", "ds"])
+    return Prepared(filled.select("region", "ds", "y", "imputed"), quality_table(raw, start, end))
 
 
-def prepare(raw: DataFrame, start: str, end: str) -> DataFrame:
-    """(region, ds, y, imputed): all steps at once, restricted to [start, end) after gridding."""
-    hours = hourly_mean(complete_slots(distinct_instants(raw)))
-    return interpolated(hours.filter((F.col("ds") >= F.lit(start).cast("timestamp")) & (F.col("ds") < F.lit(end).cast("timestamp"))))
+def prepare(raw: DataFrame, start: str, end: str, max_gap_hours: int = 1) -> DataFrame:
+    """The hourly table of `prepare_all`."""
+    return prepare_all(raw, start, end, max_gap_hours).hourly
 
 
 def completeness(series: DataFrame) -> DataFrame:
