@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import materialize, scratch_dir
 from tiersum.jobs.queries import COUNTS, _items, query, sql_erfc, uniform
-from tiersum.operators import counts
+from tiersum.operators import counts, inference
 from tiersum.sources import raw, views
 
 #: The aggregates' forecasts are means of so many last days.
@@ -207,3 +207,92 @@ def io6_count_tables(spark, d):
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     return raw.read_counts(spark, path)["bottom"].select("item", "grp", F.size("pmf").alias("size"), "actual")
+
+
+# scores of all methods, for items and aggregates
+
+METHODS = ["base", "bottom_up", "gaussian", "mix_cond", "td_cond"]
+
+
+def _actuals(spark, d, items: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, y, q): the last day's counts of items and aggregates and their mean absolute change from day to day before."""
+    counted = views.user_day_counts(spark, d).select(F.col("item").cast("string").alias("item"), "day", "k")
+    sums = counted.join(edges, "item").groupBy(F.col("upper_id").alias("id"), "day").agg(F.sum("k").alias("k"))
+    days = views.table(spark, d, "events").agg(F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"))
+    q = counts.day_scale(counted.withColumnRenamed("item", "id").unionByName(sums), days)
+    own = items.select(F.col("item").alias("id"), F.col("y").cast("double").alias("y"))
+    tops = items.join(edges, "item").groupBy(F.col("upper_id").alias("id")).agg(F.sum("y").cast("double").alias("y"))
+    return own.unionByName(tops).join(q, "id", "left")
+
+
+def _normal_uppers(upper: DataFrame, residuals: DataFrame) -> DataFrame:
+    """The aggregates' own forecasts with the root mean square of their residuals."""
+    sd = residuals.groupBy("id").agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("sd"))
+    return upper.join(sd, "id").select(F.lit("base").alias("method"), "id", F.lit("normal").alias("kind"), "mu", "sd", F.lit(None).cast("array<double>").alias("pmf"))
+
+
+def _two_methods(spark, d):
+    items, upper, residuals, edges = _hierarchy(spark, d, False)
+    after = counts.gaussian(upper, residuals, _item_moments(items), edges).withColumn("pmf", F.lit(None).cast("array<double>"))
+    before = counts.as_table(items.select(F.col("item").alias("id"), "pmf"), "base", "id")
+    dists = before.unionByName(_normal_uppers(upper, residuals)).unionByName(after)
+    return counts.distribution_scores(materialize(dists, "distributions"), materialize(_actuals(spark, d, items, edges), "actuals"), ["base", "gaussian"]), upper
+
+
+@query(
+    f"""{_SCORES}, lagged AS (SELECT CAST(item AS VARCHAR) AS id, day, k, lag(k) OVER (PARTITION BY item ORDER BY day) AS b FROM g WHERE day < (SELECT max(day) FROM days)), tl AS (SELECT day, k, lag(k) OVER (ORDER BY day) AS b FROM dayk),
+q AS (SELECT id, avg(abs(k - b)) AS q FROM lagged WHERE b IS NOT NULL GROUP BY 1 UNION ALL SELECT 'T', avg(abs(k - b)) FROM tl WHERE b IS NOT NULL),
+ub AS (SELECT 'base' AS method, up.mu, sqrt(w) AS sd FROM up UNION ALL SELECT 'gaussian', mu, sd FROM gd WHERE id = 'T'), yt AS (SELECT sum(y) AS y FROM act),
+su AS (SELECT method, 'T' AS id, abs(mu - y) AS median_error, 2 * {Z} * sd + 20 * greatest(mu - {Z} * sd - y, 0) + 20 * greatest(y - mu - {Z} * sd, 0) AS mis FROM ub, yt),
+s AS (SELECT 'base' AS method, 'item' AS level, id, median_error, mis FROM sb UNION ALL SELECT 'gaussian', 'item', id, median_error, mis FROM sg UNION ALL SELECT method, 'upper', id, median_error, mis FROM su)
+SELECT method, level, count(*) AS n, round(avg(median_error / nullif(q, 0)), 4) AS mase, round(avg(mis), 4) AS mis FROM s LEFT JOIN q USING (id) GROUP BY 1, 2""",
+    digits=4,
+)
+def c12_level_scores(spark, d):
+    scores, upper = _two_methods(spark, d)
+    return counts.level_scores(scores, upper).drop("rps")
+
+
+def _all_methods(spark, d):
+    """(distributions by five methods, actual values, aggregates, edges), the aggregates being the total and ten groups."""
+    items, upper, residuals, edges = _hierarchy(spark, d, True)
+    groups = items.select("item", F.col("grp").alias("group"))
+    own = items.select(F.col("item").alias("id"), "pmf")
+    made = {"bottom_up": own.unionByName(counts.exact_sums(items.select("item", "pmf"), edges)), "mix_cond": counts.mix_cond_by_level(items.select("item", "pmf"), groups, edges, upper, residuals, 1000)[0], "td_cond": counts.td_cond(items.select("item", "pmf"), groups, upper, residuals, edges, 1000)[0]}
+    dists = counts.gaussian(upper, residuals, _item_moments(items), edges).withColumn("pmf", F.lit(None).cast("array<double>")).unionByName(_normal_uppers(upper, residuals)).unionByName(counts.as_table(own, "base", "id"))
+    for method, table in made.items():
+        dists = dists.unionByName(counts.as_table(table, method, "id"))
+    return materialize(dists, "distributions"), materialize(_actuals(spark, d, items, edges), "actuals"), upper, edges
+
+
+@query()
+def c13_summary(spark, d):
+    """Five methods: incoherence of means, negatives, scores of items and aggregates."""
+    dists, actuals, upper, edges = _all_methods(spark, d)
+    return counts.method_summary(dists, materialize(counts.distribution_scores(dists, actuals, METHODS), "scores"), upper, edges)
+
+
+@query()
+def c14_skill_of_all_methods(spark, d):
+    dists, actuals, upper, _ = _all_methods(spark, d)
+    scores = counts.distribution_scores(dists, actuals, METHODS).join(upper.select("id", F.lit("upper").alias("level")), "id", "left").withColumn("level", F.coalesce("level", F.lit("item")))
+    return counts.skill_table(materialize(scores, "scores"), "base", ["id"], ["level"], ["mase", "mis", "rps"])
+
+
+@query()
+def c15_wilcoxon(spark, d):
+    """Ranked probability scores of four methods against the base forecasts, item by item."""
+    dists, actuals, upper, _ = _all_methods(spark, d)
+    scores = materialize(counts.distribution_scores(dists.join(upper.select("id"), "id", "left_anti"), actuals, METHODS), "scores")
+    base = scores.filter("method = 'base'").select("id", F.col("rps").alias("b"))
+    pairs = scores.filter("method <> 'base'").join(base, "id").select("method", (F.col("rps") - F.col("b")).alias("d"))
+    return inference.paired_test(pairs, ["method"]).select("method", "n", "nonzero", "better", "rank_sum", "p_wilcoxon")
+
+
+@query(f"{GAUSS} SELECT round(up.mu, 6) AS total, round(st.sm, 6) AS sum_of_means, round(up.mu - st.sm, 6) AS difference, round(up.mu / nullif(st.sm, 0), 6) AS ratio FROM up, st")
+def c17_totals(spark, d):
+    """The total's own forecast against the sum of the items' means."""
+    items, upper, _, _ = _hierarchy(spark, d, False)
+    means = _item_moments(items).agg(F.sum("mu").alias("sum_of_means"))
+    both = upper.select(F.col("mu").alias("total")).join(F.broadcast(means))
+    return both.select("total", "sum_of_means", (F.col("total") - F.col("sum_of_means")).alias("difference"), F.try_divide("total", "sum_of_means").alias("ratio"))

@@ -145,6 +145,25 @@ def r11_bias_allocation(spark, d):
     return reconcile.allocate_bias(bias, s.nodes, s.nodes.select("unique_id", F.when(F.col("level") == 0, 1.0).otherwise(9.0).alias("v")), len(KEYS))
 
 
+GRID = (0.25, 1.0, 9.0, 81.0)
+
+
+@query(
+    f"""{LEAVES}, src AS (SELECT 'Total' AS origin, w AS ds, 0 AS horizon, unique_id, CASE WHEN level = 0 THEN 1.0 ELSE 0 END AS base FROM nodes, (VALUES {", ".join(f"({w})" for w in GRID)}) g(w)),{two_pass("pe", "CASE WHEN n.level = 0 THEN CAST(f.ds AS DOUBLE) ELSE 9.0 END", "src")}
+SELECT CAST(ds AS DOUBLE) AS w_total, unique_id, round(mu, 6) AS bias FROM pe"""
+)
+def r11_bias_over_total_weights(spark, d):
+    """Where a bias of 1 of the total goes, for a grid of its own variance, all others' being 9."""
+    s = Study.of(spark, d)
+    bias = s.nodes.select(F.lit("Total").alias("case"), "unique_id", (F.col("level") == 0).cast("double").alias("bias"))
+    out = None
+    for w in GRID:
+        part = reconcile.allocate_bias(bias, s.nodes, s.nodes.select("unique_id", F.when(F.col("level") == 0, w).otherwise(9.0).alias("v")), len(KEYS))
+        part = part.select(F.lit(w).alias("w_total"), "unique_id", "bias")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(
     f"""{LEAVES}, c2 AS (SELECT unique_id, parent, 1.0 AS var FROM nodes WHERE level = 2), s1 AS (SELECT parent AS unique_id, sum(var) AS cvar FROM c2 GROUP BY 1),
 c1 AS (SELECT n.unique_id, n.parent, 1.0 * n_leaves * cvar / (n_leaves + cvar) AS var FROM nodes n JOIN s1 USING (unique_id) WHERE level = 1), s0 AS (SELECT parent AS unique_id, sum(var) AS cvar FROM c1 GROUP BY 1),
@@ -202,6 +221,22 @@ def g3_projection_errors(spark, d):
     return reconcile.projection_errors(reconcile.projection(s.nodes, variance, len(KEYS)), s.edges)
 
 
+@query(
+    f"""{LEAVES}, src AS (SELECT c.unique_id AS origin, 0 AS ds, 0 AS horizon, n.unique_id, CASE WHEN c.unique_id = n.unique_id THEN 1.0 ELSE 0 END AS base FROM nodes n CROSS JOIN nodes c),{two_pass("pe", "CAST(n.n_leaves AS DOUBLE)", "src")},
+p AS (SELECT origin AS i, unique_id AS o, mu + CASE WHEN unique_id = 'Total' AND origin = (SELECT min(unique_id) FROM nodes WHERE level = 2) THEN 0.5 ELSE 0 END AS p FROM pe),
+ps AS (SELECT o, leaf_id, sum(p) AS v FROM p JOIN edges e ON e.unique_id = i GROUP BY 1, 2), l AS (SELECT ps.o, ps.leaf_id, abs(v - CASE WHEN e.leaf_id IS NULL THEN 0 ELSE 1 END) AS gap FROM ps LEFT JOIN edges e ON e.unique_id = ps.o AND e.leaf_id = ps.leaf_id),
+pp AS (SELECT a.i, b.o, sum(a.p * b.p) AS v FROM p a JOIN p b ON b.i = a.o GROUP BY 1, 2)
+SELECT 'unbiased' AS "check", round(max(gap), 6) AS error FROM l UNION ALL SELECT 'idempotent', round(max(abs(v - p.p)), 6) FROM pp JOIN p USING (i, o) UNION ALL SELECT 'left_inverse', round(max(gap), 6) + 0.0 FROM l WHERE o IN (SELECT unique_id FROM nodes WHERE level = 2)"""
+)
+def g3_errors_of_a_wrong_projection(spark, d):
+    """A projection in which half of one leaf's forecast is added to the total."""
+    s = Study.of(spark, d)
+    p = materialize(reconcile.projection(s.nodes, s.nodes.select("unique_id", F.col("n_leaves").cast("double").alias("v")), len(KEYS)), "projection")
+    leaf = s.nodes.filter("level = 2").agg(F.min("unique_id").alias("leaf"))
+    wrong = p.join(F.broadcast(leaf)).select("in_id", "out_id", (F.col("p") + F.when((F.col("out_id") == "Total") & (F.col("in_id") == F.col("leaf")), 0.5).otherwise(0.0)).alias("p"))
+    return reconcile.projection_errors(wrong, s.edges)
+
+
 # the gate on forecasts with faults
 
 _LEAF = "(SELECT min(unique_id) FROM nodes WHERE level = 2)"
@@ -315,6 +350,16 @@ def m12_gain_bands(spark, d):
     return resample.gain_bands(Study.of(spark, d).levels(), "wls_struct", "bu")
 
 
+@query(
+    f"""{FORECASTS}, pr AS (SELECT level, origin, mase, ref, rep, {uniform("0", "rep", "strftime(origin, '%Y-%m-%d %H:%M')")} AS u FROM paired, range(1, 201) a(rep) WHERE method = 'wls_struct'),
+run AS (SELECT level, count(*) OVER w AS k, 1 - sum(mase) OVER w / nullif(sum(ref) OVER w, 0) AS gain FROM pr WINDOW w AS (PARTITION BY level, rep ORDER BY u, origin)),
+b AS (SELECT level, k, quantile_cont(gain, 0.05) AS low, quantile_cont(gain, 0.95) AS high FROM run GROUP BY 1, 2)
+SELECT {_L}, min(k) FILTER (low > 0 OR high < 0) AS k FROM b GROUP BY level"""
+)
+def m12_first_apart(spark, d):
+    return metrics.first_apart(resample.gain_bands(Study.of(spark, d).levels(), "wls_struct", "bu"))
+
+
 @query(
     f"""{RESIDUALS}, inst AS (SELECT origin, ds, row_number() OVER (PARTITION BY origin ORDER BY ds) - 1 AS pick, count(*) OVER (PARTITION BY origin) AS n FROM (SELECT DISTINCT origin, ds FROM resid)),
 dr AS (SELECT i.origin, rep, l.leaf_id, CAST(floor({uniform("0", "rep", "l.leaf_id")} * n) AS BIGINT) AS pick FROM (SELECT DISTINCT origin, n FROM inst) i, range(1, 102) a(rep), (SELECT DISTINCT leaf_id FROM edges) l),

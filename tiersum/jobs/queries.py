@@ -252,6 +252,15 @@ def h6_additivity_by_day(spark, d):
     return hierarchy.additivity_by(hierarchy.additivity(filled, _official(filled)), "day", 0.15)
 
 
+@query(f"{LEAVES}, gap AS (SELECT l.ds, sum(y) * (0.0001 * (year(l.ds) % 3)) AS gap FROM leaves l GROUP BY 1) SELECT {stamp('period')} AS period, round(m, 6) AS median_gap, round(x, 6) AS max_gap, x > 0.9 AS above FROM (SELECT date_trunc('year', ds) AS period, median(abs(gap)) AS m, max(abs(gap)) AS x FROM gap GROUP BY 1)")
+def h6_additivity_by_year(spark, d):
+    """Monthly revenue of the leaves against a total that is too high by a share that depends on the year."""
+    leaves = Study.of(spark, d).leaves
+    regional = leaves.select(F.concat_ws("/", "region", "nation").alias("region"), "ds", "y")
+    official = regional.groupBy("ds").agg((F.sum("y") * (1 + 0.0001 * (F.year("ds") % 3))).alias("y"))
+    return hierarchy.additivity_by(hierarchy.additivity(regional, official), "year", 0.9)
+
+
 @query(f"{LEAVES} SELECT region, nation, count(y) AS n, round(avg(y), 3) AS mean, round(stddev_samp(y), 3) AS sd FROM leaves GROUP BY 1, 2", digits=3)
 def h7_profile(spark, d):
     return hierarchy.profile(views.monthly_revenue(spark, d), "region", "nation")
@@ -284,6 +293,15 @@ def b4_leakage(spark, d):
     return backtest.leakage(Study.of(spark, d).residuals())
 
 
+@query(f"{RESIDUALS} SELECT {stamp('o.origin')} AS origin, {stamp('max(r.ds)')} AS last_seen FROM origins o JOIN resid r ON r.origin = o.origin AND o.origin < (SELECT max(origin) FROM origins) OR r.origin = (SELECT max(origin) FROM origins) AND o.origin = (SELECT min(origin) FROM origins) GROUP BY o.origin HAVING max(r.ds) >= o.origin")
+def b4_leakage_found(spark, d):
+    """The first origin is given the last one's residuals, the last one none: the first has seen its own time."""
+    s = Study.of(spark, d)
+    ends = F.broadcast(s.origins.agg(F.min("origin").alias("a"), F.max("origin").alias("b")))
+    own = s.residuals().join(ends).select(F.when(F.col("origin") == F.col("b"), F.col("a")).otherwise(F.col("origin")).alias("origin"), "ds")
+    return backtest.leakage(own)
+
+
 @query(f"{LEAVES} SELECT {stamp('origin')} AS origin, unique_id, {stamp('ds')} AS ds, horizon, round(base, 6) AS base, round(naive, 6) AS naive FROM fc0")
 def b5_seasonal_forecasts(spark, d):
     return Study.of(spark, d).base.groupBy("origin", "unique_id", "ds", "horizon").pivot("method", ["base", "naive"]).agg(F.first("y_hat"))
@@ -397,6 +415,11 @@ def r17_pair_table(spark, d):
     return reconcile.pair_table(reconcile.pair_moments(Study.of(spark, d).residuals())).drop("r", "var_r")
 
 
+@query(f"{_X} SELECT {stamp('origin')} AS origin, i, j, round(t * t * (q - r * r) / pow(t - 1, 3), 6) AS var_r FROM pt")
+def r17_sampling_variances(spark, d):
+    return reconcile.pair_table(reconcile.pair_moments(Study.of(spark, d).residuals())).select("origin", "i", "j", "var_r")
+
+
 @query(
     f"""{RESIDUALS}, per AS (SELECT origin, unique_id, count(e) AS t, stddev_pop(e) AS sd FROM resid GROUP BY 1, 2), g AS (SELECT origin, min(t) AS t, min(sd) AS sd FROM per GROUP BY 1)
 SELECT {stamp('origin')} AS origin, CASE WHEN t < 25 OR sd <= 0 THEN 'wls_struct' ELSE 'mint_shrink' END AS method, CASE WHEN t < 25 THEN 'few residuals' WHEN sd <= 0 THEN 'a series without variance' ELSE 'ok' END AS reason FROM g"""
@@ -431,6 +454,23 @@ def g1_incoherence(spark, d):
     return metrics.incoherence(s.reconciled(), s.edges)
 
 
+_SIGNED = "count(*) AS n, round(max(abs(y_hat - s)), 6) AS gap, round(min(y_hat - s), 6) + 0.0 AS lowest, round(max(y_hat - s), 6) + 0.0 AS highest"
+
+
+@query(f"{FORECASTS}, sums AS (SELECT f.origin, f.method, f.ds, e.unique_id, sum(y_hat) AS s FROM fc f JOIN edges e ON e.leaf_id = f.unique_id AND e.unique_id <> e.leaf_id GROUP BY 1, 2, 3, 4) SELECT f.method, f.horizon, {_SIGNED} FROM fc f JOIN sums s ON s.origin = f.origin AND s.method = f.method AND s.ds = f.ds AND s.unique_id = f.unique_id GROUP BY f.method, f.horizon")
+def g1_incoherence_by_horizon(spark, d):
+    s = Study.of(spark, d)
+    return metrics.incoherence_by(s.reconciled(), s.edges, ["method", "horizon"], ["origin", "method", "ds", "horizon"])
+
+
+@query(f"{LEAVES}, fc AS (SELECT ds, unique_id, y + CASE WHEN level = 1 AND month(ds) = 3 THEN 0.001 * y WHEN level = 0 AND month(ds) = 4 THEN -0.002 * y ELSE 0 END AS y_hat FROM hier), sums AS (SELECT f.ds, e.unique_id, sum(y_hat) AS s FROM fc f JOIN edges e ON e.leaf_id = f.unique_id AND e.unique_id <> e.leaf_id GROUP BY 1, 2) SELECT f.unique_id, {_SIGNED} FROM fc f JOIN sums s ON s.ds = f.ds AND s.unique_id = f.unique_id GROUP BY f.unique_id")
+def g1_incoherence_of_actuals(spark, d):
+    """Actual values by aggregate, those of regions too high in March and the total's too low in April."""
+    s = Study.of(spark, d)
+    wrong = F.when((F.col("level") == 1) & (F.month("ds") == 3), 0.001 * F.col("y")).when((F.col("level") == 0) & (F.month("ds") == 4), -0.002 * F.col("y")).otherwise(0.0)
+    return metrics.incoherence_by(s.series.withColumn("y", F.col("y") + wrong), s.edges, ["unique_id"], ["ds"], "y")
+
+
 def gate_sql(fc: str = "fc", levels: str = "levels") -> str:
     """The gate's rows for forecasts and level means given as tables of a WITH list."""
     bad = "(y_hat IS NULL OR isnan(y_hat) OR isinf(y_hat))"
@@ -500,6 +540,45 @@ def m8_mase_by_horizon(spark, d):
     return metrics.mase_by_horizon(s.reconciled(), s.scales(), s.nodes)
 
 
+_BY_H = f"""{FORECASTS}, f1 AS (SELECT f.origin, level, method, horizon, avg(abs(y - y_hat) / nullif(scale, 0)) AS m FROM fc f JOIN scales s ON s.origin = f.origin AND s.unique_id = f.unique_id GROUP BY 1, 2, 3, 4), hz AS (SELECT level, method, horizon, avg(m) AS mase FROM f1 GROUP BY 1, 2, 3)"""
+
+
+def _by_horizon(spark, d):
+    s = Study.of(spark, d)
+    return materialize(metrics.mase_by_horizon(s.reconciled(), s.scales(), s.nodes), "horizons")
+
+
+@query(f"{_BY_H} SELECT {_L.replace('level AS', 'h.level AS')}, h.method, h.horizon, round(1 - h.mase / nullif(r.mase, 0), 6) + 0.0 AS gain FROM hz h JOIN hz r ON r.level = h.level AND r.horizon = h.horizon AND r.method = 'bu'")
+def m8_gain_by_horizon(spark, d):
+    return metrics.gain_by_horizon(_by_horizon(spark, d), "bu")
+
+
+@query(f"{_BY_H}, b AS (SELECT level, method, CASE WHEN horizon <= 2 THEN '1-2' ELSE '3-' END AS band, avg(mase) AS mase FROM hz GROUP BY 1, 2, 3) SELECT {_L.replace('level AS', 'b.level AS')}, b.method, b.band, round(b.mase, 6) AS mase, round(1 - b.mase / nullif(r.mase, 0), 6) + 0.0 AS gain FROM b JOIN b r ON r.level = b.level AND r.band = b.band AND r.method = 'bu'")
+def m8_gain_by_band(spark, d):
+    return metrics.gain_by_band(_by_horizon(spark, d), "bu", 2)
+
+
+_MONTHS = f"{FORECASTS}, mo AS (SELECT origin AS month, level, method, avg(mase) AS mase FROM levels GROUP BY 1, 2, 3), mg AS (SELECT m.*, r.mase AS ref FROM mo m JOIN mo r ON r.month = m.month AND r.level = m.level AND r.method = 'base')"
+
+
+@query(f"{_MONTHS} SELECT {stamp('month')} AS month, {_L}, method, round(1 - mase / nullif(ref, 0), 6) + 0.0 AS gain, mase < ref - 1e-9 AS won FROM mg")
+def m9_monthly_gain(spark, d):
+    return metrics.monthly_gain(Study.of(spark, d).levels(), "base")
+
+
+@query(f"{_MONTHS} SELECT {_L}, method, count(*) AS months, count(*) FILTER (mase < ref - 1e-9) AS won FROM mg GROUP BY level, method")
+def m9_months_won(spark, d):
+    return metrics.months_won(Study.of(spark, d).levels(), "base")
+
+
+METHODS = ["base", "naive", "bu", "ols", "wls_struct"]
+
+
+@query(f"{FORECASTS} SELECT {_L}, {stamp('origin')} AS origin, " + ", ".join(f"round(max(mase) FILTER (method = '{m}'), 6) AS {m}" for m in METHODS) + " FROM levels GROUP BY level, origin")
+def m16_by_origin(spark, d):
+    return metrics.by_origin(Study.of(spark, d).levels(), METHODS)
+
+
 @query(f"{FORECASTS} SELECT {stamp('origin')} AS month, {_L}, method, round(avg(mase), 6) AS mase, count(*) AS n FROM levels GROUP BY origin, level, method")
 def m9_monthly(spark, d):
     return metrics.monthly(Study.of(spark, d).levels())

@@ -117,6 +117,44 @@ def normal_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float
     return dists.join(actuals, list(keys)).select(*keys, F.abs(F.col("mu") - y).alias("median_error"), mis.alias("mis"), rps.alias("rps"))
 
 
+def day_scale(counts: DataFrame, days: DataFrame) -> DataFrame:
+    """counts(id, day, k), days without counts absent; days(first, last), one row -> (id, q): mean absolute change from one day to the next, of the days before the last.
+
+    Days that aren't there count 0: a day that is there adds its change from the day before, and itself again where the day after isn't.
+    """
+    w = Window.partitionBy("id").orderBy("day")
+    own = counts.join(F.broadcast(days)).filter("day < last").withColumn("before", F.lag(F.struct("day", "k")).over(w)).withColumn("after", F.lead("day").over(w))
+    follows = F.coalesce(F.date_diff("day", F.col("before.day")) == 1, F.lit(False))
+    up = F.when(follows, F.abs(F.col("k") - F.col("before.k"))).when(F.col("day") > F.col("first"), F.col("k")).otherwise(0)
+    down = F.when((F.col("day") < F.date_sub("last", 1)) & ~F.coalesce(F.date_diff("after", "day") == 1, F.lit(False)), F.col("k")).otherwise(0)
+    return own.groupBy("id").agg(F.try_divide(F.sum(up + down).cast("double"), F.max(F.date_diff("last", "first")) - 1).alias("q"))
+
+
+def distribution_scores(dists: DataFrame, actuals: DataFrame, methods: list[str], alpha: float = 0.1) -> DataFrame:
+    """distributions (method, id, kind, mu, sd, pmf), actuals(id, y, q) -> (method, id, mase, mis, rps), mase being the median's error over q, null where q is 0."""
+    y = actuals.select(F.explode(F.array(*map(F.lit, methods))).alias("method"), "id", "y")
+    own = item_scores(dists.filter("kind = 'pmf'").select("method", "id", "pmf"), y, "method", "id", alpha=alpha)
+    normal = normal_scores(dists.filter("kind = 'normal'").select("method", "id", "mu", "sd"), y, "method", "id", alpha=alpha)
+    both = own.unionByName(normal).join(actuals.select("id", "q"), "id", "left")
+    return both.select("method", "id", F.try_divide("median_error", "q").alias("mase"), "mis", "rps")
+
+
+def level_scores(scores: DataFrame, uppers: DataFrame) -> DataFrame:
+    """distribution_scores, uppers(id) -> (method, level, n, mase, mis, rps): means over aggregates and items; aggregates have no rps, as in the summary."""
+    marked = scores.join(uppers.select("id", F.lit("upper").alias("level")), "id", "left").withColumn("level", F.coalesce("level", F.lit("item")))
+    rps = F.when(F.first("level") == "item", F.avg("rps"))
+    return marked.groupBy("method", "level").agg(F.count("*").alias("n"), F.avg("mase").alias("mase"), F.avg("mis").alias("mis"), rps.alias("rps"))
+
+
+def method_summary(dists: DataFrame, scores: DataFrame, uppers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(method, gap, negative_share, below_zero, and mase, mis, rps of items and mase, mis of aggregates), one row per method."""
+    items = dists.join(uppers.select("id"), "id", "left_anti")
+    low = negatives(items).select("method", F.col("mean_share").alias("negative_share"), "below_zero")
+    levels = level_scores(scores, uppers)
+    part = lambda level, names: levels.filter(F.col("level") == level).select("method", *(F.col(n).alias(f"{level}_{n}") for n in names))
+    return mean_incoherence(dists, edges).join(low, "method").join(part("item", ("mase", "mis", "rps")), "method", "left").join(part("upper", ("mase", "mis")), "method", "left")
+
+
 def normal_below_zero(mu: Column, sd: Column) -> Column:
     """Mass of a normal distribution on counts below zero."""
     return F.coalesce(normal_cdf(F.try_divide(-0.5 - mu, sd)), (mu < -0.5).cast("double"))

@@ -87,6 +87,42 @@ def mase_by_horizon(forecasts: DataFrame, scales: DataFrame, nodes: DataFrame) -
     return first.groupBy("level", "method", "horizon").agg(F.avg("m").alias("mase"))
 
 
+def gain_by_horizon(table: DataFrame, reference: str) -> DataFrame:
+    """mase_by_horizon rows -> (level, method, horizon, gain): 1 - mase / that of the reference at the same horizon."""
+    ref = table.filter(F.col("method") == reference).select("level", "horizon", F.col("mase").alias("ref"))
+    return table.join(ref, ["level", "horizon"]).select("level", "method", "horizon", (1 - ratio(F.col("mase"), F.col("ref"))).alias("gain"))
+
+
+def gain_by_band(table: DataFrame, reference: str, first: int) -> DataFrame:
+    """mase_by_horizon rows -> (level, method, band, mase, gain): means over the horizons up to `first` and over those beyond."""
+    band = F.when(F.col("horizon") <= first, F.lit(f"1-{first}")).otherwise(F.lit(f"{first + 1}-"))
+    means = table.groupBy("level", "method", band.alias("band")).agg(F.avg("mase").alias("mase"))
+    ref = means.filter(F.col("method") == reference).select("level", "band", F.col("mase").alias("ref"))
+    return means.join(ref, ["level", "band"]).select("level", "method", "band", "mase", (1 - ratio(F.col("mase"), F.col("ref"))).alias("gain"))
+
+
+def monthly_gain(levels: DataFrame, reference: str) -> DataFrame:
+    """(month, level, method, gain, won): by month of the origin, won if better than the reference by more than rounding."""
+    months = monthly(levels)
+    ref = months.filter(F.col("method") == reference).select("month", "level", F.col("mase").alias("ref"))
+    return months.join(ref, ["month", "level"]).select("month", "level", "method", (1 - ratio(F.col("mase"), F.col("ref"))).alias("gain"), (F.col("mase") < F.col("ref") - TIE).alias("won"))
+
+
+def months_won(levels: DataFrame, reference: str) -> DataFrame:
+    """(level, method, months, won)."""
+    return monthly_gain(levels, reference).groupBy("level", "method").agg(F.count("*").alias("months"), F.count_if("won").alias("won"))
+
+
+def first_apart(bands: DataFrame) -> DataFrame:
+    """resample.gain_bands rows -> (level, k): the first number of origins at which the band excludes 0, null where none does."""
+    return bands.groupBy("level").agg(F.min(F.when(F.col("apart"), F.col("k"))).alias("k"))
+
+
+def by_origin(levels: DataFrame, methods: list[str]) -> DataFrame:
+    """(level, origin, one column of MASE per method)."""
+    return levels.groupBy("level", "origin").pivot("method", methods).agg(F.first("mase"))
+
+
 def monthly(levels: DataFrame) -> DataFrame:
     """(month, level, method, mase, n) by month of the origin."""
     return levels.groupBy(F.date_trunc("month", "origin").alias("month"), "level", "method").agg(F.avg("mase").alias("mase"), F.count("*").alias("n"))
@@ -126,6 +162,19 @@ def incoherence(forecasts: DataFrame, edges: DataFrame, value: str = "y_hat") ->
     return forecasts.join(sums, [*keys, "unique_id"]).groupBy("origin", "method").agg(F.max(F.abs(F.col(value) - F.col("s"))).alias("gap"))
 
 
+def incoherence_by(forecasts: DataFrame, edges: DataFrame, by: list[str], keys: list[str], value: str = "y_hat") -> DataFrame:
+    """forecasts(*keys, unique_id, *value) -> (*by, n, gap, lowest, highest): nodes compared with the sum of their leaves, the largest absolute difference and the extreme signed ones.
+
+    keys name one set of nodes, e.g. origin, method, ds, horizon; by are any of the keys, unique_id or level, or none for one row over all. Actual values are
+    compared by the key ds. Leaves, which are their own sums, don't count.
+    """
+    below = edges.filter("unique_id <> leaf_id").select("unique_id", "leaf_id")
+    sums = forecasts.select(*keys, F.col("unique_id").alias("leaf_id"), F.col(value).alias("v")).join(below, "leaf_id").groupBy(*keys, "unique_id").agg(F.sum("v").alias("s"))
+    d = F.col(value) - F.col("s")
+    gaps = forecasts.select(*{*keys, "unique_id", value, *by}).join(sums, [*keys, "unique_id"]).withColumn("d", d)
+    return gaps.groupBy(*by).agg(F.count("d").alias("n"), F.max(F.abs("d")).alias("gap"), F.min("d").alias("lowest"), F.max("d").alias("highest"))
+
+
 def coherence_violations(forecasts: DataFrame, edges: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(origin, method, gap, bad, missing): where a gap is above the tolerance, values aren't finite, or nodes have no row."""
     nodes = edges.agg(F.count_distinct("unique_id").alias("m"))
