@@ -90,3 +90,16 @@ def test_prediction_equals_a_plain_count():
     even = language.LanguageFilters(["aa", "bb"], np.full(language.CELLS, 3, np.uint64), 1)
     even.false = np.zeros(2)
     assert even.predict("tie", WordCache(lambda chunk: even.counts(chunk, WordCache(even.fields)))) == ("aa", 1.0)
+
+
+def test_more_languages_than_a_mask_has_bits(spark):
+    """70 languages with words of their own take two tables."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choices(letters[k % 20 : k % 20 + 7], k=6)) for _ in range(6)] for k in range(70)}
+    data = [(i, " ".join(rng.choices(words[f"l{i % 70:02d}"], k=40)), f"l{i % 70:02d}", "", "") for i in range(700)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    filters = language.learn(docs)
+    assert filters.table.shape == (2, language.CELLS) and len(filters.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, filters).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, *_ in data]) > 0.98

@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from tiersum.llm.common import WordCache, is_held_out, materialize, per_worker
 
 SIZES = (2, 3, 4)
-#: Cells of the filter table: the model's size whatever the corpus, 8 bytes a cell at most.
+#: Cells of a filter table: the model's size whatever the corpus, 8 bytes a cell for every 64 languages.
 CELLS = 1 << 21
 HASHES = 3
-MAX_LANGUAGES = 64
+#: Languages of one table's masks; more languages take more tables, up to MAX_LANGUAGES (256 MB).
+PLANE = 64
+MAX_LANGUAGES = 1024
 #: A language contains an n-gram seen so often in its texts, at no less than this share of the highest rate of any language.
 MIN_COUNT, MIN_RATIO = 3, 0.2
 HOLD_OUT = 4
@@ -60,21 +62,25 @@ def cells(gram: str) -> list[int]:
 
 @dataclass
 class LanguageFilters:
-    """languages in order of bit; table: mask of each cell; prior: the language of most texts."""
+    """languages in order of bit; table: masks of each cell, a row for every 64 languages; prior: the language of most texts."""
 
     languages: list[str]
     table: np.ndarray
     prior: int
 
     def __post_init__(self):
-        share = [float((self.table >> np.uint64(b) & np.uint64(1)).mean()) for b in range(len(self.languages))]
+        self.table = np.atleast_2d(self.table)
+        share = [float((self.table[b // PLANE] >> np.uint64(b % PLANE) & np.uint64(1)).mean()) for b in range(len(self.languages))]
         self.false = np.minimum(np.array(share) ** HASHES, 0.999)
 
     def mask(self, gram: str) -> int:
-        got = (1 << MAX_LANGUAGES) - 1
-        for c in cells(gram):
-            got &= int(self.table[c])
-        return got
+        at, out = cells(gram), 0
+        for k, plane in enumerate(self.table):
+            got = (1 << PLANE) - 1
+            for c in at:
+                got &= int(plane[c])
+            out |= got << PLANE * k
+        return out
 
     def fields(self, gram: str) -> int:
         """One n-gram's popcounts in fields of FIELD bits: one per language, then 1."""
@@ -118,14 +124,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageFilters:
-    """Fill the filters from all texts with a language that aren't held out. Raises for more than 64 languages."""
+    """Fill the filters from all texts with a language that aren't held out. Raises for more than 1,024 languages."""
     spark = docs.sparkSession
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), is_held_out(F.col(id_col), HOLD_OUT).alias("held")).filter("lang is not null and not held")
     texts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(texts)
-    table = np.zeros(CELLS, np.uint64)
+    table = np.zeros((max(1, -(-len(languages) // PLANE)), CELLS), np.uint64)
     if not languages:
         return LanguageFilters([], table, 0)
     counts = known.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
@@ -137,12 +143,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rated = per_gram.select("gram", F.transform("seen", lambda s: F.struct(s["bit"].alias("bit"), s["n"].alias("n"), (s["n"] / F.get(per_bit, s["bit"])).alias("rate"))).alias("seen"))
     top = F.array_max(F.transform("seen", lambda s: s["rate"]))
     kept = F.filter("seen", lambda s: (s["n"] >= MIN_COUNT) & (s["rate"] >= MIN_RATIO * F.col("top")))
-    mask = F.aggregate(kept, F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s["bit"])))
-    masks = rated.withColumn("top", top).select("gram", mask.alias("mask")).filter("mask <> 0")
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s["bit"] % PLANE)
+    planes = [F.struct(F.lit(k).alias("plane"), F.aggregate(F.filter(F.col("kept"), lambda s: F.floor(s["bit"] / PLANE) == k), F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(bit(s))).alias("mask")) for k in range(len(table))]
+    masks = rated.withColumn("top", top).select("gram", kept.alias("kept")).select("gram", F.explode(F.array(*planes)).alias("p")).select("gram", "p.plane", "p.mask").filter("mask <> 0")
     first, step = F.crc32(F.col("gram").cast("binary")), F.crc32(F.concat(F.lit("~"), "gram").cast("binary")).bitwiseOR(F.lit(1).cast("long"))
     at = F.explode(F.array(*((first + i * step) % CELLS for i in range(HASHES))))
-    filled = masks.select(at.alias("cell"), "mask").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table[filled.column("cell").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
+    filled = masks.select(at.alias("cell"), "plane", "mask").groupBy("cell", "plane").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table[filled.column("plane").to_numpy(), filled.column("cell").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
     return LanguageFilters(languages, table, languages.index(max(languages, key=lambda x: texts[x])))
 
 
