@@ -122,7 +122,7 @@ def same_season(series: DataFrame, origins: DataFrame, h: int, season: int, seas
     first = F.ceil(F.col("horizon") / season)
     back = targets.withColumn("back", F.explode(F.sequence(first, first + seasons - 1))).withColumn("past", F.expr(f"timestampadd({unit}, -cast(back as int) * {season}, ds)"))
     past = series.select("unique_id", F.col("ds").alias("past"), "y")
-    return past.join(F.broadcast(back), "past").select("origin", "unique_id", "ds", "horizon", "back", "y")
+    return past.join(back, "past").select("origin", "unique_id", "ds", "horizon", "back", "y")
 
 
 def seasonal_forecasts(series: DataFrame, origins: DataFrame, h: int, season: int, unit: str = "month") -> DataFrame:
@@ -171,7 +171,7 @@ def trailing_window(residuals: DataFrame, n: int) -> DataFrame:
     """The last n distinct dates of each origin."""
     dates = residuals.select("origin", "ds").distinct()
     kept = dates.withColumn("k", F.row_number().over(Window.partitionBy("origin").orderBy(F.desc("ds")))).filter(F.col("k") <= n).select("origin", "ds")
-    return residuals.join(F.broadcast(kept), ["origin", "ds"], "left_semi")
+    return residuals.join(kept, ["origin", "ds"], "left_semi")
 
 
 def debiased(forecasts: DataFrame, residuals: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def past_errors(errors: DataFrame, origins: DataFrame, h: int, min_past: int, wi
     """
     kept = finished(origins, h, min_past, window, unit)
     own = errors.select(F.col("origin").alias("past"), "unique_id", F.xxhash64("origin", "ds").alias("ds"), "e")
-    return own.join(F.broadcast(kept), "past").select("origin", "unique_id", "ds", "e")
+    return own.join(kept, "past").select("origin", "unique_id", "ds", "e")
 
 
 def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past: int, window: int | None = None, unit: str = "month") -> DataFrame:
@@ -208,7 +208,7 @@ def past_error_variances(errors: DataFrame, origins: DataFrame, h: int, min_past
     Errors are summed once per origin and series; only these sums meet the pairs of origins.
     """
     per = errors.groupBy("unique_id", F.col("origin").alias("past")).agg(F.count("e").alias("n"), F.avg("e").alias("m"), F.coalesce(F.var_pop("e"), F.lit(0.0)).alias("v"))
-    both = per.join(F.broadcast(finished(origins, h, min_past, window, unit)), "past")
+    both = per.join(finished(origins, h, min_past, window, unit), "past")
     n, m = F.col("n"), F.col("m")
     sums = both.groupBy("origin", "unique_id").agg(F.sum(n).alias("n"), F.sum(n * m).alias("s"), F.sum(n * (F.col("v") + m * m)).alias("q"))
     return sums.select("origin", "unique_id", F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), n), n - 1).alias("v"))
@@ -220,5 +220,5 @@ def external_forecast(official: DataFrame, origins: DataFrame, h: int, debias_ho
     seconds = F.unix_timestamp("ds") - F.unix_timestamp("origin")
     near = official.join(F.broadcast(origins), (seconds >= -3600 * debias_hours) & (seconds < 3600 * h))
     bias = near.filter(F.col("ds") < F.col("origin")).groupBy("origin").agg(F.avg(F.col("ext") - F.col("y")).alias("bias"))
-    ahead = near.filter(F.col("ds") >= F.col("origin")).join(F.broadcast(bias), "origin", "left")
+    ahead = near.filter(F.col("ds") >= F.col("origin")).join(bias, "origin", "left")
     return ahead.select("origin", "ds", F.col("ext").alias("raw"), (F.col("ext") - F.col("bias")).alias("debiased"))

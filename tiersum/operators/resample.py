@@ -22,7 +22,7 @@ def rank_probabilities(levels: DataFrame, replicates: int = 200, seed: int = 0)
     """
     origins = levels.select("origin").distinct().withColumn("pick", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)  # a study's origins: hundreds at most
     sizes = origins.agg(F.count("*").alias("n"))
-    drawn = draws(replicates, F.col("n").cast("int"), seed, sizes).join(F.broadcast(origins), "pick").select("rep", "origin")
+    drawn = draws(replicates, F.col("n").cast("int"), seed, sizes).join(origins, "pick").select("rep", "origin")
     means = drawn.join(levels, "origin").groupBy("rep", "level", "method").agg(F.round(F.avg("mase"), 9).alias("mase"))
     ranked = means.withColumn("rank", F.rank().over(Window.partitionBy("rep", "level").orderBy("mase")).cast("double"))
     return ranked.groupBy("level", "method").agg(F.avg((F.col("rank") == 1).cast("double")).alias("p_best"), F.avg("rank").alias("mean_rank"), F.percentile("rank", F.lit(0.05)).alias("rank_05"), F.percentile("rank", F.lit(0.95)).alias("rank_95"))
@@ -51,10 +51,10 @@ def correlation_interval(errors: DataFrame, replicates: int = 200, seed: int = 0
     rows = pairs.join(own.toDF("origin", "i", "n", "sx", "qx"), ["origin", "i"]).join(own.drop("n").toDF("origin", "j", "sy", "qy"), ["origin", "j"])
     origins = errors.select("origin").distinct().withColumn("pick", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)  # a study's origins
     sizes = origins.agg(F.count("*").alias("n"))
-    drawn = draws(replicates, F.col("n").cast("int"), seed, sizes).join(F.broadcast(origins), "pick").groupBy("rep", "origin").agg(F.count("*").alias("times"))
+    drawn = draws(replicates, F.col("n").cast("int"), seed, sizes).join(origins, "pick").groupBy("rep", "origin").agg(F.count("*").alias("times"))
     drawn = drawn.unionByName(origins.select(F.lit(0).alias("rep"), "origin", F.lit(1).cast("long").alias("times")))  # replicate 0: each origin once
     names = ("n", "sxy", "sx", "sy", "qx", "qy")
-    sums = rows.join(F.broadcast(drawn), "origin").groupBy("rep", "i", "j").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in names))
+    sums = rows.join(drawn, "origin").groupBy("rep", "i", "j").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in names))
     n, sxy, sx, sy, qx, qy = map(F.col, names)
     r = sums.select("rep", F.try_divide(sxy - sx * sy / n, F.sqrt(F.greatest(F.lit(0.0), qx - sx * sx / n) * F.greatest(F.lit(0.0), qy - sy * sy / n))).alias("r"))
     means = r.groupBy("rep").agg(F.avg("r").alias("m"))

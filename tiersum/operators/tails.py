@@ -35,82 +35,114 @@ def normal_tail(z: Column) -> Column:
     return erfc(F.abs(z) / math.sqrt(2))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_fraction(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    total = d
+def _log_gamma(v: np.ndarray) -> np.ndarray:
+    """By distinct values, of which degrees of freedom have few."""
+    own, at = np.unique(v, return_inverse=True)
+    return np.array([math.lgamma(x) for x in own])[at].reshape(np.shape(v))
+
+
+def _away(v: np.ndarray) -> np.ndarray:
+    """Divisors that are 0 moved off it."""
+    return np.where(v == 0, 1e-300, v)
+
+
+def beta_share(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularized incomplete beta function by its continued fraction, for all rows at once; 0 up to 0 and 1 from 1 on."""
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    inside = (x > 0) & (x < 1)
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(inside, np.where(turned, 1 - x, x), 0.5)
+    front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+    c, d = np.ones_like(z), 1 / _away(1 - (p + q) * z / (p + 1))
+    total, going = d.copy(), np.ones(z.shape, bool)
     for m in range(1, 500):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + k * d or 1e-300)
-            c = 1 + k / c or 1e-300
-            total *= c * d
-        if abs(c * d - 1) < 1e-14:
+        for k in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / _away(1 + k * d)
+            c = _away(1 + k / c)
+            total = np.where(going, total * c * d, total)
+        going &= np.abs(c * d - 1) >= 1e-14
+        if not going.any():
             break
-    return front * total
+    value = np.where(turned, 1 - front * total, front * total)
+    return np.where(inside, value, (x >= 1).astype(float))
 
 
-def _student(t: float, df: float) -> float | None:
-    if t is None or df is None or math.isnan(t) or df < 1:
-        return None
-    return 0.0 if math.isinf(t) else _beta_fraction(df / 2, 0.5, df / (df + t * t))
+def student_share(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail probability of Student's t, nan without a degree of freedom."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    ok = ~np.isnan(t) & (df >= 1)
+    n, x = np.where(ok, df, 1.0), np.where(ok & np.isfinite(t), t, 0.0)
+    return np.where(ok, np.where(np.isinf(t), 0.0, beta_share(n / 2, 0.5, n / (n + x * x))), np.nan)
 
 
 @F.pandas_udf(T.DoubleType())
 def student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided tail probability of Student's t; null without a degree of freedom."""
-    return pd.Series([_student(x, n) for x, n in zip(t, df)], dtype=float)
+    got = student_share(t.to_numpy(float), df.to_numpy(float))
+    return pd.Series(got).astype("Float64").mask(np.isnan(got))
 
 
-def student_quantile(p: float, df: int) -> float:
-    """t with two-sided tail probability p, by bisection."""
-    lo, hi = 0.0, 1e6
+def student_quantiles(p: float, df: np.ndarray) -> np.ndarray:
+    """t with two-sided tail probability p, by bisection for all degrees of freedom at once."""
+    df = np.asarray(df, float)
+    lo, hi = np.zeros(len(df)), np.full(len(df), 1e6)
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _student(mid, df) > p else (lo, mid)
+        above = student_share(mid, df) > p
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
     return hi
 
 
+def student_quantile(p: float, df: int) -> float:
+    return float(student_quantiles(p, np.array([df]))[0])
+
+
 @F.pandas_udf(T.DoubleType())
 def student_width(df: pd.Series) -> pd.Series:
     """Half width of a 95 % interval in standard errors; null without a degree of freedom."""
-    of = {n: student_quantile(0.05, int(n)) for n in set(df.dropna()) if n >= 1}
-    return df.map(of).astype(float)
-
-
-def _gamma_tail(a: float, x: float) -> float:
-    """Regularized upper incomplete gamma function, by its series or its continued fraction."""
-    if x <= 0:
-        return 1.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while term > total * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - total * scale
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for i in range(1, 2000):
-        b += 2
-        k = i * (a - i)
-        d = 1 / (k * d + b or 1e-300)
-        c = b + k / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return h * scale
+    own = np.array(sorted({int(n) for n in df.dropna() if n >= 1}), float)
+    return df.map(dict(zip(own, student_quantiles(0.05, own)))).astype(float)
+
+
+def gamma_share(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularized upper incomplete gamma function for all rows at once, by its series up to a + 1 and by its continued fraction beyond; 1 up to 0."""
+    a, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, x))
+    out = np.ones(x.shape)
+    low, high = (x > 0) & (x < a + 1), (x > 0) & (x >= a + 1)
+    scale = np.zeros(x.shape)
+    some = low | high
+    scale[some] = np.exp(a[some] * np.log(x[some]) - x[some] - _log_gamma(a[some]))
+    if low.any():
+        k, z = a[low].copy(), x[low]
+        term = 1 / k
+        total = term.copy()
+        while (term > total * 1e-16).any():
+            k = k + 1
+            term = term * z / k
+            total = total + term
+        out[low] = 1 - total * scale[low]
+    if high.any():
+        p, b = a[high], x[high] + 1 - a[high]
+        c, d = np.full(len(b), 1e300), 1 / b
+        h, going = d.copy(), np.ones(len(b), bool)
+        for i in range(1, 2000):
+            b = b + 2
+            k = i * (p - i)
+            d = 1 / _away(k * d + b)
+            c = _away(b + k / c)
+            h = np.where(going, h * d * c, h)
+            going &= np.abs(d * c - 1) >= 1e-14
+            if not going.any():
+                break
+        out[high] = h * scale[high]
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
 def chi_square_tail(q: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) else _gamma_tail(n / 2, x / 2) for x, n in zip(q, df)], dtype=float)
+    x = q.to_numpy(float)
+    got = gamma_share(df.to_numpy(float) / 2, np.where(np.isnan(x), 0.0, x) / 2)
+    return pd.Series(got).astype("Float64").mask(np.isnan(x))
 
 
 @lru_cache(maxsize=64)
@@ -125,15 +157,23 @@ def _signed_ranks(n: int) -> np.ndarray:
     return ways
 
 
-def _wilcoxon(rank_sum, n, ties) -> float | None:
-    if rank_sum is None or pd.isna(rank_sum) or n < 1:
-        return None
+def wilcoxon_share(rank_sum: np.ndarray, n: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Two-sided p for all rows at once, nan where there is none."""
+    rank_sum, n, ties = (np.asarray(v, float) for v in np.broadcast_arrays(rank_sum, n, ties))
+    ok = ~np.isnan(rank_sum) & (n >= 1)
     total = n * (n + 1) / 2
-    low = min(rank_sum, total - rank_sum)
-    if not ties and n <= 50:
-        return float(min(1.0, 2 * _signed_ranks(int(n))[: int(low) + 1].sum()))
+    low = np.minimum(rank_sum, total - rank_sum)
+    out = np.full(rank_sum.shape, np.nan)
+    exact = ok & (ties == 0) & (n <= 50)
+    for m in np.unique(n[exact]):
+        here = exact & (n == m)
+        reach = np.cumsum(_signed_ranks(int(m)))
+        out[here] = np.minimum(1.0, 2 * reach[low[here].astype(int)])
     var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
-    return math.erfc(abs(low - total / 2) / math.sqrt(2 * var)) if var > 0 else None
+    normal = ok & ~exact & (var > 0)
+    z = (low[normal] - total[normal] / 2) ** 2 / (2 * var[normal])
+    out[normal] = gamma_share(np.full(len(z), 0.5), z)  # the complementary error function of the root of z
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -142,4 +182,5 @@ def wilcoxon_tail(rank_sum: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Seri
 
     ties: sum of t^3 - t over groups of equal sizes.
     """
-    return pd.Series([_wilcoxon(*x) for x in zip(rank_sum, n, ties)], dtype=float)
+    got = wilcoxon_share(*(v.astype(float).to_numpy(float) for v in (rank_sum, n, ties)))
+    return pd.Series(got).astype("Float64").mask(np.isnan(got))
