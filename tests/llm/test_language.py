@@ -103,3 +103,22 @@ def test_more_languages_than_a_mask_has_bits(spark):
     assert filters.table.shape == (2, language.CELLS) and len(filters.languages) == 70
     got = {r.doc_id: r.lang_pred for r in language.identify(docs, filters).collect()}
     assert np.mean([got[i] == lang for i, _, lang, *_ in data]) > 0.98
+
+
+def test_many_texts_at_once_equal_one_at_a_time(spark, monkeypatch):
+    """Mixed scripts, letters beyond 16 bits, marks inside words, long texts, in slices of a few words."""
+    filters = language.learn(spark.createDataFrame(rows(), SCHEMA))
+    rng = random.Random(5)
+    pieces = ["house", "CASA!", "mañana-verde", "x", "ΟΔΟΣ", "İstanbul", "𝒜𝓁𝓅𝒽𝒶", "a𐐀b", "中文字", "123", "e\u0301te", "ﬃ", "don't", "_", "日本", "\x1cq"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", " ", "casa " * 5_000]
+    cache = WordCache(lambda chunk: filters.counts(chunk, WordCache(filters.fields)))
+    want = [filters.predict(t, cache) for t in texts]
+    for size, kept in ((1 << 24, 1 << 20), (30, 20)):
+        monkeypatch.setattr(language, "SLICE", size)
+        monkeypatch.setattr(language, "KEPT_WINDOWS", kept)
+        counts = language.Popcounts(filters)
+        names, scores = filters.decide(*(lambda c: (c[:, :-1], c[:, -1]))(counts.of_texts(texts)))
+        assert names == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want], atol=1e-12)
+    for word in pieces:
+        codes, _, odd = language.window_codes([word])
+        assert odd == [0] or [language.window_of(int(c)) for c in codes] == language.windows(word)
