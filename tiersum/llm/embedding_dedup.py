@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiersum.llm.common import join_hot, materialize
+from tiersum.llm.common import few, join_hot, materialize
 from tiersum.llm.components import connected_components
 
 THRESHOLD = 0.98
@@ -200,9 +200,7 @@ def _searched(shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in groups(batches, KEYS, _own):
             sig, members, keep = _signatures(got), got.column("members").to_numpy(), _own(got).copy()
-            if len(sig) > LONG_LIST:
-                keep[:] = True
-            elif len(sig) > 1:
+            if len(sig) > 1:
                 bits, every = Bitsets(sig, got.column("p")[0].as_py(), got.column("q")[0].as_py()), np.arange(len(sig))
                 for a, b, same in _tiles(every, every, True):
                     ok = bits.candidates(a, b, min(shared, sig.shape[1]))
@@ -284,7 +282,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     described = materialize(nodes.mapInArrow(index, f"label string, size int, sig binary, rep long, copies long, x {kind}"), "described")
     sets = described.groupBy("label", "size", "sig").agg(F.count("*").alias("members"))
     lists = sets.mapInArrow(_lists, "label string, size int, p int, q int, sig binary, members long")
-    places = lists.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_searched(min_shared), "label string, size int, p int, q int, sig binary, members long, total long")
+    # a long list is never brought together: all its rows go on to the blocks
+    long = lists.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.sum("members").alias("total")).filter(F.col("rows") > LONG_LIST).select(*KEYS, "total")
+    long = few(materialize(long, "long"))
+    short = lists.join(long, KEYS, "left_anti").select(*lists.columns)
+    searched = short.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_searched(min_shared), "label string, size int, p int, q int, sig binary, members long, total long")
+    places = searched.unionByName(lists.join(long, KEYS))
     dealt = join_hot(described, materialize(places, "places"), ["label", "size", "sig"], "members")
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
