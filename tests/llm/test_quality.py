@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tiersum.llm import common, quality
+from tiersum.llm import common, quality, toxicity
 
 SUPPLIED = Path(os.environ.get("TIERSUM_TESTDATA_LARGE", "/root/testdata/sf0.1"))
 
@@ -54,6 +54,15 @@ def test_gradient_by_differences():
         assert loss(other) > best - 2e-3
 
 
+def test_fit_scores_texts_as_features_say():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Hello!!", "the", "the", "grüße", "...", "x" * 50, "12"]) for _ in range(n)) for n in (1, 2, 30, 400)] + ["...", "", None]
+    model = quality.OrdinalModel([0.0, 1.0], np.random.default_rng(1).normal(size=quality.DIMENSIONS).astype(np.float32), np.zeros(1))
+    for text, latent in zip(texts, model.latent(texts)):
+        index, value = quality.features(text)
+        assert latent == pytest.approx(float((model.weights[index] * value).sum()), abs=1e-4) if len(index) else latent == -np.inf
+
+
 def test_defined_cases(spark):
     docs, ratings = corpus(60)
     odd = [(100, None, "", ""), (101, "", "", ""), (102, "the river " * 20000, "", ""), (None, "the river", "", ""), (0, docs[0][1], "", "")]
@@ -78,7 +87,7 @@ def test_recall_of_each_grade_on_held_out_rows(spark):
     got = quality.grade_documents(docs, quality.fit(docs, ratings)).filter("held_out").join(ratings, "doc_id").filter("rating is not null")
     rows = got.selectExpr("rating", "cast(round(expected_grade) as int) as grade", "selected").collect()
     recall = [np.mean([r.grade == g for r in rows if r.rating == g]) for g in range(3)]
-    assert len(rows) > 500 and recall[0] > 0.9 and recall[1] > 0.4 and recall[2] > 0.9, recall
+    assert len(rows) > 500 and recall[0] > 0.9 and recall[1] > 0.8 and recall[2] > 0.9, recall
     assert np.mean([r.selected for r in rows if r.rating == 2]) > 0.99 and np.mean([r.selected for r in rows if r.rating == 0]) < 0.1
 
 
@@ -102,7 +111,9 @@ def test_grades_equal_brute_force(spark):
     for i, text, *_ in docs + odd:
         words = (text or "").split()
         score = sum(float(model.weights[f]) for w in words for f in quality.word_features(w)) + sum(float(model.weights[quality.REPEAT]) for a, b in zip(words, words[1:]) if a == b)
-        tails = [1 / (1 + np.exp(t - score / len(words))) if words else 0.0 for t in model.thresholds]
+        seen = {f % quality.DIMENSIONS for w in words for f in toxicity.word_features(w)}
+        score = score / max(1, len(words)) + sum(float(model.weights[f]) for f in seen) / max(1, len(seen)) ** 0.5
+        tails = [1 / (1 + np.exp(t - score)) if words else 0.0 for t in model.thresholds]
         expected = model.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, model.grades, model.grades[1:]))
         assert got[i].tail == pytest.approx(tails[0], abs=1e-5) and got[i].expected_grade == pytest.approx(expected, abs=1e-5)
         assert got[i].selected == (got[i].tail >= 0.5)
