@@ -119,7 +119,7 @@ def c8_all_methods(spark, d):
     pmfs["td_cond"] = counts.td_cond(items.select("item", "pmf"), items.select("item", F.col("grp").alias("group")), upper, residuals, edges, 200)[0]
     out = counts.gaussian(upper, residuals, _item_moments(items), edges).withColumn("size", F.lit(None).cast("int"))
     for method, table in pmfs.items():
-        out = out.unionByName(counts.as_table(table, method, "id").withColumn("size", F.size("pmf")).drop("pmf"))
+        out = out.unionByName(counts.as_table(materialize(table, method), method, "id").withColumn("size", F.size("pmf")).drop("pmf"))
     return out
 
 
@@ -261,7 +261,7 @@ def _all_methods(spark, d):
     made = {"bottom_up": own.unionByName(counts.exact_sums(items.select("item", "pmf"), edges)), "mix_cond": counts.mix_cond_by_level(items.select("item", "pmf"), groups, edges, upper, residuals, 1000)[0], "td_cond": counts.td_cond(items.select("item", "pmf"), groups, upper, residuals, edges, 1000)[0]}
     dists = counts.gaussian(upper, residuals, _item_moments(items), edges).withColumn("pmf", F.lit(None).cast("array<double>")).unionByName(_normal_uppers(upper, residuals)).unionByName(counts.as_table(own, "base", "id"))
     for method, table in made.items():
-        dists = dists.unionByName(counts.as_table(table, method, "id"))
+        dists = dists.unionByName(counts.as_table(materialize(table, method), method, "id"))
     return materialize(dists, "distributions"), materialize(_actuals(spark, d, items, edges), "actuals"), upper, edges
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -17,20 +17,31 @@ from tiersum.operators.inference import hashed_uniform
 from tiersum.operators.tails import normal_cdf
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in whose lambdas the value is looked up: an expression that stands in a lambda is computed anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pmf_of(p: Column) -> Column:
     """The array clipped at 0 and made to add up to 1; raises for values below -1e-12 or not finite."""
-    bad = F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x < -1e-12) | (x == float("inf")))
-    clipped = F.transform(p, lambda x: F.greatest(x, F.lit(0.0)))
-    total = F.aggregate(clipped, F.lit(0.0), lambda a, x: a + x)
-    return F.when(bad, F.raise_error(F.lit("not a distribution"))).otherwise(F.transform(clipped, lambda x: x / total))
+    bad = lambda x: x.isNull() | F.isnan(x) | (x < -1e-12) | (x == float("inf"))
+    shares = lambda v: _once(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(v, lambda x: x / total))
+    checked = lambda v: F.when(F.exists(v, bad), F.raise_error(F.lit("not a distribution"))).otherwise(_once(F.transform(v, lambda x: F.greatest(x, F.lit(0.0))), shares))
+    return _once(p, checked)
+
+
+def _dense(per: DataFrame, *keys: str) -> DataFrame:
+    """per(*keys, k, c), a row for each k that occurs -> (*keys, pmf): shares of 0..max k. Each row brings the zeros before it, so that the array is only joined together."""
+    before = F.lag("k").over(Window.partitionBy(*keys).orderBy("k"))
+    gap = (F.col("k") - F.coalesce(before, F.lit(-1)) - 1).cast("int")
+    piece = F.concat(F.array_repeat(F.lit(0.0), gap), F.array(F.col("c").cast("double")))
+    pieces = F.array_sort(F.collect_list(F.struct("k", "piece")))
+    return per.withColumn("piece", piece).groupBy(*keys).agg(pieces.alias("pieces")).select(*keys, pmf_of(F.flatten(F.col("pieces.piece"))).alias("pmf"))
 
 
 def histogram_pmf(counts: DataFrame, *keys: str) -> DataFrame:
     """counts(*keys, k) -> (*keys, pmf): relative frequencies of 0..max k."""
-    per = counts.groupBy(*keys, "k").agg(F.count("*").alias("c"))
-    maps = per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"), F.max("k").alias("top"))
-    values = F.transform(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long")), lambda k: F.coalesce(F.col("m")[k], F.lit(0)).cast("double"))
-    return maps.select(*keys, pmf_of(values).alias("pmf"))
+    return _dense(counts.groupBy(*keys, "k").agg(F.count("*").alias("c")), *keys)
 
 
 def daily_pmf(counts: DataFrame, days: DataFrame) -> DataFrame:
@@ -245,16 +256,14 @@ def item_draws(pmfs: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     """pmfs(item, pmf) -> (item, sample, k): the value at which the item's cdf reaches a hashed uniform number, the same in any engine and partitioning."""
     each = pmfs.select("item", "pmf", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
     u = each.withColumn("u", hashed_uniform(F.lit(seed), F.col("item"), F.col("sample")))
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + (F.round(a["sum"] + x, 12) <= F.col("u")).cast("int")).alias("n"))
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.col("u").alias("u"))
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + (F.round(a["sum"] + x, 12) <= a["u"]).cast("int")).alias("n"), a["u"].alias("u"))
     return u.select("item", "sample", F.aggregate("pmf", state, step, lambda a: F.least(a["n"], F.size("pmf") - 1)).alias("k"))
 
 
 def histogram(draws: DataFrame, weight: Column | None = None) -> DataFrame:
     """draws(id, k[, weight]) -> (id, pmf)."""
-    per = draws.groupBy("id", "k").agg(F.sum(F.lit(1.0) if weight is None else weight).alias("c"))
-    maps = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"), F.max("k").alias("top"))
-    return maps.select("id", pmf_of(F.transform(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long")), lambda k: F.coalesce(F.col("m")[k.cast("int")], F.lit(0.0)))).alias("pmf"))
+    return _dense(draws.groupBy("id", "k").agg(F.sum(F.lit(1.0) if weight is None else weight).alias("c")), "id")
 
 
 def sums_of_draws(draws: DataFrame, edges: DataFrame) -> DataFrame:
