@@ -109,3 +109,18 @@ def test_levels_follow_the_law_and_keep_their_weight(spark, tables):
     assert set(rows) == set(ids) and min(rows.values()) > 10_000
     with pytest.raises(ValueError, match="lowest groups"):
         counts.mix_cond_by_level(pmfs, groups.union(groups.limit(1)), edges, upper, residuals, 10)
+
+
+def test_sums_reach_as_far_as_their_items(spark):
+    """The largest sum has a probability of 1e-1200, below any number; an item's own zeros at the end don't count."""
+    pmfs = spark.range(400).select(F.format_string("i%03d", "id").alias("item"), F.expr("array(0.5, 0.499, 0.001, 0.0)").alias("pmf"))
+    sums = counts.exact_sums(pmfs, pmfs.select(F.lit("T").alias("upper_id"), "item"))
+    assert len(sums.first().pmf) == 2 * 400 + 1
+    got = counts.moments(sums, "id").first()
+    assert got.mean == pytest.approx(400 * 0.501, abs=1e-8) and got.var == pytest.approx(400 * (0.503 - 0.501**2), abs=1e-8)
+
+
+def test_variance_of_large_counts(spark):
+    far = spark.createDataFrame([("x", [0.0] * 300_000 + [0.25, 0.5, 0.25])], "id string, pmf array<double>")
+    got = counts.moments(far, "id").first()
+    assert got.mean == 300_001 and got.var == pytest.approx(0.5, abs=1e-9)

@@ -23,7 +23,7 @@ CELLS = 1 << 21
 
 
 def fold(a: np.ndarray, b: np.ndarray, top: int | None = None) -> np.ndarray:
-    """Distribution of the sum of two independent counts, without what is above `top`."""
+    """Distribution of the sum of two independent counts, without what is above `top`. It reaches as far as both together, though the ends may be too small for a number and read 0."""
     if min(len(a), len(b)) <= DIRECT:
         out = np.convolve(a, b)
     else:
@@ -31,9 +31,13 @@ def fold(a: np.ndarray, b: np.ndarray, top: int | None = None) -> np.ndarray:
         size = 1 << (n - 1).bit_length()
         out = np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:n]
         out[out < TINY * out.max()] = 0.0
-    out = out if top is None else out[: top + 1]
-    used = np.flatnonzero(out)
-    return out[: used[-1] + 1] if len(used) else out[:1]
+    return out if top is None else out[: top + 1]
+
+
+def reach(pmf: np.ndarray) -> np.ndarray:
+    """The array up to its last value above 0."""
+    used = np.flatnonzero(pmf)
+    return pmf[: used[-1] + 1] if len(used) else pmf[:1]
 
 
 def _layers(pmfs: list[np.ndarray], top: int | None) -> list[list[np.ndarray]]:
@@ -74,7 +78,7 @@ def split_totals(pmfs: list[np.ndarray], totals: np.ndarray, rng: np.random.Gene
     """One value for each item and total, drawn given that they add up to the total. Totals beyond the items' reach give -1 everywhere."""
     totals = np.asarray(totals)
     out = np.full((len(pmfs), len(totals)), -1)
-    layers = _layers([np.asarray(p, float) for p in pmfs], max(0, int(totals.max(initial=0))))
+    layers = _layers([reach(np.asarray(p, float)) for p in pmfs], max(0, int(totals.max(initial=0))))
     whole = layers[-1][0]
     ok = np.flatnonzero((totals >= 0) & (totals < len(whole)) & (whole[np.clip(totals, 0, len(whole) - 1)] > 0))
     if not len(ok):
@@ -102,6 +106,8 @@ def _tree(pmfs: DataFrame, groups: DataFrame, tops: dict[str, int] | None) -> li
     most = sizes.agg(F.max("parents")).first()[0] or 1
     parent = F.pmod(F.xxhash64("item"), F.col("parents"))
     layers = [pmfs.join(groups, "item").join(sizes, "group").select("group", parent.alias("parent"), F.col("item").cast("string").alias("node"), "pmf")]
+    last = F.greatest(F.lit(1), F.size("pmf") - F.coalesce(F.array_position(F.transform(F.reverse("pmf"), lambda x: x > 0), True) - 1, F.lit(0)))
+    layers[0] = layers[0].withColumn("pmf", F.slice("pmf", F.lit(1), last.cast("int")))  # an item's zeros at the end are no part of its reach
 
     def up(children: pd.DataFrame) -> pd.DataFrame:
         children = children.sort_values("node")

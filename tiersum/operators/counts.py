@@ -65,10 +65,12 @@ def exploded(dists: DataFrame, *keys: str) -> DataFrame:
 
 
 def moments(dists: DataFrame, *keys: str) -> DataFrame:
-    """(*keys, mean, var, dispersion)."""
-    k = F.col("k")
-    got = dists.select(*keys, F.posexplode("pmf").alias("k", "p")).groupBy(*keys).agg(F.sum(k * F.col("p")).alias("mean"), F.sum(k * k * F.col("p")).alias("m2"))
-    return got.select(*keys, "mean", (F.col("m2") - F.col("mean") ** 2).alias("var")).withColumn("dispersion", F.col("var") / F.nullif("mean", F.lit(0.0)))
+    """(*keys, mean, var, dispersion). Counts are taken from the likeliest one, so that the variance isn't the difference of two large numbers."""
+    likeliest = (F.array_position("pmf", F.array_max("pmf")) - 1).alias("c")
+    k, p, c = F.col("k") - F.col("c"), F.col("p"), F.max("c")
+    told = dists.select(*keys, likeliest, "pmf")  # before the explosion, else for every element
+    got = told.select(*keys, "c", F.posexplode("pmf").alias("k", "p")).groupBy(*keys).agg((c * F.sum(p) + F.sum(k * p)).alias("mean"), F.sum(k * p).alias("m1"), F.sum(k * k * p).alias("m2"))
+    return got.select(*keys, "mean", (F.col("m2") - F.col("m1") ** 2).alias("var")).withColumn("dispersion", F.col("var") / F.nullif("mean", F.lit(0.0)))
 
 
 def quantile(dists: DataFrame, q: float, *keys: str) -> DataFrame:
