@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -117,3 +118,41 @@ def test_grades_equal_brute_force(spark):
         expected = model.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, model.grades, model.grades[1:]))
         assert got[i].tail == pytest.approx(tails[0], abs=1e-5) and got[i].expected_grade == pytest.approx(expected, abs=1e-5)
         assert got[i].selected == (got[i].tail >= 0.5)
+
+
+def test_fit_holds_little_more_than_its_values():
+    """Two million values: 8 bytes for each, and a block's intermediate arrays."""
+    rng = np.random.default_rng(6)
+    index = [rng.integers(0, quality.DIMENSIONS, 1_000).astype(np.int32) for _ in range(2_000)]
+    share = [np.full(1_000, 1e-3, np.float32)] * 2_000
+    tracemalloc.start()
+    try:
+        quality.fit_ordinal(index, share, rng.integers(0, 3, 2_000), np.ones(2_000), [0.0, 1.0, 2.0], rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * 2_000_000
+
+
+def test_words_are_looked_up_once_a_text():
+    asked = []
+
+    class Counting(common.WordCache):
+        def many(self, words):
+            asked.extend(words)
+            return super().many(words)
+
+    model = quality.OrdinalModel([0.0, 1.0], np.ones(quality.DIMENSIONS, np.float32), np.zeros(1))
+    words = ["the", "the", "River", "the", "River", "1990"]
+    cache = Counting(lambda w: (float(model.weights[list(quality.word_features(w))].sum()), quality.presence(w)))
+    got = model.latent([" ".join(words)], cache)
+    seen = {f for w in words for f in quality.presence(w)}
+    assert sorted(asked) == ["1990", "River", "the"] and got[0] == pytest.approx((3 * 6 + 1) / 6 + len(seen) ** 0.5)
+
+
+def test_shapes_of_odd_words():
+    rng = random.Random(1)
+    for _ in range(5_000):
+        word = "".join(rng.choice("aabBcC019-_!.éßÅΩ中٣ǅ'\x1f") for _ in range(rng.randint(1, 9)))
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+        assert quality.shape(word) == "".join(k for n, k in enumerate(kinds) if n == 0 or k != kinds[n - 1])

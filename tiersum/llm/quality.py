@@ -11,9 +11,11 @@ keeps weights at zero that it can't support; scoring covers every row and whole
 from __future__ import annotations
 
 import itertools
+import operator
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,29 +36,46 @@ MAX_GRADES = 16
 HOLD_OUT = 4
 #: Weights are drawn to zero by so much of the likelihood's mean for each unit; chosen on folds of the labelled rows that aren't held out.
 SPARSITY = 2e-4
+#: Values that the fit, which is the driver's, handles at a time: it holds 8 bytes for each of all.
+BLOCK = 1 << 18
 #: A worker keeps the values of at most twice so many words.
 CACHED_WORDS = 100_000
 #: One object for each feature's number, shared by all words.
 NUMBERS = list(range(DIMENSIONS))
 
 
+def _kind(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+
+
+_ASCII_KINDS = "".join(_kind(chr(i)) for i in range(128))
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(word: str) -> str:
     """Character kinds with runs collapsed: 'Hello!!' is 'Aa!'."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return "".join([k for k, _ in itertools.groupby(kinds)])
+    if word.isascii():
+        return "a" if word.isalpha() and word.islower() else _RUN.sub(r"\1", word.translate(_ASCII_KINDS))
+    return "".join([k for k, _ in itertools.groupby(map(_kind, word))])
 
 
 def _index(kind: str, value: str) -> int:
-    return zlib.crc32(f"{kind}{value}".encode("utf-8", "surrogatepass")) % DIMENSIONS
+    return zlib.crc32(value.encode("utf-8", "surrogatepass"), zlib.crc32(kind.encode())) % DIMENSIONS
 
 
 #: Feature of a token that repeats the one before it.
 REPEAT = _index("r", "")
 
 
+#: Checksums of the kinds: that of a kind and a value goes on from there.
+_WORD, _SHAPE, _END = (zlib.crc32(kind) for kind in (b"w", b"s", b"e"))
+
+
 def word_features(word: str) -> tuple[int, int, int]:
-    low = word.lower()
-    return _index("w", low), _index("s", shape(word)), _index("e", low[-4:])
+    low, crc = word.lower(), zlib.crc32
+    data = low.encode("utf-8", "surrogatepass")
+    end = data[-4:] if low.isascii() else low[-4:].encode("utf-8", "surrogatepass")
+    return crc(data, _WORD) % DIMENSIONS, crc(shape(word).encode("utf-8", "surrogatepass"), _SHAPE) % DIMENSIONS, crc(end, _END) % DIMENSIONS
 
 
 def presence(word: str) -> tuple[int, ...]:
@@ -89,21 +108,30 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def word(self, word: str) -> tuple[float, tuple[int, ...]]:
-        """A token's weight, and its features of presence."""
-        return float(self.weights[list(word_features(word))].sum()), presence(word)
+    def scoring(self) -> Callable[[str], tuple[float, tuple[int, ...]]]:
+        """A function from a word to its weight as a token and its features of presence."""
+        w = self.weights.tolist()
+
+        def word(word: str) -> tuple[float, tuple[int, ...]]:
+            a, b, c = word_features(word)
+            return w[a] + w[b] + w[c], presence(word)
+
+        return word
 
     def latent(self, texts, cache=None) -> np.ndarray:
         """Latent score of each text; minus infinity, below any threshold, where there are no tokens."""
         w, out = self.weights, np.full(len(texts), -np.inf)
-        cache = cache or WordCache(self.word, CACHED_WORDS)
+        cache = cache or WordCache(self.scoring(), CACHED_WORDS)
         for k, text in enumerate(texts):
             words = (text or "").split()
             if words:
-                repeats = sum(map(str.__eq__, words, words[1:]))
-                weights, present = zip(*cache.many(words))
-                seen = list(set().union(*set(present)))
-                out[k] = (sum(weights) + repeats * float(w[REPEAT])) / len(words) + w[seen].sum(dtype=np.float64) / max(1, len(seen)) ** 0.5
+                repeats = sum(map(operator.eq, words, words[1:]))
+                distinct = list(set(words))
+                weights, present = zip(*cache.many(distinct))
+                total = sum(map(dict(zip(distinct, weights)).__getitem__, words))
+                seen = set().union(*present)
+                told = w[np.fromiter(seen, np.int64, len(seen))].sum(dtype=np.float64)
+                out[k] = (total + repeats * float(w[REPEAT])) / len(words) + told / max(1, len(seen)) ** 0.5
         return out
 
     def tails(self, latent: np.ndarray) -> np.ndarray:
@@ -114,14 +142,22 @@ class OrdinalModel:
         return self.grades[0] + tails @ np.diff(self.grades)
 
 
+def _blocks(indices: list, shares: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(indices, values, number of each row's) of rows together, about BLOCK values a block."""
+    counts = np.array([len(x) for x in indices])
+    block = np.cumsum(counts) // BLOCK
+    for rows in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(block)) + 1):
+        lo, hi = rows[0], rows[-1] + 1
+        yield np.concatenate(indices[lo:hi]).astype(np.int32, copy=False), np.concatenate(shares[lo:hi]).astype(np.float32, copy=False), counts[lo:hi]
+
+
 def fit_ordinal(indices: list, shares: list, grade: np.ndarray, weight: np.ndarray, grades: list[float], rounds: int = 150, l2: float = 1e-5, l1: float = 0.0) -> OrdinalModel:
     """Weighted maximum likelihood by full-batch Adam, with a soft threshold of l1 after each step. grade: positions in `grades`. One grade: every tail is near 1 or 0 grades."""
     k = len(grades)
     if k < 2:
         return OrdinalModel(grades or [0.0], np.zeros(DIMENSIONS), np.empty(0))
-    counts = np.array([len(x) for x in indices])
-    flat, val = np.concatenate(indices).astype(np.int64), np.concatenate(shares).astype(np.float64)
-    row = np.repeat(np.arange(len(counts)), counts)
+    blocks = list(_blocks(indices, shares))
+    ends = np.cumsum([len(c) for _, _, c in blocks])[:-1]
     above = np.array([max(1e-6, weight[grade >= j].sum() / weight.sum()) for j in range(1, k)])
     start = -np.log(above / np.maximum(1e-6, 1 - above))
     free = np.concatenate(([start[0]], np.log(np.maximum(1e-2, np.diff(start)))))
@@ -131,7 +167,7 @@ def fit_ordinal(indices: list, shares: list, grade: np.ndarray, weight: np.ndarr
     for step in range(1, rounds + 1):
         w, free = param[:DIMENSIONS], param[DIMENSIONS:]
         cuts = np.cumsum(np.concatenate(([free[0]], np.exp(free[1:]))))
-        s = np.bincount(row, weights=w[flat] * val, minlength=len(counts))
+        s = np.concatenate([np.bincount(np.repeat(np.arange(len(c)), c), weights=w[i] * v, minlength=len(c)) for i, v, c in blocks])
         edges = np.concatenate(([-np.inf], cuts, [np.inf]))
         with np.errstate(over="ignore"):
             cdf = 1 / (1 + np.exp(np.clip(-(edges[None, :] - s[:, None]), -500, 500)))  # P(latent noise below the cut)
@@ -147,7 +183,10 @@ def fit_ordinal(indices: list, shares: list, grade: np.ndarray, weight: np.ndarr
         np.add.at(g_cut, grade, scale * d_lo / p)
         g_cut = g_cut[1:k]
         g_free = np.cumsum(g_cut[::-1])[::-1] * np.concatenate(([1.0], np.exp(free[1:])))
-        g = np.concatenate((np.bincount(flat, weights=val * g_s[row], minlength=DIMENSIONS) + l2 * w, g_free))
+        g_w = l2 * w
+        for (i, x, c), part in zip(blocks, np.split(g_s, ends)):
+            g_w += np.bincount(i, weights=x * np.repeat(part, c), minlength=DIMENSIONS)
+        g = np.concatenate((g_w, g_free))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = 0.15 / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         param = param - rate * (m / (1 - 0.9**step))
@@ -200,7 +239,7 @@ def scorer(spark: SparkSession, model: OrdinalModel, text: Column) -> Column:
     @F.pandas_udf("expected double, tails array<double>")
     def score(texts: pd.Series) -> pd.DataFrame:
         own = held.value
-        cache = per_worker(("ordinal", tag), lambda: WordCache(own.word, CACHED_WORDS))
+        cache = per_worker(("ordinal", tag), lambda: WordCache(own.scoring(), CACHED_WORDS))
         tails = own.tails(own.latent(texts.tolist(), cache))
         return pd.DataFrame({"expected": own.expected(tails), "tails": list(tails)})
 
