@@ -147,3 +147,13 @@ def test_nothing_to_learn(spark):
     (r,) = hmm.score_documents(docs).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and r.score <= 0
     assert hmm.score_documents(docs.limit(0)).count() == 0
+
+
+def test_words_outside_the_core_come_with_their_classes():
+    core = {b"the": 0, b"river": 1}
+    even = np.full(2, 0.5)
+    model = hmm.HiddenMarkov(core, np.ones(3), even, even, np.full((2, 2), 0.5), np.ones((3 + hmm.CLASSES, 2)))
+    words = [b"far", b"the", b"gr\xc3\xbcn", b"far", b"x" * 90, b"river", b"far"]
+    rare, classes = model.rare(words, model.symbols(words))
+    assert list(rare.items()) == [(b"far", 3), (b"gr\xc3\xbcn", 1), (b"x" * 90, 1)] and classes == [hmm.word_class(w) for w in rare]
+    assert model.rare([], model.symbols([])) == ({}, [])

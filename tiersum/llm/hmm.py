@@ -97,6 +97,12 @@ class HiddenMarkov:
         got = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         return np.append(got, np.int32(self.end))
 
+    def rare(self, words: list[bytes], symbols: np.ndarray) -> tuple[Counter, list[int]]:
+        """How often each word outside the core occurs, and those words' classes in the same order."""
+        at = np.flatnonzero(symbols > self.end)
+        own = [words[i] for i in at.tolist()]
+        return Counter(own), list(dict(zip(own, (symbols[at] - self.end - 1).tolist())).values())
+
     def log10_likelihood(self, docs: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of symbol sequences: chunks' transfer matrices in lock-step, then their products."""
         states = len(self.start)
@@ -354,11 +360,12 @@ def score(docs: DataFrame, corpus: Corpus, model: HiddenMarkov, id_col: str = "d
             nonlocal row
             words = [words_of(t) for t in texts]
             docs = [own.symbols(w) for w in words]
-            rare = [Counter(x for x in w if x not in own.core) for w in words]
+            rare, classes = zip(*map(own.rare, words, docs))
+            lists = lambda flat: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rare]))), pa.int32()), flat)
             values = [
                 pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.int64()), pa.array([len(s) for s in docs], pa.int64()),
                 pa.array([int(found[s].sum()) for s in docs], pa.int64()), pa.array([float(logs[s].sum()) for s in docs]), pa.array(own.log10_likelihood(docs)),
-                pa.array([[x.decode("utf-8") for x in r] for r in rare], pa.list_(pa.string())), pa.array([list(map(word_class, r)) for r in rare], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())),
+                lists(pa.array([x for r in rare for x in r], pa.binary()).cast(pa.string())), lists(pa.array([c for k in classes for c in k], pa.int32())), lists(pa.array([n for r in rare for n in r.values()], pa.int32())),
             ]
             row += len(ids)
             return pa.RecordBatch.from_arrays(values, SCORED_NAMES)
