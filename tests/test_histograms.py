@@ -1,5 +1,6 @@
 """Histograms of sparse large counts."""
 
+import hashlib
 import time
 
 import numpy as np
@@ -31,3 +32,21 @@ def test_weights_and_refused_values(spark):
     for bad in (float("nan"), float("inf"), -1.0):
         with pytest.raises(Exception, match="not a distribution"):
             counts.histogram(spark.createDataFrame([("a", 2, bad), ("a", 1, 3.0)], "id string, k int, w double"), F.col("w")).collect()
+
+
+def test_draws_of_one_file_are_many_tasks_work(spark):
+    """Draws of items that are one partition are dealt to several tasks, and each is the value at which the cdf reaches its number."""
+    pmfs = spark.range(40).select(F.format_string("i%02d", "id").alias("item"), F.expr("array(0.5D, 0.0D, 0.3D, 0.2D)").alias("pmf")).coalesce(1)
+    draws = counts.item_draws(pmfs, 50, 3)
+    assert draws.select(F.spark_partition_id()).distinct().count() > 1
+    rows = draws.collect()
+    assert len({(r.item, r.sample) for r in rows}) == len(rows) == 2_000
+    for r in rows:
+        u = int(hashlib.md5(f"3|{r.item}|{r['sample']}".encode()).hexdigest()[:8], 16) / 2**32
+        assert r.k == (0 if u < 0.5 else 2 if u < 0.8 else 3)
+    edges = pmfs.select(F.explode(F.array(F.lit("T"), F.lit("G"))).alias("upper_id"), "item")
+    sums = np.zeros(50, int)
+    for r in rows:
+        sums[r["sample"] - 1] += r.k
+    for r in counts.bottom_up(pmfs, edges, 50, 3).collect():
+        np.testing.assert_allclose(r.pmf, np.bincount(sums) / 50, atol=1e-15)

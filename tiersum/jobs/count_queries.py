@@ -23,9 +23,16 @@ gd AS (SELECT item AS id, 'item' AS level, iv.mu + v * z AS mu, sqrt(greatest(0,
 bd AS (SELECT item AS id, 'item' AS level, mu, sqrt(greatest(0, var)) AS sd FROM im)"""
 
 
-def _hierarchy(spark, d, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(items(item, grp, pmf, y), upper(id, mu), residuals(id, t, e), edges(upper_id, item)), the aggregates being the total and, if asked for, the groups."""
+def _items_and_edges(spark, d, groups: bool) -> tuple[DataFrame, DataFrame]:
+    """(items(item, grp, pmf, y), edges(upper_id, item)), the aggregates being the total and, if asked for, the groups."""
     items = materialize(_items(spark, d).withColumn("item", F.col("item").cast("string")).withColumn("grp", F.concat(F.lit("G"), F.col("grp").cast("string"))), "items")
+    own = [F.lit("T"), F.col("grp")] if groups else [F.lit("T")]
+    return items, materialize(items.select(F.explode(F.array(*own)).alias("upper_id"), "item"), "edges")
+
+
+def _hierarchy(spark, d, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """_items_and_edges, and what is told of the aggregates: (items, upper(id, mu), residuals(id, t, e), edges)."""
+    items, edges = _items_and_edges(spark, d, groups)
     events = views.table(spark, d, "events")
     last = events.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
     names = [F.lit("T"), F.concat(F.lit("G"), (F.col("item") % 10).cast("string"))] if groups else [F.lit("T")]
@@ -37,8 +44,6 @@ def _hierarchy(spark, d, groups: bool) -> tuple[DataFrame, DataFrame, DataFrame,
     upper = known.filter(F.col("day") >= F.date_sub("end", RECENT)).groupBy("id").agg(F.avg("k").alias("mu"))
     means = known.groupBy("id").agg(F.avg("k").alias("m"))
     residuals = known.join(means, "id").select("id", F.date_diff("day", F.lit("2000-01-01").cast("date")).alias("t"), (F.col("k") - F.col("m")).alias("e"))
-    own = [F.lit("T"), F.col("grp")] if groups else [F.lit("T")]
-    edges = materialize(items.select(F.explode(F.array(*own)).alias("upper_id"), "item"), "edges")
     return items, materialize(upper, "upper"), materialize(residuals, "residuals"), edges
 
 
@@ -70,7 +75,7 @@ sm AS (SELECT 'T' AS id, sample, sum(k) AS k FROM kk GROUP BY 2 UNION ALL SELECT
 SELECT id, CAST(k AS BIGINT) AS k, round(count(*) / {SAMPLES}.0, 6) AS p FROM sm GROUP BY 1, 2"""
 )
 def c5_bottom_up(spark, d):
-    items, _, _, edges = _hierarchy(spark, d, True)
+    items, edges = _items_and_edges(spark, d, True)
     return counts.exploded(counts.bottom_up(items.select("item", "pmf"), edges, SAMPLES), "id").filter("p > 0").drop("cdf")
 
 
@@ -96,7 +101,7 @@ SELECT id, CAST(sum(top) + 1 AS BIGINT) AS size, round(sum(mu), 4) AS mean, roun
 )
 def c5_exact_sums(spark, d):
     """The exact distributions of the aggregates: reach, mean, variance and mass."""
-    items, _, _, edges = _hierarchy(spark, d, True)
+    items, edges = _items_and_edges(spark, d, True)
     exact = materialize(counts.exact_sums(items.select("item", "pmf"), edges), "exact")
     mass = exact.select("id", F.size("pmf").alias("size"), F.round(F.aggregate("pmf", F.lit(0.0), lambda a, x: a + x), 4).alias("mass"))
     return mass.join(_means(exact), "id").select("id", "size", "mean", F.round("var", 3).alias("var"), "mass")

@@ -254,13 +254,21 @@ def gaussian(upper: DataFrame, residuals: DataFrame, items: DataFrame, edges: Da
     return top.unionByName(new).select(F.lit("gaussian").alias("method"), "id", F.lit("normal").alias("kind"), "mu", "sd")
 
 
-def item_draws(pmfs: DataFrame, samples: int, seed: int = 0) -> DataFrame:
-    """pmfs(item, pmf) -> (item, sample, k): the value at which the item's cdf reaches a hashed uniform number, the same in any engine and partitioning."""
-    each = pmfs.select("item", "pmf", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
-    u = each.withColumn("u", hashed_uniform(F.lit(seed), F.col("item"), F.col("sample")))
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.col("u").alias("u"))
-    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + (F.round(a["sum"] + x, 12) <= a["u"]).cast("int")).alias("n"), a["u"].alias("u"))
-    return u.select("item", "sample", F.aggregate("pmf", state, step, lambda a: F.least(a["n"], F.size("pmf") - 1)).alias("k"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session works with. Arrays are small as files and long to work on, so that Spark's own sizes would put them into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def item_draws(pmfs: DataFrame, samples: int, seed: int = 0, *keep: str) -> DataFrame:
+    """pmfs(item, pmf, *keep) -> (item, sample, k, *keep): the value at which the item's cdf reaches a hashed uniform number, the same in any engine and partitioning.
+
+    The cdf is put together once an item; of a draw only the steps below its number are counted.
+    """
+    steps = exploded(spread(pmfs, "item"), "item", *keep).groupBy("item", *keep).agg(F.array_sort(F.collect_list(F.struct("k", F.round("cdf", 12).alias("cdf")))).alias("steps"))
+    each = steps.select("item", *keep, F.col("steps.cdf").alias("cdf"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    told = each.select("*", F.explode(F.array(hashed_uniform(F.lit(seed), F.col("item"), F.col("sample")))).alias("u"))  # a column of its own, else it would be computed in the filter, for every step
+    return told.select("item", "sample", F.least(F.size(F.filter("cdf", lambda x: x <= F.col("u"))), F.size("cdf") - 1).alias("k"), *keep)
 
 
 def histogram(draws: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -274,8 +282,10 @@ def sums_of_draws(draws: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bottom_up(pmfs: DataFrame, edges: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
-    """pmfs(item, pmf) -> (id, pmf) of the aggregates: histograms of sums of independent draws of their items."""
-    return histogram(sums_of_draws(item_draws(pmfs, samples, seed), edges).withColumnRenamed("upper_id", "id"))
+    """pmfs(item, pmf) -> (id, pmf) of the aggregates: histograms of sums of independent draws of their items. Items meet their aggregates before they are drawn, so that no draw is shuffled."""
+    owners = edges.groupBy("item").agg(F.collect_list("upper_id").alias("uppers"))
+    draws = item_draws(spread(pmfs, "item").join(owners, "item"), samples, seed, "uppers")  # dealt before the join, else its exchange would be the one that is put together again
+    return histogram(draws.select(F.explode("uppers").alias("id"), "sample", "k").groupBy("id", "sample").agg(F.sum("k").cast("int").alias("k")))
 
 
 def _lowest_groups(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, ids: list[str]) -> tuple[list[str], np.ndarray]:
