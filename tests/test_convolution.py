@@ -124,3 +124,20 @@ def test_variance_of_large_counts(spark):
     far = spark.createDataFrame([("x", [0.0] * 300_000 + [0.25, 0.5, 0.25])], "id string, pmf array<double>")
     got = counts.moments(far, "id").first()
     assert got.mean == 300_001 and got.var == pytest.approx(0.5, abs=1e-9)
+
+
+def test_trees_and_splits_of_small_files_are_many_tasks_work(spark):
+    """Twenty groups of three items in one partition: their sums, and what is drawn given their totals, come from several tasks; histograms of arrays equal those of rows."""
+    pmfs = spark.range(60).select(F.format_string("i%02d", "id").alias("item"), F.expr("array(0.6D, 0.3D, 0.1D)").alias("pmf")).coalesce(1)
+    groups = pmfs.select("item", F.concat(F.lit("g"), (F.substring("item", 2, 9).cast("int") % 20).cast("string")).alias("group"))
+    top = convolution._tree(pmfs, groups, None)[-1]
+    assert top.count() == 20 and top.select(F.input_file_name()).distinct().count() > 1
+    totals = {f"g{k}": np.array([0, 1, 2, 3, 4, 6, 3, 2]) for k in range(20)}
+    lists = convolution.split_lists(pmfs, groups, totals, 5)
+    assert lists.select(F.input_file_name()).distinct().count() > 1
+    rows = convolution.split_groups(pmfs, groups, totals, 5)
+    want = {r.id: r.pmf for r in counts.histogram(rows.select(F.col("item").alias("id"), "k")).collect()}
+    assert len(want) == 60 and {r.id: r.pmf for r in counts.list_histograms(lists).collect()} == want
+    edges = groups.withColumnRenamed("group", "upper_id").unionByName(pmfs.select(F.lit("T").alias("upper_id"), "item")).select("upper_id", "item")
+    sums = {(r.id, r["sample"]): r.k for r in counts.sums_of_lists(lists, edges).collect()}
+    assert sums == {(u, s): 20 * int(t) if u == "T" else int(t) for u in ("T", *totals) for s, t in enumerate(totals["g0"])}

@@ -10,7 +10,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiersum.functions.scratch import materialize
@@ -97,6 +98,18 @@ def split_totals(pmfs: list[np.ndarray], totals: np.ndarray, rng: np.random.Gene
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session works with. Arrays are small as files and long to work on, so that Spark's own sizes would put them into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table whose size Spark knows; no Python worker is started to read them."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    return spark.createDataFrame(pa.table([list(column) for column in zip(*rows)], names), schema) if rows else spark.createDataFrame([], schema)
+
+
 NODE = "group string, node string, pmf array<double>"
 
 
@@ -118,7 +131,7 @@ def _tree(pmfs: DataFrame, groups: DataFrame, tops: dict[str, int] | None) -> li
 
     while True:
         layers[-1] = materialize(layers[-1], "tree")
-        nodes = layers[-1].groupBy("group", "parent").applyInPandas(up, NODE)
+        nodes = spread(layers[-1], "group", "parent").groupBy("group", "parent").applyInPandas(up, NODE)
         layers.append(nodes.select("group", F.floor(F.col("node").cast("long") / FAN).alias("parent"), "node", "pmf"))
         if most == 1:
             layers[-1] = materialize(layers[-1], "tree")
@@ -131,8 +144,8 @@ def sum_pmfs(pmfs: DataFrame, groups: DataFrame) -> DataFrame:
     return _tree(pmfs, groups, None)[-1].select("group", "pmf")
 
 
-def split_groups(pmfs: DataFrame, groups: DataFrame, totals: dict[str, np.ndarray], seed: int = 0, layers: list[DataFrame] | None = None) -> DataFrame:
-    """pmfs(item, pmf), groups(item, group), each group's drawn totals -> (group, item, sample, k): items drawn given that they add up to their group's total.
+def split_lists(pmfs: DataFrame, groups: DataFrame, totals: dict[str, np.ndarray], seed: int = 0, layers: list[DataFrame] | None = None) -> DataFrame:
+    """pmfs(item, pmf), groups(item, group), each group's drawn totals -> (group, item, ks): an array of draws for each item, drawn given that they add up to their group's total.
 
     Totals go down the tree, each node splitting its own among its children. Totals beyond a group's reach give -1 for all its items. Draws depend on seed, group and
     node only. The number of totals is the caller's; each row of the tree has as many.
@@ -140,7 +153,7 @@ def split_groups(pmfs: DataFrame, groups: DataFrame, totals: dict[str, np.ndarra
     spark = pmfs.sparkSession
     layers = layers or _tree(pmfs, groups, {g: max(0, int(np.max(t, initial=0))) for g, t in totals.items()})
     rows = [(g, "0", [int(x) for x in t]) for g, t in totals.items()]
-    now = spark.createDataFrame(rows, "group string, node string, totals array<long>")
+    now = local_table(spark, rows, "group string, node string, totals array<long>")
 
     def down(depth: int):
         def split(children: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
@@ -155,10 +168,15 @@ def split_groups(pmfs: DataFrame, groups: DataFrame, totals: dict[str, np.ndarra
         return split
 
     for depth, layer in enumerate(layers[-2::-1]):
-        keyed = layer.withColumn("at", F.col("parent").cast("string")).groupBy("group", "at")
-        now = keyed.cogroup(now.withColumn("at", F.col("node")).groupBy("group", "at")).applyInPandas(down(depth), "group string, node string, totals array<long>")
-        now = materialize(now, "split")
-    return now.select("group", F.col("node").alias("item"), F.posexplode("totals").alias("sample", "k")).select("group", "item", "sample", F.col("k").cast("int").alias("k"))
+        keyed = spread(layer.withColumn("at", F.col("parent").cast("string")), "group", "at").groupBy("group", "at")
+        above = spread(now.withColumn("at", F.col("node")), "group", "at").groupBy("group", "at")
+        now = materialize(keyed.cogroup(above).applyInPandas(down(depth), "group string, node string, totals array<long>"), "split")
+    return now.select("group", F.col("node").alias("item"), F.col("totals").alias("ks"))
+
+
+def split_groups(pmfs: DataFrame, groups: DataFrame, totals: dict[str, np.ndarray], seed: int = 0, layers: list[DataFrame] | None = None) -> DataFrame:
+    """split_lists with a row a draw: (group, item, sample, k)."""
+    return split_lists(pmfs, groups, totals, seed, layers).select("group", "item", F.posexplode("ks").alias("sample", "k")).withColumn("k", F.col("k").cast("int"))
 
 
 def window(mean: float, sd: float, own_mean: float, own_sd: float, size: int) -> tuple[int, int]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiersum.operators import convolution, reconcile
-from tiersum.operators.convolution import split_totals  # noqa: F401
+from tiersum.operators.convolution import local_table, split_totals, spread  # noqa: F401
 from tiersum.operators.inference import hashed_uniform
 from tiersum.operators.tails import normal_cdf
 
@@ -243,23 +243,17 @@ def gaussian(upper: DataFrame, residuals: DataFrame, items: DataFrame, edges: Da
         gap[at[r["upper_id"]]] -= r["s"]
     inverse = np.linalg.pinv(inner, hermitian=True)
     move, spark = inverse @ gap, upper.sparkSession
-    push = spark.createDataFrame([(u, float(x)) for u, x in zip(ids, move)], "upper_id string, z double")
-    pair = spark.createDataFrame([(a, b, float(inverse[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids)], "a string, b string, s double")
+    push = local_table(spark, [(u, float(x)) for u, x in zip(ids, move)], "upper_id string, z double")
+    pair = local_table(spark, [(a, b, float(inverse[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids)], "a string, b string, s double")
     shift = links.join(F.broadcast(push), "upper_id").groupBy("item").agg(F.sum("z").alias("z"))
     cut = both.join(F.broadcast(pair), ["a", "b"]).groupBy("item").agg(F.sum("s").alias("s"))
     new = v.join(shift, "item").join(cut, "item").select(F.col("item").alias("id"), (F.col("mu") + F.col("v") * F.col("z")).alias("mu"), F.sqrt(F.greatest(F.lit(0.0), F.col("v") - F.col("v") ** 2 * F.col("s"))).alias("sd"))
     own = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
     after, spread = -(w @ move), np.sqrt(np.maximum(0, np.diag(w - w @ inverse @ w)))
-    top = spark.createDataFrame([(u, float(own[u] + after[k]), float(spread[k])) for u, k in at.items()], "id string, mu double, sd double")
+    top = local_table(spark, [(u, float(own[u] + after[k]), float(spread[k])) for u, k in at.items()], "id string, mu double, sd double")
     return top.unionByName(new).select(F.lit("gaussian").alias("method"), "id", F.lit("normal").alias("kind"), "mu", "sd")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys to as many tasks as the session works with. Arrays are small as files and long to work on, so that Spark's own sizes would put them into one task."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
-
-
 def item_draws(pmfs: DataFrame, samples: int, seed: int = 0, *keep: str) -> DataFrame:
     """pmfs(item, pmf, *keep) -> (item, sample, k, *keep): the value at which the item's cdf reaches a hashed uniform number, the same in any engine and partitioning.
 
@@ -281,6 +275,23 @@ def sums_of_draws(draws: DataFrame, edges: DataFrame) -> DataFrame:
     return draws.join(edges, "item").groupBy("upper_id", "sample").agg(F.sum("k").cast("int").alias("k"))
 
 
+def sums_of_lists(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """lists(item, ks), an array of draws an item, edges(upper_id, item) -> (id, sample, k): aggregates' sums. Arrays are joined, and exploded only where they are added up by task."""
+    each = lists.select("item", "ks").join(edges, "item").select(F.col("upper_id").alias("id"), F.posexplode("ks").alias("sample", "k"))
+    return each.groupBy("id", "sample").agg(F.sum("k").cast("int").alias("k"))
+
+
+def list_histograms(lists: DataFrame) -> DataFrame:
+    """lists(item, ks) -> (id, pmf): the histogram of each item's own array, for which no draw is a row."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            part = part[part["ks"].map(len) > 0]
+            yield pd.DataFrame({"id": part["item"], "pmf": [np.bincount(ks) / len(ks) for ks in part["ks"]]})
+
+    return lists.select("item", "ks").mapInPandas(count, "id string, pmf array<double>")
+
+
 def bottom_up(pmfs: DataFrame, edges: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
     """pmfs(item, pmf) -> (id, pmf) of the aggregates: histograms of sums of independent draws of their items. Items meet their aggregates before they are drawn, so that no draw is shuffled."""
     owners = edges.groupBy("item").agg(F.collect_list("upper_id").alias("uppers"))
@@ -319,13 +330,12 @@ def mix_cond_by_level(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, uppe
         alone = [k for k in range(len(ids)) if inside[k].sum() == 1 and inside[k, names.index(r["group"])]]
         near, far = (mean[alone[0]], math.sqrt(w[alone[0], alone[0]])) if alone else (r["mean"], max(r["mean"], float(r["size"])))
         stretch[r["group"]] = convolution.window(near, far, r["mean"], r["sd"], r["size"])
-    cuts = spark.createDataFrame([(g, a, b) for g, (a, b) in stretch.items()], "group string, a int, b int")
+    cuts = local_table(spark, [(g, a, b) for g, (a, b) in stretch.items()], "group string, a int, b int")
     got = {r["group"]: np.array(r["pmf"]) for r in layers[-1].join(F.broadcast(cuts), "group").select("group", F.slice("pmf", F.col("a") + 1, F.col("b") - F.col("a")).alias("pmf")).collect()}
     draws, ess = convolution.draw_group_totals([stretch[g][0] for g in names], [got[g] for g in names], inside, mean, w, samples, np.random.default_rng(seed))
-    items = convolution.split_groups(pmfs, groups, {g: draws[:, k] for k, g in enumerate(names)}, seed, layers)
-    sums = sums_of_draws(items.select("item", "sample", "k"), edges).select(F.col("upper_id").alias("id"), "k")
-    told = spark.createDataFrame([(u, samples, float(e)) for u, e in zip(ids, ess)], "id string, samples int, ess double")
-    return histogram(sums.unionByName(items.select(F.col("item").alias("id"), "k"))), told
+    items = convolution.split_lists(pmfs, groups, {g: draws[:, k] for k, g in enumerate(names)}, seed, layers)
+    told = local_table(spark, [(u, samples, float(e)) for u, e in zip(ids, ess)], "id string, samples int, ess double")
+    return histogram(sums_of_lists(items, edges)).unionByName(list_histograms(items)), told
 
 
 def exact_sums(pmfs: DataFrame, edges: DataFrame) -> DataFrame:
