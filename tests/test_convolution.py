@@ -141,3 +141,21 @@ def test_trees_and_splits_of_small_files_are_many_tasks_work(spark):
     edges = groups.withColumnRenamed("group", "upper_id").unionByName(pmfs.select(F.lit("T").alias("upper_id"), "item")).select("upper_id", "item")
     sums = {(r.id, r["sample"]): r.k for r in counts.sums_of_lists(lists, edges).collect()}
     assert sums == {(u, s): 20 * int(t) if u == "T" else int(t) for u in ("T", *totals) for s, t in enumerate(totals["g0"])}
+
+
+def test_draws_out_of_reach_are_left_out_of_all_items(spark, tables):
+    """A total close to its reach: some draws are lost, what remains adds up, and arrays lose the same places."""
+    pmfs, groups = tables
+    edges = groups.select(F.lit("T").alias("upper_id"), "item")
+    one = groups.select("item", F.lit("g").alias("group"))
+    upper = spark.createDataFrame([("T", 7.0)], "id string, mu double")
+    residuals = spark.createDataFrame([("T", t, 2.0 if t % 2 else -2.0) for t in range(100)], "id string, t int, e double")
+    got, lost = counts.td_cond(pmfs, one, upper, residuals, edges, 400)
+    n = lost.first().lost
+    assert 0 < n < 400
+    mean = {r.id: float(np.arange(len(r.pmf)) @ np.array(r.pmf)) for r in got.collect()}
+    assert mean["T"] == pytest.approx(sum(mean[i] for i in PMFS))
+    for r in got.collect():  # shares of the draws that remain
+        np.testing.assert_allclose(np.array(r.pmf) * (400 - n), np.rint(np.array(r.pmf) * (400 - n)), atol=1e-9)
+    lists = spark.createDataFrame([("a", [5, -1, 7, 8], [1]), ("b", [5, 6], []), ("c", [-1], [0])], "item string, ks array<long>, gone array<int>")
+    assert [list(r.ks) for r in lists.select(counts._without(F.col("ks"), F.col("gone")).alias("ks")).collect()] == [[5, 7, 8], [5, 6], []]

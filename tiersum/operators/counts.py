@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiersum.functions.scratch import materialize
 from tiersum.operators import convolution, reconcile
 from tiersum.operators.convolution import local_table, split_totals, spread  # noqa: F401
 from tiersum.operators.inference import hashed_uniform
@@ -311,6 +312,11 @@ def _lowest_groups(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, ids: li
     return names, np.array([[float((u, g) in pairs) for g in names] for u in ids])
 
 
+def _without(ks: Column, gone: Column) -> Column:
+    """The array without its elements at these places, counted from 0."""
+    return F.when(F.size(gone) == 0, ks).otherwise(F.filter(ks, lambda _, at: ~F.array_contains(gone, at)))
+
+
 def mix_cond_by_level(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, upper: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """`mix_cond` for groups(item, group) that each item is in exactly one of -> ((id, pmf) of aggregates and items, (id, samples, ess) by aggregate).
 
@@ -387,12 +393,12 @@ def td_cond(pmfs: DataFrame, groups: DataFrame, upper: DataFrame, residuals: Dat
     spread = np.linalg.pinv(a.T @ weight @ a, hermitian=True)
     mean = spread @ a.T @ weight @ np.array([center[u] for u in ids])
     drawn = np.rint(np.random.default_rng(seed).multivariate_normal(mean, spread, size=samples, method="eigh")).astype(int)
-    draws = convolution.split_groups(pmfs, groups, {g: drawn[:, k] for k, g in enumerate(names)}, seed)
-    lost = draws.filter("k < 0").groupBy("group").agg(F.count_distinct("sample").alias("lost"))
-    partial = draws.groupBy("sample").agg(F.min("k").alias("least")).filter("least >= 0").select("sample")
-    whole = draws.join(partial, "sample", "left_semi")
-    sums = sums_of_draws(whole.select("item", "sample", "k"), edges)
-    return histogram(sums.select(F.col("upper_id").alias("id"), "k").unionByName(whole.select(F.col("item").alias("id"), "k"))), lost
+    lists = convolution.split_lists(pmfs, groups, {g: drawn[:, k] for k, g in enumerate(names)}, seed)
+    out = lists.filter(F.array_min("ks") < 0).select("group", F.posexplode("ks").alias("sample", "k")).filter("k < 0").select("group", "sample").distinct()
+    gone = F.broadcast(out.agg(F.collect_set("sample").alias("gone")))  # one row, of samples at most
+    whole = lists.join(gone).select("item", _without(F.col("ks"), F.col("gone")).alias("ks"))
+    whole = materialize(whole, "whole")
+    return histogram(sums_of_lists(whole, edges)).unionByName(list_histograms(whole)), out.groupBy("group").agg(F.count("*").alias("lost"))
 
 
 def compare_items(scores: DataFrame, a: str, b: str, keys: list[str], value: str = "rps") -> DataFrame:
