@@ -50,3 +50,14 @@ def test_draws_of_one_file_are_many_tasks_work(spark):
         sums[r["sample"] - 1] += r.k
     for r in counts.bottom_up(pmfs, edges, 50, 3).collect():
         np.testing.assert_allclose(r.pmf, np.bincount(sums) / 50, atol=1e-15)
+
+
+def test_scores_take_one_pass_and_equal_the_single_scores(spark):
+    d = spark.createDataFrame([("a", [0.0, 0.05, 0.9, 0.05]), ("b", [0.5, 0.3, 0.2]), ("c", [1.0])], "id string, pmf array<double>")
+    y = spark.createDataFrame([("a", 5), ("b", 0), ("c", 2)], "id string, y int")
+    scores = counts.item_scores(d, y, "id")
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    got = {r.id: r for r in scores.collect()}
+    mis = {r.id: r.mis for r in counts.interval_score(d, y, "id").collect()}
+    rps = {r.id: r.rps for r in counts.ranked_probability_score(d, y, "id").collect()}
+    assert {i: (r.median_error, r.mis, r.rps) for i, r in got.items()} == {i: (e, mis[i], rps[i]) for i, e in (("a", 3.0), ("b", 0.0), ("c", 2.0))}

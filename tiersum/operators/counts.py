@@ -111,9 +111,14 @@ def skill_table(scores: DataFrame, base: str, keys: list[str], by: list[str], co
 
 
 def item_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float = 0.1) -> DataFrame:
-    """(*keys, median_error, mis, rps): absolute error of the median, interval score and ranked probability score."""
-    median = quantile(dists, 0.5, *keys).join(actuals, list(keys)).select(*keys, F.abs(F.col("q") - F.col("y")).cast("double").alias("median_error"))
-    return median.join(interval_score(dists, actuals, *keys, alpha=alpha), list(keys)).join(ranked_probability_score(dists, actuals, *keys), list(keys))
+    """(*keys, median_error, mis, rps): absolute error of the median, interval score and ranked probability score, from one pass over the running sums."""
+    y, cdf = F.max("y"), F.col("cdf")
+    at = lambda q: F.min(F.when(cdf >= q - 1e-12, F.col("k")))
+    inside = F.sum((cdf - (F.col("y") <= F.col("k")).cast("double")) ** 2)
+    rps = inside + F.greatest(y - F.max("k") - 1, F.lit(0))  # beyond the last k the cdf is 1 and y isn't reached
+    got = exploded(dists, *keys).join(actuals, list(keys)).groupBy(*keys).agg(y.alias("y"), at(0.5).alias("q"), at(alpha / 2).alias("lo"), at(1 - alpha / 2).alias("hi"), rps.alias("rps"))
+    mis = F.col("hi") - F.col("lo") + 2 / alpha * F.greatest(F.col("lo") - F.col("y"), F.lit(0)) + 2 / alpha * F.greatest(F.col("y") - F.col("hi"), F.lit(0))
+    return got.filter("hi is not null").select(*keys, F.abs(F.col("q") - F.col("y")).cast("double").alias("median_error"), mis.cast("double").alias("mis"), "rps")
 
 
 def normal_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float = 0.1) -> DataFrame:
@@ -127,8 +132,9 @@ def normal_scores(dists: DataFrame, actuals: DataFrame, *keys: str, alpha: float
     first = F.least(F.floor(F.col("mu") - 8 * F.col("sd")), F.lit(-1).cast("long"), y.cast("long") - 1)
     last = F.greatest(F.ceil(F.col("mu") + 8 * F.col("sd")), y.cast("long"))
     cdf = lambda k: F.coalesce(normal_cdf(F.try_divide(k + 0.5 - F.col("mu"), F.col("sd"))), (k + 0.5 >= F.col("mu")).cast("double"))
-    rps = F.aggregate(F.sequence(first, last), F.lit(0.0), lambda a, k: a + (cdf(k) - (y <= k).cast("double")) ** 2)
-    return dists.join(actuals, list(keys)).select(*keys, F.abs(F.col("mu") - y).alias("median_error"), mis.alias("mis"), rps.alias("rps"))
+    rows = dists.join(actuals, list(keys)).select(*keys, F.abs(F.col("mu") - y).alias("median_error"), mis.alias("mis"), "mu", "sd", "y", F.explode_outer(F.sequence(first, last)).alias("k"))
+    rps = F.sum((cdf(F.col("k")) - (y <= F.col("k")).cast("double")) ** 2)  # rows, not a lambda: they are compiled
+    return rows.groupBy(*keys, "median_error", "mis").agg(rps.alias("rps"))
 
 
 def day_scale(counts: DataFrame, days: DataFrame) -> DataFrame:
@@ -176,8 +182,13 @@ def normal_below_zero(mu: Column, sd: Column) -> Column:
 
 def as_table(pmfs: DataFrame, method: str, *keys: str) -> DataFrame:
     """pmfs(*keys, pmf) -> distributions (method, *keys, kind, mu, sd, pmf)."""
-    m = moments(pmfs, *keys).select(*keys, F.col("mean").alias("mu"), F.sqrt(F.greatest("var", F.lit(0.0))).alias("sd"))
-    return pmfs.join(m, list(keys)).select(F.lit(method).alias("method"), *keys, F.lit("pmf").alias("kind"), "mu", "sd", "pmf")
+    return as_tables(pmfs.withColumn("method", F.lit(method)), *keys)
+
+
+def as_tables(pmfs: DataFrame, *keys: str) -> DataFrame:
+    """pmfs(method, *keys, pmf) -> distributions (method, *keys, kind, mu, sd, pmf)."""
+    m = moments(pmfs, "method", *keys).select("method", *keys, F.col("mean").alias("mu"), F.sqrt(F.greatest("var", F.lit(0.0))).alias("sd"))
+    return pmfs.join(m, ["method", *keys]).select("method", *keys, F.lit("pmf").alias("kind"), "mu", "sd", "pmf")
 
 
 def negatives(dists: DataFrame, *by: str, alpha: float = 0.1) -> DataFrame:
@@ -224,13 +235,13 @@ def upper_covariance(residuals: DataFrame) -> tuple[list[str], np.ndarray]:
     return ids, w
 
 
-def gaussian(upper: DataFrame, residuals: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
+def gaussian(upper: DataFrame, residuals: DataFrame, items: DataFrame, edges: DataFrame, covariance: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """upper(id, mu), residuals(id, t, e), items(item, mu, var), edges(upper_id, item) -> distributions (method, id, kind, mu, sd) of aggregates and items.
 
     Weights are the shrunk covariance of the aggregates' residuals and the items' variances plus 1e-9. In constraint form: the matrix
-    is as large as the aggregates are many; items are updated by joins with one number, and one for each two of their aggregates.
+    is as large as the aggregates are many; items are updated by joins with one number, and one for each two of their aggregates. covariance: `upper_covariance`'s, where it is known.
     """
-    ids, w = upper_covariance(residuals)
+    ids, w = covariance or upper_covariance(residuals)
     at = {u: k for k, u in enumerate(ids)}
     v = items.select("item", (F.col("var") + 1e-9).alias("v"), "mu")
     links = edges.join(v, "item")
@@ -317,14 +328,14 @@ def _without(ks: Column, gone: Column) -> Column:
     return F.when(F.size(gone) == 0, ks).otherwise(F.filter(ks, lambda _, at: ~F.array_contains(gone, at)))
 
 
-def mix_cond_by_level(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, upper: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix_cond_by_level(pmfs: DataFrame, groups: DataFrame, edges: DataFrame, upper: DataFrame, residuals: DataFrame, samples: int = 1000, seed: int = 0, covariance: tuple[list[str], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """`mix_cond` for groups(item, group) that each item is in exactly one of -> ((id, pmf) of aggregates and items, (id, samples, ess) by aggregate).
 
     The exact distributions of the groups' sums come from a tree of convolutions; the groups' totals are drawn one after another with the density of every aggregate
     as soon as it is complete, resampled each time; then they are split to the items down the tree. The law is that of `mix_cond`, the weights don't collapse with many aggregates.
     """
     spark = pmfs.sparkSession
-    ids, w = upper_covariance(residuals)
+    ids, w = covariance or upper_covariance(residuals)
     names, inside = _lowest_groups(pmfs, groups, edges, ids)
     center = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
     mean = np.array([center[u] for u in ids])
@@ -379,14 +390,14 @@ def mix_cond(pmfs: DataFrame, edges: DataFrame, upper: DataFrame, residuals: Dat
     return histogram(every, F.col("times")), ess
 
 
-def td_cond(pmfs: DataFrame, groups: DataFrame, upper: DataFrame, residuals: DataFrame, edges: DataFrame, samples: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def td_cond(pmfs: DataFrame, groups: DataFrame, upper: DataFrame, residuals: DataFrame, edges: DataFrame, samples: int = 1000, seed: int = 0, covariance: tuple[list[str], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """Top-down conditioning -> ((id, pmf) of aggregates and items, (group, lost): draws outside a group's reach).
 
     groups(item, group), each item in exactly one lowest group (refused otherwise); edges(upper_id, item) as ever. The aggregates are
     reconciled first and drawn from their normal law; each group's total, rounded, is split to its items given that they add up to it.
     Totals go down a tree of convolutions, so that a large group is many tasks' work; arrays are as long as the group's largest total.
     """
-    ids, w = upper_covariance(residuals)
+    ids, w = covariance or upper_covariance(residuals)
     names, a = _lowest_groups(pmfs, groups, edges, ids)
     center = {r["id"]: r["mu"] for r in upper.select("id", "mu").collect()}
     weight = np.linalg.pinv(w, hermitian=True)
