@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tiersum.jobs import count_queries
 from tiersum.operators import counts
 
 
@@ -61,3 +62,12 @@ def test_scores_take_one_pass_and_equal_the_single_scores(spark):
     mis = {r.id: r.mis for r in counts.interval_score(d, y, "id").collect()}
     rps = {r.id: r.rps for r in counts.ranked_probability_score(d, y, "id").collect()}
     assert {i: (r.median_error, r.mis, r.rps) for i, r in got.items()} == {i: (e, mis[i], rps[i]) for i, e in (("a", 3.0), ("b", 0.0), ("c", 2.0))}
+
+
+def test_all_methods_share_one_covariance(spark, monkeypatch):
+    calls, own = [], counts.upper_covariance
+    monkeypatch.setattr(counts, "upper_covariance", lambda residuals: calls.append(1) or own(residuals))
+    dists, _, upper, _ = count_queries._all_methods(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+    n = {r.method: r["count"] for r in dists.groupBy("method").count().collect()}
+    assert set(n) == set(count_queries.METHODS) and len(set(n.values())) == 1 and upper.count() == 11

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,11 +264,13 @@ def _all_methods(spark, d):
     """(distributions by five methods, actual values, aggregates, edges), the aggregates being the total and ten groups."""
     items, upper, residuals, edges = _hierarchy(spark, d, True)
     groups = items.select("item", F.col("grp").alias("group"))
-    own = items.select(F.col("item").alias("id"), "pmf")
-    made = {"bottom_up": own.unionByName(counts.exact_sums(items.select("item", "pmf"), edges)), "mix_cond": counts.mix_cond_by_level(items.select("item", "pmf"), groups, edges, upper, residuals, 1000)[0], "td_cond": counts.td_cond(items.select("item", "pmf"), groups, upper, residuals, edges, 1000)[0]}
-    dists = counts.gaussian(upper, residuals, _item_moments(items), edges).withColumn("pmf", F.lit(None).cast("array<double>")).unionByName(_normal_uppers(upper, residuals)).unionByName(counts.as_table(own, "base", "id"))
-    for method, table in made.items():
-        dists = dists.unionByName(counts.as_table(materialize(table, method), method, "id"))
+    own, cov = items.select(F.col("item").alias("id"), "pmf"), counts.upper_covariance(residuals)
+    mix, _ = counts.mix_cond_by_level(items.select("item", "pmf"), groups, edges, upper, residuals, 1000, covariance=cov)
+    td, _ = counts.td_cond(items.select("item", "pmf"), groups, upper, residuals, edges, 1000, covariance=cov)
+    made = {"base": own, "bottom_up": own.unionByName(counts.exact_sums(items.select("item", "pmf"), edges)), "mix_cond": mix, "td_cond": td}
+    pmfs = materialize(reduce(DataFrame.unionByName, (table.withColumn("method", F.lit(method)) for method, table in made.items())), "pmfs")
+    normal = counts.gaussian(upper, residuals, _item_moments(items), edges, cov).withColumn("pmf", F.lit(None).cast("array<double>")).unionByName(_normal_uppers(upper, residuals))
+    dists = normal.unionByName(counts.as_tables(pmfs, "id"))
     return materialize(dists, "distributions"), materialize(_actuals(spark, d, items, edges), "actuals"), upper, edges
 
 
